@@ -8,6 +8,7 @@ are bound first with :func:`let`.
 from __future__ import annotations
 
 from collections.abc import Callable
+from typing import NamedTuple
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -55,28 +56,49 @@ def matches(text: Column, pattern: str, group: int = 0) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
 
 
-def located(text: Column, pattern: str) -> Column:
-    """``array<struct<raw, start, newlines_before>>`` of all matches; ``start`` is 0-based.
+class Spec(NamedTuple):
+    """One pattern of a multi-pattern scan; ``guard`` is a cheap test any matching text passes."""
+
+    tag: str
+    pattern: str
+    group: int = 0
+    guard: Column | None = None
+
+
+LOCATED = "array<struct<tag:string,raw:string,value:string,start:int,newlines_before:int>>"
+
+
+def located(text: Column, specs: list[Spec]) -> Column:
+    """All matches of all patterns as ``LOCATED``; ``start`` is 0-based.
 
     The text between matches comes from ``split`` and the matches from
-    ``regexp_extract_all``; their running lengths give every position.
+    ``regexp_extract_all``; their running lengths give every position.  The
+    position arithmetic is written once and mapped over the patterns that matched.
     """
 
-    def assemble(raws: Column) -> Column:
-        gaps = F.split(text, pattern, -1)
-        return let(gaps, lambda g: let(
-            F.struct(
-                prefix_sums(F.transform(raws, lambda m, i: F.length(F.get(g, i))
-                                        + F.when(i == 0, 0).otherwise(F.length(F.get(raws, i - 1))))).alias("start"),
-                prefix_sums(F.transform(raws, lambda m, i: newlines(F.get(g, i))
-                                        + F.when(i == 0, 0).otherwise(newlines(F.get(raws, i - 1))))).alias("nl"),
-            ),
-            lambda pos: F.transform(raws, lambda m, i: F.struct(
-                m.alias("raw"), F.get(pos["start"], i).alias("start"), F.get(pos["nl"], i).alias("newlines_before"))),
-        ))
-
-    empty = F.array().cast("array<struct<raw:string,start:int,newlines_before:int>>")
-    return let(matches(text, pattern), lambda raws: F.when(F.size(raws) > 0, assemble(raws)).otherwise(empty))
+    def matched(spec: Spec) -> Column:
+        found = let(matches(text, spec.pattern), lambda raws: F.when(F.size(raws) > 0, F.struct(
+            F.lit(spec.tag).alias("tag"), raws.alias("raws"),
+            (matches(text, spec.pattern, spec.group) if spec.group else raws).alias("values"),
+            F.split(text, spec.pattern, -1).alias("gaps"))))
+        return found if spec.guard is None else F.when(spec.guard, found)
+
+    def place(hit: Column) -> Column:
+        raws, gaps = hit["raws"], hit["gaps"]
+
+        def step(measure: Callable[[Column], Column]) -> Column:
+            return F.transform(raws, lambda m, i: measure(F.get(gaps, i))
+                               + F.when(i == 0, 0).otherwise(measure(F.get(raws, i - 1))))
+
+        bounds = F.struct(prefix_sums(step(F.length)).alias("start"), prefix_sums(step(newlines)).alias("nl"))
+        return let(bounds, lambda at: F.transform(raws, lambda m, i: F.struct(
+            hit["tag"].alias("tag"), m.alias("raw"), F.get(hit["values"], i).alias("value"),
+            F.get(at["start"], i).alias("start"), F.get(at["nl"], i).alias("newlines_before"))))
+
+    if not specs:
+        return F.array().cast(LOCATED)
+    found = F.filter(F.array(*[matched(s) for s in specs]), lambda hit: hit.isNotNull())
+    return F.flatten(F.transform(found, place))
 
 
 def line_starts(lines: Column) -> Column:

@@ -12,29 +12,24 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardenlake.functions import sensitive_patterns as sp
-from wardenlake.functions.text import let, line_starts, located, matches, passes_luhn
+from wardenlake.functions.text import LOCATED, Spec, let, line_starts, located, matches, passes_luhn
 
 
-def _regex(pattern: sp.Pattern, case_sensitive: bool) -> str:
-    return ("(?mU)" if case_sensitive else sp.FLAGS) + pattern.regex
+RAW_HITS = "array<struct<type:string,raw:string>>"
 
 
-def _valid(pattern: sp.Pattern, raw: Column) -> Column:
-    return passes_luhn(raw) if pattern.validator == "luhn" else F.lit(True)
-
+def _regex(pattern: sp.Pattern, case_sensitive: bool) -> str:
+    return ("(?mU)" if case_sensitive else sp.FLAGS) + pattern.regex
 
-def _guard(pattern: sp.Pattern, text: Column) -> Column:
-    return text.contains(pattern.prefilter) if pattern.prefilter else F.lit(True)
 
+def _guard(pattern: sp.Pattern, text: Column) -> Column | None:
+    return text.contains(pattern.prefilter) if pattern.prefilter else None
 
-def _all_hits(body: Column, patterns: list[sp.Pattern], of_type, array_type: str) -> Column:
-    """Concatenate the per-pattern arrays; one digit test skips every pattern that needs a digit."""
-    def joined(group: list[sp.Pattern]) -> Column:
-        empty = F.array().cast(array_type)
-        return F.concat(empty, *[F.coalesce(of_type(p), empty) for p in group])
 
-    with_digit = joined([p for p in patterns if p.type in sp.NEEDS_DIGIT])
-    free = joined([p for p in patterns if p.type not in sp.NEEDS_DIGIT])
+def _with_digit_guard(body: Column, patterns: list[sp.Pattern], scanned, array_type: str) -> Column:
+    """Scan for all patterns; one digit test skips those that need a digit."""
+    with_digit = scanned([p for p in patterns if p.type in sp.NEEDS_DIGIT])
+    free = scanned([p for p in patterns if p.type not in sp.NEEDS_DIGIT])
     return F.concat(F.when(body.rlike(r"\p{Nd}"), with_digit).otherwise(F.array().cast(array_type)), free)
 
 
@@ -94,11 +89,18 @@ def findings_core(files: DataFrame, key: str, text: str = "content", types: list
     body = F.col(text)
 
     def of_type(p: sp.Pattern) -> Column:
-        valid = F.filter(matches(body, _regex(p, case_sensitive)), lambda m: _valid(p, m))
-        return F.when(_guard(p, body), F.transform(
-            valid, lambda m: F.struct(F.lit(p.type).alias("type"), m.alias("raw"))))
-
-    hits = _all_hits(body, _selected(types), of_type, "array<struct<type:string,raw:string>>")
+        valid = matches(body, _regex(p, case_sensitive))
+        if p.validator == "luhn":
+            valid = F.filter(valid, passes_luhn)
+        rows = F.transform(valid, lambda m: F.struct(F.lit(p.type).alias("type"), m.alias("raw")))
+        guard = _guard(p, body)
+        return rows if guard is None else F.when(guard, rows)
+
+    def scanned(patterns: list[sp.Pattern]) -> Column:
+        empty = F.array().cast(RAW_HITS)
+        return F.concat(empty, *[F.coalesce(of_type(p), empty) for p in patterns])
+
+    hits = _with_digit_guard(body, _selected(types), scanned, RAW_HITS)
     found = _explode_hits(files, key, hits).select(key, "hit.type", "hit.raw")
     return _describe(found).select(
         key, "type", "severity", "confidence", "regulation",
@@ -110,19 +112,19 @@ def findings(files: DataFrame, key: str, text: str = "content", types: list[str]
              case_sensitive: bool = False, expose_raw: bool = False) -> DataFrame:
     """One row per match with line, column and redacted context."""
     body = F.col(text)
-    hit_type = "array<struct<type:string,raw:string,start:int,newlines_before:int>>"
 
-    def of_type(p: sp.Pattern) -> Column:
-        valid = F.filter(located(body, _regex(p, case_sensitive)), lambda m: _valid(p, m["raw"]))
-        return F.when(_guard(p, body), F.transform(valid, lambda m: F.struct(
-            F.lit(p.type).alias("type"), m["raw"].alias("raw"), m["start"].alias("start"),
-            m["newlines_before"].alias("newlines_before"))))
+    def scanned(patterns: list[sp.Pattern]) -> Column:
+        hits = located(body, [Spec(p.type, _regex(p, case_sensitive), 0, _guard(p, body)) for p in patterns])
+        checked = [p.type for p in patterns if p.validator == "luhn"]
+        if not checked:
+            return hits
+        return F.filter(hits, lambda m: ~m["tag"].isin(checked) | passes_luhn(m["raw"]))
 
-    hits = _all_hits(body, _selected(types), of_type, hit_type)
+    hits = _with_digit_guard(body, _selected(types), scanned, LOCATED)
 
     def place(lines: Column, found: Column) -> Column:
         return let(line_starts(lines), lambda starts: F.transform(found, lambda m: F.struct(
-            m["type"].alias("type"), m["raw"].alias("raw"),
+            m["tag"].alias("type"), m["raw"].alias("raw"),
             (m["newlines_before"] + 1).alias("line"),
             (m["start"] - F.get(starts, m["newlines_before"]) + 1).alias("column"),
             _context(F.get(lines, m["newlines_before"]), m["raw"]).alias("context"))))
