@@ -1,3 +1,261 @@
-from pyspark.sql import Column
-def secret_file(c): return c.rlike(r"""(?iu)(password|api_key|secret|token)\s*=\s*["'][^"']+["']""")
-def pii_file(c): return c.rlike(r"(?U)\b\d{3}-\d{2}-\d{4}\b|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b|\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b")
+"""Migration confidence and risk over many projects at once.
+
+Inputs: ``files(project, path, ext, content)`` and the per-file structure rows of
+``codemetrics.structure``.  Every result has one or more rows per project.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from wardenlake.functions.text import contains_any, literal_count
+
+# Factor weights (sum 1.0).
+WEIGHTS = {"test_coverage": 0.25, "complexity": 0.20, "dependencies": 0.15, "code_quality": 0.15,
+           "breaking_changes": 0.15, "team_experience": 0.10}
+# Migration type, complexity multiplier, base hours per file, file extensions.
+MIGRATIONS = [
+    ("react-hooks", 1.0, 0.5, [".js", ".jsx", ".ts", ".tsx"]),
+    ("vue3", 1.2, 0.75, [".vue", ".js"]),
+    ("python3", 0.8, 0.4, [".py"]),
+    ("typescript", 1.5, 1.0, [".js", ".jsx"]),
+    ("graphql", 1.8, 1.5, [".js", ".jsx", ".py", ".vue"]),
+    ("angular", 1.6, 1.2, [".js", ".ts"]),
+    ("svelte", 1.1, 0.6, [".js", ".jsx", ".py", ".vue"]),
+]
+# Literals whose occurrences mark breaking changes, per migration type.
+BREAKING = {
+    "react-hooks": ["componentDidMount", "componentWillUnmount", "componentDidUpdate", "this.state", "this.props",
+                    "componentWillMount", "componentWillReceiveProps"],
+    "vue3": ["Vue.component", "new Vue", "$on", "$off", "$once", "beforeDestroy", "destroyed", "filters"],
+    "python3": ["print ", "xrange", "urllib2", "raw_input", "basestring", "has_key", "iteritems"],
+    "typescript": ["var ", "function(", ": any", "any[]", "PropTypes", "React.createClass"],
+    "angular": ["$scope", "$http", "controller(", "directive(", ".service(", ".factory("],
+}
+# The shorter lists of the risk register.
+RISK_BREAKING = {
+    "react-hooks": ["componentDidMount", "componentWillUnmount", "componentDidUpdate", "this.state", "this.props"],
+    "vue3": ["Vue.component", "new Vue", "$on", "$off", "$once"],
+    "python3": ["print ", "xrange", "urllib2", "raw_input"],
+    "typescript": ["var ", "function(", ": any"],
+}
+RISK_EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx", ".vue"]
+SOURCE_EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx"]
+TEST_NAME = r"(^|/)(test_[^/]*\.py|[^/]*_test\.py|[^/]*\.test\.js|[^/]*\.test\.ts|[^/]*\.spec\.ts|[^/]*\.spec\.tsx)$"
+SECRET_PATTERN = r"""(?iu)(password|api_key|secret|token)\s*=\s*["'][^"']+["']"""
+PERSONAL_PATTERN = (r"(?U)\b\d{3}-\d{2}-\d{4}\b|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
+                    r"|\b\d{4}[-\s]?\d{4}[-\s]?\d{4}[-\s]?\d{4}\b")
+UNSAFE_WORDS = ["eval", "exec", "compile", "__import__"]
+OVERHEAD, HOURLY_RATE = 1.3, 100
+
+
+def secret_file(content: Column) -> Column:
+    return content.rlike(SECRET_PATTERN)
+
+
+def pii_file(content: Column) -> Column:
+    return content.rlike(PERSONAL_PATTERN)
+
+
+def migration_table(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame(MIGRATIONS, "migration_type string, multiplier double, base_hours double, extensions array<string>")
+
+
+def _band(value: Column, steps: list[tuple[float, int]], otherwise: int, below: bool = True) -> Column:
+    out = None
+    for limit, score in steps:
+        condition = value < limit if below else value >= limit
+        out = F.when(condition, score) if out is None else out.when(condition, score)
+    return out.otherwise(otherwise)
+
+
+def test_presence(files: DataFrame) -> DataFrame:
+    """85/70/55/40 by the share of test files; 30 without tests, 50 without sources."""
+    source = F.col("ext").isin(SOURCE_EXTENSIONS) & ~F.col("path").rlike(r"(^|/)(node_modules|\.venv)(/|$)")
+    counts = files.groupBy("project").agg(
+        F.sum(F.col("path").rlike(TEST_NAME).cast("int")).alias("tests"), F.sum(source.cast("int")).alias("sources"))
+    ratio = F.col("tests") / F.greatest("sources", F.lit(1))
+    return counts.select("project", F.when(F.col("sources") == 0, 50).when(F.col("tests") == 0, 30).otherwise(
+        _band(ratio, [(0.5, 85), (0.25, 70), (0.1, 55)], 40, below=False)).alias("test_coverage"))
+
+
+def complexity_score(structures: DataFrame) -> DataFrame:
+    totals = structures.groupBy("project").agg(
+        F.sum(F.col("parsed").cast("int")).alias("n"), F.sum(F.when(F.col("parsed"), F.col("complexity"))).alias("c"))
+    mean = F.col("c") / F.col("n")
+    return totals.select("project", F.when(F.col("n") == 0, 50).otherwise(_band(mean, [(5, 90), (10, 70), (20, 50)], 30)).alias("complexity"))
+
+
+def requirement_lines(files: DataFrame) -> DataFrame:
+    """Requirement lines of the first file of the fixed order that a project has."""
+    order = F.element_at(F.create_map(*[F.lit(v) for kv in {"requirements.txt": 1, "requirements-dev.txt": 2, "Pipfile": 3}.items() for v in kv]), F.col("path"))
+    ranked = files.filter(F.col("path").isin("requirements.txt", "requirements-dev.txt", "Pipfile")).withColumn("_o", order)
+    first = ranked.groupBy("project").agg(F.min_by(F.col("content"), F.col("_o")).alias("content"), F.min_by("path", "_o").alias("path"))
+    lines = first.select("project", "path", F.explode_outer(F.split("content", "\n")).alias("line")).withColumn("line", F.trim("line"))
+    return lines.withColumn("counts", (F.col("line") != "") & ~F.col("line").startswith("#"))
+
+
+def dependency_score(files: DataFrame) -> DataFrame:
+    lines = requirement_lines(files)
+    line = F.col("line")
+    pinned = line.contains("==") | line.startswith("-e ") | line.startswith("git+")
+    constrained = contains_any(line, ["==", ">=", "<=", "~=", "<"])
+    per = lines.groupBy("project").agg(
+        F.sum(F.col("counts").cast("int")).alias("n"), F.sum((F.col("counts") & pinned).cast("int")).alias("pinned"),
+        F.sum((F.col("counts") & constrained).cast("int")).alias("constrained"))
+    bonus = F.least(F.lit(15), F.floor(F.col("pinned") / F.col("n") * 15))
+    score = F.floor(45 + F.col("constrained") / F.col("n") * 35 + bonus).cast("int")
+    scored = per.select("project", F.when(F.col("n") == 0, 60).otherwise(F.greatest(F.lit(35), F.least(F.lit(95), score))).alias("dependencies"))
+    return files.select("project").distinct().join(scored, "project", "left").select("project", F.coalesce("dependencies", F.lit(40)).alias("dependencies"))
+
+
+def quality_score(files: DataFrame, structures: DataFrame) -> DataFrame:
+    per = structures.groupBy("project").agg(
+        F.sum((~F.col("parsed")).cast("int")).alias("errors"), F.sum((F.col("line_count") > 1000).cast("int")).alias("long_files"))
+    scored = per.select("project", F.greatest(F.lit(30), F.least(F.lit(90), 90 - 25 * F.col("errors") - 5 * F.col("long_files"))).cast("int").alias("code_quality"))
+    return files.select("project").distinct().join(scored, "project", "left").select("project", F.coalesce("code_quality", F.lit(70)).alias("code_quality"))
+
+
+def breaking_counts(files: DataFrame, migration_type: str) -> DataFrame:
+    """Occurrences of breaking literals per file of the type's extensions."""
+    extensions = next(m[3] for m in MIGRATIONS if m[0] == migration_type)
+    total = sum((literal_count(F.col("content"), p) for p in BREAKING.get(migration_type, [])), F.lit(0))
+    return files.filter(F.col("ext").isin(extensions)).select("project", "path", total.alias("occurrences"))
+
+
+def breaking_score(files: DataFrame, migration_type: str) -> DataFrame:
+    per = breaking_counts(files, migration_type).groupBy("project").agg(F.avg("occurrences").alias("mean"))
+    known = migration_type in BREAKING
+    score = _band(F.col("mean"), [(2, 90), (5, 70), (10, 50)], 30) if known else F.lit(50)
+    return (files.select("project").distinct().join(per, "project", "left")
+            .select("project", F.when(F.col("mean").isNull(), 50).otherwise(score).alias("breaking_changes")))
+
+
+def factor_table(files: DataFrame, structures: DataFrame, migration_type: str, team_experience: int = 50) -> DataFrame:
+    """One row per project with the six factors; joins run on the small per-project rows."""
+    return (
+        test_presence(files)
+        .join(complexity_score(structures), "project", "left").join(dependency_score(files), "project", "left")
+        .join(quality_score(files, structures), "project", "left").join(breaking_score(files, migration_type), "project", "left")
+        .select("project", "test_coverage", F.coalesce("complexity", F.lit(50)).alias("complexity"), "dependencies",
+                "code_quality", "breaking_changes", F.lit(team_experience).alias("team_experience")))
+
+
+def weighted_score(factors: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
+    weights = weights or WEIGHTS
+    if abs(sum(weights.values()) - 1.0) > 1e-9:
+        raise ValueError("weights must sum to 1.0")
+    return factors.withColumn("overall", F.round(sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)), 6))
+
+
+def risk_level(score: Column) -> Column:
+    return F.when(score >= 80, "LOW").when(score >= 60, "MEDIUM").when(score >= 40, "HIGH").otherwise("CRITICAL")
+
+
+def confidence(files: DataFrame, structures: DataFrame, migration_type: str, team_experience: int = 50,
+               weights: dict[str, float] | None = None) -> DataFrame:
+    """Score, level, complexity class, hours and cost per project."""
+    _, multiplier, base_hours, extensions = next(m for m in MIGRATIONS if m[0] == migration_type)
+    scored = weighted_score(factor_table(files, structures, migration_type, team_experience), weights)
+    counts = files.groupBy("project").agg(F.sum(F.col("ext").isin(extensions).cast("int")).alias("file_count"))
+    penalty = (F.when(F.col("complexity") < 50, 0.3).otherwise(0.0) + F.when(F.col("breaking_changes") < 50, 0.2).otherwise(0.0)
+               + F.when(F.col("dependencies") < 50, 0.1).otherwise(0.0))
+    final = F.round(multiplier * (1 + penalty), 6)
+    hours = F.col("file_count") * base_hours * (1 + (100 - F.col("overall")) / 50) * multiplier * OVERHEAD
+    return (scored.join(counts, "project").select(
+        "project", F.floor("overall").cast("int").alias("overall_score"), risk_level(F.col("overall")).alias("risk_level"),
+        F.when(final < 0.8, "SIMPLE").when(final < 1.2, "MODERATE").when(final < 1.6, "COMPLEX").otherwise("VERY_COMPLEX").alias("migration_complexity"),
+        "file_count", F.round(hours, 1).alias("estimated_hours"))
+        .withColumn("estimated_cost", F.round(F.col("estimated_hours") * HOURLY_RATE, 1)))
+
+
+# Factor, upper limit, kind, message.
+THRESHOLD_RULES = [
+    ("test_coverage", 30, 0, "blocker", "Test coverage is critically low (<30%)."),
+    ("test_coverage", 60, 30, "warning", "Test coverage is below recommended level (60%)."),
+    ("complexity", 40, 0, "warning", "High code complexity detected."),
+    ("dependencies", 50, 0, "blocker", "Security vulnerabilities found in dependencies."),
+    ("code_quality", 50, 0, "warning", "Code quality issues detected."),
+    ("breaking_changes", 40, 0, "warning", "Many breaking changes expected."),
+]
+
+
+def messages(factors: DataFrame) -> DataFrame:
+    """Blockers and warnings per project."""
+    hits = F.array_compact(F.array(*[
+        F.when((F.col(f) < upper) & (F.col(f) >= lower), F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("factor"), F.lit(text).alias("message")))
+        for f, upper, lower, kind, text in THRESHOLD_RULES]))
+    return factors.select("project", F.explode(hits).alias("m")).select("project", "m.*")
+
+
+def unpinned_requirements(files: DataFrame) -> DataFrame:
+    line = F.trim("line")
+    lines = files.filter(F.col("path") == "requirements.txt").select("project", F.explode(F.split("content", "\n")).alias("line"))
+    return lines.select("project", line.alias("line")).filter(
+        (F.col("line") != "") & ~F.col("line").startswith("#") & ~contains_any(F.col("line"), ["==", ">=", "<="]))
+
+
+def high_risk_files(files: DataFrame, migration_type: str) -> DataFrame:
+    patterns = RISK_BREAKING.get(migration_type, [])
+    if not patterns:
+        return files.select("project", "path").limit(0)
+    return files.filter(F.col("ext").isin(RISK_EXTENSIONS) & contains_any(F.col("content"), patterns)).select("project", "path")
+
+
+# Title, category, level, probability, impact.
+REGISTER = {
+    "high_complexity": ("High Code Complexity", "TECHNICAL", "HIGH", 80, 70),
+    "moderate_complexity": ("Moderate Code Complexity", "TECHNICAL", "MEDIUM", 60, 50),
+    "breaking": ("Breaking Changes Required", "TECHNICAL", "HIGH", 90, 80),
+    "unpinned": ("Unpinned Dependencies", "TECHNICAL", "MEDIUM", 60, 65),
+    "secrets": ("Hardcoded Secrets Detected", "SECURITY", "CRITICAL", 95, 90),
+    "unsafe": ("Unsafe Code Execution", "SECURITY", "HIGH", 70, 85),
+    "learning": ("Team Learning Curve", "OPERATIONAL", "MEDIUM", 70, 60),
+    "downtime": ("Potential Downtime", "BUSINESS", "HIGH", 60, 80),
+    "experience": ("User Experience Impact", "BUSINESS", "MEDIUM", 50, 70),
+    "personal_data": ("PII Data Detected", "COMPLIANCE", "HIGH", 85, 90),
+}
+
+
+def risk_register(files: DataFrame, structures: DataFrame, migration_type: str, listed: int = 5) -> DataFrame:
+    """One row per project and risk.
+
+    Each file is tested once for all content rules; a rule then groups its files.
+    The listed paths are the first five by name, kept with a bounded sort per task.
+    """
+    text, ext = F.col("content"), F.col("ext")
+    code = ext.isin(RISK_EXTENSIONS)
+    breaking = contains_any(text, RISK_BREAKING[migration_type]) if migration_type in RISK_BREAKING else F.lit(False)
+    flags = F.array_compact(F.array(
+        F.when(code & breaking, F.lit("breaking")), F.when(code & secret_file(text), F.lit("secrets")),
+        F.when((ext == ".py") & contains_any(text, UNSAFE_WORDS), F.lit("unsafe")), F.when(code & pii_file(text), F.lit("personal_data"))))
+    flagged = files.select("project", "path", F.explode(flags).alias("rule"))
+    from_files = (flagged.withColumn("_r", F.row_number().over(Window.partitionBy("project", "rule").orderBy("path")))
+             .filter(F.col("_r") <= listed).groupBy("project", "rule").agg(F.array_sort(F.collect_list("path")).alias("file_paths")))
+    none = F.array().cast("array<string>")
+    mean = F.col("c") / F.col("n")
+    averages = structures.filter("parsed").groupBy("project").agg(F.sum("complexity").alias("c"), F.count("*").alias("n"))
+    from_complexity = averages.select("project", F.when(mean > 20, "high_complexity").when(mean > 10, "moderate_complexity").alias("rule"),
+                                      none.alias("file_paths")).filter(F.col("rule").isNotNull())
+    from_pins = unpinned_requirements(files).select("project").distinct().select(
+        "project", F.lit("unpinned").alias("rule"), F.array(F.lit("requirements.txt")).alias("file_paths"))
+    always = files.select("project").distinct().select(
+        "project", F.explode(F.array(F.lit("learning"), F.lit("downtime"), F.lit("experience"))).alias("rule"), none.alias("file_paths"))
+    rows = from_files.unionByName(from_complexity).unionByName(from_pins).unionByName(always)
+    facts = F.create_map(*[v for rule, (title, category, level, p, i) in REGISTER.items() for v in (F.lit(rule), F.struct(
+        F.lit(title).alias("title"), F.lit(category).alias("category"), F.lit(level).alias("level"), F.lit(p).alias("probability"), F.lit(i).alias("impact")))])
+    return rows.select("project", "rule", facts[F.col("rule")].alias("f"), "file_paths").select("project", "f.*", "file_paths")
+
+
+def ranked_risks(register: DataFrame) -> DataFrame:
+    # A project has at most eleven risks, so each window group is tiny.
+    order = Window.partitionBy("project").orderBy(F.desc(F.col("probability") * F.col("impact")), "title")
+    return register.withColumn("rank", F.row_number().over(order))
+
+
+def risk_rollup(register: DataFrame) -> DataFrame:
+    return (register.rollup("category", "level").agg(
+        F.count("*").alias("risks"), F.round(F.avg(F.col("probability") * F.col("impact") / 100), 4).alias("mean_score"))
+        .select(F.coalesce("category", F.lit("ALL")).alias("category"), F.coalesce("level", F.lit("ALL")).alias("level"), "risks", "mean_score"))
