@@ -77,39 +77,39 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame, waves: DataFrame | None
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Wave of each node: dependencies first; nodes in or behind a cycle get one wave each, after the rest.
 
-    ``edges`` point from a file to what it needs.  Each round drops the edges into
-    nodes that need nothing more, for all projects together; the loop length is the
+    ``edges`` point from a file to what it needs.  Each round keeps the edges whose
+    target still needs something itself, for all projects together, so a node's wave
+    is the number of rounds in which it still had edges; the loop length is the
     longest dependency chain.  The shrinking edge set is written out each round, and
-    the driver sees only counts.  Both anti joins stream the edge side, so a module
+    the driver sees only its count.  The semi join streams the edge side, so a module
     that a third of all files import is split, not gathered.
     """
     ids = nodes.select("project", "id").distinct()
-    inside = (edges.select("project", "src", "dst").distinct()
-              .join(ids.withColumnRenamed("id", "dst"), ["project", "dst"], "left_semi")
-              .join(ids.withColumnRenamed("id", "src"), ["project", "src"], "left_semi"))
-    remaining = cut_lineage(inside)
-    pending = cut_lineage(remaining.select("project", F.col("src").alias("id")).distinct())
-    done = ids.join(pending, ["project", "id"], "left_anti").withColumn("wave", F.lit(0))
-    placed = [cut_lineage(done)]
-    left = remaining.count()
+    remaining = cut_lineage(
+        edges.select("project", "src", "dst").distinct()
+        .join(ids.withColumnRenamed("id", "dst"), ["project", "dst"], "left_semi")
+        .join(ids.withColumnRenamed("id", "src"), ["project", "src"], "left_semi"))
+    left, rounds = remaining.count(), []
     while left:
-        ready = placed[-1].select("project", F.col("id").alias("dst"))
-        remaining = cut_lineage(remaining.join(ready, ["project", "dst"], "left_anti"))
+        waiting = remaining.select("project", F.col("src").alias("id")).distinct()
+        rounds.append(waiting)
+        remaining = cut_lineage(remaining.join(waiting.withColumnRenamed("id", "dst"), ["project", "dst"], "left_semi"))
         now = remaining.count()
         if now == left:
             break
         left = now
-        still = cut_lineage(remaining.select("project", F.col("src").alias("id")).distinct())
-        placed.append(cut_lineage(pending.join(still, ["project", "id"], "left_anti").withColumn("wave", F.lit(len(placed)))))
-        pending = still
-    level = placed[0]
-    for more in placed[1:]:
-        level = level.unionByName(more)
-    level = level.withColumn("cyclic", F.lit(False))
+    stuck = rounds.pop() if left else ids.limit(0)
+    waited = ids.limit(0)
+    for waiting in rounds:
+        waited = waited.unionByName(waiting)
+    numbers = waited.groupBy("project", "id").agg(F.count("*").cast("int").alias("_n"))
+    free = ids.join(stuck, ["project", "id"], "left_anti") if left else ids
+    level = free.join(numbers, ["project", "id"], "left").select(
+        "project", "id", F.coalesce("_n", F.lit(0)).alias("wave"), F.lit(False).alias("cyclic"))
     if not left:
         return level
     last = level.groupBy("project").agg(F.max("wave").alias("_last"))
-    ordered = number_rows(pending, ["project"], ["id"], F.substring("id", 1, 16))
+    ordered = number_rows(stuck, ["project"], ["id"], F.substring("id", 1, 16))
     behind = ordered.join(last, "project", "left").select(
         "project", "id", (F.coalesce("_last", F.lit(-1)) + F.col("ordinal")).cast("int").alias("wave"), F.lit(True).alias("cyclic"))
     return level.unionByName(behind)
