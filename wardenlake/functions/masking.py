@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from wardenlake.functions.text import digits_of, let, replace_matches
+from wardenlake.functions.text import digits_of, let, replace_matches, strip
 
 # The expressions of the free-text pass, in the order they run.
 FREE_TEXT_PATTERNS = {
@@ -90,7 +90,7 @@ def anonymize_address(value: Column, preserve_zip: bool = False) -> Column:
     if preserve_zip:
         zip_code = F.regexp_extract(value, ZIP_PATTERN, 0)
         hidden = F.when(zip_code == "", hidden).otherwise(F.concat(hidden, F.lit(", "), zip_code))
-    return F.regexp_replace(hidden, r"(?U)^\s+|\s+$", "")
+    return strip(hidden)
 
 
 def hash_value(value: Column, salt: str, length: int = 16) -> Column:

@@ -15,12 +15,19 @@ from pyspark.sql import functions as F
 
 PREFIX_BLOCK = 256
 
+# Every character that counts as white space in Unicode text.
+WHITESPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """Evaluate ``value`` once and hand it to ``body``."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def strip(value: Column) -> Column:
+    return F.btrim(value, F.lit(WHITESPACE))
+
+
 def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda acc, x: acc + x)
 
@@ -146,8 +153,7 @@ def passes_luhn(value: Column) -> Column:
 def line_window(lines: Column, line: Column) -> Column:
     """The lines before, at and after a 1-based line number, trimmed."""
     first = F.greatest(line - 1, F.lit(1))
-    return F.regexp_replace(
-        F.array_join(F.slice(lines, first, line + 2 - first), "\n"), r"^\s+|\s+$", "")
+    return strip(F.array_join(F.slice(lines, first, line + 2 - first), "\n"))
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

@@ -144,7 +144,7 @@ def technical_debt(complexity: Column, lines: Column, files: Column) -> Column:
 def dependency_list(structures: DataFrame) -> DataFrame:
     """Sorted distinct modules per file; bounded by the imports one file can hold."""
     return structures.filter("parsed").select(
-        "project", "path", F.array_sort(F.array_distinct(F.transform("imports", lambda i: i["module"]))).alias("modules"))
+        "project", "path", F.sort_array(F.array_distinct(F.transform("imports", lambda i: i["module"]))).alias("modules"))
 
 
 def complexity_distribution(structures: DataFrame) -> DataFrame:

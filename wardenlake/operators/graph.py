@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from wardenlake.functions.text import let
 from wardenlake.functions.windows import number_rows
-from wardenlake.session import cut_lineage
+from wardenlake.session import cut_and_count
 
 # Import forms of JavaScript, group 1 is the module.
 SCRIPT_IMPORTS = [r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)", r"import\s+['\"]([^'\"]+)['\"]"]
@@ -85,24 +85,21 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     that a third of all files import is split, not gathered.
     """
     ids = nodes.select("project", "id").distinct()
-    remaining = cut_lineage(
+    remaining, left = cut_and_count(
         edges.select("project", "src", "dst").distinct()
         .join(ids.withColumnRenamed("id", "dst"), ["project", "dst"], "left_semi")
         .join(ids.withColumnRenamed("id", "src"), ["project", "src"], "left_semi"))
-    left, rounds = remaining.count(), []
+    waited, round_number = ids.limit(0).withColumn("_round", F.lit(0)), 0
     while left:
-        waiting = remaining.select("project", F.col("src").alias("id")).distinct()
-        rounds.append(waiting)
-        remaining = cut_lineage(remaining.join(waiting.withColumnRenamed("id", "dst"), ["project", "dst"], "left_semi"))
-        now = remaining.count()
+        ends = remaining.select("project", F.col("src").alias("id"))
+        following, now = cut_and_count(remaining.join(
+            ends.select("project", F.col("id").alias("dst")).distinct(), ["project", "dst"], "left_semi"))
         if now == left:
             break
-        left = now
-    stuck = rounds.pop() if left else ids.limit(0)
-    waited = ids.limit(0)
-    for waiting in rounds:
-        waited = waited.unionByName(waiting)
-    numbers = waited.groupBy("project", "id").agg(F.count("*").cast("int").alias("_n"))
+        waited = waited.unionByName(ends.withColumn("_round", F.lit(round_number)))
+        remaining, left, round_number = following, now, round_number + 1
+    stuck = remaining.select("project", F.col("src").alias("id")).distinct()
+    numbers = waited.groupBy("project", "id").agg((F.max("_round") + 1).alias("_n"))
     free = ids.join(stuck, ["project", "id"], "left_anti") if left else ids
     level = free.join(numbers, ["project", "id"], "left").select(
         "project", "id", F.coalesce("_n", F.lit(0)).alias("wave"), F.lit(False).alias("cyclic"))
@@ -211,7 +208,7 @@ def timeline(plan: DataFrame, start: datetime, work_days_only: bool = True) -> D
     ordered = number_rows(per, ["project"], ["wave"], F.floor(F.col("wave") / SEGMENT), "_nth").withColumn("_nth", F.col("_nth") - 1)
     units = F.col("file_count") * F.when(F.col("_nth") == 0, 5).otherwise(6)
     shaped = ordered.withColumn("_units", units.cast("bigint")).withColumn("_segment", F.floor(F.col("_nth") / SEGMENT))
-    folded = shaped.groupBy("project", "_segment").agg(F.array_sort(F.collect_list(F.struct("_nth", "_units", "wave", "file_count"))).alias("_waves"))
+    folded = shaped.groupBy("project", "_segment").agg(F.sort_array(F.collect_list(F.struct("_nth", "_units", "wave", "file_count"))).alias("_waves"))
     # Units that pass from each start position to the start of the next segment.
     moved = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(DAY - 1).cast("bigint")), lambda s: F.aggregate(
         F.col("_waves"), s, lambda c, w: _after_pause(c + w["_units"])) - s)

@@ -161,7 +161,7 @@ def lineage_summary(found: DataFrame) -> DataFrame:
         return F.coalesce(F.sum(F.when(F.col("kind") == kind, 1).otherwise(0)), F.lit(0))
 
     def labels(kind: str) -> Column:
-        return F.array_join(F.array_sort(F.collect_set(F.when(F.col("kind") == kind, F.col("label")))), ",")
+        return F.array_join(F.sort_array(F.collect_set(F.when(F.col("kind") == kind, F.col("label")))), ",")
 
     return found.groupBy("project").agg(
         number("data_source").alias("total_data_sources"), number("transformation").alias("total_transformations"),

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from wardenlake.functions.text import contains_any, let
+from wardenlake.functions.text import contains_any, let, strip
 
 # Stop words of keyword extraction.
 STOP_WORDS = [
@@ -30,14 +30,10 @@ INTENTS = [
 INTENT_CHUNK_TYPE = {"troubleshoot": "troubleshooting", "code_help": "code_example"}
 
 
-def strip(value: Column) -> Column:
-    return F.regexp_replace(value, r"(?U)^\s+|\s+$", "")
-
-
 def chunk(documents: DataFrame) -> DataFrame:
     """Sections of documents(doc_id, source, doc_type, text); narrow, no shuffle."""
-    sections = documents.select("doc_id", "source", "doc_type", F.posexplode(F.split("text", SECTION_BREAK, -1)).alias("section_index", "content"))
-    kept = sections.withColumn("content", strip(F.col("content"))).filter(F.length("content") >= MIN_CHUNK)
+    parts = F.transform(F.split("text", SECTION_BREAK, -1), strip)
+    kept = documents.select("doc_id", "source", "doc_type", F.posexplode(parts).alias("section_index", "content")).filter(F.length("content") >= MIN_CHUNK)
     identity = F.concat(F.col("source"), F.lit("_"), F.col("section_index").cast("string"), F.lit("_"), F.substring("content", 1, 100))
     return kept.select(
         F.concat(F.lit("chunk_"), F.substring(F.md5(identity), 1, 12)).alias("chunk_id"), "doc_id", "source",
@@ -47,10 +43,10 @@ def chunk(documents: DataFrame) -> DataFrame:
 
 def keywords(text: Column, cap: int | None = KEYWORD_CAP) -> Column:
     """Distinct lower-case words over two letters, no stop words, no numbers; the first ``cap`` by name."""
-    words = F.split(F.regexp_replace(F.lower(text), r"(?U)[^\w\s]", " "), r"(?U)\s+")
+    words = F.split(F.lower(text), r"(?U)[^\w]+")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    kept = F.filter(F.array_distinct(words), lambda w: (F.length(w) > 2) & ~F.array_contains(stop, w) & ~w.rlike(r"^\p{Nd}+$"))
-    ordered = F.array_sort(kept)
+    kept = F.filter(F.array_except(words, stop), lambda w: (F.length(w) > 2) & ~w.rlike(r"^\p{Nd}+$"))
+    ordered = F.sort_array(kept)
     return F.slice(ordered, 1, cap) if cap else ordered
 
 
@@ -152,7 +148,7 @@ def conversation_summary(messages: DataFrame) -> DataFrame:
     role = F.col("role")
     aggs = [F.count("*").alias("total_messages"), F.sum((role == "user").cast("int")).alias("user_messages"),
             F.sum((role == "assistant").cast("int")).alias("assistant_messages"),
-            F.array_sort(F.collect_set(classify_intent(F.col("text")))).alias("topics")]
+            F.sort_array(F.collect_set(classify_intent(F.col("text")))).alias("topics")]
     if "ts" in messages.columns:
         minutes = (F.max("ts").cast("timestamp").cast("double") - F.min("ts").cast("timestamp").cast("double")) / 60
         aggs.append(F.when(F.count("*") < 2, 0.0).otherwise(minutes).alias("duration_minutes"))

@@ -71,76 +71,89 @@ def _band(value: Column, steps: list[tuple[float, int]], otherwise: int, below:
     return out.otherwise(otherwise)
 
 
-def test_presence(files: DataFrame) -> DataFrame:
-    """85/70/55/40 by the share of test files; 30 without tests, 50 without sources."""
+REQUIREMENT_FILES = ["requirements.txt", "requirements-dev.txt", "Pipfile"]
+
+
+def breaking_occurrences(migration_type: str) -> Column:
+    return sum((literal_count(F.col("content"), p) for p in BREAKING.get(migration_type, [])), F.lit(0))
+
+
+def _extensions(migration_type: str) -> list[str]:
+    return next(m[3] for m in MIGRATIONS if m[0] == migration_type)
+
+
+def _requirement_counts() -> Column:
+    """Counted, pinned and constrained lines of a requirements text."""
+    lines = F.filter(F.transform(F.split("content", "\n"), F.trim), lambda s: (s != "") & ~s.startswith("#"))
+    pinned = F.filter(lines, lambda s: s.contains("==") | s.startswith("-e ") | s.startswith("git+"))
+    constrained = F.filter(lines, lambda s: contains_any(s, ["==", ">=", "<=", "~=", "<"]))
+    return F.struct(F.size(lines).alias("n"), F.size(pinned).alias("pinned"), F.size(constrained).alias("constrained"))
+
+
+def file_facts(files: DataFrame, migration_type: str) -> DataFrame:
+    """Everything the scores need from the files, in one grouping by project."""
     source = F.col("ext").isin(SOURCE_EXTENSIONS) & ~F.col("path").rlike(r"(^|/)(node_modules|\.venv)(/|$)")
-    counts = files.groupBy("project").agg(
-        F.sum(F.col("path").rlike(TEST_NAME).cast("int")).alias("tests"), F.sum(source.cast("int")).alias("sources"))
+    target = F.col("ext").isin(_extensions(migration_type))
+    order = F.array_position(F.array(*[F.lit(n) for n in REQUIREMENT_FILES]), F.col("path"))
+    required = order > 0
+    return files.groupBy("project").agg(
+        F.sum(F.col("path").rlike(TEST_NAME).cast("int")).alias("tests"), F.sum(source.cast("int")).alias("sources"),
+        F.sum(target.cast("int")).alias("file_count"), F.avg(F.when(target, breaking_occurrences(migration_type))).alias("mean_breaking"),
+        F.min_by(F.when(required, _requirement_counts()), F.when(required, order)).alias("requirements"))
+
+
+def structure_facts(structures: DataFrame) -> DataFrame:
+    """Everything the scores need from the parsed files, in one grouping by project."""
+    return structures.groupBy("project").agg(
+        F.sum(F.col("parsed").cast("int")).alias("parsed_files"), F.sum(F.when(F.col("parsed"), F.col("complexity"))).alias("total_complexity"),
+        F.sum((~F.col("parsed")).cast("int")).alias("syntax_errors"), F.sum((F.col("line_count") > 1000).cast("int")).alias("long_files"))
+
+
+def test_presence() -> Column:
+    """85/70/55/40 by the share of test files; 30 without tests, 50 without sources."""
     ratio = F.col("tests") / F.greatest("sources", F.lit(1))
-    return counts.select("project", F.when(F.col("sources") == 0, 50).when(F.col("tests") == 0, 30).otherwise(
-        _band(ratio, [(0.5, 85), (0.25, 70), (0.1, 55)], 40, below=False)).alias("test_coverage"))
+    return F.when(F.col("sources") == 0, 50).when(F.col("tests") == 0, 30).otherwise(_band(ratio, [(0.5, 85), (0.25, 70), (0.1, 55)], 40, below=False))
 
 
-def complexity_score(structures: DataFrame) -> DataFrame:
-    totals = structures.groupBy("project").agg(
-        F.sum(F.col("parsed").cast("int")).alias("n"), F.sum(F.when(F.col("parsed"), F.col("complexity"))).alias("c"))
-    mean = F.col("c") / F.col("n")
-    return totals.select("project", F.when(F.col("n") == 0, 50).otherwise(_band(mean, [(5, 90), (10, 70), (20, 50)], 30)).alias("complexity"))
+def complexity_score() -> Column:
+    mean = F.col("total_complexity") / F.col("parsed_files")
+    return F.when(F.coalesce("parsed_files", F.lit(0)) == 0, 50).otherwise(_band(mean, [(5, 90), (10, 70), (20, 50)], 30))
 
 
-def requirement_lines(files: DataFrame) -> DataFrame:
-    """Requirement lines of the first file of the fixed order that a project has."""
-    order = F.element_at(F.create_map(*[F.lit(v) for kv in {"requirements.txt": 1, "requirements-dev.txt": 2, "Pipfile": 3}.items() for v in kv]), F.col("path"))
-    ranked = files.filter(F.col("path").isin("requirements.txt", "requirements-dev.txt", "Pipfile")).withColumn("_o", order)
-    first = ranked.groupBy("project").agg(F.min_by(F.col("content"), F.col("_o")).alias("content"), F.min_by("path", "_o").alias("path"))
-    lines = first.select("project", "path", F.explode_outer(F.split("content", "\n")).alias("line")).withColumn("line", F.trim("line"))
-    return lines.withColumn("counts", (F.col("line") != "") & ~F.col("line").startswith("#"))
+def dependency_score() -> Column:
+    """40 without a requirements file, 60 for an empty one."""
+    r = F.col("requirements")
+    bonus = F.least(F.lit(15), F.floor(r["pinned"] / r["n"] * 15))
+    score = F.floor(45 + r["constrained"] / r["n"] * 35 + bonus).cast("int")
+    return F.when(r.isNull(), 40).when(r["n"] == 0, 60).otherwise(F.greatest(F.lit(35), F.least(F.lit(95), score)))
 
 
-def dependency_score(files: DataFrame) -> DataFrame:
-    lines = requirement_lines(files)
-    line = F.col("line")
-    pinned = line.contains("==") | line.startswith("-e ") | line.startswith("git+")
-    constrained = contains_any(line, ["==", ">=", "<=", "~=", "<"])
-    per = lines.groupBy("project").agg(
-        F.sum(F.col("counts").cast("int")).alias("n"), F.sum((F.col("counts") & pinned).cast("int")).alias("pinned"),
-        F.sum((F.col("counts") & constrained).cast("int")).alias("constrained"))
-    bonus = F.least(F.lit(15), F.floor(F.col("pinned") / F.col("n") * 15))
-    score = F.floor(45 + F.col("constrained") / F.col("n") * 35 + bonus).cast("int")
-    scored = per.select("project", F.when(F.col("n") == 0, 60).otherwise(F.greatest(F.lit(35), F.least(F.lit(95), score))).alias("dependencies"))
-    return files.select("project").distinct().join(scored, "project", "left").select("project", F.coalesce("dependencies", F.lit(40)).alias("dependencies"))
+def quality_score() -> Column:
+    scored = F.greatest(F.lit(30), F.least(F.lit(90), 90 - 25 * F.col("syntax_errors") - 5 * F.col("long_files"))).cast("int")
+    return F.when(F.col("syntax_errors").isNull(), 70).otherwise(scored)
 
 
-def quality_score(files: DataFrame, structures: DataFrame) -> DataFrame:
-    per = structures.groupBy("project").agg(
-        F.sum((~F.col("parsed")).cast("int")).alias("errors"), F.sum((F.col("line_count") > 1000).cast("int")).alias("long_files"))
-    scored = per.select("project", F.greatest(F.lit(30), F.least(F.lit(90), 90 - 25 * F.col("errors") - 5 * F.col("long_files"))).cast("int").alias("code_quality"))
-    return files.select("project").distinct().join(scored, "project", "left").select("project", F.coalesce("code_quality", F.lit(70)).alias("code_quality"))
+def breaking_score(migration_type: str) -> Column:
+    mean = F.col("mean_breaking")
+    if migration_type not in BREAKING:
+        return F.lit(50)
+    return F.when(mean.isNull(), 50).otherwise(_band(mean, [(2, 90), (5, 70), (10, 50)], 30))
 
 
 def breaking_counts(files: DataFrame, migration_type: str) -> DataFrame:
     """Occurrences of breaking literals per file of the type's extensions."""
-    extensions = next(m[3] for m in MIGRATIONS if m[0] == migration_type)
-    total = sum((literal_count(F.col("content"), p) for p in BREAKING.get(migration_type, [])), F.lit(0))
-    return files.filter(F.col("ext").isin(extensions)).select("project", "path", total.alias("occurrences"))
-
-
-def breaking_score(files: DataFrame, migration_type: str) -> DataFrame:
-    per = breaking_counts(files, migration_type).groupBy("project").agg(F.avg("occurrences").alias("mean"))
-    known = migration_type in BREAKING
-    score = _band(F.col("mean"), [(2, 90), (5, 70), (10, 50)], 30) if known else F.lit(50)
-    return (files.select("project").distinct().join(per, "project", "left")
-            .select("project", F.when(F.col("mean").isNull(), 50).otherwise(score).alias("breaking_changes")))
+    return files.filter(F.col("ext").isin(_extensions(migration_type))).select("project", "path", breaking_occurrences(migration_type).alias("occurrences"))
 
 
 def factor_table(files: DataFrame, structures: DataFrame, migration_type: str, team_experience: int = 50) -> DataFrame:
-    """One row per project with the six factors; joins run on the small per-project rows."""
-    return (
-        test_presence(files)
-        .join(complexity_score(structures), "project", "left").join(dependency_score(files), "project", "left")
-        .join(quality_score(files, structures), "project", "left").join(breaking_score(files, migration_type), "project", "left")
-        .select("project", "test_coverage", F.coalesce("complexity", F.lit(50)).alias("complexity"), "dependencies",
-                "code_quality", "breaking_changes", F.lit(team_experience).alias("team_experience")))
+    """One row per project with the six factors and its file count.
+
+    Files and parsed files are each grouped once; only per-project rows are joined.
+    """
+    facts = file_facts(files, migration_type).join(structure_facts(structures), "project", "left")
+    return facts.select("project", test_presence().alias("test_coverage"), complexity_score().alias("complexity"), dependency_score().alias("dependencies"),
+                        quality_score().alias("code_quality"), breaking_score(migration_type).alias("breaking_changes"),
+                        F.lit(team_experience).alias("team_experience"), "file_count")
 
 
 def weighted_score(factors: DataFrame, weights: dict[str, float] | None = None) -> DataFrame:
@@ -157,14 +170,13 @@ def risk_level(score: Column) -> Column:
 def confidence(files: DataFrame, structures: DataFrame, migration_type: str, team_experience: int = 50,
                weights: dict[str, float] | None = None) -> DataFrame:
     """Score, level, complexity class, hours and cost per project."""
-    _, multiplier, base_hours, extensions = next(m for m in MIGRATIONS if m[0] == migration_type)
+    _, multiplier, base_hours, _ = next(m for m in MIGRATIONS if m[0] == migration_type)
     scored = weighted_score(factor_table(files, structures, migration_type, team_experience), weights)
-    counts = files.groupBy("project").agg(F.sum(F.col("ext").isin(extensions).cast("int")).alias("file_count"))
     penalty = (F.when(F.col("complexity") < 50, 0.3).otherwise(0.0) + F.when(F.col("breaking_changes") < 50, 0.2).otherwise(0.0)
                + F.when(F.col("dependencies") < 50, 0.1).otherwise(0.0))
     final = F.round(multiplier * (1 + penalty), 6)
     hours = F.col("file_count") * base_hours * (1 + (100 - F.col("overall")) / 50) * multiplier * OVERHEAD
-    return (scored.join(counts, "project").select(
+    return (scored.select(
         "project", F.floor("overall").cast("int").alias("overall_score"), risk_level(F.col("overall")).alias("risk_level"),
         F.when(final < 0.8, "SIMPLE").when(final < 1.2, "MODERATE").when(final < 1.6, "COMPLEX").otherwise("VERY_COMPLEX").alias("migration_complexity"),
         "file_count", F.round(hours, 1).alias("estimated_hours"))
@@ -233,7 +245,7 @@ def risk_register(files: DataFrame, structures: DataFrame, migration_type: str,
         F.when((ext == ".py") & contains_any(text, UNSAFE_WORDS), F.lit("unsafe")), F.when(code & pii_file(text), F.lit("personal_data"))))
     flagged = files.select("project", "path", F.explode(flags).alias("rule"))
     from_files = (flagged.withColumn("_r", F.row_number().over(Window.partitionBy("project", "rule").orderBy("path")))
-             .filter(F.col("_r") <= listed).groupBy("project", "rule").agg(F.array_sort(F.collect_list("path")).alias("file_paths")))
+             .filter(F.col("_r") <= listed).groupBy("project", "rule").agg(F.sort_array(F.collect_list("path")).alias("file_paths")))
     none = F.array().cast("array<string>")
     mean = F.col("c") / F.col("n")
     averages = structures.filter("parsed").groupBy("project").agg(F.sum("complexity").alias("c"), F.count("*").alias("n"))

@@ -136,12 +136,12 @@ def search_alerts(alerts: DataFrame, deployment_id: str | None = None, severity:
 def recent_alerts(alerts: DataFrame, k: int = 10) -> DataFrame:
     """Newest k per deployment as one list; only k rows per deployment reach the list."""
     return (last_n(alerts, ["deployment_id"], [F.desc("created_at"), F.col("alert_id")], k).groupBy("deployment_id")
-            .agg(F.array_sort(F.collect_list("alert_id")).alias("recent_alerts")))
+            .agg(F.sort_array(F.collect_list("alert_id")).alias("recent_alerts")))
 
 
 def dashboard(metrics: DataFrame, alerts: DataFrame) -> DataFrame:
     stats = metric_statistics(metrics)
-    per = stats.groupBy("deployment_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("metric_name", "avg")))).alias("means"),
+    per = stats.groupBy("deployment_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric_name", "avg")))).alias("means"),
                                              F.sum("count").alias("points"))
     return per.join(deployment_status(stats), "deployment_id").join(recent_alerts(alerts), "deployment_id", "left")
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardenlake.functions import sensitive_patterns as sp
-from wardenlake.functions.text import LOCATED, Spec, let, line_starts, located, matches, passes_luhn
+from wardenlake.functions.text import LOCATED, Spec, let, line_starts, located, matches, passes_luhn, strip
 
 
 RAW_HITS = "array<struct<type:string,raw:string>>"
@@ -58,7 +58,7 @@ def _context(line_text: Column, raw: Column) -> Column:
     def shorten(s: Column) -> Column:
         return F.when(F.length(s) > 200, F.concat(F.substring(s, 1, 200), F.lit("..."))).otherwise(s)
 
-    return F.regexp_replace(let(F.replace(line_text, raw, F.lit("[REDACTED]")), shorten), r"^\s+|\s+$", "")
+    return strip(let(F.replace(line_text, raw, F.lit("[REDACTED]")), shorten))
 
 
 def pattern_table(spark) -> DataFrame:

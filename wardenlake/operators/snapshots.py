@@ -69,7 +69,7 @@ def content_diff(checkpoint_files: DataFrame, current_files: DataFrame) -> DataF
 def impact(preview: DataFrame) -> DataFrame:
     """File count, minutes (half a minute each, at least one), level, extensions."""
     ext = F.regexp_extract("path", r"(\.[^./]*)$", 1)
-    return (preview.agg(F.count("*").alias("files"), F.array_sort(F.collect_set(ext)).alias("extensions"))
+    return (preview.agg(F.count("*").alias("files"), F.sort_array(F.collect_set(ext)).alias("extensions"))
             .withColumn("estimated_minutes", F.greatest(F.lit(1.0), F.col("files") * 0.5))
             .withColumn("impact_level", F.when(F.col("files") > 20, "HIGH").when(F.col("files") > 10, "MEDIUM").otherwise("LOW")))
 
@@ -148,7 +148,7 @@ def revision_fingerprint(manifest: DataFrame) -> DataFrame:
     bucket = F.conv(F.substring(F.sha2("path", 256), 1, 3), 16, 10).cast("int")
     sums = manifest.groupBy(bucket.alias("_bucket")).agg(F.count("*").alias("_n"), F.sum(half[0]).alias("_a"), F.sum(half[1]).alias("_b"))
     line = F.concat_ws(":", F.lpad(F.col("_bucket").cast("string"), 4, "0"), F.col("_n").cast("string"), F.col("_a").cast("string"), F.col("_b").cast("string"))
-    return sums.agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("fingerprint"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
+    return sums.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("fingerprint"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
 
 
 def approval_current(approved: DataFrame, current_manifest: DataFrame) -> DataFrame:

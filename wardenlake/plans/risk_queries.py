@@ -47,7 +47,7 @@ JOIN (SELECT project, CAST(CASE WHEN m < 2 THEN 90 WHEN m < 5 THEN 70 WHEN m < 1
 
 @query("risk_factors", _FACTORS)
 def risk_factors(spark, sf_dir):
-    return risk.factor_table(*_inputs(spark, sf_dir), TYPE)
+    return risk.factor_table(*_inputs(spark, sf_dir), TYPE).drop("file_count")
 
 
 _SCORED = f"""

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 # Settings that change results or plans.  Cluster sizing (shuffle partitions,
 # executor memory) stays with whoever submits the job; AQE coalesces from there.
@@ -57,3 +58,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Write the frame to the checkpoint folder so that a lost executor does not replay the loop."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
+    """The same, with the row count taken while the rows are written."""
+    seen = Observation()
+    written = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    return written, seen.get["rows"]
