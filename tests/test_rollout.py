@@ -114,7 +114,7 @@ def test_rate_limit(spark):
 def test_limiter_state(spark):
     rows = [("a", "u", T0, 0), ("a", "u", T0 + timedelta(seconds=10), 1), ("a", "u", T0 + timedelta(seconds=20), 2)]
     decisions = ro.rate_limit(spark.createDataFrame(rows, REQUEST_SCHEMA), limits(spark))
-    as_of = T0.timestamp() - datetime(1970, 1, 1).timestamp() + 30
+    as_of = F.lit((T0 + timedelta(seconds=30)).isoformat(sep=" "))
     state = ro.limiter_state(decisions, limits(spark), as_of).first()
     assert (state["in_window"], state["retry_after"]) == (2, 30)
     assert ro.limiter_statistics(ro.limiter_state(decisions, limits(spark), as_of)).first()["total_requests"] == 2

@@ -31,13 +31,16 @@ LIMITS = [("migration", 10, 3600), ("file_ops", 100, 60), ("api_calls", 60, 60),
 DEPLOYMENT_POINTS, ALERT_CAP, CHECK_CAP = 1000, 1000, 100
 
 
-def seconds(ts: str = "ts") -> Column:
-    """Microsecond-exact seconds of a timestamp, whichever timestamp type it has."""
-    return F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
+SECOND = 1_000_000
+
+
+def micros(ts: str = "ts") -> Column:
+    """Whole microseconds of a timestamp, whichever timestamp type it has; spans compare exactly."""
+    return F.unix_micros(F.col(ts).cast("timestamp"))
 
 
 def hour_of(ts: str = "ts") -> Column:
-    return F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / 3_600_000_000)
+    return F.floor(micros(ts) / (3600 * SECOND))
 
 
 def query_metrics(metrics: DataFrame, deployment_id: str | None = None, metric_name: str | None = None, start: Column | None = None,
@@ -270,13 +273,13 @@ def limit_table(spark) -> DataFrame:
     return spark.createDataFrame(LIMITS, "op string, max_requests int, window_seconds int")
 
 
-ADMIT_SCHEMA = "op string, user_id string, event_id bigint, at double, admitted boolean"
+ADMIT_SCHEMA = "op string, user_id string, event_id bigint, at bigint, admitted boolean"
 
 
 def _admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Sliding-window admission over rows sorted by key and time; holds at most one window of admitted times."""
     key: tuple | None = None
-    recent: deque[float] = deque()
+    recent: deque[int] = deque()
     for batch in batches:
         flags = []
         for op, user, session, at, most, span in zip(batch["op"], batch["user_id"], batch["session"], batch["at"],
@@ -284,7 +287,7 @@ def _admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             if (op, user, session) != key:
                 key = (op, user, session)
                 recent.clear()
-            while recent and at - recent[0] >= span:
+            while recent and at - recent[0] >= span * SECOND:
                 recent.popleft()
             flags.append(len(recent) < most)
             if flags[-1]:
@@ -301,24 +304,25 @@ def rate_limit(requests: DataFrame, limits: DataFrame) -> DataFrame:
     task in sorted order, so even a session without any pause needs only one window
     of memory.  Operations without a limit are admitted without leaving the JVM.
     """
-    timed = requests.withColumn("at", seconds()).join(F.broadcast(limits), "op", "left")
+    timed = requests.withColumn("at", micros()).join(F.broadcast(limits), "op", "left")
     free = timed.filter(F.col("max_requests").isNull()).select("op", "user_id", "event_id", "at", F.lit(True).alias("admitted"))
     limited = timed.filter(F.col("max_requests").isNotNull())
     keys, order = ["op", "user_id"], ["at", "event_id"]
     previous = last_before(limited, keys, order, hour_of(), F.col("at"), "_previous")
-    starts = (F.col("_previous").isNull() | (F.col("at") - F.col("_previous") >= F.col("window_seconds"))).cast("int")
+    starts = (F.col("_previous").isNull() | (F.col("at") - F.col("_previous") >= F.col("window_seconds").cast("bigint") * F.lit(SECOND))).cast("int")
     sessions = running_sum(previous, keys, order, hour_of(), starts, "session")
     sorted_rows = (sessions.select("op", "user_id", "session", "at", "event_id", "max_requests", "window_seconds")
                    .repartition("op", "user_id", "session").sortWithinPartitions("op", "user_id", "session", "at", "event_id"))
     return sorted_rows.mapInPandas(_admit, ADMIT_SCHEMA).unionByName(free)
 
 
-def limiter_state(decisions: DataFrame, limits: DataFrame, as_of_seconds: float) -> DataFrame:
-    """Per (op, user): admitted requests still in the window and seconds until one leaves it."""
-    live = decisions.filter("admitted").join(F.broadcast(limits), "op").filter(
-        (F.col("at") <= as_of_seconds) & (as_of_seconds - F.col("at") < F.col("window_seconds")))
-    left = F.first("window_seconds") - (as_of_seconds - F.min("at"))
-    return live.groupBy("op", "user_id").agg(F.count("*").alias("in_window"), F.greatest(F.lit(0), F.floor(left)).cast("int").alias("retry_after"))
+def limiter_state(decisions: DataFrame, limits: DataFrame, as_of: Column) -> DataFrame:
+    """Per (op, user): admitted requests still in the window and whole seconds until one leaves it."""
+    now = F.unix_micros(as_of.cast("timestamp"))
+    span = F.col("window_seconds").cast("bigint") * F.lit(SECOND)
+    live = decisions.filter("admitted").join(F.broadcast(limits), "op").filter((F.col("at") <= now) & (now - F.col("at") < span))
+    return live.groupBy("op", "user_id").agg(
+        F.count("*").alias("in_window"), F.floor((F.min(F.col("at") + span) - now) / SECOND).cast("int").alias("retry_after"))
 
 
 def limiter_statistics(state: DataFrame) -> DataFrame:

@@ -40,9 +40,9 @@ def cost_breakdown(spark, sf_dir):
 
 @query("cost_rollup", f"""
 SELECT coalesce(migration_type, 'ALL') AS migration_type, coalesce(risk_level, 'ALL') AS risk_level, count(*) AS projects,
-  round(sum(total_cost), 5) AS total_cost, round(avg(development_hours), 4) AS mean_hours FROM ({_COST}) GROUP BY ROLLUP (migration_type, risk_level)""")
+  round(sum(total_cost), 5) AS total_cost, round(avg(development_hours), 6) AS mean_hours FROM ({_COST}) GROUP BY ROLLUP (migration_type, risk_level)""")
 def cost_rollup(spark, sf_dir):
-    return fin.cost_rollup(_costs(spark, sf_dir)).withColumn("total_cost", F.round("total_cost", 5)).withColumn("mean_hours", F.round("mean_hours", 4))
+    return fin.cost_rollup(_costs(spark, sf_dir)).withColumn("total_cost", F.round("total_cost", 5)).withColumn("mean_hours", F.round("mean_hours", 6))
 
 
 ROLES = """

@@ -151,7 +151,34 @@ def random_tokens(spark, sf_dir):
     return tokens.agg(F.countDistinct("t").alias("tokens"), F.min(F.length("t")).alias("min_length"), F.max(F.length("t")).alias("max_length"))
 
 
-@query("mask_conversations")
+def _replace_all(source: str, kind: str, mask: str) -> str:
+    """One pass: replace every distinct match ``m`` by ``mask``, longest first."""
+    pattern = mk.FREE_TEXT_PATTERNS[kind].replace("(?U)", "").replace("'", "''")
+    found = f"list_sort(list_distinct(regexp_extract_all(text, '{pattern}')), 'DESC')"
+    return f"SELECT * REPLACE (list_reduce(list_prepend(text, {found}), lambda acc, m: replace(acc, m, {mask})) AS text) FROM ({source})"
+
+
+# Messages that carry contact values in every shape of the free-text pass.
+CONTACT_MESSAGES = """
+SELECT conv_id, turn, role, concat(text, ' mail c', cast(conv_id AS string), '@mail.example.org or ab@x.example.com, call +1 (555) 123-', cast(1000 + turn AS string),
+       ' or 555.987.', cast(2000 + conv_id % 1000 AS string), ', id 123-45-', cast(3000 + turn AS string), ', card 4242-4242 4242', cast(4000 + conv_id % 1000 AS string), '.') AS text
+FROM {conversations}
+"""
+_MASKED_TEXT = _replace_all(plain(CONTACT_MESSAGES), "email",
+    "CASE WHEN length(split_part(m, '@', 1)) <= 2 THEN repeat('*', length(split_part(m, '@', 1))) ELSE m[1] || repeat('*', length(split_part(m, '@', 1)) - 2) || split_part(m, '@', 1)[-1] END || '@' || split_part(m, '@', 2)")
+_MASKED_TEXT = _replace_all(_MASKED_TEXT, "phone",
+    "array_to_string(list_transform(range(1, length(m) + 1), lambda i: CASE WHEN m[i] BETWEEN '0' AND '9' AND length(regexp_replace(m[i:], '[^0-9]', '', 'g')) > 4 THEN '*' ELSE m[i] END), '')")
+_MASKED_TEXT = _replace_all(_MASKED_TEXT, "ssn", "'***-**-' || right(m, 4)")
+_MASKED_TEXT = _replace_all(_MASKED_TEXT, "credit_card", "'**** **** **** ' || right(regexp_replace(m, '[^0-9]', '', 'g'), 4)")
+
+
+@query("mask_contact_messages", _MASKED_TEXT)
+def mask_contact_messages(spark, sf_dir):
+    rows = spread(derive(spark, sf_dir, CONTACT_MESSAGES, "conversations"))
+    return rows.withColumn("text", mk.anonymize_text(F.col("text")))
+
+
+@query("mask_conversations", _MASKED_TEXT.replace(plain(CONTACT_MESSAGES), "SELECT * FROM conversations"))
 def mask_conversations(spark, sf_dir):
     rows = spread(load(spark, sf_dir, "conversations"))
     return rows.select("conv_id", "turn", "role", mk.anonymize_text(F.col("text")).alias("text"))

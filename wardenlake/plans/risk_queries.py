@@ -33,7 +33,7 @@ def _occurrences(words) -> str:
 
 
 _FACTORS = f"""
-SELECT c.project, c.test_coverage, x.complexity, r.dependencies, x.code_quality, b.breaking_changes, CAST(50 AS INT) AS team_experience FROM
+SELECT c.project, c.test_coverage, x.complexity, r.dependencies, x.code_quality, coalesce(b.breaking_changes, CAST(50 AS INT)) AS breaking_changes, CAST(50 AS INT) AS team_experience FROM
 (SELECT project, CAST(CASE WHEN tests = 0 THEN 30 WHEN tests / n >= 0.5 THEN 85 WHEN tests / n >= 0.25 THEN 70 WHEN tests / n >= 0.1 THEN 55 ELSE 40 END AS INT) AS test_coverage
    FROM (SELECT project, count(*) AS n, count(*) FILTER (path LIKE 'tests/test_m%') AS tests FROM ({_CODE}) GROUP BY project)) c
 JOIN (SELECT project, CAST(CASE WHEN m IS NULL THEN 50 WHEN m < 5 THEN 90 WHEN m < 10 THEN 70 WHEN m < 20 THEN 50 ELSE 30 END AS INT) AS complexity,
@@ -41,7 +41,7 @@ JOIN (SELECT project, CAST(CASE WHEN m IS NULL THEN 50 WHEN m < 5 THEN 90 WHEN m
       FROM (SELECT project, avg(complexity) FILTER (broken = 0) AS m, count(*) FILTER (broken = 1) AS e FROM ({_PARSED}) GROUP BY project)) x ON x.project = c.project
 JOIN (SELECT project, CAST(CASE WHEN a + b + c = 0 THEN 60 ELSE greatest(35, least(95, floor(45 + (a + b) / (a + b + c) * 35 + least(15, floor(a / (a + b + c) * 15))))) END AS INT) AS dependencies
       FROM ({_REQ})) r ON r.project = c.project
-JOIN (SELECT project, CAST(CASE WHEN m < 2 THEN 90 WHEN m < 5 THEN 70 WHEN m < 10 THEN 50 ELSE 30 END AS INT) AS breaking_changes
+LEFT JOIN (SELECT project, CAST(CASE WHEN m < 2 THEN 90 WHEN m < 5 THEN 70 WHEN m < 10 THEN 50 ELSE 30 END AS INT) AS breaking_changes
       FROM (SELECT project, avg({_occurrences(risk.BREAKING[TYPE])}) AS m FROM ({_CODE}) WHERE js = 1 GROUP BY project)) b ON b.project = c.project"""
 
 

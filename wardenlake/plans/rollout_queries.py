@@ -225,7 +225,28 @@ def _decisions(spark, sf_dir, rows=None):
     return ro.rate_limit(derive(spark, sf_dir, REQUESTS, "events"), limits), limits
 
 
-@query("rate_limit_admissions")
+_LIMIT_VALUES = ", ".join(f"('{op}', {most}, {span})" for op, most, span in TIGHT)
+# Request by request, carrying the admitted times of one window.
+_ADMITTED = f"""
+WITH RECURSIVE r AS (SELECT q.op, q.user_id, q.event_id, epoch_us(q.ts) AS t, l.most, CAST(l.span AS BIGINT) * 1000000 AS span,
+    row_number() OVER (PARTITION BY q.op, q.user_id ORDER BY q.ts, q.event_id) AS rn
+  FROM ({_R}) q JOIN (VALUES {_LIMIT_VALUES}) l(op, most, span) ON l.op = q.op),
+a AS (SELECT op, user_id, event_id, t, rn, true AS admitted, [t] AS times FROM r WHERE rn = 1
+  UNION ALL SELECT op, user_id, event_id, t, rn, len(live) < most, CASE WHEN len(live) < most THEN list_append(live, t) ELSE live END
+  FROM (SELECT r.*, list_filter(a.times, lambda x: r.t - x < r.span) AS live FROM a JOIN r ON r.op = a.op AND r.user_id = a.user_id AND r.rn = a.rn + 1)),
+free AS (SELECT op, user_id, event_id, true AS admitted FROM ({_R}) WHERE op = 'other')"""
+STATE_AT = "2024-01-20 12:00:00"
+_LIVE = _ADMITTED + f""",
+live AS (SELECT a.op, a.user_id, count(*) AS in_window, CAST((min(a.t) + any_value(r.span) - epoch_us(TIMESTAMP '{STATE_AT}')) // 1000000 AS INT) AS retry_after
+  FROM a JOIN r USING (op, user_id, rn) WHERE a.admitted AND a.t <= epoch_us(TIMESTAMP '{STATE_AT}') AND epoch_us(TIMESTAMP '{STATE_AT}') - a.t < r.span GROUP BY a.op, a.user_id)"""
+
+
+def _decisions(spark, sf_dir, rows=None):
+    limits = spark.createDataFrame(rows, "op string, max_requests int, window_seconds int") if rows else ro.limit_table(spark)
+    return ro.rate_limit(derive(spark, sf_dir, REQUESTS, "events"), limits), limits
+
+
+@query("rate_limit_admissions", _ADMITTED + " SELECT op, user_id, event_id, admitted FROM a UNION ALL SELECT * FROM free")
 def rate_limit_admissions(spark, sf_dir):
     return _decisions(spark, sf_dir, TIGHT)[0].select("op", "user_id", "event_id", "admitted")
 
@@ -236,16 +257,18 @@ def rate_limit_standard(spark, sf_dir):
     return _decisions(spark, sf_dir)[0].groupBy("op").agg(F.count("*").alias("requests"))
 
 
-@query("rate_limit_state")
+def _limiter_state(spark, sf_dir):
+    return ro.limiter_state(*_decisions(spark, sf_dir, TIGHT), F.lit(STATE_AT))
+
+
+@query("rate_limit_state", _LIVE + " SELECT * FROM live")
 def rate_limit_state(spark, sf_dir):
-    decisions, limits = _decisions(spark, sf_dir, TIGHT)
-    return ro.limiter_state(decisions, limits, 1705752000.0)
+    return _limiter_state(spark, sf_dir)
 
 
-@query("rate_limit_statistics")
+@query("rate_limit_statistics", _LIVE + " SELECT op, count(*) AS active_users, CAST(sum(in_window) AS BIGINT) AS total_requests FROM live GROUP BY op")
 def rate_limit_statistics(spark, sf_dir):
-    decisions, limits = _decisions(spark, sf_dir, TIGHT)
-    return ro.limiter_statistics(ro.limiter_state(decisions, limits, 1705752000.0))
+    return ro.limiter_statistics(_limiter_state(spark, sf_dir))
 
 
 # With one admission per window the next admitted request is a fixed function of the last, which SQL can follow.

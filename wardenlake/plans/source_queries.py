@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardenlake.plans.catalog_queries import OPERATIONS
 from wardenlake.plans.derived import CHECKS, METRICS, REQUESTS
 from wardenlake.plans.registry import derive, plain, query
-from wardenlake.plans.rollout_queries import _ALERTS, _STATES, EVALUATIONS, TIGHT
+from wardenlake.plans.rollout_queries import _ADMITTED, _ALERTS, _STATES, EVALUATIONS, TIGHT
 from wardenlake.sources import auditlog, corpus, paths
 from wardenlake.sources.tables import load
 from wardenlake.streaming import jobs
@@ -140,7 +140,7 @@ def stream_canary(spark, sf_dir):
     return jobs.run_available(jobs.canary_stream(_stream(spark, sf_dir, EVALUATIONS), f"{DELAY_MINUTES} minutes"))
 
 
-@query("stream_limiter")
+@query("stream_limiter", _ADMITTED + f" SELECT op, user_id, event_id, admitted FROM a WHERE t // 1000 <= {_CLOSED}")
 def stream_limiter(spark, sf_dir):
     limits = spark.createDataFrame(TIGHT, "op string, max_requests int, window_seconds int")
     return jobs.run_available(jobs.limiter_stream(_stream(spark, sf_dir, REQUESTS), limits, f"{DELAY_MINUTES} minutes"))

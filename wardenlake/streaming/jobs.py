@@ -126,7 +126,7 @@ class Admissions(OrderedProcessor):
         return {"times": []}
 
     def step(self, memory, row):
-        times = [t for t in memory["times"] if row["at"] - t < row["window_seconds"]]
+        times = [t for t in memory["times"] if row["at"] - t < row["window_seconds"] * rollout.SECOND]
         admitted = len(times) < row["max_requests"]
         return {"times": times + [row["at"]] if admitted else times}, {"event_id": row["event_id"], "admitted": admitted}
 

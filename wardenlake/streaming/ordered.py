@@ -21,7 +21,7 @@ class OrderedProcessor(StatefulProcessor):
     """Subclasses give ``fields`` (input columns kept), ``start`` and ``step``.
 
     ``step(memory, row)`` returns the next memory and an output row (or None); rows
-    need ``ts`` (timestamp) and ``event_id`` for order and ties.
+    need ``ts`` (timestamp) and ``event_id`` for order and ties; ``at`` is ``ts`` in microseconds.
     """
 
     fields: list[str] = ["event_id"]
@@ -61,7 +61,7 @@ class OrderedProcessor(StatefulProcessor):
         memory = json.loads(self.memory.get()[0]) if self.memory.exists() else self.start()
         out = []
         for at, row in sorted(((at, json.loads(text)) for at, text in due), key=lambda r: (r[0], r[1]["event_id"])):
-            memory, emitted = self.step(memory, row | {"at": at / 1e6})
+            memory, emitted = self.step(memory, row | {"at": at})
             if emitted is not None:
                 out.append(emitted)
         self.memory.update((json.dumps(memory),))
