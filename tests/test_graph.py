@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
 from datetime import datetime, timedelta
 
@@ -25,7 +26,7 @@ def peel(nodes, edges):
             break
         out |= {n: wave for n in ready}
         wave += 1
-    for i, n in enumerate(sorted(set(nodes) - set(out))):
+    for i, n in enumerate(sorted(set(nodes) - set(out), key=lambda n: hashlib.md5(n.encode()).hexdigest())):
         out[n] = max([w for w in out.values() if w < wave] + [wave - 1]) + 1 + i if i == 0 else wave + i
     return out
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wardenlake.functions.text import contains_any
@@ -166,22 +166,18 @@ def top_values(events: DataFrame, column: str, k: int = 10) -> DataFrame:
     return counts.orderBy(F.desc("events"), "value").limit(k)
 
 
-def controls_table(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(CONTROLS, "framework string, section string, control string, base_score int, driver string")
-
-
 def control_scores(aggregate: DataFrame, framework: str, by: list[str] | None = None) -> DataFrame:
-    """Scores per control and group; the 37-row control table is the broadcast side."""
+    """Scores per control and group; a framework's controls are a literal list, unrolled per row."""
     by = by or []
-    controls = controls_table(aggregate.sparkSession).filter(F.col("framework") == framework)
-    facts = aggregate.select(*by, "security_violations", "gdpr_pii_events", "file_access_count")
-    violated = (F.col("driver") == "violations") & (F.col("security_violations") > 0)
-    scored = facts.crossJoin(F.broadcast(controls))
-    return scored.select(
-        *by, "framework", "section", "control",
-        F.when(F.coalesce(violated, F.lit(False)), VIOLATED_ACCESS_SCORE).otherwise(F.col("base_score")).alias("score"),
-        F.when(F.col("driver") == "violations", F.col("security_violations") == 0)
-        .when(F.col("driver") == "pii_events", F.col("gdpr_pii_events") > 0).otherwise(F.lit(True)).alias("compliant"))
+
+    def control(section: str, name: str, base: int, driver: str | None) -> Column:
+        violations, personal = F.col("security_violations"), F.col("gdpr_pii_events")
+        score = F.when(violations > 0, VIOLATED_ACCESS_SCORE).otherwise(base) if driver == "violations" else F.lit(base)
+        compliant = violations == 0 if driver == "violations" else personal > 0 if driver == "pii_events" else F.lit(True)
+        return F.struct(F.lit(section).alias("section"), F.lit(name).alias("control"), score.alias("score"), compliant.alias("compliant"))
+
+    rows = F.explode(F.array(*[control(*c[1:]) for c in CONTROLS if c[0] == framework])).alias("c")
+    return aggregate.select(*by, F.lit(framework).alias("framework"), rows).select(*by, "framework", "c.*")
 
 
 def framework_score(controls: DataFrame, by: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from wardenlake.sources.corpus import SCAN_SKIP_DIRS, in_dirs
+
 MAX_LINES = 100_000
 MAX_FILE_BYTES = 5000 * 1024
 
@@ -83,7 +85,7 @@ def structure(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
             parsed = pd.DataFrame([_parse(text) for text in batch["content"]], index=batch.index)
             yield pd.concat([batch.drop(columns=["content"]), parsed], axis=1)[_columns()]
 
-    python = files.filter(F.col("ext") == ".py").select(
+    python = files.filter((F.col("ext") == ".py") & ~in_dirs(F.col("path"), SCAN_SKIP_DIRS)).select(
         "project", "path", "ext", F.octet_length("content").cast("bigint").alias("size_bytes"), "content")
     return python.filter(F.col("size_bytes") <= max_bytes).mapInPandas(_nonempty(parse_batches), STRUCTURE_SCHEMA)
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardenlake.functions.windows import number_rows
+
 # Rates by risk level and infrastructure cost by migration type.
 RISK_RATE = {"LOW": 0.05, "MEDIUM": 0.1, "HIGH": 0.2, "CRITICAL": 0.3}
 CONTINGENCY_RATE = {"LOW": 0.1, "MEDIUM": 0.15, "HIGH": 0.2, "CRITICAL": 0.25}
@@ -93,10 +95,14 @@ def rank_score() -> Column:
 
 
 def scenario_ranking(metrics: DataFrame) -> DataFrame:
-    """Best first within each project; a project's scenarios are sorted by Spark with spill."""
-    order = Window.partitionBy("project").orderBy(F.desc("rank_score"), "name")
-    scored = metrics.withColumn("rank_score", F.round(rank_score(), 9))
-    return scored.withColumn("rank", F.row_number().over(order))
+    """Best first within each project.
+
+    A project with a large share of all scenarios is ranked in score bands of 0.001,
+    whose counts are carried over, instead of in one window.
+    """
+    scored = metrics.withColumn("rank_score", F.round(rank_score(), 9)).withColumn("_worst_first", -F.col("rank_score"))
+    ranked = number_rows(scored, ["project"], ["_worst_first", "name"], F.floor(F.col("_worst_first") * 1000), "rank")
+    return ranked.drop("_worst_first")
 
 
 def interpretation(metrics: DataFrame) -> DataFrame:

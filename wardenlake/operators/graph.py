@@ -106,7 +106,9 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     if not left:
         return level
     last = level.groupBy("project").agg(F.max("wave").alias("_last"))
-    ordered = number_rows(stuck, ["project"], ["id"], F.substring("id", 1, 16))
+    # Their order is free; by digest it splits into 4096 even segments per project.
+    hashed = stuck.withColumn("_digest", F.md5("id"))
+    ordered = number_rows(hashed, ["project"], ["_digest", "id"], F.substring("_digest", 1, 3))
     behind = ordered.join(last, "project", "left").select(
         "project", "id", (F.coalesce("_last", F.lit(-1)) + F.col("ordinal")).cast("int").alias("wave"), F.lit(True).alias("cyclic"))
     return level.unionByName(behind)

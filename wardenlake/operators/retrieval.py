@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardenlake.functions.text import contains_any, let, strip
+from wardenlake.functions.totals import merge_totals
+from wardenlake.functions.windows import number_rows
 
 # Stop words of keyword extraction.
 STOP_WORDS = [
@@ -125,7 +127,7 @@ def index_statistics(chunks: DataFrame, index: DataFrame) -> DataFrame:
     size = chunks.agg(F.count("*").alias("total_chunks"), F.coalesce(F.avg("char_count"), F.lit(0.0)).alias("average_chunk_size"))
     words = index.select("keyword").distinct().agg(F.count("*").alias("total_keywords"))
     sources = chunks.select("source").distinct().agg(F.count("*").alias("sources"))
-    return size.crossJoin(words).crossJoin(sources)
+    return merge_totals(size, words, sources)
 
 
 def chunk_types(chunks: DataFrame) -> DataFrame:
@@ -165,8 +167,6 @@ def context_window(messages: DataFrame, size: int = 10, block: int = 1000) -> Da
     ``block`` messages becomes its own window group that also carries the ``size - 1``
     messages before it, so one conversation never becomes one task.
     """
-    from wardenlake.functions.windows import number_rows
-
     numbered = number_rows(messages, ["conv_id"], ["turn"], F.floor(F.col("turn") / block))
     own = F.floor((F.col("ordinal") - 1) / block)
     carried = F.when((F.col("ordinal") - 1) % block >= block - (size - 1), F.array(own, own + 1)).otherwise(F.array(own))
@@ -203,4 +203,4 @@ def knowledge_statistics(patterns: DataFrame, practices: DataFrame) -> DataFrame
     p = patterns.groupBy("migration_type").agg(F.count("*").alias("n")).agg(
         F.sum("n").alias("total_patterns"), F.count("*").alias("migration_types_covered"))
     c = practices.groupBy("category").agg(F.count("*").alias("n")).agg(F.sum("n").alias("total_practices"), F.count("*").alias("categories_covered"))
-    return p.crossJoin(c)
+    return merge_totals(p, c)

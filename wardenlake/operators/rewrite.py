@@ -16,6 +16,7 @@ REWRITE_SCHEMA = "project string, path string, ext string, content string, new_c
 # Expressions that find a component and its render body.
 _COMPONENT = re.compile(r"class\s+(\w+)\s+extends\s+(?:React\.)?Component\s*{")
 _RENDER = re.compile(r"render\s*\(\)\s*{")
+_BRACE = re.compile(r"[{}]")
 # Fixed value: the output text of the rewrite.
 _OUTPUT = """import React, {{ useState, useEffect }} from 'react';
 
@@ -34,10 +35,10 @@ _STATE_NOTE = ("\n  // TODO: Migrate state manually or use advanced ast-migrator
 def _closing_brace(text: str, start: int) -> int | None:
     """Index of the brace that closes the one before ``start``."""
     depth = 1
-    for token in re.finditer(r"[{}]", text[start:]):
-        depth += 1 if token.group() == "{" else -1
+    for brace in _BRACE.finditer(text, start):
+        depth += 1 if brace.group() == "{" else -1
         if depth == 0:
-            return start + token.start()
+            return brace.start()
     return None
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardenlake.functions.windows import last_before, last_n, running_sum
+from wardenlake.sources.tables import broadcast_if_small
 
 # Metric, direction, limit, high limit, alert type.
 ALERT_RULES = [
@@ -192,6 +193,11 @@ def health_states(checks: DataFrame, healthy_at: int = 2, unhealthy_at: int = 3,
             .drop("_segment", "_rank", "_fail", "_ok", "_base", "_carry_fail", "_carry_ok"))
 
 
+def custom_checks(observations: DataFrame, success: Column) -> DataFrame:
+    """Check results whose success is the caller's own predicate over each observation."""
+    return observations.withColumn("success", F.coalesce(success, F.lit(False)))
+
+
 def transitions(states: DataFrame) -> DataFrame:
     return states.filter(F.col("old_status") != F.col("status"))
 
@@ -304,7 +310,7 @@ def rate_limit(requests: DataFrame, limits: DataFrame) -> DataFrame:
     task in sorted order, so even a session without any pause needs only one window
     of memory.  Operations without a limit are admitted without leaving the JVM.
     """
-    timed = requests.withColumn("at", micros()).join(F.broadcast(limits), "op", "left")
+    timed = requests.withColumn("at", micros()).join(broadcast_if_small(limits), "op", "left")
     free = timed.filter(F.col("max_requests").isNull()).select("op", "user_id", "event_id", "at", F.lit(True).alias("admitted"))
     limited = timed.filter(F.col("max_requests").isNotNull())
     keys, order = ["op", "user_id"], ["at", "event_id"]
@@ -320,7 +326,7 @@ def limiter_state(decisions: DataFrame, limits: DataFrame, as_of: Column) -> Dat
     """Per (op, user): admitted requests still in the window and whole seconds until one leaves it."""
     now = F.unix_micros(as_of.cast("timestamp"))
     span = F.col("window_seconds").cast("bigint") * F.lit(SECOND)
-    live = decisions.filter("admitted").join(F.broadcast(limits), "op").filter((F.col("at") <= now) & (now - F.col("at") < span))
+    live = decisions.filter("admitted").join(broadcast_if_small(limits), "op").filter((F.col("at") <= now) & (now - F.col("at") < span))
     return live.groupBy("op", "user_id").agg(
         F.count("*").alias("in_window"), F.floor((F.min(F.col("at") + span) - now) / SECOND).cast("int").alias("retry_after"))
 

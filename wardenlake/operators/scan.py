@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from wardenlake.functions import sensitive_patterns as sp
 from wardenlake.functions.text import LOCATED, Spec, let, line_starts, located, matches, passes_luhn, strip
+from wardenlake.functions.totals import merge_totals
 
 
 RAW_HITS = "array<struct<type:string,raw:string>>"
@@ -140,9 +141,10 @@ def findings(files: DataFrame, key: str, text: str = "content", types: list[str]
 
 def scan_totals(files: DataFrame, found: DataFrame, key: str) -> DataFrame:
     """Files scanned, files with findings, findings."""
-    with_findings = found.groupBy(key).agg(F.count("*").alias("n")).agg(
-        F.count("*").alias("files_with_findings"), F.coalesce(F.sum("n"), F.lit(0)).alias("total_findings"))
-    return files.agg(F.count("*").alias("files_scanned")).crossJoin(with_findings)
+    per_file = found.groupBy(key).agg(F.count("*").alias("n"))
+    return merge_totals(
+        files.agg(F.count("*").alias("files_scanned")),
+        per_file.agg(F.count("*").alias("files_with_findings"), F.sum("n").alias("total_findings")))
 
 
 def risk_score() -> Column:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from wardenlake.sources.corpus import extension
+
 
 def file_manifest(files: DataFrame, checkpoint_id: str, key: str = "path", content: str = "content", modified: str | None = None) -> DataFrame:
     """One checksum row per file."""
@@ -68,7 +70,7 @@ def content_diff(checkpoint_files: DataFrame, current_files: DataFrame) -> DataF
 
 def impact(preview: DataFrame) -> DataFrame:
     """File count, minutes (half a minute each, at least one), level, extensions."""
-    ext = F.regexp_extract("path", r"(\.[^./]*)$", 1)
+    ext = extension(F.col("path"))
     return (preview.agg(F.count("*").alias("files"), F.sort_array(F.collect_set(ext)).alias("extensions"))
             .withColumn("estimated_minutes", F.greatest(F.lit(1.0), F.col("files") * 0.5))
             .withColumn("impact_level", F.when(F.col("files") > 20, "HIGH").when(F.col("files") > 10, "MEDIUM").otherwise("LOW")))
@@ -153,6 +155,6 @@ def revision_fingerprint(manifest: DataFrame) -> DataFrame:
 
 def approval_current(approved: DataFrame, current_manifest: DataFrame) -> DataFrame:
     """Whether the table is still the one the preview saw."""
-    now = revision_fingerprint(current_manifest).select(F.col("fingerprint").alias("current_fingerprint"))
-    return approved.select(F.col("fingerprint").alias("approved_fingerprint")).crossJoin(now).withColumn(
-        "may_apply", F.col("approved_fingerprint") == F.col("current_fingerprint"))
+    now = revision_fingerprint(current_manifest).select(F.lit(1).alias("_one"), F.col("fingerprint").alias("current_fingerprint"))
+    seen = approved.select(F.lit(1).alias("_one"), F.col("fingerprint").alias("approved_fingerprint"))
+    return seen.join(now, "_one").drop("_one").withColumn("may_apply", F.col("approved_fingerprint") == F.col("current_fingerprint"))

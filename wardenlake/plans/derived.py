@@ -72,6 +72,11 @@ SELECT concat('check-', cast(user_id AS string)) AS check_id, concat('deploy-',
 FROM {events}
 """
 
+# Raw observations for a caller-defined check.
+OBSERVATIONS = """
+SELECT concat('check-', cast(user_id AS string)) AS check_id, concat('deploy-', cast(user_id % 20 AS string)) AS deployment_id, ts, event_id, value AS response_time FROM {events}
+"""
+
 # Requests to the limiter: operation by event type; one type has no limit.
 REQUESTS = """
 SELECT event_id, CASE event_type WHEN 'error' THEN 'migration' WHEN 'view' THEN 'file_ops'

@@ -106,7 +106,7 @@ def roi_npv(spark, sf_dir):
 
 
 @query("scenario_rank", f"""
-SELECT project, name, CAST(row_number() OVER (PARTITION BY project ORDER BY score DESC, name) AS INT) AS rank FROM (
+SELECT project, name, row_number() OVER (PARTITION BY project ORDER BY score DESC, name) AS rank FROM (
   SELECT project, name, round(0.4::DOUBLE * least(roi_percentage / 100, 2.0) + 0.3::DOUBLE * greatest(0.0, 1 - payback_months / 24)
     + 0.3::DOUBLE * greatest(0.0, npv / greatest(investment, 1.0)), 9) AS score FROM ({_ROI}))""")
 def scenario_rank(spark, sf_dir):

@@ -119,7 +119,7 @@ def _waves(spark, sf_dir):
 
 @query("waves", _WAVES + """
 SELECT project, id, CAST(wave AS INT) AS wave, false AS cyclic FROM lv
-UNION ALL SELECT 'suppliers', id, CAST(row_number() OVER (ORDER BY id) + coalesce((SELECT max(wave) FROM lv WHERE project = 'suppliers'), -1) AS INT), true FROM bad""")
+UNION ALL SELECT 'suppliers', id, CAST(row_number() OVER (ORDER BY md5(id)) + coalesce((SELECT max(wave) FROM lv WHERE project = 'suppliers'), -1) AS INT), true FROM bad""")
 def waves(spark, sf_dir):
     return _waves(spark, sf_dir)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wardenlake.operators import rollout as ro
-from wardenlake.plans.derived import CHECKS, METRICS, REQUESTS
+from wardenlake.plans.derived import CHECKS, METRICS, OBSERVATIONS, REQUESTS
 from wardenlake.plans.registry import derive, plain, query
 from wardenlake.sources.tables import load
 
@@ -147,6 +147,19 @@ def deployment_health(spark, sf_dir):
     return _rounded(ro.deployment_health(ro.latest_check_states(_states(spark, sf_dir))), "health_score")
 
 
+_CUSTOM_RUNS = f"""
+SELECT *, count(*) OVER (PARTITION BY check_id, success, island ORDER BY ts, event_id) AS run FROM (
+  SELECT *, row_number() OVER (PARTITION BY check_id ORDER BY ts, event_id) - row_number() OVER (PARTITION BY check_id, success ORDER BY ts, event_id) AS island
+  FROM (SELECT *, response_time < 60 AS success FROM ({plain(OBSERVATIONS)})))"""
+
+
+@query("custom_health_check", f"""
+SELECT event_id, CASE WHEN success AND run >= 2 THEN 'HEALTHY' WHEN NOT success AND run >= 3 THEN 'UNHEALTHY' ELSE 'DEGRADED' END AS status FROM ({_CUSTOM_RUNS})""")
+def custom_health_check(spark, sf_dir):
+    results = ro.custom_checks(derive(spark, sf_dir, OBSERVATIONS, "events"), F.col("response_time") < 60)
+    return ro.health_states(results).select("event_id", "status")
+
+
 POINTS = """
 SELECT concat('canary-', cast(user_id % 40 AS string)) AS canary_id, ts, event_id,
        CASE WHEN event_type = 'error' AND value > 100 THEN 'error' WHEN event_type = 'click' THEN 'health_score' ELSE 'request' END AS metric_type,

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from wardenlake.functions import sensitive_patterns as sp
 from wardenlake.operators import rollout, scan
 from wardenlake.session import ensure_checkpoint_dir
+from wardenlake.sources.tables import broadcast_if_small
 from wardenlake.streaming.ordered import OrderedProcessor, run_ordered
 
 
@@ -132,16 +133,17 @@ class Admissions(OrderedProcessor):
 
 
 def health_stream(checks: DataFrame, delay: str, **thresholds) -> DataFrame:
-    return run_ordered(event_time(checks), HealthStates(**thresholds), delay)
+    return run_ordered(event_time(checks).withWatermark("ts", delay), HealthStates(**thresholds))
 
 
 def canary_stream(evaluations: DataFrame, delay: str) -> DataFrame:
-    return run_ordered(event_time(evaluations), CanarySteps(), delay)
+    return run_ordered(event_time(evaluations).withWatermark("ts", delay), CanarySteps())
 
 
 def limiter_stream(requests: DataFrame, limits: DataFrame, delay: str) -> DataFrame:
-    """Admission of limited operations; the limits table has a handful of rows."""
-    return run_ordered(event_time(requests).join(F.broadcast(limits), "op"), Admissions(), delay)
+    """Admission of limited operations; every request, limited or not, moves the watermark."""
+    timed = event_time(requests).withWatermark("ts", delay)
+    return run_ordered(timed.join(broadcast_if_small(limits), "op"), Admissions())
 
 
 def on_change(transitions: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str):

@@ -84,8 +84,7 @@ class OrderedProcessor(StatefulProcessor):
         pass
 
 
-def run_ordered(stream: DataFrame, processor: OrderedProcessor, delay: str) -> DataFrame:
-    """Apply a processor per key with event-time order."""
+def run_ordered(stream: DataFrame, processor: OrderedProcessor) -> DataFrame:
+    """Apply a processor per key with event-time order; ``stream`` has its watermark on ``ts``."""
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return (stream.withWatermark("ts", delay).groupBy(*processor.key_columns)
-            .transformWithStateInPandas(processor, processor.output, "append", "EventTime"))
+    return stream.groupBy(*processor.key_columns).transformWithStateInPandas(processor, processor.output, "append", "EventTime")
