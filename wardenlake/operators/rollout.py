@@ -160,7 +160,9 @@ def health_states(checks: DataFrame, healthy_at: int = 2, unhealthy_at: int = 3,
     Inside an hour segment a window finds the last failure and last success; one
     summary row per segment carries their positions over the earlier segments.
     """
-    keyed = checks.withColumn("_segment", hour_of())
+    # The join below needs both keys; saying so here gives both of its sides the same
+    # plan up to the shuffle, which Spark then runs once.
+    keyed = checks.withColumn("_segment", hour_of()).filter(F.col("check_id").isNotNull() & F.col("_segment").isNotNull())
     inside = Window.partitionBy("check_id", "_segment").orderBy("ts", tie)
     upto = inside.rowsBetween(Window.unboundedPreceding, 0)
     rank = F.row_number().over(inside)

@@ -58,7 +58,8 @@ class OrderedProcessor(StatefulProcessor):
             (due if at // 1000 <= watermark else later).append((at, text))
         if not due:
             return iter([])
-        memory = json.loads(self.memory.get()[0]) if self.memory.exists() else self.start()
+        kept = self.memory.get()
+        memory = json.loads(kept[0]) if kept else self.start()
         out = []
         for at, row in sorted(((at, json.loads(text)) for at, text in due), key=lambda r: (r[0], r[1]["event_id"])):
             memory, emitted = self.step(memory, row | {"at": at})
