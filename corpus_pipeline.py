@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import language_id, quality
+from wardenlake.llm import hyperminhash, language_id, quality
 from wardenlake.llm.common import fold, through_table
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -29,9 +29,16 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return language_id.identify(docs.select(DOCUMENT), model).where("lang_pred <> 'und' and bits < flat_bits").select(DOCUMENT)
 
 
+def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 and more), that with the smallest id."""
+    copies = hyperminhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
+    return docs.select(DOCUMENT).join(copies, "doc_id", "left_anti").select(DOCUMENT)
+
+
 STAGES = [
     ("quality classifier", keep_quality),
     ("language id", keep_identified),
+    ("MinHash near-dedup", keep_distinct),
 ]
 
 ORACLE_SQL = None  # the classifiers can't be said in SQL; tests/llm compares run() with plain-Python versions

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import language_id, quality
+from wardenlake.llm import hyperminhash, language_id, quality
 from wardenlake.llm.common import fold
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -45,3 +45,9 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = quality.train(docs, given(spark, sf_dir, "labels"), fold(F.col("doc_id"), 5) != 0)
     named = docs.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), "text")
     return quality.score(named, model, keep=["doc_id", "held_out"])
+
+
+@query("op5_hyperminhash")
+def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all documents: three-word shingles, similarity of 0.85 and more."""
+    return hyperminhash.near_duplicates(given(spark, sf_dir, "documents"), size=3, percent=85)
