@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import hyperminhash, language_id, quality
-from wardenlake.llm.common import fold
+from wardenlake.llm import hyperminhash, language_id, quality, warc_archive
+from wardenlake.llm.common import fold, shared_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -51,3 +51,15 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: three-word shingles, similarity of 0.85 and more."""
     return hyperminhash.near_duplicates(given(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+@query("op7_warc_archive", """
+    SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+           CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER same THEN 'revisit' ELSE 'response' END AS record_type,
+           CASE WHEN octet_length(encode(coalesce(html, ''))) >= 1000 AND page_id < max(page_id) OVER same THEN max(page_id) OVER same END AS refers_to
+    FROM pages WINDOW same AS (PARTITION BY coalesce(html, ''))""")
+def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to a content-addressed archive and read back."""
+    path = shared_folder(spark, "warc")
+    warc_archive.write_archive(given(spark, sf_dir, "pages"), path)
+    return warc_archive.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
