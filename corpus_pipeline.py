@@ -7,10 +7,11 @@ last return the columns of ``documents``.
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import hyperminhash, language_id, quality
+from wardenlake.llm import hyperminhash, language_id, packing, quality
 from wardenlake.llm.common import fold, through_table
 
 DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -35,10 +36,16 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return docs.select(DOCUMENT).join(copies, "doc_id", "left_anti").select(DOCUMENT)
 
 
+def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The token pieces of every document and their places in sequences of at most 1024 tokens."""
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
 STAGES = [
     ("quality classifier", keep_quality),
     ("language id", keep_identified),
     ("MinHash near-dedup", keep_distinct),
+    ("best-fit packing", into_sequences),
 ]
 
 ORACLE_SQL = None  # the classifiers can't be said in SQL; tests/llm compares run() with plain-Python versions

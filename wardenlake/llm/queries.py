@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import hyperminhash, language_id, quality, warc_archive
+from wardenlake.llm import hyperminhash, language_id, packing, quality, token_store, warc_archive
 from wardenlake.llm.common import fold, shared_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -63,3 +64,18 @@ def op7_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = shared_folder(spark, "warc")
     warc_archive.write_archive(given(spark, sf_dir, "pages"), path)
     return warc_archive.read_records(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@query("op9_bin_slack_packing")
+def op9_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's token pieces, packed into sequences of at most 1024 tokens."""
+    docs = given(spark, sf_dir, "documents")
+    return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
+
+
+@query("op4_token_store")
+def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids written to token files and read back."""
+    folder = shared_folder(spark, "tokens")
+    manifest = token_store.write_tokens(given(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
+    return token_store.read_tokens(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
