@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import hyperminhash, language_id, packing, quality, token_store, warc_archive
+from wardenlake.llm import bpe_codec, hyperminhash, language_id, packing, quality, token_store, warc_archive
 from wardenlake.llm.common import fold, shared_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -79,3 +79,11 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared_folder(spark, "tokens")
     manifest = token_store.write_tokens(given(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"))
     return token_store.read_tokens(manifest, folder).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op3_backtracking_bpe")
+def op3_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every document's ids and of the text decoded from them."""
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    decoded = bpe_codec.decode(bpe_codec.encode(given(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))

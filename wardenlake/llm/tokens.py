@@ -45,6 +45,11 @@ class PieceEncoder:
         usual = not self.odd(text) and not text.startswith((" ", "\n")) and not text.endswith((" ", "\n"))
         return cut if usual else [text]
 
+    def fresh(self, pieces: list[str]) -> Iterator[bytes]:
+        """The ids of pieces that the cache doesn't have."""
+        for got in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
+            yield np.array(got.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         at = 0
         while at < len(texts):
@@ -65,9 +70,7 @@ class PieceEncoder:
             self.young.update(known)
             missing = [p for p in missing if p not in known]
         for a in range(0, len(missing), 4096):
-            part = missing[a : a + 4096]
-            for piece, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.young[piece] = np.array(got.ids, "<u4").tobytes()
+            self.young.update(zip(missing[a : a + 4096], self.fresh(missing[a : a + 4096])))
         ids = self.young.__getitem__
         for row in rows:
             yield b"".join(map(ids, row))
