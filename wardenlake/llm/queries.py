@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe_codec, hyperminhash, language_id, packing, quality, token_store, warc_archive
+from wardenlake.llm import bpe_codec, hyperminhash, language_id, packing, quality, token_store, vector_search, warc_archive
 from wardenlake.llm.common import fold, shared_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -87,3 +87,9 @@ def op3_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     decoded = bpe_codec.decode(bpe_codec.encode(given(spark, sf_dir, "documents"), vocabulary), vocabulary)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
+@query("op8_vector_search")
+def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of all embeddings for every twentieth."""
+    return vector_search.nearest(given(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
