@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe_codec, hyperminhash, language_id, packing, quality, token_store, vector_search, warc_archive
+from wardenlake.llm import bpe_codec, hyperminhash, language_id, packing, quality, token_store, vector_links, vector_search, warc_archive
 from wardenlake.llm.common import fold, shared_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -93,3 +93,9 @@ def op3_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 20 nearest of all embeddings for every twentieth."""
     return vector_search.nearest(given(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
+@query("op6_vector_links")
+def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near copies among all embeddings of a label: cosine of 0.93 and more."""
+    return vector_links.near_duplicates(given(spark, sf_dir, "embeddings"), threshold=0.93)
