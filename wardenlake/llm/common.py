@@ -165,3 +165,37 @@ def send(spark: SparkSession, value) -> Callable:
     """
     sent = spark.sparkContext.broadcast(cloudpickle.dumps(value))
     return lambda: cloudpickle.loads(sent.value)
+
+
+class HashIndex:
+    """Places of 64-bit keys, looked up many at a time: -1 where a key is absent."""
+
+    def __init__(self, keys: np.ndarray):
+        self.keys = keys
+        self.bits = max(4, int(2 * len(keys)).bit_length())
+        self.slots = np.full(1 << self.bits, -1, np.int32)
+        left = np.arange(len(keys))
+        self.steps = 0
+        while len(left):
+            at = self._slot(keys[left], self.steps)
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]
+            left = left[self.slots[at] != left]
+            self.steps += 1
+
+    def _slot(self, wanted: np.ndarray, step: int) -> np.ndarray:
+        return (((wanted * _BASE) >> np.uint64(64 - self.bits)).astype(np.int64) + step) & (len(self.slots) - 1)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        out = np.full(len(wanted), -1, np.int32)
+        if not len(self.keys):
+            return out
+        open_ = np.arange(len(wanted))
+        for step in range(self.steps):
+            at = self.slots[self._slot(wanted[open_], step)]
+            hit = (at >= 0) & (self.keys[at] == wanted[open_])
+            out[open_[hit]] = at[hit]
+            open_ = open_[~hit & (at >= 0)]
+            if not len(open_):
+                break
+        return out

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe_codec, hyperminhash, language_id, packing, quality, token_store, vector_links, vector_search, warc_archive
+from wardenlake.llm import bpe_codec, hyperminhash, language_id, maxent_lm, packing, quality, token_store, vector_links, vector_search, warc_archive
 from wardenlake.llm.common import fold, shared_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -99,3 +99,12 @@ def op8_vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_vector_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all embeddings of a label: cosine of 0.93 and more."""
     return vector_links.near_duplicates(given(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query("op2_maxent_lm")
+def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document, learned from the documents that are not held out."""
+    docs = given(spark, sf_dir, "documents")
+    held_out = fold(F.col("doc_id"), 7) == 2
+    model = maxent_lm.train(docs, ~held_out)
+    return maxent_lm.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
