@@ -12,7 +12,6 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
-from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -98,11 +97,10 @@ class BacktrackingEncoder(PieceEncoder):
         self.words: dict[str, list[int]] = {}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.vocabulary.special, key=len, reverse=True))) or "(?!)")
 
-    def fresh(self, pieces: list[str]) -> Iterator[bytes]:
-        for piece in pieces:
-            yield np.array(self.ids(piece), "<u4").tobytes()
+    def fresh(self, pieces: list[str]) -> list[list[int]]:
+        return [self.text_ids(piece) for piece in pieces]
 
-    def ids(self, text: str) -> list[int]:
+    def text_ids(self, text: str) -> list[int]:
         """Ids of a text: special tokens as they stand, the rest normalised, split into words and encoded."""
         out, at = [], 0
         for mark in self.marks.finditer(text):
@@ -200,9 +198,9 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
     def run(batches):
         for batch in batches:
-            rows = [np.frombuffer(b, "<u4").astype(np.int32) for b in codec(vocabulary).encoder.encode(batch.column(1).to_pylist())]
+            rows = codec(vocabulary).encoder.encode(batch.column(1))
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows) if rows else np.empty(0, np.int32)))
+            ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=schema.names)
 
     return kept.mapInArrow(run, schema)

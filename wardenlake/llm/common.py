@@ -64,10 +64,11 @@ def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (data[offsets[0] : offsets[-1]], offsets - offsets[0]) if len(column) else (data[:0], np.zeros(1, np.int64))
 
 
-def _byte_tables() -> tuple[np.ndarray, np.ndarray]:
-    """A random 64-bit value for each byte with A-Z taken as a-z, and which bytes are white space."""
+def _byte_tables(lower: bool) -> tuple[np.ndarray, np.ndarray]:
+    """A random 64-bit value for each byte, A-Z as a-z if ``lower``, and which bytes are white space."""
     values = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    values[65:91] = values[97:123]
+    if lower:
+        values[65:91] = values[97:123]
     white = np.zeros(256, bool)
     white[[32, *range(9, 14)]] = True
     return values, white
@@ -81,14 +82,14 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """Hashed lower-case words ``[^\\x20\\x09-\\x0D]+`` of a batch of texts, in order.
+    """Hashed words (lower-cased unless asked otherwise) ``[^\\x20\\x09-\\x0D]+`` of a batch of texts, in order.
 
     ``hashes`` holds one 64-bit hash a word, ``first`` the word offset of each row (one more at the end);
     ``start`` and ``end`` are byte positions in ``data``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        values, white = _byte_tables()
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool = True):
+        values, white = _byte_tables(lower)
         self.data = data
         starts, ends, hashes = [], [], []
         for a, b in _blocks(data, offsets, white):
@@ -168,32 +169,50 @@ def send(spark: SparkSession, value) -> Callable:
 
 
 class HashIndex:
-    """Places of 64-bit keys, looked up many at a time: -1 where a key is absent."""
-
-    def __init__(self, keys: np.ndarray):
-        self.keys = keys
-        self.bits = max(4, int(2 * len(keys)).bit_length())
-        self.slots = np.full(1 << self.bits, -1, np.int32)
-        left = np.arange(len(keys))
-        self.steps = 0
+    """Places of 64-bit keys in order of arrival, looked up many at a time: -1 where a key is absent."""
+
+    def __init__(self, keys: np.ndarray | None = None):
+        self.keys, self.size = np.zeros(1024, np.uint64), 0
+        self._lay_out(11)
+        if keys is not None:
+            self.add(keys)
+
+    def _lay_out(self, bits: int) -> None:
+        self.bits, self.slots, self.steps = bits, np.full(1 << bits, -1, np.int32), 0
+        self._enter(np.arange(self.size))
+
+    def _slot(self, wanted: np.ndarray, step: int) -> np.ndarray:
+        return (((wanted * _BASE) >> np.uint64(64 - self.bits)).astype(np.int64) + step) & (len(self.slots) - 1)
+
+    def _enter(self, left: np.ndarray) -> None:
+        step = 0
         while len(left):
-            at = self._slot(keys[left], self.steps)
+            at = self._slot(self.keys[left], step)
             free = self.slots[at] < 0
             self.slots[at[free]] = left[free]
             left = left[self.slots[at] != left]
-            self.steps += 1
-
-    def _slot(self, wanted: np.ndarray, step: int) -> np.ndarray:
-        return (((wanted * _BASE) >> np.uint64(64 - self.bits)).astype(np.int64) + step) & (len(self.slots) - 1)
+            step += 1
+        self.steps = max(self.steps, step)
+
+    def add(self, keys: np.ndarray) -> None:
+        """Append keys that are absent, each once."""
+        size = self.size + len(keys)
+        if size > len(self.keys):
+            self.keys = np.concatenate([self.keys[: self.size], np.zeros(2 * size - self.size, np.uint64)])
+        self.keys[self.size : size] = keys
+        self.size = size
+        if 2 * size > len(self.slots):
+            self._lay_out(int(4 * size).bit_length())
+        else:
+            self._enter(np.arange(size - len(keys), size))
 
     def find(self, wanted: np.ndarray) -> np.ndarray:
         out = np.full(len(wanted), -1, np.int32)
-        if not len(self.keys):
-            return out
         open_ = np.arange(len(wanted))
         for step in range(self.steps):
-            at = self.slots[self._slot(wanted[open_], step)]
-            hit = (at >= 0) & (self.keys[at] == wanted[open_])
+            asked = wanted[open_]
+            at = self.slots[self._slot(asked, step)]
+            hit = (at >= 0) & (self.keys[at] == asked)
             out[open_[hit]] = at[hit]
             open_ = open_[~hit & (at >= 0)]
             if not len(open_):

@@ -96,8 +96,8 @@ def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: st
     def cut(batches):
         for batch in batches:
             keys, numbers, starts, lengths, sums = [], [], [], [], []
-            for k, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist())):
-                ids += END_ID.to_bytes(4, "little")
+            for k, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1))):
+                ids = ids.astype("<u4").tobytes() + END_ID.to_bytes(4, "little")
                 n = len(ids) // 4
                 to = n - (n - 1) // capacity * capacity
                 at, piece = 0, 0

@@ -144,8 +144,8 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_
                 system.create_dir(base, recursive=True)
                 out = system.open_output_stream(f"{name}.partial", compression=None)
                 writer = TokenFileWriter(out)
-            for k, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1).to_pylist())):
-                ids += END_ID.to_bytes(4, "little")
+            for k, ids in zip(batch.column(0).to_pylist(), encoder(vocabulary).encode(batch.column(1))):
+                ids = ids.astype("<u4").tobytes() + END_ID.to_bytes(4, "little")
                 writer.add(k, ids)
                 tokens += len(ids) // 4
         if writer is not None:
@@ -164,7 +164,8 @@ def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = Non
     ``start`` counts the ids of all documents before.  The manifest has one small row a file.
     """
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    files = manifest.withColumn("start", before).select("path", "start").repartition("path")
+    # a number of partitions of its own, for the few bytes of a manifest stand for whole files
+    files = manifest.withColumn("start", before).select("path", "start").repartition(max(1, 2 * manifest.count()), "path")
     only = None if wanted is None else frozenset(wanted)
 
     def read(batches):

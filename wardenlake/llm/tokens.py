@@ -1,25 +1,41 @@
-"""Token ids by the tokenizers library, one call for each piece of text that a worker hasn't met lately.
+"""Token ids by the tokenizers library, one call for each piece of text that a worker hasn't met.
 
-Both vocabularies never merge across white space, so a text's ids are those of its pieces end to
-end.  A worker keeps the ids of recent pieces; two generations of bounded size make up its cache.
+Both kinds of vocabulary never merge across white space, so a text's ids are those of its pieces
+end to end: words, with the white space before them where the vocabulary keeps it.  A worker keeps
+the ids of the pieces that it has met under a 64-bit hash, in plain arrays of bounded size.  Two
+pieces of one worker share a hash with a chance of about 1e-7 for a million pieces.
 """
 
 from __future__ import annotations
 
 import os
-import re
-from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-from wardenlake.llm.common import worker_cache
+from wardenlake.llm.common import HashIndex, Words, arrow_bytes, worker_cache
 
-PIECES_KEPT = 350_000
-GROUP_CHARS = 1 << 20
+PIECES_KEPT = 2_000_000
+PIECES_A_CALL = 4096
+
+
+def _spots(data: np.ndarray, *patterns: bytes) -> np.ndarray:
+    """Where any of the patterns begins; their bytes may also be given as (low, high) ranges."""
+    out = [np.empty(0, np.int64)]
+    for pattern in patterns:
+        at = np.flatnonzero(data[: len(data) - len(pattern) + 1] == pattern[0])
+        for k, byte in enumerate(pattern[1:], 1):
+            at = at[data[at + k] == byte]
+        out.append(at)
+    return np.concatenate(out)
+
+
+# The white space outside ASCII, in UTF-8.
+_WIDE_SPACES = [c.encode() for c in "\x85\xa0     　" + "".join(map(chr, range(0x2000, 0x200B)))]
 
 
 class PieceEncoder:
-    """Encodes texts of one vocabulary file to little-endian 32-bit ids."""
+    """Encodes rows of texts with one vocabulary file."""
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -30,50 +46,97 @@ class PieceEncoder:
         self.tokenizer.no_truncation()
         # a byte-level splitter keeps a space with the word behind it; the other kind drops white space
         self.spaced = type(self.tokenizer.pre_tokenizer).__name__ == "ByteLevel"
-        self.odd = re.compile(r"[^\S \n]|[\x01\x1c-\x1f]|[ \n]{2}|<\|").search
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def pieces(self, text: str) -> list[str]:
-        """Cuts after which no token reaches; texts with anything unusual about their white space or marks stay whole."""
-        if not self.spaced:
-            if "<|" not in text and text.isascii():
-                text = text.lower()
-            return text.replace("\n", " ").split(" ")
-        cut = text.replace(" ", "\x01 ").replace("\n", "\x01\n\x01").split("\x01")
-        # single spaces and line ends between words only: each cut is then a border of the splitter as well
-        usual = not self.odd(text) and not text.startswith((" ", "\n")) and not text.endswith((" ", "\n"))
-        return cut if usual else [text]
-
-    def fresh(self, pieces: list[str]) -> Iterator[bytes]:
+        ends = self.tokenizer.model.end_of_word_suffix if hasattr(self.tokenizer.model, "end_of_word_suffix") else None
+        names = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(names.values()) + 1, bool)
+        if ends and not self.spaced:
+            self.closes[[i for t, i in names.items() if t.endswith(ends)]] = True
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.first, self.ids, self.used = HashIndex(), np.zeros(1024, np.int64), np.zeros(8192, np.uint32), 0
+
+    def unusual(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Rows to encode whole: special tokens may stand in them, or white space isn't single spaces and line ends between words."""
+        spots = [_spots(data, b"<|")]
+        if self.spaced and len(data):
+            white = (data == 32) | ((data >= 9) & (data <= 13))
+            strange = (white & (data != 32) & (data != 10)) | ((data >= 28) & (data <= 31))
+            strange[1:] |= white[1:] & white[:-1]
+            begins, ends = offsets[:-1][np.diff(offsets) > 0], offsets[1:][np.diff(offsets) > 0] - 1
+            strange[begins] |= white[begins]
+            strange[ends] |= white[ends]
+            spots += [np.flatnonzero(strange), _spots(data, *_WIDE_SPACES)]
+        return np.unique(np.searchsorted(offsets, np.concatenate(spots), "right") - 1)
+
+    def encode(self, column: pa.Array) -> list[np.ndarray]:
+        """The ids of each row's text; nulls are empty."""
+        data, offsets = arrow_bytes(column)
+        words = Words(data, offsets, lower=not self.spaced)
+        keys, starts = words.hashes, words.start
+        if self.spaced and len(keys):
+            inner = np.ones(len(keys), bool)
+            inner[words.first[:-1][np.diff(words.first) > 0]] = False
+            starts = starts - inner
+            keys = keys ^ np.where(inner, data[starts], 0).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25)
+        rare = self.unusual(data, offsets)
+        place = self.index.find(keys)
+        missing = np.flatnonzero(place < 0)
+        if len(missing):
+            new, at = np.unique(keys[missing], return_index=True)
+            if self.index.size + len(new) > PIECES_KEPT:
+                self._forget()
+                new, at = np.unique(keys, return_index=True)
+                missing = np.arange(len(keys))
+            at = missing[at]
+            text = data.tobytes()
+            for a in range(0, len(new), PIECES_A_CALL):
+                part = at[a : a + PIECES_A_CALL]
+                self._keep(new[a : a + PIECES_A_CALL], [text[s:e].decode("utf-8", "replace") for s, e in zip(starts[part], words.end[part])])
+            place[missing] = self.index.find(keys[missing])
+        begin = self.first[place]
+        sizes = self.first[place + 1] - begin
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        flat = self.ids[np.arange(ends[-1]) + np.repeat(begin - ends[:-1], sizes)]
+        cuts = ends[words.first]
+        rows = [flat[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+        for r in rare:
+            rows[r] = np.array(self.fresh([data[offsets[r] : offsets[r + 1]].tobytes().decode("utf-8", "replace")])[0], np.uint32)
+        return rows
+
+    def _keep(self, keys: np.ndarray, pieces: list[str]) -> None:
+        got = self.fresh(pieces)
+        sizes = [len(g) for g in got]
+        more, n, total = np.array([i for g in got for i in g], np.uint32), self.index.size, self.used + sum(sizes)
+        if total > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * total - self.used, np.uint32)])
+        if n + len(keys) + 1 > len(self.first):
+            self.first = np.concatenate([self.first[: n + 1], np.zeros(2 * (n + len(keys)), np.int64)])
+        self.ids[self.used : total] = more
+        self.first[n + 1 : n + len(keys) + 1] = self.used + np.cumsum(sizes)
+        self.used = total
+        self.index.add(keys)
+
+    def fresh(self, pieces: list[str]) -> list[list[int]]:
         """The ids of pieces that the cache doesn't have."""
-        for got in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False):
-            yield np.array(got.ids, "<u4").tobytes()
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        at = 0
-        while at < len(texts):
-            to, size = at + 1, len(texts[at])
-            while to < len(texts) and size + len(texts[to]) <= GROUP_CHARS:
-                size += len(texts[to])
-                to += 1
-            yield from self._group([self.pieces(t) for t in texts[at:to]])
-            at = to
-
-    def _group(self, rows: list[list[str]]) -> Iterator[bytes]:
-        wanted = set().union(*rows)
-        if len(self.young) + len(wanted) > PIECES_KEPT:
-            self.old, self.young = self.young, {}
-        missing = [p for p in wanted if p not in self.young]
-        if self.old:
-            known = {p: self.old[p] for p in missing if p in self.old}
-            self.young.update(known)
-            missing = [p for p in missing if p not in known]
-        for a in range(0, len(missing), 4096):
-            self.young.update(zip(missing[a : a + 4096], self.fresh(missing[a : a + 4096])))
-        ids = self.young.__getitem__
-        for row in rows:
-            yield b"".join(map(ids, row))
+        out: list = [None] * len(pieces)
+        left = range(len(pieces))
+        if self.closes.any():
+            # a run of letters, perhaps with closing marks, has one or two words, each ending in one closing
+            # token; such pieces go through the library as one text and are told apart again
+            bare = [p.rstrip(".,!?;:") for p in pieces]
+            plain = [i for i, b in enumerate(bare) if b.isalpha()]
+            ids = np.array(self.tokenizer.encode(" ".join([pieces[i] for i in plain]), add_special_tokens=False).ids, np.int64)
+            words = np.cumsum([1 + (len(bare[i]) < len(pieces[i])) for i in plain])
+            closing = np.flatnonzero(self.closes[ids]) + 1
+            if len(plain) and len(closing) == words[-1]:
+                flat, cuts = ids.tolist(), [0, *closing[words - 1].tolist()]
+                for k, i in enumerate(plain):
+                    out[i] = flat[cuts[k] : cuts[k + 1]]
+                left = [i for i, got in enumerate(out) if got is None]
+        for i, got in zip(left, self.tokenizer.encode_batch_fast([pieces[i] for i in left], add_special_tokens=False)):
+            out[i] = got.ids
+        return out
 
 
 def encoder(path: str) -> PieceEncoder:
