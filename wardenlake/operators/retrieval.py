@@ -18,7 +18,6 @@ STOP_WORDS = [
     "this", "that", "these", "those", "i", "you", "he", "she", "it", "we", "they", "them", "their", "there", "then", "than",
 ]
 SECTION_BREAK = r"(?U)\n\n+|\n#{1,3}\s+"
-MIN_CHUNK, KEYWORD_CAP = 50, 20
 
 # Intent words in the order they are tried.
 INTENTS = [
@@ -32,10 +31,10 @@ INTENTS = [
 INTENT_CHUNK_TYPE = {"troubleshoot": "troubleshooting", "code_help": "code_example"}
 
 
-def chunk(documents: DataFrame) -> DataFrame:
-    """Sections of documents(doc_id, source, doc_type, text); narrow, no shuffle."""
+def chunk(documents: DataFrame, at_least: int = 1) -> DataFrame:
+    """Sections of documents(doc_id, source, doc_type, text) of at least so many characters; narrow, no shuffle."""
     parts = F.transform(F.split("text", SECTION_BREAK, -1), strip)
-    kept = documents.select("doc_id", "source", "doc_type", F.posexplode(parts).alias("section_index", "content")).filter(F.length("content") >= MIN_CHUNK)
+    kept = documents.select("doc_id", "source", "doc_type", F.posexplode(parts).alias("section_index", "content")).filter(F.length("content") >= at_least)
     identity = F.concat(F.col("source"), F.lit("_"), F.col("section_index").cast("string"), F.lit("_"), F.substring("content", 1, 100))
     return kept.select(
         F.concat(F.lit("chunk_"), F.substring(F.md5(identity), 1, 12)).alias("chunk_id"), "doc_id", "source",
@@ -43,13 +42,11 @@ def chunk(documents: DataFrame) -> DataFrame:
         F.size(F.split("content", r"(?U)\s+")).alias("word_count"), F.length("content").alias("char_count"))
 
 
-def keywords(text: Column, cap: int | None = KEYWORD_CAP) -> Column:
-    """Distinct lower-case words over two letters, no stop words, no numbers; the first ``cap`` by name."""
+def keywords(text: Column) -> Column:
+    """All distinct lower-case words over two letters, no stop words, no numbers, by name."""
     words = F.split(F.lower(text), r"(?U)[^\w]+")
     stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    kept = F.filter(F.array_except(words, stop), lambda w: (F.length(w) > 2) & ~w.rlike(r"^\p{Nd}+$"))
-    ordered = F.sort_array(kept)
-    return F.slice(ordered, 1, cap) if cap else ordered
+    return F.sort_array(F.filter(F.array_except(words, stop), lambda w: (F.length(w) > 2) & ~w.rlike(r"^\p{Nd}+$")))
 
 
 def postings(chunks: DataFrame, unique_sources: bool = False) -> DataFrame:
@@ -96,25 +93,32 @@ def scored_retrieval(queries: DataFrame, chunks: DataFrame, index: DataFrame, k:
                      recency: str | None = None) -> DataFrame:
     """Phrase, keyword, type, length and recency points; best five per query.
 
-    Overlap equals the hit count, because the index holds exactly the capped keywords.
-    The phrase test needs the chunk text, so candidates join to it by chunk id.
+    A chunk's points without phrase and recency follow from the index and two numbers of the
+    chunk.  The k-th best of those bounds the result from below and at most ten points more can
+    come from the phrase, so only chunks within ten points of it meet the texts.  With recency
+    points, which have no bound, all hits do.
     """
-    terms = query_terms(queries)
-    hits = _candidates(terms, index, salt)
+    hits = _candidates(query_terms(queries), index, salt)
     wanted = [c for c in ("intent",) if c in queries.columns]
     facts = queries.select("query_id", F.lower("text").alias("_phrase"), *wanted)
-    body = chunks.select("chunk_id", "chunk_type", "char_count", F.lower("content").alias("_body"), *([recency] if recency else []))
-    joined = hits.join(body, "chunk_id").join(facts, "query_id")
+    kinds = chunks.select("chunk_id", "chunk_type", "char_count", *([recency] if recency else []))
+    joined = hits.join(kinds, "chunk_id")
     if wanted:
         needed = F.create_map(*[F.lit(v) for kv in INTENT_CHUNK_TYPE.items() for v in kv])[F.col("intent")]
-        joined = joined.filter(needed.isNull() | (needed == F.col("chunk_type")))
-    score = (F.when(F.col("_body").contains(F.col("_phrase")), 10).otherwise(0) + F.col("hits") * 2
-             + F.when(F.col("chunk_type") == "documentation", 3).when(F.col("chunk_type") == "code_example", 2).otherwise(0)
-             + F.when(F.col("char_count").between(200, 1000), 1).otherwise(0))
-    if recency:
-        score = score + F.coalesce(F.col(recency), F.lit(0))
+        joined = joined.join(facts.select("query_id", "intent"), "query_id").filter(needed.isNull() | (needed == F.col("chunk_type")))
+    base = (F.col("hits") * 2 + F.when(F.col("chunk_type") == "documentation", 3).when(F.col("chunk_type") == "code_example", 2).otherwise(0)
+            + F.when(F.col("char_count").between(200, 1000), 1).otherwise(0))
+    scored = joined.select("query_id", "chunk_id", base.alias("_base"), (F.coalesce(F.col(recency), F.lit(0)) if recency else F.lit(0)).alias("_recent"))
+    if recency is None:
+        best = Window.partitionBy("query_id").orderBy(F.desc("_base"), "chunk_id")
+        bound = (scored.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k)
+                 .groupBy("query_id").agg(F.when(F.count("*") == k, F.min("_base") - 10).otherwise(0).alias("_least")))
+        scored = scored.join(bound, "query_id").filter(F.col("_base") >= F.col("_least"))
+    body = chunks.select("chunk_id", F.lower("content").alias("_body"))
+    read = scored.join(body, "chunk_id").join(facts.select("query_id", "_phrase"), "query_id")
+    score = F.when(F.col("_body").contains(F.col("_phrase")), 10).otherwise(0) + F.col("_base") + F.col("_recent")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return (joined.select("query_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k))
+    return read.select("query_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
 def update_index(index: DataFrame, changed_chunks: DataFrame, deleted: DataFrame) -> DataFrame:

@@ -21,14 +21,14 @@ SELECT doc_id, source, doc_type, CAST(i - 1 AS INT) AS section_index, trim(secti
 FROM (SELECT *, unnest(range(1, len(sections) + 1)) AS i FROM (SELECT doc_id, source, doc_type, regexp_split_to_array(text, '\\n\\n+|\\n#{{1,3}}\\s+') AS sections FROM ({plain(DOCS)})))"""
 _CHUNKS = f"""
 SELECT 'chunk_' || left(md5(source || '_' || section_index || '_' || left(content, 100)), 12) AS chunk_id, doc_id, source, doc_type AS chunk_type, section_index, content,
-  length(content) AS char_count FROM ({_SECTIONS}) WHERE length(content) >= 50"""
+  length(content) AS char_count FROM ({_SECTIONS}) WHERE length(content) >= 1"""
 _STOP = ", ".join(f"'{w}'" for w in rt.STOP_WORDS)
 
 
 def _kw(text: str) -> str:
     words = f"regexp_split_to_array(regexp_replace(lower({text}), '[^\\p{{L}}\\p{{N}}\\p{{M}}_\\s]', ' ', 'g'), '\\s+')"
     return (f"list_sort(list_distinct(list_filter({words}, lambda w: length(w) > 2 AND NOT list_contains([{_STOP}], w) "
-            f"AND NOT regexp_matches(w, '^[0-9]+$'))))[:20]")
+            f"AND NOT regexp_matches(w, '^[0-9]+$'))))")
 
 
 _POST = f"SELECT DISTINCT chunk_id, chunk_type, unnest({_kw('content')}) AS keyword FROM ({_CHUNKS})"
@@ -86,6 +86,33 @@ def scored_retrieval(spark, sf_dir):
     return rt.scored_retrieval(_queries(spark, sf_dir), c, rt.postings(c, unique_sources=True))
 
 
+_RECENT = "CAST(doc_id % 7 AS BIGINT)"
+_INTENTS = "SELECT item_id AS query_id, text, CASE item_id % 3 WHEN 0 THEN 'code_help' WHEN 1 THEN 'troubleshoot' ELSE 'explain' END AS intent FROM benchmark"
+
+
+@query("scored_retrieval_by_intent", f"""
+SELECT query_id, chunk_id, CAST(score AS BIGINT) AS score, CAST(rank AS INT) AS rank FROM (
+  SELECT query_id, chunk_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM (
+    SELECT h.query_id, h.chunk_id, h.hits * 2 + CASE WHEN contains(lower(c.content), lower(b.text)) THEN 10 ELSE 0 END + {_RECENT}
+      + CASE c.chunk_type WHEN 'documentation' THEN 3 WHEN 'code_example' THEN 2 ELSE 0 END + CASE WHEN c.char_count BETWEEN 200 AND 1000 THEN 1 ELSE 0 END AS score
+    FROM (SELECT query_id, chunk_id, count(*) AS hits FROM ({_TERMS}) JOIN ({_POST}) USING (keyword) GROUP BY ALL) h
+    JOIN ({_CHUNKS}) c ON c.chunk_id = h.chunk_id JOIN ({_INTENTS}) b ON b.query_id = h.query_id
+    WHERE b.intent = 'explain' OR c.chunk_type = CASE b.intent WHEN 'code_help' THEN 'code_example' ELSE 'troubleshooting' END)) WHERE rank <= 5""")
+def scored_retrieval_by_intent(spark, sf_dir):
+    c = _chunks(spark, sf_dir).withColumn("recency", F.expr(_RECENT))
+    intent = F.when(F.col("query_id") % 3 == 0, "code_help").when(F.col("query_id") % 3 == 1, "troubleshoot").otherwise("explain")
+    return rt.scored_retrieval(_queries(spark, sf_dir).withColumn("intent", intent), c, rt.postings(c, unique_sources=True), recency="recency")
+
+
+@query("late_keyword_hits", f"""
+SELECT chunk_id, word FROM (SELECT chunk_id, {_kw('content')} AS words FROM ({_CHUNKS})), LATERAL (SELECT words[-1] AS word) WHERE len(words) > 20""")
+def late_keyword_hits(spark, sf_dir):
+    """The last keyword of each chunk that has more than twenty, found through the index."""
+    c = _chunks(spark, sf_dir)
+    index = rt.postings(c, unique_sources=True)
+    return index.groupBy("chunk_id").agg(F.count("*").alias("n"), F.max("keyword").alias("word")).filter("n > 20").select("chunk_id", "word")
+
+
 @query("index_statistics", f"""
 SELECT (SELECT count(*) FROM ({_CHUNKS})) AS total_chunks, (SELECT round(avg(char_count), 4) FROM ({_CHUNKS})) AS average_chunk_size,
   (SELECT count(DISTINCT keyword) FROM ({_POST})) AS total_keywords, (SELECT count(DISTINCT source) FROM ({_CHUNKS})) AS sources""")
