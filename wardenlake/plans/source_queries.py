@@ -88,7 +88,6 @@ def audit_jsonl(spark, sf_dir):
 
 # --- streams: the events file as a source, run over all that is available ------------------
 DELAY_MINUTES = 60
-_CLOSED = f"(SELECT epoch_ms(max(ts)) FROM events) - {DELAY_MINUTES} * 60000"
 
 
 def _stream(spark, sf_dir, sql=None):
@@ -100,11 +99,15 @@ def _stream(spark, sf_dir, sql=None):
     return spark.sql(sql.replace("{events}", "wl_event_stream"))
 
 
+def _finished(spark, sf_dir, sql=None, **values):
+    """The same with a closing mark, so that the last windows and rows come out as well."""
+    return jobs.with_closing_mark(_stream(spark, sf_dir, sql), load(spark, sf_dir, "events").agg(F.max("ts").alias("ts")), "3 DAYS", **values)
+
+
 @query("stream_counters", f"""
-SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type, count(*) AS n FROM events GROUP BY ALL)
-WHERE epoch_ms(w + INTERVAL 1 HOUR) <= {_CLOSED}""")
+SELECT strftime(w, '%Y-%m-%d %H:%M') AS window_start, event_type, n FROM (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS w, event_type, count(*) AS n FROM events GROUP BY ALL)""")
 def stream_counters(spark, sf_dir):
-    rows = jobs.run_available(jobs.windowed_counters(_stream(spark, sf_dir), "1 hour", f"{DELAY_MINUTES} minutes"))
+    rows = jobs.run_available(jobs.windowed_counters(_finished(spark, sf_dir), "1 hour", f"{DELAY_MINUTES} minutes"))
     return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm"))
 
 
@@ -125,9 +128,9 @@ def stream_ledger(spark, sf_dir):
     return jobs.run_available(jobs.ledger_stream(_stream(spark, sf_dir, OPERATIONS), "30 days")).select("operation_id")
 
 
-@query("stream_health", f"SELECT check_id, event_id, old_status, status FROM ({_STATES}) WHERE epoch_ms(ts) <= {_CLOSED}")
+@query("stream_health", f"SELECT check_id, event_id, old_status, status FROM ({_STATES})")
 def stream_health(spark, sf_dir):
-    return jobs.run_available(jobs.health_stream(_stream(spark, sf_dir, CHECKS), f"{DELAY_MINUTES} minutes"))
+    return jobs.run_available(jobs.health_stream(_finished(spark, sf_dir, CHECKS), f"{DELAY_MINUTES} minutes"))
 
 
 @query("stream_canary", f"""
@@ -135,20 +138,20 @@ SELECT canary_id, event_id, CAST([0, 5, 10, 25, 50, 75, 100][1 + least(adv, 6)]
   CASE WHEN should_rollback THEN 'ROLLED_BACK' WHEN adv >= 6 THEN 'COMPLETED' ELSE 'RUNNING' END AS state
 FROM (SELECT *, CAST(sum(CASE WHEN should_advance AND NOT should_rollback THEN 1 ELSE 0 END) OVER w AS BIGINT) AS adv,
         coalesce(sum(CASE WHEN should_rollback THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped
-      FROM ({plain(EVALUATIONS)}) WINDOW w AS (PARTITION BY canary_id ORDER BY ts, event_id)) WHERE stopped = 0 AND epoch_ms(ts) <= {_CLOSED}""")
+      FROM ({plain(EVALUATIONS)}) WINDOW w AS (PARTITION BY canary_id ORDER BY ts, event_id)) WHERE stopped = 0""")
 def stream_canary(spark, sf_dir):
-    return jobs.run_available(jobs.canary_stream(_stream(spark, sf_dir, EVALUATIONS), f"{DELAY_MINUTES} minutes"))
+    return jobs.run_available(jobs.canary_stream(_finished(spark, sf_dir, EVALUATIONS), f"{DELAY_MINUTES} minutes"))
 
 
-@query("stream_limiter", _ADMITTED + f" SELECT op, user_id, event_id, admitted FROM a WHERE t // 1000 <= {_CLOSED}")
+@query("stream_limiter", _ADMITTED + " SELECT op, user_id, event_id, admitted FROM a")
 def stream_limiter(spark, sf_dir):
     limits = spark.createDataFrame(TIGHT, "op string, max_requests int, window_seconds int")
-    return jobs.run_available(jobs.limiter_stream(_stream(spark, sf_dir, REQUESTS), limits, f"{DELAY_MINUTES} minutes"))
+    return jobs.run_available(jobs.limiter_stream(_finished(spark, sf_dir, REQUESTS, op=TIGHT[0][0], user_id="closing mark"), limits, f"{DELAY_MINUTES} minutes"))
 
 
 @query("stream_active_users", f"""
-SELECT strftime(w, '%Y-%m-%d') AS window_start, op, n AS requests FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, op, count(*) AS n FROM ({plain(REQUESTS)}) GROUP BY ALL)
-WHERE epoch_ms(w + INTERVAL 1 DAY) <= {_CLOSED}""")
+SELECT strftime(w, '%Y-%m-%d') AS window_start, op, n AS requests, true AS users_in_range FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, op, count(*) AS n FROM ({plain(REQUESTS)}) GROUP BY ALL)""")
 def stream_active_users(spark, sf_dir):
-    rows = jobs.run_available(jobs.active_users(_stream(spark, sf_dir, REQUESTS), "1 day", f"{DELAY_MINUTES} minutes"))
-    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "op", "requests")
+    rows = jobs.run_available(jobs.active_users(_finished(spark, sf_dir, REQUESTS), "1 day", f"{DELAY_MINUTES} minutes"))
+    near = F.col("active_users").between(F.lit(1), F.col("requests"))
+    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "op", "requests", near.alias("users_in_range"))

@@ -151,6 +151,20 @@ def on_change(transitions: DataFrame, callback: Callable[[DataFrame, int], None]
     return transitions.writeStream.foreachBatch(callback).option("checkpointLocation", checkpoint).outputMode("append")
 
 
+def with_closing_mark(stream: DataFrame, last: DataFrame, after: str, **values) -> DataFrame:
+    """A bounded stream with one more row whose time lies ``after`` the last of the source.
+
+    Its other columns are null, or as given by name where a later join would drop nulls.  It moves the watermark past all real rows, so that every window
+    closes and every waiting row is handled; its own window or key never closes.  ``last`` has
+    the latest time of the source in ``ts``, one row.
+    """
+    spark: SparkSession = stream.sparkSession
+    folder = f"{ensure_checkpoint_dir(spark)}/mark-{uuid.uuid4().hex}"
+    ts = (F.col("ts") + F.expr(f"INTERVAL {after}")).cast(stream.schema["ts"].dataType)
+    last.select(*[(ts if f.name == "ts" else F.lit(values.get(f.name)).cast(f.dataType)).alias(f.name) for f in stream.schema]).write.parquet(folder)
+    return stream.unionByName(spark.readStream.schema(stream.schema).parquet(folder))
+
+
 def run_available(stream: DataFrame, folder: str | None = None) -> DataFrame:
     """Run a stream over what is there now into a table in the shared checkpoint folder, and read it."""
     spark: SparkSession = stream.sparkSession
