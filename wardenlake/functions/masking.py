@@ -42,7 +42,7 @@ def mask_phone(value: Column, preserve_format: bool = True, mask_char: str = "*"
     digits = digits_of(value)
     count = F.length(digits)
     if preserve_format:
-        kept = F.regexp_replace(value, r"\d(?=(?:\D*\d){4})", mask_char)
+        kept = F.regexp_replace(value, r"(?U)\d(?=(?:\D*\d){4})", mask_char)
     else:
         kept = F.concat(stars(count - 4, mask_char), F.right(digits, F.lit(4)))
     return F.when(count < 4, stars(F.length(value), mask_char)).otherwise(kept)

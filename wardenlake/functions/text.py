@@ -7,6 +7,7 @@ are bound first with :func:`let`.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Callable
 from typing import NamedTuple
 
@@ -129,7 +130,14 @@ def replace_matches(text: Column, pattern: str, mask: Callable[[Column], Column]
 
 
 def digits_of(value: Column) -> Column:
-    return F.regexp_replace(value, r"\D", "")
+    """The decimal digits of any script, as they stand."""
+    return F.regexp_replace(value, r"(?U)\D", "")
+
+
+def ascii_digits(value: Column) -> Column:
+    """Decimal digits of any script as 0 to 9."""
+    others = [chr(c) for c in range(128, 0x10000) if chr(c).isdecimal()]
+    return F.translate(value, "".join(others), "".join(str(unicodedata.decimal(c)) for c in others))
 
 
 def passes_luhn(value: Column) -> Column:
@@ -146,7 +154,7 @@ def passes_luhn(value: Column) -> Column:
 
         return total(F.transform(chars, weigh)) % 10 == 0
 
-    return let(digits_of(value), lambda d: F.coalesce(
+    return let(ascii_digits(digits_of(value)), lambda d: F.coalesce(
         F.when(F.length(d).between(13, 19), checksum(d)).otherwise(F.lit(False)), F.lit(False)))
 
 
