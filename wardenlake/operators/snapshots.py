@@ -27,23 +27,26 @@ def summary(manifest: DataFrame) -> DataFrame:
 
 
 def _sides(old: DataFrame, new: DataFrame) -> DataFrame:
-    a = old.select("path", F.col("checksum").alias("old_checksum"), F.col("size_bytes").alias("old_size"), F.col("modified").alias("old_modified"))
-    b = new.select("path", F.col("checksum").alias("new_checksum"), F.col("size_bytes").alias("new_size"), F.col("modified").alias("new_modified"))
+    a = old.select("path", F.lit(True).alias("in_old"), F.col("checksum").alias("old_checksum"), F.col("size_bytes").alias("old_size"), F.col("modified").alias("old_modified"))
+    b = new.select("path", F.lit(True).alias("in_new"), F.col("checksum").alias("new_checksum"), F.col("size_bytes").alias("new_size"), F.col("modified").alias("new_modified"))
     return a.join(b, "path", "full_outer")
 
 
 def compare(old: DataFrame, new: DataFrame) -> DataFrame:
-    """added, removed, modified or unchanged per path; one sort-merge join on unique paths."""
-    change = (F.when(F.col("old_checksum").isNull(), "added").when(F.col("new_checksum").isNull(), "removed")
-              .when(F.col("old_checksum") != F.col("new_checksum"), "modified").otherwise("unchanged"))
-    return _sides(old, new).withColumn("change", change)
+    """added, removed, modified or unchanged per path; one sort-merge join on unique paths.
+
+    A file without a checksum is there all the same: it differs from one with a checksum only.
+    """
+    change = (F.when(F.col("in_old").isNull(), "added").when(F.col("in_new").isNull(), "removed")
+              .when(~F.col("old_checksum").eqNullSafe(F.col("new_checksum")), "modified").otherwise("unchanged"))
+    return _sides(old, new).withColumn("change", change).drop("in_old", "in_new")
 
 
 def integrity(expected: DataFrame, actual: DataFrame) -> DataFrame:
     """Checkpoint rows whose file is missing or differs; empty means intact."""
-    now = actual.select("path", F.col("checksum").alias("actual"))
-    return (expected.join(now, "path", "left").filter(F.col("actual").isNull() | (F.col("actual") != F.col("checksum")))
-            .select("path", F.when(F.col("actual").isNull(), "missing").otherwise("changed").alias("problem")))
+    now = actual.select("path", F.lit(True).alias("there"), F.col("checksum").alias("actual"))
+    return (expected.join(now, "path", "left").filter(F.col("there").isNull() | ~F.col("actual").eqNullSafe(F.col("checksum")))
+            .select("path", F.when(F.col("there").isNull(), "missing").otherwise("changed").alias("problem")))
 
 
 def rollback_preview(checkpoint: DataFrame, current: DataFrame, paths: DataFrame | None = None) -> DataFrame:
@@ -55,8 +58,8 @@ def rollback_preview(checkpoint: DataFrame, current: DataFrame, paths: DataFrame
 
 
 def version_compare(checkpoint: DataFrame, current: DataFrame) -> DataFrame:
-    state = (F.when(F.col("old_checksum").isNull(), "NOT_IN_CHECKPOINT").when(F.col("new_checksum").isNull(), "NOT_IN_CURRENT")
-             .when(F.col("old_checksum") == F.col("new_checksum"), "IDENTICAL").otherwise("DIFFERENT"))
+    state = (F.when(F.col("in_old").isNull(), "NOT_IN_CHECKPOINT").when(F.col("in_new").isNull(), "NOT_IN_CURRENT")
+             .when(F.col("old_checksum").eqNullSafe(F.col("new_checksum")), "IDENTICAL").otherwise("DIFFERENT"))
     return _sides(checkpoint, current).select("path", state.alias("state"), (F.coalesce("new_size", F.lit(0)) - F.coalesce("old_size", F.lit(0))).alias("size_delta"))
 
 
@@ -155,6 +158,7 @@ def revision_fingerprint(manifest: DataFrame) -> DataFrame:
 
 def approval_current(approved: DataFrame, current_manifest: DataFrame) -> DataFrame:
     """Whether the table is still the one the preview saw."""
-    now = revision_fingerprint(current_manifest).select(F.lit(1).alias("_one"), F.col("fingerprint").alias("current_fingerprint"))
-    seen = approved.select(F.lit(1).alias("_one"), F.col("fingerprint").alias("approved_fingerprint"))
-    return seen.join(now, "_one").drop("_one").withColumn("may_apply", F.col("approved_fingerprint") == F.col("current_fingerprint"))
+    now = revision_fingerprint(current_manifest).select(F.col("fingerprint").alias("current_fingerprint"))
+    seen = approved.select(F.col("fingerprint").alias("approved_fingerprint"))
+    # the current side is one row, so its value reaches every approval as a scalar subquery, not by a join
+    return seen.withColumn("current_fingerprint", now.scalar()).withColumn("may_apply", F.col("approved_fingerprint") == F.col("current_fingerprint"))
