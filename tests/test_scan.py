@@ -36,7 +36,6 @@ def python_findings(text):
                 continue
             line = text.count("\n", 0, m.start()) + 1
             shown = text.split("\n")[line - 1].replace(m.group(), "[REDACTED]")
-            shown = shown[:200] + "..." if len(shown) > 200 else shown
             out.append((p.type, line, m.start() - text.rfind("\n", 0, m.start()), shown.strip()))
     return sorted(out)
 

@@ -81,7 +81,8 @@ def test_corpus(spark, tmp_path):
         target.parent.mkdir(exist_ok=True)
         target.write_bytes(data)
     files = {r["path"]: r for r in corpus.read_corpus(spark, str(tmp_path), "p", [".py"], max_file_kb=20).collect()}
-    assert set(files) == {"src/a.py", "src/b.PY", "src/late.py"}
+    assert set(files) == {"src/a.py", "src/b.PY"}
+    assert "src/big.py" in {r["path"] for r in corpus.read_corpus(spark, str(tmp_path), "p", [".py"]).collect()}
     assert files["src/b.PY"]["content"] == b"caf\xc3\xa9 \xff!".decode("utf-8", errors="ignore")
 
 

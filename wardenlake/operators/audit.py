@@ -124,14 +124,14 @@ def default_period(report: str, as_of: Column) -> tuple[Column, Column]:
 
 
 def search(events: DataFrame, event_type: str | None = None, user: str | None = None, start: Column | None = None,
-           end: Column | None = None, limit: int = 100) -> DataFrame:
-    """First matches by time; ``user`` is the plain name and is hashed here."""
+           end: Column | None = None, limit: int | None = None) -> DataFrame:
+    """All matches, or the first ``limit`` by time; ``user`` is the plain name and is hashed here."""
     found = in_period(events, start, end)
     if event_type is not None:
         found = found.filter(F.col("event_type") == event_type)
     if user is not None:
         found = found.filter(F.col("user") == user_hash(F.lit(user)))
-    return found.orderBy("timestamp_utc", "event_id").limit(limit)
+    return found if limit is None else found.orderBy("timestamp_utc", "event_id").limit(limit)
 
 
 def _count(condition: Column) -> Column:

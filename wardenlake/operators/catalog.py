@@ -64,8 +64,8 @@ def coverage_summary(coverage: DataFrame, by: list[str] | None = None) -> DataFr
     return means.withColumn("overall_grade", coverage_grade(F.col("average_line_coverage")))
 
 
-def under_covered(coverage: DataFrame, threshold: float = 80.0, shown: int = 10) -> DataFrame:
-    return coverage.filter(F.col("line_coverage") < threshold).select("path", "line_coverage", F.slice("missing_lines", 1, shown).alias("missing_lines"))
+def under_covered(coverage: DataFrame, threshold: float = 80.0) -> DataFrame:
+    return coverage.filter(F.col("line_coverage") < threshold).select("path", "line_coverage", "missing_lines")
 
 
 def symbol_inventory(structures: DataFrame, scripts: DataFrame) -> DataFrame:

@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from wardenlake.sources.corpus import SCAN_SKIP_DIRS, in_dirs
 
-MAX_LINES = 100_000
-MAX_FILE_BYTES = 5000 * 1024
-
 STRUCTURE_SCHEMA = """
 project string, path string, ext string, size_bytes bigint, line_count int, parsed boolean, error string,
 complexity int, cognitive int, docstring string, format_calls int,
@@ -50,13 +47,13 @@ def _cognitive(tree: ast.AST) -> int:
     return score
 
 
-def _parse(content: str) -> dict:
+def _parse(content: str, max_bytes: int | None = None) -> dict:
     """Structure of one Python text, or the reason it has none.  Nothing is executed."""
     lines = content.count("\n") + 1
     row = {"line_count": lines, "parsed": False, "error": None, "complexity": 0, "cognitive": 0, "docstring": None,
            "format_calls": 0, "functions": [], "classes": [], "imports": []}
-    if lines > MAX_LINES:
-        return row | {"error": "too many lines"}
+    if max_bytes is not None and len(content.encode()) > max_bytes:
+        return row | {"error": "too large"}
     try:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
@@ -72,22 +69,25 @@ def _parse(content: str) -> dict:
     return row | {
         "parsed": True, "functions": functions, "classes": classes, "imports": imports,
         "complexity": sum(f["complexity"] for f in functions), "cognitive": _cognitive(tree),
-        "docstring": text and (text[:200] + "..." if len(text) > 200 else text),
+        "docstring": text,
         "format_calls": sum(isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr == "format" for n in nodes),
     }
 
 
-def structure(files: DataFrame, max_bytes: int = MAX_FILE_BYTES) -> DataFrame:
-    """One row per Python file with its functions, classes, imports and errors."""
+def structure(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """One row per Python file with its functions, classes, imports and errors.
+
+    A file above ``max_bytes``, if that is given, has a row with an error.
+    """
 
     def parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            parsed = pd.DataFrame([_parse(text) for text in batch["content"]], index=batch.index)
+            parsed = pd.DataFrame([_parse(text, max_bytes) for text in batch["content"]], index=batch.index)
             yield pd.concat([batch.drop(columns=["content"]), parsed], axis=1)[_columns()]
 
     python = files.filter((F.col("ext") == ".py") & ~in_dirs(F.col("path"), SCAN_SKIP_DIRS)).select(
         "project", "path", "ext", F.octet_length("content").cast("bigint").alias("size_bytes"), "content")
-    return python.filter(F.col("size_bytes") <= max_bytes).mapInPandas(_nonempty(parse_batches), STRUCTURE_SCHEMA)
+    return python.mapInPandas(_nonempty(parse_batches), STRUCTURE_SCHEMA)
 
 
 def _columns() -> list[str]:

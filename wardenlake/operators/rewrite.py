@@ -10,7 +10,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-DIFF_LIMIT = 20_000
 REWRITE_SCHEMA = "project string, path string, ext string, content string, new_content string, changed boolean, diff string, error string"
 
 # Expressions that find a component and its render body.
@@ -82,7 +81,7 @@ def rewrite(files: DataFrame, name: str) -> DataFrame:
         except Exception as problem:  # one bad file must not fail the job
             return text, False, "", str(problem)
         diff = "\n".join(difflib.unified_diff(text.splitlines(), new.splitlines(), path, path, lineterm="")) if new != text else ""
-        return new, new != text, diff[:DIFF_LIMIT], None
+        return new, new != text, diff, None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -231,21 +231,26 @@ REGISTER = {
 }
 
 
-def risk_register(files: DataFrame, structures: DataFrame, migration_type: str, listed: int = 5) -> DataFrame:
-    """One row per project and risk.
-
-    Each file is tested once for all content rules; a rule then groups its files.
-    The listed paths are the first five by name, kept with a bounded sort per task.
-    """
+def risk_files(files: DataFrame, migration_type: str) -> DataFrame:
+    """(project, path, rule) for each content rule that a file meets."""
     text, ext = F.col("content"), F.col("ext")
     code = ext.isin(RISK_EXTENSIONS)
     breaking = contains_any(text, RISK_BREAKING[migration_type]) if migration_type in RISK_BREAKING else F.lit(False)
     flags = F.array_compact(F.array(
         F.when(code & breaking, F.lit("breaking")), F.when(code & secret_file(text), F.lit("secrets")),
         F.when((ext == ".py") & contains_any(text, UNSAFE_WORDS), F.lit("unsafe")), F.when(code & pii_file(text), F.lit("personal_data"))))
-    flagged = files.select("project", "path", F.explode(flags).alias("rule"))
-    from_files = (flagged.withColumn("_r", F.row_number().over(Window.partitionBy("project", "rule").orderBy("path")))
-             .filter(F.col("_r") <= listed).groupBy("project", "rule").agg(F.sort_array(F.collect_list("path")).alias("file_paths")))
+    return files.select("project", "path", F.explode(flags).alias("rule"))
+
+
+def risk_register(files: DataFrame, structures: DataFrame, migration_type: str, listed: int = 5) -> DataFrame:
+    """One row per project and risk.
+
+    Each file is tested once for all content rules; a rule then groups its files.
+    The first ``listed`` paths by name are shown, kept with a bounded sort per task; ``risk_files`` has them all.
+    """
+    flagged = risk_files(files, migration_type)
+    flagged = flagged.withColumn("_r", F.row_number().over(Window.partitionBy("project", "rule").orderBy("path"))).filter(F.col("_r") <= listed)
+    from_files = (flagged.groupBy("project", "rule").agg(F.sort_array(F.collect_list("path")).alias("file_paths")))
     none = F.array().cast("array<string>")
     mean = F.col("c") / F.col("n")
     averages = structures.filter("parsed").groupBy("project").agg(F.sum("complexity").alias("c"), F.count("*").alias("n"))

@@ -45,15 +45,15 @@ def hour_of(ts: str = "ts") -> Column:
 
 
 def query_metrics(metrics: DataFrame, deployment_id: str | None = None, metric_name: str | None = None, start: Column | None = None,
-                  end: Column | None = None, limit: int = 100) -> DataFrame:
-    """Both ends inclusive, newest first."""
+                  end: Column | None = None, limit: int | None = None) -> DataFrame:
+    """Both ends inclusive; all points, or the newest ``limit``."""
     found = metrics
     for condition in (deployment_id is not None and F.col("deployment_id") == deployment_id,
                       metric_name is not None and F.col("metric_name") == metric_name,
                       start is not None and F.col("ts") >= start, end is not None and F.col("ts") <= end):
         if condition is not False:
             found = found.filter(condition)
-    return found.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
+    return found if limit is None else found.orderBy(F.desc("ts"), F.desc("event_id")).limit(limit)
 
 
 def trailing(metrics: DataFrame, as_of: Column, minutes: int) -> DataFrame:
@@ -129,12 +129,13 @@ def alert_states(alerts: DataFrame, actions: DataFrame) -> DataFrame:
 
 
 def search_alerts(alerts: DataFrame, deployment_id: str | None = None, severity: str | None = None, acknowledged: bool | None = None,
-                  resolved: bool | None = None, limit: int = 50) -> DataFrame:
+                  resolved: bool | None = None, limit: int | None = None) -> DataFrame:
+    """All alerts that match, or the newest ``limit``."""
     found = alerts
     for column, wanted in (("deployment_id", deployment_id), ("severity", severity), ("acknowledged", acknowledged), ("resolved", resolved)):
         if wanted is not None:
             found = found.filter(F.col(column) == wanted)
-    return found.orderBy(F.desc("created_at"), "alert_id").limit(limit)
+    return found if limit is None else found.orderBy(F.desc("created_at"), "alert_id").limit(limit)
 
 
 def recent_alerts(alerts: DataFrame, k: int = 10) -> DataFrame:
@@ -264,11 +265,12 @@ def first_crossings(metrics: DataFrame) -> DataFrame:
             .select("deployment_id", "metric_name", F.col("f.ts").alias("triggered_at"), F.col("f.event_id").alias("event_id"), F.col("f.value").alias("value")))
 
 
-def roster(deployments: DataFrame, k: int = 50) -> DataFrame:
-    """Newest k deployments with their latest row."""
+def roster(deployments: DataFrame, k: int | None = None) -> DataFrame:
+    """All deployments with their latest row, or the newest ``k``."""
     latest = deployments.groupBy("deployment_id").agg(F.min("ts").alias("created_at"), F.max_by(F.struct("status", "target_percentage"), F.struct("ts", "event_id")).alias("s"))
-    return latest.select("deployment_id", "created_at", "s.status", F.col("s.target_percentage").alias("target"),
-                         (100 - F.col("s.target_percentage")).alias("current")).orderBy(F.desc("created_at"), "deployment_id").limit(k)
+    rows = latest.select("deployment_id", "created_at", "s.status", F.col("s.target_percentage").alias("target"),
+                         (100 - F.col("s.target_percentage")).alias("current"))
+    return rows if k is None else rows.orderBy(F.desc("created_at"), "deployment_id").limit(k)
 
 
 def traffic_split(users: DataFrame, user: str, percentage: int) -> DataFrame:

@@ -46,7 +46,7 @@ def _selected(types: list[str] | None) -> list[sp.Pattern]:
 
 def redact(raw: Column, expose_raw: bool = False) -> Column:
     if expose_raw:
-        return F.when(F.length(raw) > 50, F.concat(F.substring(raw, 1, 50), F.lit("..."))).otherwise(raw)
+        return raw
     return F.when(F.length(raw) <= 4, F.lit("[REDACTED]")).otherwise(
         F.concat(F.lit("[REDACTED:"), F.length(raw).cast("string"), F.lit(" chars]")))
 
@@ -56,10 +56,7 @@ def fingerprint(raw: Column) -> Column:
 
 
 def _context(line_text: Column, raw: Column) -> Column:
-    def shorten(s: Column) -> Column:
-        return F.when(F.length(s) > 200, F.concat(F.substring(s, 1, 200), F.lit("..."))).otherwise(s)
-
-    return strip(let(F.replace(line_text, raw, F.lit("[REDACTED]")), shorten))
+    return strip(F.replace(line_text, raw, F.lit("[REDACTED]")))
 
 
 def pattern_table(spark) -> DataFrame:

@@ -99,8 +99,9 @@ def restore(checkpoint_files: DataFrame, current_files: DataFrame, paths: DataFr
     return checkpoint_files.join(named, "path", "left_semi").unionByName(current_files.join(named, "path", "left_anti"))
 
 
-def list_checkpoints(checkpoints: DataFrame, k: int = 50) -> DataFrame:
-    return checkpoints.orderBy(F.desc("created_at"), "checkpoint_id").limit(k)
+def list_checkpoints(checkpoints: DataFrame, k: int | None = None) -> DataFrame:
+    """All checkpoints, or the newest ``k``."""
+    return checkpoints if k is None else checkpoints.orderBy(F.desc("created_at"), "checkpoint_id").limit(k)
 
 
 def expired_checkpoints(checkpoints: DataFrame, keep: int, days: int, as_of: Column, by: list[str] | None = None) -> DataFrame:

@@ -110,6 +110,17 @@ UNION ALL SELECT project, 'Potential Downtime', 'BUSINESS', 'HIGH', 60, 80, '' F
 UNION ALL SELECT project, 'User Experience Impact', 'BUSINESS', 'MEDIUM', 50, 70, '' FROM ({_REQ})"""
 
 
+_SECRET = "regexp_matches(content, '(?i)(password|api_key|secret|token)\\s*=\\s*[" + '"' + "''][^" + '"' + "'']+[" + '"' + "'']')"
+
+
+@query("risk_register_files", f"""
+SELECT project, path, 'breaking' AS rule FROM ({_CODE}) WHERE js = 1
+UNION ALL SELECT project, path, 'secrets' FROM ({_CODE}) WHERE {_SECRET}
+UNION ALL SELECT project, path, 'unsafe' FROM ({_CODE}) WHERE js = 0 AND regexp_matches(content, 'eval|exec|compile|__import__')""")
+def risk_register_files(spark, sf_dir):
+    return risk.risk_files(_inputs(spark, sf_dir)[0], TYPE)
+
+
 @query("risk_register", f"""
 SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY probability * impact DESC, title) AS INT) AS rank FROM ({_REGISTER})""")
 def risk_register(spark, sf_dir):

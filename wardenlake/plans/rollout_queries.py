@@ -27,7 +27,7 @@ _T = f"SELECT * FROM ({_M}) WHERE ts >= TIMESTAMP '{AS_OF}' - INTERVAL {MINUTES}
 
 @query("metric_query", f"""
 SELECT event_id, round(value, 6) AS value FROM ({_M}) WHERE deployment_id = 'deploy-3' AND metric_name = 'response_time'
-  AND ts >= TIMESTAMP '2024-01-02 00:00:00' AND ts <= TIMESTAMP '2024-01-28 00:00:00' ORDER BY ts DESC, event_id DESC LIMIT 100""")
+  AND ts >= TIMESTAMP '2024-01-02 00:00:00' AND ts <= TIMESTAMP '2024-01-28 00:00:00'""")
 def metric_query(spark, sf_dir):
     found = ro.query_metrics(_metrics(spark, sf_dir), "deploy-3", "response_time", F.lit("2024-01-02 00:00:00").cast("timestamp_ntz"),
                              F.lit("2024-01-28 00:00:00").cast("timestamp_ntz"))
@@ -94,7 +94,7 @@ def alert_lifecycle(spark, sf_dir):
 
 
 @query("alert_search", f"""
-SELECT event_id FROM ({_ALERTS}) WHERE severity = 'HIGH' AND event_id % 2 = 0 AND event_id % 3 <> 0 ORDER BY created_at DESC LIMIT 50""")
+SELECT event_id FROM ({_ALERTS}) WHERE severity = 'HIGH' AND event_id % 2 = 0 AND event_id % 3 <> 0""")
 def alert_search(spark, sf_dir):
     alerts = ro.threshold_alerts(_metrics(spark, sf_dir))
     return ro.search_alerts(ro.alert_states(alerts, _actions(alerts)), severity="HIGH", acknowledged=True, resolved=False).select("event_id")
@@ -218,7 +218,7 @@ SELECT concat('deploy-', cast(user_id AS string)) AS deployment_id, ts, event_id
 
 @query("deployment_roster", f"""
 SELECT deployment_id, arg_max(status, ts) AS status, arg_max(target_percentage, ts) AS target, CAST(100 - arg_max(target_percentage, ts) AS INT) AS current
-FROM ({plain(DEPLOYMENTS)}) GROUP BY deployment_id ORDER BY min(ts) DESC, deployment_id LIMIT 50""")
+FROM ({plain(DEPLOYMENTS)}) GROUP BY deployment_id""")
 def deployment_roster(spark, sf_dir):
     return ro.roster(derive(spark, sf_dir, DEPLOYMENTS, "events")).drop("created_at")
 

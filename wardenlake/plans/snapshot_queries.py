@@ -134,7 +134,7 @@ CHECKPOINTS = "SELECT cast(o_custkey AS string) AS workspace, o_orderkey AS chec
 _CP = plain(CHECKPOINTS)
 
 
-@query("checkpoint_listing", f"SELECT checkpoint_id, workspace FROM ({_CP}) ORDER BY created_at DESC, checkpoint_id LIMIT 50")
+@query("checkpoint_listing", f"SELECT checkpoint_id, workspace FROM ({_CP})")
 def checkpoint_listing(spark, sf_dir):
     return sn.list_checkpoints(derive(spark, sf_dir, CHECKPOINTS, "orders")).select("checkpoint_id", "workspace")
 

@@ -30,7 +30,7 @@ _SCAN_SKIP = ", ".join(f"'{d}'" for d in corpus.SCAN_SKIP_DIRS)
 
 
 @query("candidate_filter", f"""
-SELECT k FROM ({_P}) WHERE size_bytes <= 5000 * 1024 AND NOT list_has_any(string_split(path, '/'), [{_SKIP}])
+SELECT k FROM ({_P}) WHERE NOT list_has_any(string_split(path, '/'), [{_SKIP}])
   AND lower(regexp_extract(string_split(path, '/')[-1], '^.+(\\.[^.]+)$', 1)) IN ('.py', '.jsx')""")
 def candidate_filter(spark, sf_dir):
     return corpus.candidate_filter(derive(spark, sf_dir, PATHS, "orders"), [".py", ".jsx"]).select("k")
@@ -43,10 +43,10 @@ def scan_set(spark, sf_dir):
     return derive(spark, sf_dir, PATHS, "orders").filter(corpus.scan_set(F.col("path"))).select("k")
 
 
-@query("binary_sniff", "SELECT doc_id FROM documents WHERE NOT (doc_id % 3 = 0 AND length(left(lang || source, 4090)) < 4096)")
+@query("binary_sniff", "SELECT doc_id FROM documents WHERE NOT (doc_id % 3 = 0)")
 def binary_sniff(spark, sf_dir):
     docs = load(spark, sf_dir, "documents")
-    raw = F.when(F.col("doc_id") % 3 == 0, F.concat("lang", "source", F.lit("\x00"), "text")).otherwise(F.col("text")).cast("binary")
+    raw = F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("\x00"), "source")).otherwise(F.col("text")).cast("binary")
     return docs.select("doc_id", raw.alias("content")).filter(~corpus.is_binary(F.col("content"))).select("doc_id")
 
 

@@ -11,8 +11,6 @@ SKIP_DIRS = [".git", ".hg", ".svn", ".mypy_cache", ".pytest_cache", ".ruff_cache
 # Extensions and folders of the sensitive-data scan.
 SCAN_EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx", ".vue", ".html", ".css", ".json", ".yaml", ".yml", ".md", ".txt", ".xml", ".sql", ".env"]
 SCAN_SKIP_DIRS = [".git", ".venv", "venv", "node_modules", "__pycache__"]
-MAX_FILE_KB = 5000
-SNIFF_BYTES = 4096
 
 
 def file_name(path: Column) -> Column:
@@ -28,12 +26,14 @@ def in_dirs(path: Column, names: list[str]) -> Column:
     return F.arrays_overlap(F.split(path, "/"), F.array(*[F.lit(n) for n in names]))
 
 
-def candidate_filter(files: DataFrame, extensions: list[str] | None = None, max_file_kb: int = MAX_FILE_KB, max_files: int | None = None) -> DataFrame:
-    """Extension, folder and size rules on (path, size_bytes); they run before any content is read."""
-    kept = files.filter(~in_dirs(F.col("path"), SKIP_DIRS) & (F.col("size_bytes") <= max_file_kb * 1024))
+def candidate_filter(files: DataFrame, extensions: list[str] | None = None, max_file_kb: int | None = None) -> DataFrame:
+    """Extension and folder rules on (path, size_bytes), and a size limit if one is asked for; they run before any content is read."""
+    kept = files.filter(~in_dirs(F.col("path"), SKIP_DIRS))
+    if max_file_kb is not None:
+        kept = kept.filter(F.col("size_bytes") <= max_file_kb * 1024)
     if extensions:
         kept = kept.filter(F.lower(extension(F.col("path"))).isin([e.lower() for e in extensions]))
-    return kept.orderBy("path").limit(max_files) if max_files else kept
+    return kept
 
 
 def scan_set(path: Column, extensions: list[str] | None = None) -> Column:
@@ -47,8 +47,8 @@ def scan_set(path: Column, extensions: list[str] | None = None) -> Column:
 
 
 def is_binary(content: Column) -> Column:
-    """A NUL byte within the first 4096 bytes."""
-    return F.substring(content, 1, SNIFF_BYTES).cast("string").contains("\x00")
+    """A NUL byte anywhere."""
+    return content.cast("string").contains("\x00")
 
 
 def lenient_text(content: Column) -> Column:
@@ -57,7 +57,7 @@ def lenient_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("�"), F.lit("")))
 
 
-def read_corpus(spark: SparkSession, root: str, project: str, extensions: list[str] | None = None, max_file_kb: int = MAX_FILE_KB,
+def read_corpus(spark: SparkSession, root: str, project: str, extensions: list[str] | None = None, max_file_kb: int | None = None,
                 glob: str | None = None) -> DataFrame:
     """``files(project, path, ext, size_bytes, content)`` below a folder.
 
@@ -66,7 +66,9 @@ def read_corpus(spark: SparkSession, root: str, project: str, extensions: list[s
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(root).filter(F.col("length") <= max_file_kb * 1024)
+    listed = reader.load(root)
+    if max_file_kb is not None:
+        listed = listed.filter(F.col("length") <= max_file_kb * 1024)
     base = root.rstrip("/")
     path = F.regexp_replace("path", "^.*?" + base.replace(".", r"\.") + "/", "")
     named = listed.select(path.alias("path"), F.col("length").alias("size_bytes"), F.col("content").alias("_bytes"))
