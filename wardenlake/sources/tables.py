@@ -19,13 +19,12 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Shuffle a small input over all cores before CPU-heavy text work.
+    """Deal an input of a single split over the cores before CPU-heavy text work.
 
-    A few-megabyte file arrives as one or two splits.  Above 64 MB per core the
-    scan already has a full split for each core, so nothing is shuffled.
+    A file with one row group arrives as one split, whatever the cluster.  An input of two
+    splits or more is never shuffled, so at most one split's bytes move.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if estimated_bytes(df) < cores * SPLIT_BYTES else df
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SPLIT_BYTES) -> DataFrame:
