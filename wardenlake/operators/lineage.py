@@ -113,7 +113,8 @@ def mentions(files: DataFrame) -> DataFrame:
 
 
 def data_sources(found: DataFrame) -> DataFrame:
-    return found.filter(F.col("kind") == "data_source").select("project", "path", "label", "value", "line")
+    """Each source once a line, also where two call rules match it."""
+    return found.filter(F.col("kind") == "data_source").select("project", "path", "label", "value", "line").distinct()
 
 
 def transformations(found: DataFrame) -> DataFrame:

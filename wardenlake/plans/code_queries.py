@@ -88,9 +88,10 @@ def code_most_complex(spark, sf_dir):
 
 
 @query("code_dependents", f"""
-SELECT 'm' || dep AS module, count(*) AS dependents FROM ({_PARSED}) WHERE broken = 0 GROUP BY 1""")
+SELECT 'm' || dep AS module, count(*) AS dependents FROM ({_PARSED}) WHERE broken = 0 GROUP BY 1
+UNION ALL SELECT 'os', count(*) FROM ({_PARSED}) WHERE broken = 0""")
 def code_dependents(spark, sf_dir):
-    return (cm.imports_of(_structures(spark, sf_dir)).filter("module <> 'os'").select("module", "path").distinct()
+    return (cm.imports_of(_structures(spark, sf_dir)).select("module", "path").distinct()
             .groupBy("module").agg(F.count("*").alias("dependents")))
 
 

@@ -92,10 +92,10 @@ def _roi(spark, sf_dir):
 
 @query("roi_metrics", f"""
 SELECT name, round(roi_percentage, 4) AS roi_percentage, round(payback_months, 6) AS payback_months, round(npv, 3) AS npv,
-  round(cost_benefit_ratio, 6) AS cost_benefit_ratio, round(risk_adjusted_roi, 4) AS risk_adjusted_roi FROM ({_ROI}) WHERE benefit > 0""")
+  round(cost_benefit_ratio, 6) AS cost_benefit_ratio, round(risk_adjusted_roi, 4) AS risk_adjusted_roi FROM ({_ROI})""")
 def roi_metrics(spark, sf_dir):
     scales = {"roi_percentage": 4, "payback_months": 6, "npv": 3, "cost_benefit_ratio": 6, "risk_adjusted_roi": 4}
-    return _roi(spark, sf_dir).filter("monthly_benefit > 0").select("name", *[F.round(c, s).alias(c) for c, s in scales.items()])
+    return _roi(spark, sf_dir).select("name", *[F.round(c, s).alias(c) for c, s in scales.items()])
 
 
 @query("roi_npv", f"""
