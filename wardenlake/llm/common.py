@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from wardenlake.session import ensure_checkpoint_dir
 
-BLOCK_BYTES = 1 << 21
+BLOCK_BYTES = 1 << 18
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -47,8 +47,8 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
 
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of whole texts, by rows and by bytes."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
 def arrow_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -198,11 +198,11 @@ class HashIndex:
         """Append keys that are absent, each once."""
         size = self.size + len(keys)
         if size > len(self.keys):
-            self.keys = np.concatenate([self.keys[: self.size], np.zeros(2 * size - self.size, np.uint64)])
+            self.keys = np.concatenate([self.keys[: self.size], np.zeros(size + size // 4 - self.size, np.uint64)])
         self.keys[self.size : size] = keys
         self.size = size
         if 2 * size > len(self.slots):
-            self._lay_out(int(4 * size).bit_length())
+            self._lay_out(int(2 * size).bit_length() + 1)
         else:
             self._enter(np.arange(size - len(keys), size))
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 
 from wardenlake.llm.common import HashIndex, Words, arrow_bytes, worker_cache
 
-PIECES_KEPT = 2_000_000
+PIECES_KEPT = 1_000_000
 PIECES_A_CALL = 4096
 
 
@@ -109,9 +109,9 @@ class PieceEncoder:
         sizes = [len(g) for g in got]
         more, n, total = np.array([i for g in got for i in g], np.uint32), self.index.size, self.used + sum(sizes)
         if total > len(self.ids):
-            self.ids = np.concatenate([self.ids[: self.used], np.zeros(2 * total - self.used, np.uint32)])
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(total + total // 4 - self.used, np.uint32)])
         if n + len(keys) + 1 > len(self.first):
-            self.first = np.concatenate([self.first[: n + 1], np.zeros(2 * (n + len(keys)), np.int64)])
+            self.first = np.concatenate([self.first[: n + 1], np.zeros((n + len(keys)) // 4 + len(keys), np.int64)])
         self.ids[self.used : total] = more
         self.first[n + 1 : n + len(keys) + 1] = self.used + np.cumsum(sizes)
         self.used = total
