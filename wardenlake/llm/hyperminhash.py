@@ -290,8 +290,10 @@ def _rest(open_buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     hub's component and must meet all.  The parts of a bucket meet pairwise, one task group a pair
     of parts, and each group gives a forest of the links that it finds.
     """
-    pairs = open_buckets.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = pairs.select("bucket", "id", "component", "outside", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+    columns = ["bucket", "id", "component", "outside", "part"]
+    whole = open_buckets.where("parts = 1").select(*columns, F.lit(0).alias("a"), F.lit(0).alias("b"))
+    pairs = open_buckets.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    cells = whole.unionByName(pairs.select(*columns, F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")))
     wide = cells.join(sets, "id")
 
     def run(table: pa.Table) -> pa.Table:
