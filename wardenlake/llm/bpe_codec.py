@@ -17,12 +17,13 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from wardenlake.llm.common import small_batches, worker_cache
 from wardenlake.llm.tokens import PieceEncoder
 
-PAIRS_KEPT = 400_000
-WORDS_KEPT = 200_000
+PAIRS_KEPT = 300_000
+WORDS_KEPT = 100_000
 _END = "\n"  # stands for the word-end mark; the byte alphabet has no such character
 _NEVER = 1 << 40
 # The characters with the White_Space property.
@@ -46,7 +47,6 @@ class Vocabulary:
             spec = json.load(file)
         model = spec["model"]
         self.suffix = model["end_of_word_suffix"] or ""
-        self.names = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         inner = lambda t: t[: -len(self.suffix)] + _END if self.suffix and t.endswith(self.suffix) else t
         self.ids = {inner(t): i for t, i in model["vocab"].items()}
@@ -93,7 +93,7 @@ class BacktrackingEncoder(PieceEncoder):
         for token, i in self.vocabulary.ids.items():
             self.automaton.add_word(token, (len(token), i))
         self.automaton.make_automaton()
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.words: dict[str, list[int]] = {}
         self.marks = re.compile("|".join(map(re.escape, sorted(self.vocabulary.special, key=len, reverse=True))) or "(?!)")
 
@@ -140,10 +140,10 @@ class BacktrackingEncoder(PieceEncoder):
                 if end in dead:
                     continue
                 if out:
-                    pair = (out[-1], i)
+                    pair = out[-1] << 32 | i
                     good = pairs.get(pair)
                     if good is None:
-                        good = pairs[pair] = borders(*pair)
+                        good = pairs[pair] = borders(out[-1], i)
                     if not good:
                         continue
                 out.append(i)
@@ -168,16 +168,17 @@ class OffsetTable:
         """The strings with one space between them."""
         sizes = (self.offset[1:] - self.offset[:-1])[numbers]
         ends = np.cumsum(sizes)
-        place = np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.offset[numbers] - (ends - sizes), sizes)
+        place = np.arange(int(ends[-1]) if len(ends) else 0, dtype=np.int32) + np.repeat((self.offset[numbers] - (ends - sizes)).astype(np.int32), sizes)
         return self.bytes[place].tobytes()[:-1]
 
 
-class Codec:
-    """Encoder with the tables that decode ids and spell them as decimals."""
+class Tables:
+    """Offset tables that decode ids and spell them as decimals."""
 
     def __init__(self, path: str):
-        self.encoder = BacktrackingEncoder(path)
-        names = self.encoder.vocabulary.names
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        names = {i: t for t, i in spec["model"]["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.tokens = OffsetTable([names.get(i, "").encode() for i in range(max(names) + 1)])
         self.decimals = OffsetTable([str(i).encode() for i in range(max(names) + 1)])
 
@@ -185,20 +186,31 @@ class Codec:
         """The text of ids as the library gives it for a vocabulary without a decoder: tokens with spaces between them."""
         return self.tokens.joined(ids)
 
+    def batches(self, keys: pa.Array, rows: list[np.ndarray], names: list[str]):
+        """Record batches of key, n_tokens, ids_text and text, a few rows at a time."""
+        for a in range(0, len(rows), 64):
+            part = rows[a : a + 64]
+            made = [[len(r) for r in part], [self.decimals.joined(r) for r in part], [self.decode(r) for r in part]]
+            yield pa.RecordBatch.from_arrays([keys.slice(a, 64), *(pa.array(c, k) for c, k in zip(made, (pa.int64(), pa.binary(), pa.binary())))], names=names)
+
+
+def encoder(path: str) -> BacktrackingEncoder:
+    return worker_cache(f"backtracking {path}", lambda: BacktrackingEncoder(path))
 
-def codec(path: str) -> Codec:
-    return worker_cache(f"codec of {path}", lambda: Codec(path))
+
+def tables(path: str) -> Tables:
+    return worker_cache(f"tables {path}", lambda: Tables(path))
 
 
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, ids array) of each row's whole text; null texts are empty and have no ids."""
     small_batches(docs.sparkSession)
     kept = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    schema = kept.drop("__text").schema.add("ids", "array<int>")
+    schema = kept.drop("__text").schema.add("ids", ArrayType(IntegerType()))
 
     def run(batches):
         for batch in batches:
-            rows = codec(vocabulary).encoder.encode(batch.column(1))
+            rows = encoder(vocabulary).encode(batch.column(1))
             offsets = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
             ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(rows).astype(np.int32) if rows else np.empty(0, np.int32)))
             yield pa.RecordBatch.from_arrays([batch.column(0), ids], names=schema.names)
@@ -212,13 +224,22 @@ def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str =
     schema = kept.drop("__ids").schema.add("n_tokens", "long").add("ids_text", "binary").add("text", "binary")
 
     def run(batches):
-        own = codec(vocabulary)
         for batch in batches:
             lists = batch.column(1)
             values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-            for a in range(0, batch.num_rows, 64):
-                rows = [values[x:y] for x, y in zip(ends[a : a + 64], ends[a + 1 : a + 65])]
-                made = [[len(r) for r in rows], [own.decimals.joined(r) for r in rows], [own.decode(r) for r in rows]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, 64), *(pa.array(c, k) for c, k in zip(made, (pa.int64(), pa.binary(), pa.binary())))], names=schema.names)
+            yield from tables(vocabulary).batches(batch.column(0), [values[x:y] for x, y in zip(ends[:-1], ends[1:])], schema.names)
+
+    return kept.mapInArrow(run, schema)
+
+
+def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The same as ``decode`` of ``encode``, in one pass over the texts."""
+    small_batches(docs.sparkSession)
+    kept = docs.select(F.col(key), F.col(text).alias("__text"))
+    schema = kept.drop("__text").schema.add("n_tokens", "long").add("ids_text", "binary").add("text", "binary")
+
+    def run(batches):
+        for batch in batches:
+            yield from tables(vocabulary).batches(batch.column(0), encoder(vocabulary).encode(batch.column(1)), schema.names)
 
     return kept.mapInArrow(run, schema)

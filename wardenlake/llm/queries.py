@@ -85,7 +85,7 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_backtracking_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Digests of every document's ids and of the text decoded from them."""
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
-    decoded = bpe_codec.decode(bpe_codec.encode(given(spark, sf_dir, "documents"), vocabulary), vocabulary)
+    decoded = bpe_codec.round_trip(given(spark, sf_dir, "documents"), vocabulary)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
 
 
