@@ -40,8 +40,7 @@ def test_features_are_sets_of_whole_texts():
 
 
 def test_dual_coordinate_descent_finds_the_margin():
-    rows = [(np.array([0]), np.array([1.0])), (np.array([1]), np.array([1.0])), (np.array([0, 1]), np.array([0.8, 0.6]))]
-    weight = Q.dual_coordinate_descent(rows, np.array([1.0, -1.0, 1.0]), np.full(3, 100.0), 2, rounds=2000)
+    weight = Q.dual_coordinate_descent(np.array([0, 1, 2, 4]), np.array([0, 1, 0, 1]), np.array([1.0, 1.0, 0.8, 0.6]), np.array([1.0, -1.0, 1.0]), np.full(3, 100.0), 2, rounds=2000)
     assert weight @ [1, 0] >= 0.99 and weight @ [0, 1] <= -0.99 and weight @ [0.8, 0.6] >= 0.99
 
 

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from wardenlake.llm.common import through_table
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
+def _written(edges: DataFrame) -> tuple[DataFrame, dict]:
+    """The links as a table in the shared folder, and their number and a sum of hashes, taken while they are written."""
+    seen = Observation()
+    table = through_table(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")), "links")
+    return table, seen.get
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -21,16 +24,14 @@ def components(links: DataFrame) -> DataFrame:
     dropped; no links give no rows.
     """
     edges = links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    edges = through_table(edges, "links")
-    before = _state(edges)
+    edges, before = _written(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         smallest = large.groupBy("u").agg(F.min("v").alias("m"))
         moved = large.join(smallest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = through_table(smallest.select("u", F.col("m").alias("v")).unionByName(moved).distinct(), "links")
-        after = _state(edges)
+        edges, after = _written(smallest.select("u", F.col("m").alias("v")).unionByName(moved).distinct())
         if after == before:
             break
         before = after

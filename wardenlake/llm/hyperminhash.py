@@ -227,16 +227,16 @@ def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) ->
     place = F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS))
     # bucket numbers and positions of these functions count from one
     bits = ids.select((place + 1).alias("p")).groupBy(F.bitmap_bucket_number("p").alias("n")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toArrow()
-    whole = np.zeros(FILTER_BITS, bool)
+    whole = np.zeros(FILTER_BITS // 8, np.uint8)  # the first bit of a byte is its lowest
     for n, part in zip(bits["n"].to_pylist(), bits["bits"].to_pylist()):
-        whole[(n - 1) * 32768 : n * 32768] = np.unpackbits(np.frombuffer(part, np.uint8), bitorder="little")[:32768]
-    receive = send(spark, np.packbits(whole))
+        whole[(n - 1) * 4096 : n * 4096] = np.frombuffer(part, np.uint8)
+    receive = send(spark, whole)
 
     def run(batches):
         wanted = receive()
         for batch in batches:
             at = batch.column(1).to_numpy()
-            batch = batch.filter(pa.array((wanted[at >> 3] >> (7 - (at & 7))) & 1 == 1))
+            batch = batch.filter(pa.array((wanted[at >> 3] >> (at & 7)) & 1 == 1))
             if batch.num_rows:
                 sets = shingles(*arrow_bytes(batch.column(2)), size)
                 offsets = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)

@@ -98,15 +98,19 @@ class QualityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * margin + self.shift, -500, 500)))
 
 
-def dual_coordinate_descent(rows: list[tuple[np.ndarray, np.ndarray]], sign: np.ndarray, cost: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
-    """Weights of least hinge loss with an L2 penalty: one dual variable a row, updated in closed form in shuffled order."""
-    weight, alpha = np.zeros(size), np.zeros(len(rows))
-    length = np.array([float(v @ v) for _, v in rows])
+def dual_coordinate_descent(first: np.ndarray, places: np.ndarray, values: np.ndarray, sign: np.ndarray, cost: np.ndarray, size: int, rounds: int = 12) -> np.ndarray:
+    """Weights of least hinge loss with an L2 penalty: one dual variable a row, updated in closed form in shuffled order.
+
+    Row i has values[first[i]:first[i + 1]] at its places.
+    """
+    count = len(first) - 1
+    weight, alpha = np.zeros(size), np.zeros(count)
+    length = np.array([float(values[a:b] @ values[a:b]) for a, b in zip(first[:-1], first[1:])])
     rng = np.random.default_rng(7)
     for _ in range(rounds):
         moved = 0.0
-        for i in rng.permutation(len(rows)):
-            at, value = rows[i]
+        for i in rng.permutation(count):
+            at, value = places[first[i] : first[i + 1]], values[first[i] : first[i + 1]]
             if length[i] == 0:
                 continue
             slope = sign[i] * float(weight[at] @ value) - 1
@@ -133,24 +137,22 @@ def _logistic(margin: np.ndarray, positive: np.ndarray) -> tuple[float, float]:
     return max(float(beta[0]), 1e-3), float(beta[1])
 
 
-def fit(rows: list[np.ndarray], positive: np.ndarray, cost: float = 1.0) -> QualityModel:
-    """Fit ratios, weights and curve to feature sets with labels; rows are in a fixed order."""
-    counts = [np.ones(BUCKETS), np.ones(BUCKETS)]
-    for row, label in zip(rows, positive):
-        counts[int(label)][row] += 1
+def fit(first: np.ndarray, places: np.ndarray, positive: np.ndarray, cost: float = 1.0) -> QualityModel:
+    """Fit ratios, weights and curve to feature sets, end to end with their offsets, and their labels; rows are in a fixed order."""
+    counts, rows = [np.ones(BUCKETS), np.ones(BUCKETS)], list(zip(first[:-1], first[1:]))
+    for (a, b), label in zip(rows, positive):
+        counts[int(label)][places[a:b]] += 1
     ratio = np.log(counts[1] / counts[1].sum()) - np.log(counts[0] / counts[0].sum())
     ratio[(counts[0] + counts[1]) == 2] = 0.0  # never seen
     if not len(rows) or positive.all() or not positive.any():
         return QualityModel(np.zeros(BUCKETS), ratio**2, 1.0, 30.0 if len(rows) and positive.all() else -30.0 if len(rows) else 0.0)
-    vectors = []
-    for row in rows:
-        row = np.sort(row)
-        value = ratio[row]
-        vectors.append((row, value / max(np.sqrt(value @ value), 1e-9)))
+    values = ratio[places]
+    for a, b in rows:
+        values[a:b] /= max(np.sqrt(values[a:b] @ values[a:b]), 1e-9)
     sign = np.where(positive, 1.0, -1.0)
     share = positive.mean()
-    weight = dual_coordinate_descent(vectors, sign, cost * np.where(positive, 0.5 / share, 0.5 / (1 - share)), BUCKETS)
-    margin = np.array([float(weight[at] @ value) for at, value in vectors])
+    weight = dual_coordinate_descent(first, places, values, sign, cost * np.where(positive, 0.5 / share, 0.5 / (1 - share)), BUCKETS)
+    margin = np.array([float(weight[places[a:b]] @ values[a:b]) for a, b in rows])
     slope, shift = _logistic(margin, positive.astype(float))
     return QualityModel(weight * ratio, ratio**2, slope, shift)
 
@@ -172,12 +174,12 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, text: str = "tex
     def extract(batches):
         for batch in batches:
             rows = list(distinct_rows(*features(*arrow_bytes(batch.column(2)))))
-            sets = pa.array([r.tobytes() for r in rows], pa.binary())
+            sets = pa.array([np.sort(r).tobytes() for r in rows], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["k", "y", "f"])
 
-    got = sample.mapInArrow(extract, sample.select("k", "y").schema.add("f", "binary")).toArrow()
-    rows = sorted(zip(got["k"].to_pylist(), got["y"].to_pylist(), got["f"].to_pylist()))
-    return fit([np.frombuffer(f, np.int32) for _, _, f in rows], np.array([y > 0 for _, y, _ in rows], bool))
+    got = sample.mapInArrow(extract, sample.select("k", "y").schema.add("f", "binary")).toArrow().sort_by([("k", "ascending"), ("y", "ascending"), ("f", "ascending")])
+    data, offsets = arrow_bytes(got["f"])
+    return fit(offsets // 4, data.view(np.int32), got["y"].to_numpy() > 0)
 
 
 def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
