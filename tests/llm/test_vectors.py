@@ -111,3 +111,26 @@ def test_search_in_small_and_empty_tables(spark):
 def test_pruning_keeps_diverse_neighbours():
     points = np.array([[0, 0], [1, 0], [1.1, 0], [0, 1.5], [-3, 0]], np.float32)
     assert prune(np.array([0]), np.array([[4, 2, 3, 1, 1]], np.int32), points, 4, 1.0)[0].tolist() == [1, 3, 4, -1]
+
+
+def test_no_link_is_lost_between_many_pivots(spark, monkeypatch):
+    """Partners at a cosine just above the threshold, in 64 dimensions, with a pivot for each 20 of them."""
+    monkeypatch.setattr(L, "PART_ROWS", 40)
+    monkeypatch.setattr(L, "CLUSTER_ROWS", 20)
+    rng = np.random.default_rng(11)
+    one = rng.normal(size=(300, 64))
+    one /= np.sqrt((one**2).sum(axis=1))[:, None]
+    off = rng.normal(size=(300, 64))
+    off -= (off * one).sum(axis=1)[:, None] * one
+    two = 0.931 * one + np.sqrt(1 - 0.931**2) * off / np.sqrt((off**2).sum(axis=1))[:, None]
+    rows = [(i, v.tolist(), int(i % 300 < 250)) for i, v in enumerate(np.concatenate([one, two]))]
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in L.near_duplicates(vectors(spark, rows), threshold=0.93).collect()}
+    assert got == brute_links(rows, 0.93)
+
+
+def test_clustered_vectors_visit_few_pivots():
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(20, 16))
+    home, guests = L.homes_and_guests([centres[i % 20] + rng.normal(size=16) * 0.05 for i in range(200)] + [np.ones(3)], np.full(201, 20), list(centres), 0.93)
+    assert home[:200].tolist() == [i % 20 for i in range(200)] and home[200] == 0 and len(guests[200]) == 0
+    assert sum(map(len, guests)) < 0.2 * 200 * 20

@@ -1,12 +1,18 @@
 """Near copies among vectors of a label, by range search in a flat robust-pruned graph.
 
-Equal vectors of a label are one class from the start.  A class belongs to the clusters of its two
-nearest pivots; the classes of a label and a cluster are cut into parts of bounded size, and each
-pair of parts is a cell.  In a cell the classes again form overlapping clusters, each gives its
+Equal vectors of a label are one class from the start.  A class is at home with its nearest pivot, of
+as many as its label needs, and a guest with every earlier pivot whose home classes the threshold lets
+it link with: a class u at home with p is no farther from p than from any pivot r, so a class v that
+links with u has v.(r - p) at most sqrt(1 - threshold^2) |r - p| for every r.  No link is lost by that,
+however many pivots there are.  Where vectors stand in no clusters all are guests everywhere, and all
+pairs of a label are compared.  The home classes of a label and a pivot, and the guests, are cut into
+parts of bounded size; each pair of home parts and each home part with a guest part is a cell, and
+each pair of classes meets in one cell.
+In a cell the classes again form overlapping clusters, each gives its
 members pruned neighbour lists, the lists of a member are united, and a greedy search for every
 member starts from the clusters' medoids and goes on through everything within range.  A sample of
 the members is also compared with the whole cell; where the search missed anything of it, the cell
-is compared in full.  Each pair found is taken again in double precision and counted in one cell only.
+is compared in full.  Each pair found is taken again in double precision.
 """
 
 from __future__ import annotations
@@ -15,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, LongType
 
 from wardenlake.llm.common import send, through_table
 from wardenlake.llm.components import components
@@ -86,27 +93,45 @@ def _once(pairs: np.ndarray, n: int) -> np.ndarray:
     return np.unique((low * n + high)[low != high])
 
 
+def homes_and_guests(vectors: list[np.ndarray], wanted: np.ndarray, pivots: list[np.ndarray], threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
+    """For each vector the nearest of its first ``wanted`` pivots of equal size, and the earlier ones that it must visit."""
+    home, guests = np.zeros(len(vectors), np.int64), [np.empty(0, np.int64)] * len(vectors)
+    sizes = np.array([len(v) for v in vectors])
+    slope = np.sqrt(1 - min(threshold, 1.0) ** 2) if threshold > 0 else 1.0
+    unit = [p / np.sqrt(p @ p) for p in pivots]
+    for size, first in np.unique(np.stack([sizes, wanted]), axis=1).T:
+        own = np.flatnonzero((sizes == size) & (wanted == first))
+        usable_ = np.array([k for k, p in enumerate(unit[:first]) if len(p) == size], np.int64)
+        if not len(usable_):
+            continue
+        among = np.stack([unit[k] for k in usable_])
+        near = np.stack([vectors[k] for k in own])
+        near = near @ among.T / np.sqrt((near**2).sum(axis=1))[:, None]
+        best = near.argmax(axis=1)
+        far = slope * np.sqrt(((among[:, None] - among) ** 2).sum(axis=2)) + 1e-9
+        visits = np.stack([(near - far[:, k]).max(axis=1) <= near[:, k] for k in range(len(among))], axis=1)
+        visits &= np.arange(len(among)) < best[:, None]
+        home[own] = usable_[best]
+        for row, k in enumerate(own):
+            guests[k] = usable_[visits[row]]
+    return home, guests
+
+
 def _cell(table: pa.Table, threshold: float) -> pa.Table:
     """For each member of a cell with links: how many vectors it links with here, and a smaller member that it reaches."""
     table = table.combine_chunks().sort_by("id")
     ids, times, part = (table[c].to_numpy() for c in ("id", "times", "part"))
-    one, two, cluster = table["one"].to_numpy(), table["two"].to_numpy(), table["cluster"][0].as_py()
     vectors = lists(table["v"].combine_chunks())
     sizes = np.array([len(v) for v in vectors])
     count, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-    across = len(np.unique(part)) > 1
+    across = table["a"][0].as_py() != table["b"][0].as_py()
     for size in np.unique(sizes):
         own = np.flatnonzero(sizes == size)
         i, j = own[pairs_within(np.stack([vectors[k] for k in own]), threshold)] if len(own) > 1 else (own[:0], own[:0])
         if across:
             i, j = i[part[i] != part[j]], j[part[i] != part[j]]
-        elif table["a"][0].as_py() != table["b"][0].as_py():
-            i, j = i[:0], j[:0]
-        # the first cluster that both belong to counts the pair
-        shared = np.minimum(np.where((one[i] == one[j]) | (one[i] == two[j]), one[i], np.int64(1) << 40), np.where((two[i] == one[j]) | (two[i] == two[j]), two[i], np.int64(1) << 40))
-        mine = shared == cluster
-        np.add.at(count, i[mine], times[j[mine]])
-        np.add.at(count, j[mine], times[i[mine]])
+        np.add.at(count, i, times[j])
+        np.add.at(count, j, times[i])
         while len(i):  # the smallest row reachable, by repeated minima
             before = root.copy()
             np.minimum.at(root, i, root[j])
@@ -135,10 +160,8 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     classes = good.groupBy("label", "h1", "h2").agg(F.min("id").alias("id"), F.min_by("v", "id").alias("v"), F.count(F.lit(1)).alias("times"))
     classes = through_table(classes, "vector-classes")
 
-    total, largest = 0, 0
-    seen = classes.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n"), F.max("n")).first()
-    total, largest = seen[0] or 0, seen[1] or 0
-    wanted = max(1, min(PIVOTS, -(-largest // CLUSTER_ROWS)))
+    needs = classes.groupBy("label").agg(F.least(F.lit(PIVOTS), F.ceil(F.count(F.lit(1)) / CLUSTER_ROWS)).cast("long").alias("wanted"), F.count(F.lit(1)).alias("n"))
+    total, wanted = (x or 0 for x in needs.agg(F.sum("n"), F.max("wanted")).first())
     rate = min(1.0, 20 * wanted / max(total, 1))
     pool = classes.where(F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(1_000_000)) < int(rate * 1_000_000) + 1).orderBy(F.xxhash64(F.lit(9), "id")).limit(wanted)
     receive = send(spark, [np.array(r["v"]) for r in pool.select("v").collect()])  # at most PIVOTS rows
@@ -146,21 +169,22 @@ def near_duplicates(vectors: DataFrame, key: str = "vec_id", vector: str = "embe
     def assign(batches):
         pivots = receive()
         for batch in batches:
-            one, two = [], []
-            for v in lists(batch.column(batch.num_columns - 1)):
-                near = [-(p @ v) / np.sqrt(p @ p) if len(p) == len(v) else 0.0 for p in pivots] or [0.0]
-                best = np.argsort(near, kind="stable")[:2]
-                one.append(int(best.min()))
-                two.append(int(best.max()))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(one, pa.int64()), pa.array(two, pa.int64())], names=[*batch.schema.names, "one", "two"])
-
-    placed = classes.select("id", "label", "times", "v")
-    placed = through_table(placed.mapInArrow(assign, placed.select("*").schema.add("one", "long").add("two", "long")), "placed")
-    members = placed.select("id", "label", "times", "one", "two", F.explode(F.array_distinct(F.array("one", "two"))).alias("cluster"))
-    parts = members.groupBy("label", "cluster").agg(F.ceil(F.count(F.lit(1)) / PART_ROWS).cast("int").alias("parts"))
-    cut = members.join(parts, ["label", "cluster"]).withColumn("part", F.pmod(F.xxhash64("id", "cluster"), F.col("parts")).cast("int"))
-    cut = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cells = cut.select("id", "label", "times", "one", "two", "cluster", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
+            home, guests = homes_and_guests(list(lists(batch.column(3))), batch.column(4).to_numpy(), pivots, threshold)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(home), pa.array(guests, pa.list_(pa.int64()))], names=[*batch.schema.names[:4], "home", "guests"])
+
+    asked = classes.join(needs.select("label", "wanted"), "label").select("id", "label", "times", "v", "wanted")
+    placed = through_table(asked.mapInArrow(assign, asked.drop("wanted").schema.add("home", "long").add("guests", ArrayType(LongType()))), "placed")
+    members = placed.select("id", "label", "times", "home", F.explode(F.concat(F.array("home"), "guests")).alias("cluster"))
+    members = members.withColumn("guest", F.col("cluster") != F.col("home")).drop("home")
+    parts = members.groupBy("label", "cluster").agg(*(F.ceil(F.count_if(x) / PART_ROWS).cast("int").alias(n) for n, x in (("homes", ~F.col("guest")), ("visits", F.col("guest")))))
+    cut = members.join(parts.where("homes > 0"), ["label", "cluster"])
+    # parts of home classes are numbered from 0 up, those of guests from -1 down
+    dealt = F.xxhash64("id", "cluster")
+    cut = cut.withColumn("part", F.when(F.col("guest"), -1 - F.pmod(dealt, F.greatest("visits", F.lit(1)))).otherwise(F.pmod(dealt, F.col("homes"))).cast("int"))
+    met = F.sequence(F.lit(0), F.col("homes") - 1)
+    met = F.when(F.col("guest") | (F.col("visits") == 0), met).otherwise(F.concat(met, F.sequence(F.lit(-1), -F.col("visits"))))
+    cut = cut.withColumn("other", F.explode(met))
+    cells = cut.select("id", "label", "times", "cluster", "part", F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b"))
     found = cells.join(placed.select("id", "v"), "id").groupBy("label", "cluster", "a", "b").applyInArrow(lambda t: _cell(t, threshold), "id long, n long, root long")
     found = through_table(found, "vector-links")
 
