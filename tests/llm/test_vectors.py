@@ -134,3 +134,18 @@ def test_clustered_vectors_visit_few_pivots():
     home, guests = L.homes_and_guests([centres[i % 20] + rng.normal(size=16) * 0.05 for i in range(200)] + [np.ones(3)], np.full(201, 20), list(centres), 0.93)
     assert home[:200].tolist() == [i % 20 for i in range(200)] and home[200] == 0 and len(guests[200]) == 0
     assert sum(map(len, guests)) < 0.2 * 200 * 20
+
+
+def test_a_cell_misses_nothing():
+    """Many loose chains of links in one cell; and two sides of a cell."""
+    rng = np.random.default_rng(13)
+    v = rng.normal(size=(1500, 12))
+    for i in range(1, 1500):
+        if i % 5:
+            v[i] = v[i - 1] + rng.normal(size=12) * 0.25
+    unit = v / np.sqrt((v**2).sum(axis=1))[:, None]
+    want = np.stack(np.nonzero(np.triu(unit @ unit.T >= 0.93, 1)))
+    assert sorted(map(tuple, L.pairs_within(v, 0.93).T)) == sorted(map(tuple, want.T))
+    left, right = np.arange(0, 1500, 2), np.arange(1, 1500, 2)
+    got = [tuple(sorted(p)) for i, j in L.blocks_within(v, left, right, 0.93) for p in zip(i, j)]
+    assert sorted(got) == sorted(tuple(p) for p in want.T if (p[0] + p[1]) % 2)

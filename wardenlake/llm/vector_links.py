@@ -8,15 +8,14 @@ however many pivots there are.  Where vectors stand in no clusters all are guest
 pairs of a label are compared.  The home classes of a label and a pivot, and the guests, are cut into
 parts of bounded size; each pair of home parts and each home part with a guest part is a cell, and
 each pair of classes meets in one cell.
-In a cell the classes again form overlapping clusters, each gives its
-members pruned neighbour lists, the lists of a member are united, and a greedy search for every
-member starts from the clusters' medoids and goes on through everything within range.  A sample of
-the members is also compared with the whole cell; where the search missed anything of it, the cell
-is compared in full.  Each pair found is taken again in double precision.
+In a cell every member is compared with every other, in single precision and, as near to the threshold
+as that may err, in double precision.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,72 +24,38 @@ from pyspark.sql.types import ArrayType, LongType
 
 from wardenlake.llm.common import send, through_table
 from wardenlake.llm.components import components
-from wardenlake.llm.pruned_graph import QUERIES_AT_ONCE, medoid, prune, search
 from wardenlake.llm.vector_search import lists, usable
 
 CLUSTER_ROWS = 2000
 PIVOTS = 256
 PART_ROWS = 2000
-LOCAL_ROWS = 256
-CANDIDATES, DEGREE, BEAM = 48, 16, 32
-AUDITED = 32
-#: Single-precision products this far below the threshold are taken again in double precision.
+ROWS_AT_ONCE = 256
+#: Single-precision products that lie this near to the threshold, or as near as they may err, are taken again in double precision.
 SOFT = 1e-4
 
 
-def flat_graph(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Neighbour lists united over overlapping clusters, and the clusters' medoids."""
-    n = len(unit)
-    rng = np.random.default_rng(3)
-    pivots = unit[rng.choice(n, -(-n // LOCAL_ROWS), replace=False)]
-    homes = np.argsort(-(unit @ pivots.T), axis=1)[:, :2]
-    graph, entries = np.full((n, DEGREE * homes.shape[1]), -1, np.int32), []
-    for c in range(len(pivots)):
-        members, slot = np.nonzero(homes == c)
-        if not len(members):
-            continue
-        entries.append(members[medoid(unit[members])])
-        width = min(CANDIDATES + 1, len(members))
-        for a in range(0, len(members), QUERIES_AT_ONCE):
-            own = members[a : a + QUERIES_AT_ONCE]
-            near = unit[own] @ unit[members].T
-            best = members[np.argpartition(-near, width - 1, axis=1)[:, :width]]
-            kept = prune(own, best.astype(np.int32), unit, DEGREE, 1.44)
-            graph[own[:, None], slot[a : a + QUERIES_AT_ONCE, None] * DEGREE + np.arange(DEGREE)] = kept
-    return graph, np.unique(entries)
+def blocks_within(vectors: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of rows whose cosine reaches the threshold, a block at a time: i of ``left`` and j of ``right``, or all i < j of ``left``."""
+    length = np.sqrt((vectors**2).sum(axis=1))
+    unit = (vectors / length[:, None]).astype(np.float32)
+    soft = max(SOFT, vectors.shape[1] * 2.0**-22)
+    for a in range(0, len(left), ROWS_AT_ONCE):
+        rows, columns = left[a : a + ROWS_AT_ONCE], left[a:] if right is None else right
+        product = unit[rows] @ unit[columns].T
+        i, j = np.nonzero(product >= threshold - soft)
+        if right is None:
+            i, j = i[i < j], j[i < j]
+        near = np.flatnonzero(product[i, j] < threshold + soft)
+        i_, j_, good = rows[i], columns[j], np.ones(len(i), bool)
+        for b in range(0, len(near), 1 << 14):
+            k = near[b : b + (1 << 14)]
+            good[k] = np.einsum("ij,ij->i", vectors[i_[k]], vectors[j_[k]]) / (length[i_[k]] * length[j_[k]]) >= threshold
+        yield i_[good], j_[good]
 
 
 def pairs_within(vectors: np.ndarray, threshold: float) -> np.ndarray:
-    """Pairs (i < j) of rows whose cosine reaches the threshold, found by graph search and audited."""
-    length = np.sqrt((vectors**2).sum(axis=1))
-    exact = vectors / length[:, None]
-    unit, n = exact.astype(np.float32), len(vectors)
-    graph, entries = flat_graph(unit)
-    found = []
-    for a in range(0, n, QUERIES_AT_ONCE):
-        query, node = search(unit, graph, unit[a : a + QUERIES_AT_ONCE], entries, BEAM, step=8, reach=threshold - SOFT)
-        found.append(np.stack([query + a, node]))
-    pairs = _once(np.concatenate(found, axis=1), n)
-    asked = np.random.default_rng(4).choice(n, min(AUDITED, n), replace=False)
-    true = np.stack(np.nonzero(unit[asked] @ unit.T >= threshold - SOFT))
-    true[0] = asked[true[0]]
-    if len(np.setdiff1d(_once(true, n), pairs, assume_unique=True)):
-        blocks = []
-        for a in range(0, n, QUERIES_AT_ONCE):
-            i, j = np.nonzero(unit[a : a + QUERIES_AT_ONCE] @ unit.T >= threshold - SOFT)
-            blocks.append(_once(np.stack([i + a, j]), n))
-        pairs = np.unique(np.concatenate(blocks))
-    out = []
-    for a in range(0, len(pairs), 1 << 16):
-        i, j = np.divmod(pairs[a : a + (1 << 16)], n)
-        product = np.einsum("ij,ij->i", vectors[i], vectors[j]) / (length[i] * length[j])
-        out.append(np.stack([i, j])[:, product >= threshold])
-    return np.concatenate(out, axis=1) if out else np.empty((2, 0), np.int64)
-
-
-def _once(pairs: np.ndarray, n: int) -> np.ndarray:
-    low, high = pairs.min(axis=0).astype(np.int64), pairs.max(axis=0)
-    return np.unique((low * n + high)[low != high])
+    """Pairs (i < j) of rows whose cosine reaches the threshold."""
+    return np.concatenate([np.empty((2, 0), np.int64), *map(np.stack, blocks_within(vectors, np.arange(len(vectors)), None, threshold))], axis=1)
 
 
 def homes_and_guests(vectors: list[np.ndarray], wanted: np.ndarray, pivots: list[np.ndarray], threshold: float) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -127,18 +92,20 @@ def _cell(table: pa.Table, threshold: float) -> pa.Table:
     across = table["a"][0].as_py() != table["b"][0].as_py()
     for size in np.unique(sizes):
         own = np.flatnonzero(sizes == size)
-        i, j = own[pairs_within(np.stack([vectors[k] for k in own]), threshold)] if len(own) > 1 else (own[:0], own[:0])
-        if across:
-            i, j = i[part[i] != part[j]], j[part[i] != part[j]]
-        np.add.at(count, i, times[j])
-        np.add.at(count, j, times[i])
-        while len(i):  # the smallest row reachable, by repeated minima
-            before = root.copy()
-            np.minimum.at(root, i, root[j])
-            np.minimum.at(root, j, root[i])
-            root = root[root]
-            if (root == before).all():
-                break
+        first = part[own] == part[0]
+        left, right = (np.flatnonzero(first), np.flatnonzero(~first)) if across else (np.arange(len(own)), None)
+        for i, j in blocks_within(np.stack([vectors[k] for k in own]), left, right, threshold):
+            i, j = own[i], own[j]
+            np.add.at(count, i, times[j])
+            np.add.at(count, j, times[i])
+            while True:  # the larger of two linked roots goes to the smallest one it links with
+                one, two = root[i], root[j]
+                apart = one != two
+                if not apart.any():
+                    break
+                np.minimum.at(root, np.maximum(one, two)[apart], np.minimum(one, two)[apart])
+                while (root[root] != root).any():
+                    root = root[root]
     keep = (count > 0) | (root != np.arange(len(ids)))
     return pa.table({"id": ids[keep], "n": count[keep], "root": ids[root[keep]]})
 
