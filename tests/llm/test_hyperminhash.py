@@ -65,6 +65,16 @@ def test_repeated_rows_null_keys_and_empty_table(spark):
     assert H.near_duplicates(table(spark, [])).count() == 0
 
 
+def test_a_key_with_several_texts(spark):
+    """Each text of the key keeps its own links, whichever of its rows comes first."""
+    rng = np.random.default_rng(5)
+    bases = [[f"w{rng.integers(5000)}" for _ in range(100)] for _ in range(6)]
+    rows = [(3, " ".join(b)) for b in bases] + [(10 + i, mutated(rng, b, 1)) for i, b in enumerate(bases)] + [(1, mutated(rng, bases[0], 1))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["component_id"], r["kept"]) for r in H.near_duplicates(docs, size=3, percent=85).collect())
+    assert got == sorted([(1, 1, True), (3, 1, False)] + [(3, 3, True)] * 5 + [(10, 1, False)] + [(10 + i, 3, False) for i in range(1, 6)])
+
+
 def test_bands_rarely_miss_and_estimates_hold():
     rng = np.random.default_rng(2)
     for n in (7, 20, 60, 200, 900):

@@ -217,8 +217,13 @@ def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return wide.mapInArrow(run, "u long, v long")
 
 
+def _mark(key: str, text: str) -> Column:
+    """One number for a key and a text: a key may stand with several texts."""
+    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+
+
 def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
-    """(id, shingles) of the documents with these ids, one row an id.
+    """(id, shingles) of the documents whose keys and texts have these marks, one row a mark.
 
     A bitmap of fixed size over the hashed ids goes to the scan, so that the texts of other
     documents are skipped before they are shuffled; the join decides.
@@ -243,7 +248,7 @@ def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) ->
                 values = pa.array(np.concatenate(sets).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "shingles"])
 
-    named = docs.select(F.col(key).alias("id"), F.col(text).alias("t")).where("id is not null and t is not null")
+    named = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(_mark(key, text).alias("id"), F.col(text).alias("t"))
     found = named.select("id", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("p"), "t").mapInArrow(run, "id long, shingles array<long>")
     return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
@@ -319,15 +324,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", si
     shingles (lower-cased A-Z, words ``[^\\x20\\x09-\\x0D]+``); component_id is the smallest key
     reachable, kept says whether that is the row's own key.  Null and empty texts have no shingles and
     link with nothing; null keys stay alone with a null component and kept false.  Rows that repeat a
-    key come out as often as they went in.  Other columns, whatever their names, are left out.
+    key come out as often as they went in; each links by its own text, and components that have no link
+    between them share an id where their smallest key is the same.  Other columns, whatever their names, are left out.
     """
     small_batches(docs.sparkSession)
-    sketched = through_table(sketch(docs, text, size, [F.col(key).cast("long").alias("id")]), "sketches")
-    same = sketched.where("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min("id").alias("id"), F.min_by("registers", "id").alias("registers"))
-    classes = through_table(same, "classes")
+    sketched = through_table(sketch(docs, text, size, [F.col(key).cast("long").alias("id"), _mark(key, text).alias("mark")]), "sketches")
+    same = sketched.where("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("id", "mark")).alias("x"), F.min_by("registers", "id").alias("registers"))
+    classes = through_table(same.select("d1", "d2", "n_shingles", F.col("x.id").alias("key"), F.col("x.mark").alias("id"), "registers"), "classes")
     links = through_table(class_links(docs, classes, key, text, size, percent), "class-links")
-    of = components(links)
-    named = classes.join(of, classes["id"] == of["node"], "left").select("d1", "d2", "n_shingles", F.coalesce("component", "id").alias("component_id"))
+    of = through_table(components(links).withColumnRenamed("node", "id").join(classes.select("id", "key"), "id"), "components")
+    of = of.join(of.groupBy("component").agg(F.min("key").alias("least")), "component").select("id", "least")
+    named = classes.join(of, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("least", "key").alias("component_id"))
     out = sketched.join(named, ["d1", "d2", "n_shingles"], "left")
     component = F.coalesce("component_id", "id")
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
