@@ -45,6 +45,15 @@ def through_table(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_tables(*frames: DataFrame) -> None:
+    """Delete the files behind frames of ``through_table`` once nothing reads them any more."""
+    for frame in frames:
+        hadoop = frame.sparkSession._jvm.org.apache.hadoop.fs
+        for folder in {f.rsplit("/", 1)[0] for f in frame.inputFiles()}:
+            path = hadoop.Path(folder)
+            path.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of whole texts, by rows and by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")

@@ -9,10 +9,11 @@ registers less the collisions that short registers make by chance, then on the f
 How many bands there are follows from the size of the set, so that two linked sets miss each other
 with a chance of about ``MISS``: see ``band_plan``.
 
-Documents with equal sets are one class from the start.  Within a bucket every class is compared
-with the bucket's hub, the smallest id.  Most buckets are one component by then.  In the others all
-classes outside the hub's component meet every class of the bucket in blocks of bounded size, so no
-link between agreeing documents is lost and no group's pairs are written out.
+Documents with equal sets are one class from the start.  Every class is compared with the hub of each
+of its buckets, the one that meets most others.  Most buckets are one component by then.  What a hub
+leaves outside meets the hub's other members in blocks of bounded size, less those that their
+distances from the hub rule out; so no link between agreeing documents is lost, a member stands once
+in a cluster however many buckets it shares with the hub, and no group's pairs are written out.
 """
 
 from __future__ import annotations
@@ -22,14 +23,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardenlake.llm.common import Words, arrow_bytes, mix, send, small_batches, through_table
+from wardenlake.llm.common import Words, arrow_bytes, drop_tables, mix, send, small_batches, through_table
 from wardenlake.llm.components import components
 
 INDEX_BITS = 8
 REGISTERS = 1 << INDEX_BITS
 EMPTY = 65535
 #: Chance that two sets just at the threshold agree in no band.
-MISS = 1e-9
+MISS = 3e-9
 MANTISSA_BITS = 10
 #: Standard deviations that the estimate may lie below the threshold before a pair is dropped.
 SLACK = 6.0
@@ -81,15 +82,30 @@ def estimate(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarra
     used = ((a != EMPTY) | (b != EMPTY)).sum(axis=-1)
     same = ((a == b) & (a != EMPTY)).sum(axis=-1)
     large, small = np.maximum(size_a, size_b).astype(float), np.maximum(np.minimum(size_a, size_b), 1).astype(float)
-    chance = 0.169919487159739093975315012348 * 2.0 ** (INDEX_BITS - MANTISSA_BITS) * 4 * (large / small) / ((1 + large) / small) ** 2
-    return np.clip(same - np.where(same < used, np.minimum(chance, 1.0), 0), 0, None) / np.maximum(used, 1), used
+    chance = np.where(same < used, collisions(large, small), 0)
+    return np.clip(same - chance, 0, None) / np.maximum(used, 1), used
 
 
-def plausible(a, b, size_a, size_b, percent: int) -> np.ndarray:
-    """False only where the sizes exclude the threshold or the estimate lies SLACK deviations below it.
+def collisions(large: np.ndarray, small: np.ndarray) -> np.ndarray:
+    """Registers in which two sets without a common element are expected to agree."""
+    return 0.169919487159739093975315012348 * 2.0 ** (INDEX_BITS - MANTISSA_BITS) * 4 * (large / small) / (1 + large / small) ** 2
+
+
+def bounds(a: np.ndarray, b: np.ndarray, size_a: np.ndarray, size_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and largest similarity that the sizes and the estimate allow, SLACK deviations to each side.
 
     The registers sample the union without replacement, so in small sets they leave little to chance.
     """
+    guess, used = estimate(a, b, size_a, size_b)
+    small, large = np.minimum(size_a, size_b), np.maximum(np.maximum(size_a, size_b), 1)
+    unseen = np.clip(1 - used * (1 + guess) / np.maximum(size_a + size_b, 1), 0.1, 1)
+    # the variance is that at the end of the range that lies nearer to a half
+    off = SLACK * np.sqrt(0.25 * unseen / np.maximum(used, 1)) + 0.02
+    return np.clip(guess - off, 0, 1), np.minimum(np.clip(guess + off, 0, 1), small / large)
+
+
+def plausible(a, b, size_a, size_b, percent: int) -> np.ndarray:
+    """False only where the sizes exclude the threshold or the estimate lies SLACK deviations below it."""
     share = percent / 100
     guess, used = estimate(a, b, size_a, size_b)
     fits = 100 * np.minimum(size_a, size_b) >= percent * np.maximum(size_a, size_b)
@@ -172,27 +188,6 @@ def band_keys(rows: np.ndarray, sizes: np.ndarray, percent: int) -> tuple[np.nda
     return np.concatenate(at), np.concatenate(keys)
 
 
-class FirstMeeting:
-    """Whether a pair of a bucket's members already met in an earlier bucket, so that each pair is tried once."""
-
-    def __init__(self, bucket: np.uint64, rows: np.ndarray, sizes: np.ndarray, percent: int):
-        self.earlier = []
-        for c, members, key, used in band_tables(rows, sizes, percent):
-            keys = np.zeros((len(rows), key.shape[1]), np.uint64)
-            keys[members] = np.where(used, key, 0)
-            here = np.flatnonzero((keys == bucket).any(axis=0))
-            if len(here):
-                self.earlier.append(keys[:, : here[0]])
-                break
-            self.earlier.append(keys)
-
-    def met(self, i: int, others: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(others), bool)
-        for keys in self.earlier:
-            out |= ((keys[others] == keys[i]) & (keys[i] != 0)).any(axis=1)
-        return out
-
-
 def _bands(classes: DataFrame, percent: int) -> DataFrame:
     """(bucket, id) for each band of a class that holds anything."""
 
@@ -204,22 +199,22 @@ def _bands(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("id", "registers", "n_shingles").mapInArrow(run, "bucket long, id long")
 
 
-def _may_link(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs (u, v) that sizes and estimate allow."""
+def _bounds(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (u, v) with the similarity that registers and sizes allow: low and high, SLACK deviations around the estimate."""
     own = classes.select("id", "n_shingles", "registers")
     wide = pairs.join(own.toDF("u", "n_u", "r_u"), "u").join(own.toDF("v", "n_v", "r_v"), "v").select("u", "v", "n_u", "n_v", "r_u", "r_v")
 
     def run(batches):
         for b in batches:
-            good = plausible(_rows(b.column(4)), _rows(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy(), percent)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["u", "v"]).filter(pa.array(good))
+            low, high = bounds(_rows(b.column(4)), _rows(b.column(5)), b.column(2).to_numpy(), b.column(3).to_numpy())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(low), pa.array(high)], names=["u", "v", "low", "high"])
 
-    return wide.mapInArrow(run, "u long, v long")
+    return wide.mapInArrow(run, "u long, v long, low double, high double")
 
 
-def _mark(key: str, text: str) -> Column:
+def mark_of(key: str | Column, text: str) -> Column:
     """One number for a key and a text: a key may stand with several texts."""
-    return F.xxhash64(F.col(key).cast("long"), F.col(text))
+    return F.xxhash64((F.col(key) if isinstance(key, str) else key).cast("long"), F.col(text))
 
 
 def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -248,23 +243,23 @@ def _sets_of(docs: DataFrame, ids: DataFrame, key: str, text: str, size: int) ->
                 values = pa.array(np.concatenate(sets).astype(np.int64))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), values)], names=["id", "shingles"])
 
-    named = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(_mark(key, text).alias("id"), F.col(text).alias("t"))
+    named = docs.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(mark_of(key, text).alias("id"), F.col(text).alias("t"))
     found = named.select("id", F.pmod(F.xxhash64("id"), F.lit(FILTER_BITS)).alias("p"), "t").mapInArrow(run, "id long, shingles array<long>")
     return found.join(ids, "id", "left_semi").dropDuplicates(["id"])
 
 
-def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose full sets reach the threshold."""
+def _similar(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (u, v) with the exact similarity of their full sets, and whether it reaches the threshold."""
     wide = pairs.join(sets.toDF("u", "s_u"), "u").join(sets.toDF("v", "s_v"), "v")
     both = F.size(F.array_intersect("s_u", "s_v"))
-    return wide.where(100 * both >= percent * (F.size("s_u") + F.size("s_v") - both)).select("u", "v")
+    wide = wide.select("u", "v", both.alias("both"), (F.size("s_u") + F.size("s_v") - both).alias("all"))
+    return wide.select("u", "v", (F.col("both") / F.col("all")).alias("exact"), (100 * F.col("both") >= percent * F.col("all")).alias("linked"))
 
 
-def _forest(bucket: int, members: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], sides: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
+def _forest(members: np.ndarray, groups: np.ndarray, sets: list[np.ndarray], sides: list[tuple[np.ndarray, np.ndarray]], percent: int) -> list[tuple[int, int]]:
     """Links between left and right members that join different groups, only as many as join them."""
     size = np.array([len(s) for s in sets])
     rows = registers(sets)
-    meeting = FirstMeeting(np.int64(bucket).astype(np.uint64), rows, size, percent)
     parent = {int(g): int(g) for g in groups}
 
     def root(g: int) -> int:
@@ -277,7 +272,6 @@ def _forest(bucket: int, members: np.ndarray, groups: np.ndarray, sets: list[np.
     for left, right in sides:
         for i in left:
             tried = right[groups[right] != groups[i]]
-            tried = tried[~meeting.met(i, tried)]
             for j in tried[plausible(rows[i], rows[tried], size[i], size[tried], percent)]:
                 a, b = root(int(groups[i])), root(int(groups[j]))
                 if a != b:
@@ -288,16 +282,16 @@ def _forest(bucket: int, members: np.ndarray, groups: np.ndarray, sets: list[np.
     return found
 
 
-def _rest(open_buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links in buckets that the hubs left in several components.
+def _rest(clusters: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links among the members of a hub that it left in several components.
 
-    Rows are (bucket, id, component, outside, part, parts): ``outside`` members are not in the
-    hub's component and must meet all.  The parts of a bucket meet pairwise, one task group a pair
-    of parts, and each group gives a forest of the links that it finds.
+    Rows are (hub, id, component, outside, part, parts): ``outside`` members are not in the hub's
+    component and must meet all.  The parts of a cluster meet pairwise, one task group a pair of
+    parts, and each group gives a forest of the links that it finds.
     """
-    columns = ["bucket", "id", "component", "outside", "part"]
-    whole = open_buckets.where("parts = 1").select(*columns, F.lit(0).alias("a"), F.lit(0).alias("b"))
-    pairs = open_buckets.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    columns = ["hub", "id", "component", "outside", "part"]
+    whole = clusters.where("parts = 1").select(*columns, F.lit(0).alias("a"), F.lit(0).alias("b"))
+    pairs = clusters.where("parts > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cells = whole.unionByName(pairs.select(*columns, F.least("part", "other").alias("a"), F.greatest("part", "other").alias("b")))
     wide = cells.join(sets, "id")
 
@@ -311,56 +305,83 @@ def _rest(open_buckets: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         in_first = part[order] == table["a"][0].as_py()
         first, second = order[in_first], order[~in_first]
         sides = [(first[outside[first]], second), (second[outside[second]], first)] if len(second) else [(first[outside[first]], first)]
-        found = _forest(table["bucket"][0].as_py(), members, table["component"].to_numpy(), sets_, sides, percent)
+        found = _forest(members, table["component"].to_numpy(), sets_, sides, percent)
         return pa.table({"u": pa.array([x for x, _ in found], pa.int64()), "v": pa.array([x for _, x in found], pa.int64())})
 
-    return wide.groupBy("bucket", "a", "b").applyInArrow(run, "u long, v long")
+    return wide.groupBy("hub", "a", "b").applyInArrow(run, "u long, v long")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, percent: int = 80) -> DataFrame:
-    """One row per document: key, n_shingles, component_id and kept.
+    """One row per document: key, n_shingles, component_id, kept, mark and first.
 
     Documents link when 100 * |intersection| >= percent * |union| of their sets of ``size``-word
     shingles (lower-cased A-Z, words ``[^\\x20\\x09-\\x0D]+``); component_id is the smallest key
     reachable, kept says whether that is the row's own key.  Null and empty texts have no shingles and
-    link with nothing; null keys stay alone with a null component and kept false.  Rows that repeat a
-    key come out as often as they went in; each links by its own text, and components that have no link
-    between them share an id where their smallest key is the same.  Other columns, whatever their names, are left out.
+    link with nothing; very long texts count as a whole, one at a time; null keys stay alone with a
+    null component and kept false.  Rows that repeat a key come out as often as they went in; each
+    links by its own text, and components that have no link between them share an id where their
+    smallest key is the same.  ``mark`` (``mark_of``) tells the texts of a key apart, and ``first`` is true
+    for one key and text of each component: the smallest key, and of its texts that with the smallest mark.
+    Ties fall to the smaller key.  An empty table gives no rows.  Other columns, whatever their
+    names, are left out.
     """
     small_batches(docs.sparkSession)
-    sketched = through_table(sketch(docs, text, size, [F.col(key).cast("long").alias("id"), _mark(key, text).alias("mark")]), "sketches")
+    sketched = through_table(sketch(docs, text, size, [F.col(key).cast("long").alias("id"), mark_of(key, text).alias("mark")]), "sketches")
     same = sketched.where("n_shingles > 0 and id is not null").groupBy("d1", "d2", "n_shingles").agg(F.min(F.struct("id", "mark")).alias("x"), F.min_by("registers", "id").alias("registers"))
     classes = through_table(same.select("d1", "d2", "n_shingles", F.col("x.id").alias("key"), F.col("x.mark").alias("id"), "registers"), "classes")
-    links = through_table(class_links(docs, classes, key, text, size, percent), "class-links")
+    rows = through_table(sketched.drop("registers"), "rows")
+    drop_tables(sketched)
+    links = class_links(docs, classes, key, text, size, percent)
     of = through_table(components(links).withColumnRenamed("node", "id").join(classes.select("id", "key"), "id"), "components")
-    of = of.join(of.groupBy("component").agg(F.min("key").alias("least")), "component").select("id", "least")
-    named = classes.join(of, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("least", "key").alias("component_id"))
-    out = sketched.join(named, ["d1", "d2", "n_shingles"], "left")
-    component = F.coalesce("component_id", "id")
-    return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"))
+    of = of.join(of.groupBy("component").agg(F.min(F.struct("key", "id")).alias("least")), "component").select("id", "least")
+    named = classes.join(of, "id", "left").select("d1", "d2", "n_shingles", F.coalesce("least", F.struct("key", "id")).alias("least"))
+    out = rows.join(named, ["d1", "d2", "n_shingles"], "left")
+    component = F.coalesce("least.key", "id")
+    return out.select(
+        F.col("id").alias(key), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(False)).alias("kept"),
+        "mark", F.coalesce((F.col("least.key") == F.col("id")) & (F.col("least.id") == F.col("mark")), F.lit(True)).alias("first"))
 
 
 def class_links(docs: DataFrame, classes: DataFrame, key: str, text: str, size: int, percent: int) -> DataFrame:
-    """Links (u, v) between classes that give the components of all links."""
+    """Links (u, v) between classes that give the components of all links.
+
+    The hub of a bucket is the member that meets most others over all its buckets, so one hub serves
+    many buckets.  All that agree with one another have a hub in common: a hub's members, each named
+    once, are one cluster.
+    """
+    share = percent / 100
     bands = through_table(_bands(classes, percent), "bands")
-    hubs = bands.groupBy("bucket").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    crowded = through_table(bands.join(hubs, "bucket"), "crowded")
-    star = crowded.where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct()
-    tried = through_table(_may_link(star, classes, percent), "tried")
+    several = bands.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = through_table(bands.join(several, "bucket"), "crowded")
+    degree = crowded.groupBy("id").agg(F.sum("n").alias("degree"))
+    hubs = crowded.join(degree, "id").groupBy("bucket").agg(F.max(F.struct("degree", "id")).alias("h")).select("bucket", F.col("h.id").alias("hub"))
+    star = through_table(crowded.join(hubs, "bucket").where("id <> hub").select(F.col("hub").alias("u"), F.col("id").alias("v")).distinct(), "star")
+    drop_tables(bands, crowded)
+
+    bounded = through_table(_bounds(star, classes), "bounds")
+    tried = bounded.where(F.col("high") >= share - 1e-9).select("u", "v")
     ends = tried.select(F.col("u").alias("id")).unionByName(tried.select(F.col("v").alias("id"))).distinct()
     sets = through_table(_sets_of(docs, ends, key, text, size), "sets")
-    found = through_table(_linked(tried, sets, percent), "found")
-
-    # buckets of three and more where a member is outside the hub's component
-    of = components(found)
-    placed = crowded.where("n > 2").join(of.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", "hub", "n", F.coalesce("component", "id").alias("component"))
-    hub_at = placed.where("id = hub").select("bucket", F.col("component").alias("hub_component"))
-    placed = placed.where("id <> hub").join(hub_at, "bucket").withColumn("outside", F.col("component") != F.col("hub_component"))
-    waiting = placed.groupBy("bucket").agg(F.max("outside").alias("open")).where("open").select("bucket")
-    left = through_table(placed.join(waiting, "bucket").join(classes.select("id", "n_shingles"), "id"), "left")
-    weight = left.groupBy("bucket").agg(F.sum("n_shingles").alias("w"), F.count(F.lit(1)).alias("members"))
+    exact = through_table(_similar(tried, sets, percent), "exact")
+    found = through_table(exact.where("linked").select("u", "v"), "found")
+
+    # One minus the similarity is a metric: a member of the hub's component can link with one outside
+    # only where their distances from the hub differ by no more than the threshold allows.
+    of = through_table(components(found).withColumnRenamed("node", "id"), "star-components")
+    known = bounded.join(exact, ["u", "v"], "left").select(
+        F.col("u").alias("hub"), F.col("v").alias("id"), (1 - F.coalesce("exact", "high")).alias("near"), (1 - F.coalesce("exact", "low")).alias("far"))
+    known = known.join(of, "id", "left").join(of.toDF("hub", "hub_component"), "hub", "left")
+    known = known.withColumn("component", F.coalesce("component", "id")).withColumn("outside", F.col("component") != F.coalesce("hub_component", "hub"))
+    known = through_table(known.select("hub", "id", "near", "far", "component", "outside"), "known")
+    least = known.where("outside").groupBy("hub").agg(F.min("near").alias("least"))
+    kept = known.join(least, "hub").where(F.col("outside") | (F.col("far") >= F.col("least") - (1 - share) - 1e-6))
+    kept = through_table(kept.select("hub", "id", "component", "outside").join(classes.select("id", "n_shingles"), "id"), "kept")
+    weight = kept.groupBy("hub").agg(F.sum("n_shingles").alias("w"), F.count(F.lit(1)).alias("members"), F.min("component").alias("one"), F.max("component").alias("two"))
     parts = F.greatest(F.ceil(F.col("w") / BLOCK_SHINGLES), F.ceil(F.col("members") / BLOCK_MEMBERS)).cast("int")
-    cut = left.join(weight.select("bucket", parts.alias("parts")), "bucket").withColumn("part", F.pmod(F.xxhash64("id", "bucket"), F.col("parts")).cast("int"))
-    cut = through_table(cut.select("bucket", "id", "component", "outside", "part", "parts"), "open-buckets")
-    more = _sets_of(docs, cut.select("id").distinct(), key, text, size)
-    return found.unionByName(_rest(cut, through_table(more, "more-sets"), percent))
+    cut = kept.join(weight.where("one <> two").select("hub", parts.alias("parts")), "hub").withColumn("part", F.pmod(F.xxhash64("id", "hub"), F.col("parts")).cast("int"))
+    cut = through_table(cut.select("hub", "id", "component", "outside", "part", "parts"), "clusters")
+    drop_tables(star, bounded, sets, exact, of, known, kept)
+    more = through_table(_sets_of(docs, cut.select("id").distinct(), key, text, size), "more-sets")
+    links = through_table(found.unionByName(_rest(cut, more, percent)), "class-links")
+    drop_tables(found, cut, more)
+    return links

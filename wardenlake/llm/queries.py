@@ -51,7 +51,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op5_hyperminhash")
 def op5_hyperminhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near copies among all documents: three-word shingles, similarity of 0.85 and more."""
-    return hyperminhash.near_duplicates(given(spark, sf_dir, "documents"), size=3, percent=85)
+    return hyperminhash.near_duplicates(given(spark, sf_dir, "documents"), size=3, percent=85).drop("mark", "first")
 
 
 @query("op7_warc_archive", """
