@@ -31,9 +31,16 @@ def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity of 0.8 and more), that with the smallest id."""
-    copies = hyperminhash.near_duplicates(docs).where("not kept and doc_id is not null").select("doc_id").distinct()
-    return docs.select(DOCUMENT).join(copies, "doc_id", "left_anti").select(DOCUMENT)
+    """One document of each group of near copies (five-word shingles, similarity of 0.8 and more), that with the smallest id.
+
+    A document is an id with a text: each text of a repeated id is judged on its own, and of rows that
+    repeat both one stays.  Rows without an id are told apart by their texts and rank behind all ids.
+    Null and empty texts are no copies of anything.  An empty table gives no rows.
+    """
+    id_ = F.coalesce("doc_id", F.lit(1 << 62) + F.shiftrightunsigned(F.xxhash64("text"), 2))
+    named = docs.select(id_.alias("id"), hyperminhash.mark_of(id_, "text").alias("mark"), *DOCUMENT)
+    first = hyperminhash.near_duplicates(named, key="id").where("first").select("id", "mark").distinct()
+    return named.dropDuplicates(["id", "mark"]).join(first, ["id", "mark"], "left_semi").select(DOCUMENT)
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
