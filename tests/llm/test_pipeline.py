@@ -49,6 +49,18 @@ def test_near_copies_stage(stages):
     assert stages[2].columns == C.DOCUMENT and {r["doc_id"] for r in stages[2].collect()} == want
 
 
+def test_near_copies_of_repeated_and_missing_ids(spark):
+    words = " ".join(f"w{i}" for i in range(60))
+    other, third = " ".join(f"x{i}" for i in range(60)), " ".join(f"y{i}" for i in range(60))
+    rows = [(5, words), (3, other), (3, words + " end"), (3, third), (3, third), (None, third + " end"), (None, "alone in the world with this"), (None, "alone in the world with this"), (7, None), (8, ""), (7, None)]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    kept = C.keep_distinct(spark, docs, SF_DIR)
+    got = sorted((r["doc_id"] or 0, r["text"] or "") for r in kept.collect())
+    assert kept.columns == C.DOCUMENT
+    assert got == sorted([(3, other), (3, words + " end"), (3, third), (0, "alone in the world with this"), (7, ""), (8, "")])
+    assert C.keep_distinct(spark, docs.limit(0), SF_DIR).count() == 0
+
+
 def test_packing_stage_and_run(spark, stages):
     own = library(BYTE)
     want = {r["doc_id"]: len(own.encode(r["text"], add_special_tokens=False).ids) + 1 for r in stages[2].collect()}
