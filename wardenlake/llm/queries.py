@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wardenlake.llm import bpe_codec, hyperminhash, language_id, maxent_lm, packing, quality, token_store, vector_links, vector_search, warc_archive
+from wardenlake.llm import bpe_codec, filter_audit, hyperminhash, language_id, license_scan, maxent_lm, packing, quality, token_store, vector_links, vector_search, warc_archive, whitening
 from wardenlake.llm.common import fold, shared_folder
 
 Run = Callable[[SparkSession, str], DataFrame]
@@ -108,3 +108,37 @@ def op2_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = fold(F.col("doc_id"), 7) == 2
     model = maxent_lm.train(docs, ~held_out)
     return maxent_lm.score(docs.select("doc_id", held_out.alias("held_out"), "text"), model, keep=["doc_id", "held_out"])
+
+
+@query("op12_license_scan", license_scan.duckdb_sql())
+def op12_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and detections of every document."""
+    return license_scan.summary(license_scan.scan(given(spark, sf_dir, "documents")))
+
+
+@query("op11_filter_audit", """
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+    f AS (SELECT doc_id, part, (CASE WHEN len(ws) < 100 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(ws)) < 80 * len(ws) THEN 2 ELSE 0 END)
+                 + (CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 10 * length(t) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 8 ELSE 0 END)
+                 + (CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 16 ELSE 0 END) AS mask FROM d),
+    l AS (SELECT doc_id, coalesce(bool_or(quality = 1), false) AS good, coalesce(bool_or(toxic = 1), false) AS toxic FROM labels GROUP BY doc_id),
+    m AS (SELECT part, mask, count(*) AS n, count(*) FILTER (WHERE good) AS good, count(*) FILTER (WHERE toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+    c(c) AS (VALUES ('A'), ('B'), ('C'), ('D'), ('E')),
+    o AS (SELECT v.c || w.c || x.c || y.c || z.c AS filter_order FROM c v, c w, c x, c y, c z WHERE len(list_distinct([v.c, w.c, x.c, y.c, z.c])) = 5),
+    s AS (SELECT filter_order, step::INT AS step, substr(filter_order, step::INT, 1) AS letter, 1 << (instr('ABCDE', substr(filter_order, step::INT, 1)) - 1) AS bit,
+                 coalesce(list_sum(list_transform(range(1, step), lambda k: 1 << (instr('ABCDE', substr(filter_order, k::INT, 1)) - 1))), 0)::INT AS before FROM o, range(1, 6) r(step)),
+    g AS (SELECT part, filter_order, step, letter, coalesce(sum(n) FILTER (WHERE mask & (before | bit) = 0), 0)::BIGINT AS kept,
+                 coalesce(sum(n) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS removed, coalesce(sum(n) FILTER (WHERE mask & before <> 0 AND mask & bit <> 0), 0)::BIGINT AS redundant,
+                 coalesce(sum(n) FILTER (WHERE mask = bit), 0)::BIGINT AS unique_fails, coalesce(sum(good) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS good_lost,
+                 coalesce(sum(toxic) FILTER (WHERE mask & before = 0 AND mask & bit <> 0), 0)::BIGINT AS toxic_lost FROM m, s GROUP BY ALL)
+    SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, letter))::BIGINT AS shapley FROM g""")
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five text filters remove, in every order of them, in each language."""
+    flagged = filter_audit.text_filters(given(spark, sf_dir, "documents"), given(spark, sf_dir, "labels"))
+    return filter_audit.audit(flagged, {f: f for f in "ABCDE"}, lost={"good_lost": "good", "toxic_lost": "toxic"})
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 32 leading whitened components of all embeddings."""
+    return whitening.whiten(given(spark, sf_dir, "embeddings"))
