@@ -103,6 +103,15 @@ def test_timeline(spark, start, work_days_only):
         assert got[p] == loop_schedule(counts, start, work_days_only), p
 
 
+def test_a_timeline_of_many_waves(spark, monkeypatch):
+    """100,000 waves of one project: 196 segments in 49 blocks, against the loop."""
+    monkeypatch.setattr(gr, "BLOCK", 4)
+    start = datetime(2024, 3, 6, 10, 30)
+    plan = spark.range(100_000).selectExpr("'p' AS project", "concat('f', id) AS path", "cast(id AS int) AS wave")
+    got = gr.timeline(plan, start).select("wave", "start", "end").orderBy("wave").collect()
+    assert [(r["start"], r["end"]) for r in got] == loop_schedule([1] * 100_000, start, True)
+
+
 def test_milestones_and_gantt(spark):
     plan = spark.createDataFrame([("p", "a", 0), ("p", "b", 0), ("p", "c", 1)], "project string, path string, wave int")
     schedule = gr.timeline(plan, datetime(2024, 3, 6, 9, 0))

@@ -170,7 +170,8 @@ def plan_verdict(violations: DataFrame, plan: DataFrame) -> DataFrame:
 # a working day, 9 to 17 o'clock, has 80.  The pause of one clock hour after a wave costs
 # 10, but never crosses the end of the day.
 DAY, PAUSE = 80, 10
-SEGMENT = 512
+#: Waves in a segment, and segments in a block.
+SEGMENT, BLOCK = 512, 256
 
 
 def _after_pause(end: Column) -> Column:
@@ -193,13 +194,38 @@ def _clock(units: Column, start: date, work_days_only: bool) -> Column:
     return day + F.make_dt_interval(F.lit(0), F.lit(9), (rest * 6).cast("int"))
 
 
+def _chain(maps: Column, begin: Column) -> Column:
+    """Where each of the maps starts when they follow one another from ``begin``, and where the last one ends."""
+    return F.aggregate(
+        maps, F.struct(begin.cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("out")),
+        lambda acc, m: F.struct((acc["at"] + F.get(m["_moved"], F.pmod(acc["at"], F.lit(DAY)).cast("int"))).alias("at"),
+                                F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+
+
+def _segment_starts(segments: DataFrame, offset: int) -> DataFrame:
+    """(project, _segment, _begin): a prefix scan in two levels over maps of the 80 day positions.
+
+    The maps of ``BLOCK`` segments compose to one, the blocks of a project are chained, and each
+    block's segments are then chained from its start.  No group holds more than a block of segments,
+    or a project's blocks, of which there is one for each 131,072 waves.
+    """
+    blocks = segments.groupBy("project", F.floor(F.col("_segment") / BLOCK).alias("_block")).agg(F.sort_array(F.collect_list(F.struct("_segment", "_moved"))).alias("_maps"))
+    whole = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(DAY - 1).cast("bigint")), lambda s: F.aggregate(
+        F.col("_maps"), s, lambda c, m: c + F.get(m["_moved"], F.pmod(c, F.lit(DAY)).cast("int"))) - s)
+    chains = blocks.select("project", "_block", whole.alias("_moved")).groupBy("project").agg(F.sort_array(F.collect_list(F.struct("_block", "_moved"))).alias("_blocks"))
+    starts = chains.select("project", F.explode(F.arrays_zip(F.transform("_blocks", lambda x: x["_block"]).alias("b"), _chain(F.col("_blocks"), F.lit(offset))["out"].alias("at"))).alias("r"))
+    inside = blocks.join(starts.select("project", F.col("r.b").alias("_block"), F.col("r.at").alias("_at")), ["project", "_block"])
+    return inside.select("project", F.explode(F.arrays_zip(F.transform("_maps", lambda x: x["_segment"]).alias("s"), _chain(F.col("_maps"), F.col("_at"))["out"].alias("at"))).alias("r")).select(
+        "project", F.col("r.s").alias("_segment"), F.col("r.at").alias("_begin"))
+
+
 def timeline(plan: DataFrame, start: datetime, work_days_only: bool = True) -> DataFrame:
     """Start, end and hours of each wave (project, wave = 0, 1, …).
 
     Each wave starts when the one before it ends, so times chain.  The chain only
     depends on the position inside the working day, which has 80 values: a segment
-    of 512 waves is folded once from each of them, the segment results are chained,
-    and the waves of a segment are then filled in.  No group holds all waves.
+    of 512 waves is folded once from each of them, the segment results are chained in
+    two levels, and the waves of a segment are then filled in.  No group holds all waves.
     """
     minutes = (start.hour - 9) * 60 + start.minute
     weekend = work_days_only and start.weekday() >= 5
@@ -214,10 +240,7 @@ def timeline(plan: DataFrame, start: datetime, work_days_only: bool = True) -> D
     # Units that pass from each start position to the start of the next segment.
     moved = F.transform(F.sequence(F.lit(0).cast("bigint"), F.lit(DAY - 1).cast("bigint")), lambda s: F.aggregate(
         F.col("_waves"), s, lambda c, w: _after_pause(c + w["_units"])) - s)
-    folded = folded.withColumn("_moved", moved)
-    earlier = Window.partitionBy("project").orderBy("_segment").rowsBetween(Window.unboundedPreceding, -1)
-    begin = F.aggregate(F.collect_list("_moved").over(earlier), F.lit(offset).cast("bigint"), lambda c, m: c + F.get(m, F.pmod(c, F.lit(DAY)).cast("int")))
-    chained = folded.withColumn("_begin", begin).drop("_moved")
+    chained = folded.join(_segment_starts(folded.select("project", "_segment", moved.alias("_moved")), offset), ["project", "_segment"])
     filled = F.aggregate(
         F.col("_waves"), F.struct(F.col("_begin").alias("at"), F.array().cast("array<struct<begin:bigint,end:bigint>>").alias("out")),
         lambda acc, w: let(acc["at"] + w["_units"], lambda end: F.struct(

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from wardenlake.functions.text import contains_any, let, strip
 from wardenlake.functions.totals import merge_totals
 from wardenlake.functions.windows import number_rows
+from wardenlake.session import cut_lineage
 
 # Stop words of keyword extraction.
 STOP_WORDS = [
@@ -55,10 +56,19 @@ def postings(chunks: DataFrame, unique_sources: bool = False) -> DataFrame:
     A source added twice repeats its chunk ids, so pairs are made distinct; a caller
     whose sources are unique says so and saves that shuffle.
     """
-    pairs = chunks.select("chunk_id", "chunk_type", F.explode(keywords(F.col("content"))).alias("keyword"))
+    pairs = postings_of(forward_index(chunks))
     return pairs if unique_sources else pairs.distinct()
 
 
+def forward_index(chunks: DataFrame) -> DataFrame:
+    """chunk → its keywords, one row per chunk; narrow.  Stored, it serves the searches and gives the postings."""
+    return chunks.select("chunk_id", "chunk_type", keywords(F.col("content")).alias("words"))
+
+
+def postings_of(forward: DataFrame) -> DataFrame:
+    return forward.select("chunk_id", "chunk_type", F.explode("words").alias("keyword"))
+
+
 def write_postings(index: DataFrame, table: str, buckets: int) -> None:
     """Bucketed and sorted by keyword, so look-ups join without a shuffle of the index."""
     index.write.mode("overwrite").bucketBy(buckets, "keyword").sortBy("keyword").saveAsTable(table)
@@ -68,57 +78,115 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return queries.select("query_id", F.explode(keywords(F.col("text"))).alias("keyword"))
 
 
-def _candidates(terms: DataFrame, index: DataFrame, salt: int) -> DataFrame:
-    """Hits per (query, chunk).
+#: A query's first k results come from this many of its rarest keywords, and so many chunks of each.
+CHAMPION_WORDS, CHAMPIONS = 8, 16
+
+
+def _by_rarity(terms: DataFrame, index: DataFrame) -> DataFrame:
+    """Each query's keywords that the index holds, with their place from the rarest on and how many there are."""
+    asked = terms.select("keyword").distinct()
+    frequency = index.join(asked, "keyword", "left_semi").groupBy("keyword").agg(F.count("*").alias("_df"))
+    held = terms.join(frequency, "keyword")
+    mine = Window.partitionBy("query_id")
+    placed = held.withColumn("_place", F.row_number().over(mine.orderBy("_df", "keyword"))).withColumn("_words", F.count("*").over(mine))
+    return cut_lineage(placed.drop("_df"))
+
+
+def _champions(terms: DataFrame, index: DataFrame, least: int) -> DataFrame:
+    """(query_id, chunk_id) of the smallest chunk ids of the rarest keywords; every task keeps few of a keyword before the shuffle."""
+    rare = terms.filter(F.col("_place") <= CHAMPION_WORDS)
+    asked = index.join(rare.select("keyword").distinct(), "keyword", "left_semi")
+    first = asked.withColumn("_n", F.row_number().over(Window.partitionBy("keyword").orderBy("chunk_id"))).filter(F.col("_n") <= max(least, CHAMPIONS))
+    return rare.join(first, "keyword").select("query_id", "chunk_id").distinct()
+
+
+def _matching(needed: DataFrame, index: DataFrame, salt: int) -> DataFrame:
+    """(query_id, chunk_id) pairs of the keywords that are needed.
 
-    A frequent keyword may hold a third of the postings.  The index side gets a
-    random-free salt from the chunk id and the query side is repeated per salt, so
-    no join task holds one whole keyword; counts are then merged exactly.
+    The index side gets a random-free salt from the chunk id and the query side is repeated per
+    salt, so no join task holds one whole keyword.
     """
-    spread_index = index.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salt)).cast("int"))
-    repeated = terms.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
-    hits = repeated.join(spread_index, ["keyword", "_salt"])
-    return hits.groupBy("query_id", "chunk_id").agg(F.count("*").alias("hits"))
+    listed = index.join(needed.select("keyword").distinct(), "keyword", "left_semi")
+    salted = listed.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salt)).cast("int"))
+    repeated = needed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
+    hits = repeated.join(salted.hint("merge"), ["keyword", "_salt"])  # sizes of exploded postings are estimated far too small
+    if "_before" in needed.columns:  # at the last place only chunks that win the tie by their id
+        hits = hits.filter(F.col("_before").isNull() | (F.col("chunk_id") < F.col("_before")))
+    return hits.select("query_id", "chunk_id").distinct()
 
 
-def keyword_search(queries: DataFrame, index: DataFrame, doc_type: str | None = None, k: int = 10, salt: int = 8) -> DataFrame:
-    """Top chunks per query by the number of its keywords they hold."""
+def _with_hits(pairs: DataFrame, terms: DataFrame, forward: DataFrame) -> DataFrame:
+    """How many of its query's keywords each candidate holds, from the candidates' own keywords."""
+    asked = terms.groupBy("query_id").agg(F.collect_set("keyword").alias("_asked"))
+    joined = pairs.join(forward.select("chunk_id", "words").hint("merge"), "chunk_id").join(asked, "query_id")
+    return joined.select("query_id", "chunk_id", F.size(F.array_intersect("_asked", "words")).cast("bigint").alias("hits"))
+
+
+def _grouped(index: DataFrame) -> DataFrame:
+    return index.groupBy("chunk_id").agg(F.collect_set("keyword").alias("words"))
+
+
+def _top(scored: DataFrame, k: int, by: str) -> DataFrame:
+    order = Window.partitionBy("query_id").orderBy(F.desc(by), "chunk_id")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+
+def keyword_search(queries: DataFrame, index: DataFrame, doc_type: str | None = None, k: int = 10, salt: int = 8,
+                   forward: DataFrame | None = None) -> DataFrame:
+    """Top chunks per query by the number of its keywords they hold, ties to the smaller chunk id.
+
+    ``forward`` is the stored ``forward_index`` of the same chunks; without it the postings are grouped.
+
+    The k-th best of a few chunks of each keyword bounds the result from below.  A chunk that holds
+    more than t of a query's m keywords holds one of its m - t rarest, so more common keywords are
+    never matched; one that ties holds one of the next rarest and has a smaller id than the k-th best.
+    """
     searched = index.filter(F.col("chunk_type") == doc_type) if doc_type else index
-    hits = _candidates(query_terms(queries), searched, salt)
-    order = Window.partitionBy("query_id").orderBy(F.desc("hits"), "chunk_id")
-    return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    held = _grouped(searched) if forward is None else forward
+    terms = _by_rarity(query_terms(queries), searched)
+    first = cut_lineage(_top(_with_hits(_champions(terms, searched, k), terms, held), k, "hits"))
+    bound = first.filter(F.col("rank") == k).select("query_id", F.col("hits").alias("_least"), F.col("chunk_id").alias("_last"))
+    left = F.col("_words") - F.coalesce("_least", F.lit(0))
+    needed = terms.join(bound, "query_id", "left").filter(F.col("_place") <= left + 1)
+    needed = needed.select("query_id", "keyword", F.when(F.col("_place") > left, F.col("_last")).alias("_before"))
+    more = _matching(needed, searched, salt).join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return _top(first.drop("rank").unionByName(_with_hits(more, terms, held)), k, "hits")
 
 
 def scored_retrieval(queries: DataFrame, chunks: DataFrame, index: DataFrame, k: int = 5, salt: int = 8,
-                     recency: str | None = None) -> DataFrame:
+                     recency: str | None = None, forward: DataFrame | None = None) -> DataFrame:
     """Phrase, keyword, type, length and recency points; best five per query.
 
-    A chunk's points without phrase and recency follow from the index and two numbers of the
-    chunk.  The k-th best of those bounds the result from below and at most ten points more can
-    come from the phrase, so only chunks within ten points of it meet the texts.  With recency
-    points, which have no bound, all hits do.
+    As in ``keyword_search`` the k-th best of a few chunks bounds the result.  Type and length give
+    four points at most, recency the most that a chunk has.  A chunk that beats the bound without
+    the phrase needs so many keywords that it holds one of the rarest; one with the phrase holds all
+    keywords but those at its two ends, so it holds one of the three rarest.  Only such chunks meet the texts.
     """
-    hits = _candidates(query_terms(queries), index, salt)
+    terms = _by_rarity(query_terms(queries), index)
+    held = forward_index(chunks) if forward is None else forward
     wanted = [c for c in ("intent",) if c in queries.columns]
     facts = queries.select("query_id", F.lower("text").alias("_phrase"), *wanted)
-    kinds = chunks.select("chunk_id", "chunk_type", "char_count", *([recency] if recency else []))
-    joined = hits.join(kinds, "chunk_id")
-    if wanted:
-        needed = F.create_map(*[F.lit(v) for kv in INTENT_CHUNK_TYPE.items() for v in kv])[F.col("intent")]
-        joined = joined.join(facts.select("query_id", "intent"), "query_id").filter(needed.isNull() | (needed == F.col("chunk_type")))
-    base = (F.col("hits") * 2 + F.when(F.col("chunk_type") == "documentation", 3).when(F.col("chunk_type") == "code_example", 2).otherwise(0)
-            + F.when(F.col("char_count").between(200, 1000), 1).otherwise(0))
-    scored = joined.select("query_id", "chunk_id", base.alias("_base"), (F.coalesce(F.col(recency), F.lit(0)) if recency else F.lit(0)).alias("_recent"))
-    if recency is None:
-        best = Window.partitionBy("query_id").orderBy(F.desc("_base"), "chunk_id")
-        bound = (scored.withColumn("_place", F.row_number().over(best)).filter(F.col("_place") <= k)
-                 .groupBy("query_id").agg(F.when(F.count("*") == k, F.min("_base") - 10).otherwise(0).alias("_least")))
-        scored = scored.join(bound, "query_id").filter(F.col("_base") >= F.col("_least"))
-    body = chunks.select("chunk_id", F.lower("content").alias("_body"))
-    read = scored.join(body, "chunk_id").join(facts.select("query_id", "_phrase"), "query_id")
-    score = F.when(F.col("_body").contains(F.col("_phrase")), 10).otherwise(0) + F.col("_base") + F.col("_recent")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id")
-    return read.select("query_id", "chunk_id", score.alias("score")).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    kinds = chunks.select("chunk_id", "chunk_type", "char_count", F.lower("content").alias("_body"), (F.coalesce(F.col(recency), F.lit(0)) if recency else F.lit(0)).alias("_recent"))
+
+    def score(pairs: DataFrame) -> DataFrame:
+        read = _with_hits(pairs, terms, held).join(kinds.hint("merge"), "chunk_id").join(facts, "query_id")
+        if wanted:
+            type_ = F.create_map(*[F.lit(v) for kv in INTENT_CHUNK_TYPE.items() for v in kv])[F.col("intent")]
+            read = read.filter(type_.isNull() | (type_ == F.col("chunk_type")))
+        points = (F.col("hits") * 2 + F.when(F.col("chunk_type") == "documentation", 3).when(F.col("chunk_type") == "code_example", 2).otherwise(0)
+                  + F.when(F.col("char_count").between(200, 1000), 1).otherwise(0) + F.when(F.col("_body").contains(F.col("_phrase")), 10).otherwise(0) + F.col("_recent"))
+        return read.select("query_id", "chunk_id", points.alias("score"))
+
+    first = cut_lineage(_top(score(_champions(terms, index, k)), k, "score"))
+    bound = first.filter(F.col("rank") == k).select("query_id", F.col("score").alias("_least"))
+    if recency:
+        bound = bound.crossJoin(chunks.agg(F.greatest(F.coalesce(F.max(recency), F.lit(0)), F.lit(0)).alias("_spare")))  # one row
+    else:
+        bound = bound.withColumn("_spare", F.lit(0))
+    words = F.ceil((F.col("_least") - 4 - F.col("_spare")) / 2)
+    needed = terms.join(bound, "query_id", "left").filter(F.col("_least").isNull() | (F.col("_place") <= F.greatest(F.lit(3), F.col("_words") - words + 1)))
+    more = _matching(needed.select("query_id", "keyword"), index, salt).join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    return _top(first.drop("rank").unionByName(score(more)), k, "score")
 
 
 def update_index(index: DataFrame, changed_chunks: DataFrame, deleted: DataFrame) -> DataFrame:

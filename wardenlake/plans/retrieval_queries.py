@@ -8,6 +8,7 @@ from wardenlake.operators import retrieval as rt
 from wardenlake.plans.code_queries import _CODE
 from wardenlake.plans.derived import CODE_FILES
 from wardenlake.plans.registry import derive, plain, query
+from wardenlake.session import cut_lineage
 from wardenlake.sources.tables import load, spread
 
 # Document type by language, so that every type bonus occurs.
@@ -39,6 +40,12 @@ def _chunks(spark, sf_dir):
     return rt.chunk(spread(derive(spark, sf_dir, DOCS, "documents")))
 
 
+def _index(chunks):
+    """The stored keywords of each chunk, as a search finds them, and the postings in them."""
+    stored = cut_lineage(rt.forward_index(chunks))
+    return rt.postings_of(stored), stored
+
+
 def _queries(spark, sf_dir):
     return load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
@@ -63,7 +70,8 @@ SELECT query_id, chunk_id, hits, CAST(rank AS INT) AS rank FROM (
   SELECT query_id, chunk_id, count(*) AS hits, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, chunk_id) AS rank
   FROM ({_TERMS}) JOIN ({_POST}) USING (keyword) GROUP BY query_id, chunk_id) WHERE rank <= 10""")
 def keyword_search(spark, sf_dir):
-    return rt.keyword_search(_queries(spark, sf_dir), rt.postings(_chunks(spark, sf_dir), unique_sources=True))
+    index, stored = _index(_chunks(spark, sf_dir))
+    return rt.keyword_search(_queries(spark, sf_dir), index, forward=stored)
 
 
 @query("keyword_search_by_type", f"""
@@ -71,7 +79,8 @@ SELECT query_id, chunk_id, hits, CAST(rank AS INT) AS rank FROM (
   SELECT query_id, chunk_id, count(*) AS hits, row_number() OVER (PARTITION BY query_id ORDER BY count(*) DESC, chunk_id) AS rank
   FROM ({_TERMS}) JOIN ({_POST}) USING (keyword) WHERE chunk_type = 'code_example' GROUP BY query_id, chunk_id) WHERE rank <= 10""")
 def keyword_search_by_type(spark, sf_dir):
-    return rt.keyword_search(_queries(spark, sf_dir), rt.postings(_chunks(spark, sf_dir), unique_sources=True), "code_example")
+    index, stored = _index(_chunks(spark, sf_dir))
+    return rt.keyword_search(_queries(spark, sf_dir), index, "code_example", forward=stored)
 
 
 @query("scored_retrieval", f"""
@@ -82,8 +91,9 @@ SELECT query_id, chunk_id, CAST(score AS BIGINT) AS score, CAST(rank AS INT) AS
     FROM (SELECT query_id, chunk_id, count(*) AS hits FROM ({_TERMS}) JOIN ({_POST}) USING (keyword) GROUP BY ALL) h
     JOIN ({_CHUNKS}) c ON c.chunk_id = h.chunk_id JOIN benchmark b ON b.item_id = h.query_id)) WHERE rank <= 5""")
 def scored_retrieval(spark, sf_dir):
-    c = _chunks(spark, sf_dir)
-    return rt.scored_retrieval(_queries(spark, sf_dir), c, rt.postings(c, unique_sources=True))
+    c = cut_lineage(_chunks(spark, sf_dir))
+    index, stored = _index(c)
+    return rt.scored_retrieval(_queries(spark, sf_dir), c, index, forward=stored)
 
 
 _RECENT = "CAST(doc_id % 7 AS BIGINT)"
@@ -99,9 +109,10 @@ SELECT query_id, chunk_id, CAST(score AS BIGINT) AS score, CAST(rank AS INT) AS
     JOIN ({_CHUNKS}) c ON c.chunk_id = h.chunk_id JOIN ({_INTENTS}) b ON b.query_id = h.query_id
     WHERE b.intent = 'explain' OR c.chunk_type = CASE b.intent WHEN 'code_help' THEN 'code_example' ELSE 'troubleshooting' END)) WHERE rank <= 5""")
 def scored_retrieval_by_intent(spark, sf_dir):
-    c = _chunks(spark, sf_dir).withColumn("recency", F.expr(_RECENT))
+    c = cut_lineage(_chunks(spark, sf_dir).withColumn("recency", F.expr(_RECENT)))
     intent = F.when(F.col("query_id") % 3 == 0, "code_help").when(F.col("query_id") % 3 == 1, "troubleshoot").otherwise("explain")
-    return rt.scored_retrieval(_queries(spark, sf_dir).withColumn("intent", intent), c, rt.postings(c, unique_sources=True), recency="recency")
+    index, stored = _index(c)
+    return rt.scored_retrieval(_queries(spark, sf_dir).withColumn("intent", intent), c, index, recency="recency", forward=stored)
 
 
 @query("late_keyword_hits", f"""

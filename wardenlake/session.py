@@ -34,6 +34,7 @@ def local_session(cores: str = "8", shuffle_partitions: str = "8", app: str = "w
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
+        .config("spark.wardenlake.deal", cores if cores.isdigit() else "0")
         .config("spark.sql.streaming.stateStore.providerClass",
                 "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     )

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SPLIT_BYTES = 64 * 1024 * 1024
+#: Session setting: the number of partitions over which inputs of CPU-heavy text work are dealt.
+DEAL = "spark.wardenlake.deal"
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,12 +21,13 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal an input of a single split over the cores before CPU-heavy text work.
+    """Deal an input of CPU-heavy text work over ``spark.wardenlake.deal`` partitions; as it is where that isn't set.
 
-    A file with one row group arrives as one split, whatever the cluster.  An input of two
-    splits or more is never shuffled, so at most one split's bytes move.
+    A row group is never cut, so a file written as one row group is one task however many splits
+    it has.  Leave the setting out where row groups are smaller than a split: nothing is shuffled then.
     """
-    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if df.rdd.getNumPartitions() == 1 else df
+    parts = int(df.sparkSession.conf.get(DEAL, "0"))
+    return df.repartition(parts) if parts > 0 else df
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SPLIT_BYTES) -> DataFrame:
