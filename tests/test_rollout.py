@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import random
+import time
 import statistics
 from collections import defaultdict, deque
 from datetime import datetime, timedelta
@@ -204,6 +205,32 @@ def test_health_stream(spark, tmp_path):
     assert {r["event_id"]: (r["old_status"], r["status"]) for r in out.collect()} == {i: s[:2] for i, s in loop_states(rows).items()}
 
 
+def test_first_rows_of_streams(spark, tmp_path):
+    """The earliest crossing and record come out, whichever file brings them."""
+    rng = random.Random(5)
+    rows = [(f"d{rng.randint(0, 3)}", "error_rate", T0 + timedelta(minutes=rng.randint(0, 5000)), i, rng.random() / 8) for i in range(300)]
+    schema = "deployment_id string, metric_name string, ts timestamp, event_id bigint, value double"
+    stream = as_stream(spark, list(rows), schema, tmp_path / "in")
+    closing(spark, tmp_path / "in", schema, ("closing", "error_rate", FAR, 10**6, 1.0))
+    got = {(r["deployment_id"], r["event_id"], r["value"]) for r in jobs.run_available(jobs.trigger_stream(stream, "200 days"), str(tmp_path / "out")).collect()}
+    first = {}
+    for d, _, ts, i, v in sorted(rows, key=lambda r: (r[2], r[3])):
+        if v > 0.05:
+            first.setdefault(d, (d, i, v))
+    assert got == set(first.values())
+
+
+def test_a_key_with_many_waiting_rows(spark, tmp_path):
+    """100,000 rows of one check that wait in state over several batches are handled once each, in order."""
+    rows = [("hot", "d", T0 + timedelta(seconds=i), i, i % 7 != 0) for i in range(100_000)]
+    stream = as_stream(spark, list(rows), CHECK_SCHEMA, tmp_path / "in")
+    closing(spark, tmp_path / "in", CHECK_SCHEMA, ("closing", "d", FAR, 10**6, True))
+    began = time.perf_counter()
+    out = jobs.run_available(jobs.health_stream(stream, "200 days"), str(tmp_path / "out"))
+    assert {r["event_id"]: (r["old_status"], r["status"]) for r in out.collect()} == {i: s[:2] for i, s in loop_states(rows).items()}
+    assert time.perf_counter() - began < 120
+
+
 def test_canary_stream(spark, tmp_path):
     rows = evaluations(6, 200)
     stream = as_stream(spark, list(rows), EVALUATION_SCHEMA, tmp_path / "in")

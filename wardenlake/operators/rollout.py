@@ -256,12 +256,17 @@ def canary_progress(evaluations: DataFrame) -> DataFrame:
             .drop("_advances", "_stop"))
 
 
+def crossed() -> Column:
+    """Whether a metric point lies past the threshold of its metric."""
+    out = F.lit(False)
+    for metric, side, limit in TRIGGER_RULES:
+        out = out | ((F.col("metric_name") == metric) & (F.col("value") < limit if side == "below" else F.col("value") > limit))
+    return out
+
+
 def first_crossings(metrics: DataFrame) -> DataFrame:
     """One-shot triggers: the first point of each deployment and metric past its threshold."""
-    crossed = F.lit(False)
-    for metric, side, limit in TRIGGER_RULES:
-        crossed = crossed | ((F.col("metric_name") == metric) & (F.col("value") < limit if side == "below" else F.col("value") > limit))
-    return (metrics.filter(crossed).groupBy("deployment_id", "metric_name").agg(F.min(F.struct("ts", "event_id", "value")).alias("f"))
+    return (metrics.filter(crossed()).groupBy("deployment_id", "metric_name").agg(F.min(F.struct("ts", "event_id", "value")).alias("f"))
             .select("deployment_id", "metric_name", F.col("f.ts").alias("triggered_at"), F.col("f.event_id").alias("event_id"), F.col("f.value").alias("value")))
 
 

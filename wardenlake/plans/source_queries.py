@@ -88,6 +88,8 @@ def audit_jsonl(spark, sf_dir):
 
 # --- streams: the events file as a source, run over all that is available ------------------
 DELAY_MINUTES = 60
+#: Replays of a stored stream have no reader that waits, so their ranges are wide.
+RANGE_MS = 10 * 86_400_000
 
 
 def _stream(spark, sf_dir, sql=None):
@@ -101,7 +103,7 @@ def _stream(spark, sf_dir, sql=None):
 
 def _finished(spark, sf_dir, sql=None, **values):
     """The same with a closing mark, so that the last windows and rows come out as well."""
-    return jobs.with_closing_mark(_stream(spark, sf_dir, sql), load(spark, sf_dir, "events").agg(F.max("ts").alias("ts")), "3 DAYS", **values)
+    return jobs.with_closing_mark(_stream(spark, sf_dir, sql), load(spark, sf_dir, "events").agg(F.max("ts").alias("ts")), "12 DAYS", **values)
 
 
 @query("stream_counters", f"""
@@ -117,20 +119,29 @@ def stream_alerts(spark, sf_dir):
 
 
 @query("stream_triggers", f"""
-SELECT DISTINCT deployment_id, metric_name FROM ({plain(METRICS)}) WHERE (metric_name = 'health_score' AND value < 0.95) OR (metric_name = 'error_rate' AND value > 0.05)
-  OR (metric_name = 'response_time' AND value > 2000)""")
+SELECT deployment_id, metric_name, strftime(ts, '%Y-%m-%d %H:%M:%S') AS triggered_at, event_id, round(value, 6) AS value FROM (
+  SELECT *, row_number() OVER (PARTITION BY deployment_id, metric_name ORDER BY ts, event_id) AS rn FROM ({plain(METRICS)}) WHERE (metric_name = 'health_score' AND value < 0.95)
+  OR (metric_name = 'error_rate' AND value > 0.05) OR (metric_name = 'response_time' AND value > 2000)) WHERE rn = 1""")
 def stream_triggers(spark, sf_dir):
-    return jobs.run_available(jobs.trigger_stream(_stream(spark, sf_dir, METRICS))).select("deployment_id", "metric_name")
+    metrics = _finished(spark, sf_dir, METRICS, deployment_id="closing mark", metric_name="health_score", value=0.0)
+    rows = jobs.run_available(jobs.trigger_stream(metrics, f"{DELAY_MINUTES} minutes", RANGE_MS))
+    return rows.withColumn("triggered_at", F.date_format("triggered_at", "yyyy-MM-dd HH:mm:ss")).withColumn("value", F.round("value", 6))
 
 
-@query("stream_ledger", f"SELECT DISTINCT operation_id FROM ({plain(OPERATIONS)})")
+@query("stream_ledger", f"""
+SELECT operation_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, event_id, action, workspace_id, migration_type, source_revision FROM (
+  SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY created_at, event_id) AS rn FROM ({plain(OPERATIONS)})) WHERE rn = 1""")
 def stream_ledger(spark, sf_dir):
-    return jobs.run_available(jobs.ledger_stream(_stream(spark, sf_dir, OPERATIONS), "30 days")).select("operation_id")
+    operations = _stream(spark, sf_dir, OPERATIONS).withColumn("ts", F.col("created_at"))
+    last = load(spark, sf_dir, "events").agg(F.max("ts").alias("ts"))
+    marked = jobs.with_closing_mark(operations, last, "12 DAYS", operation_id="closing mark").withColumn("created_at", F.col("ts"))
+    rows = jobs.run_available(jobs.ledger_stream(marked, f"{DELAY_MINUTES} minutes", RANGE_MS))
+    return rows.withColumn("created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 @query("stream_health", f"SELECT check_id, event_id, old_status, status FROM ({_STATES})")
 def stream_health(spark, sf_dir):
-    return jobs.run_available(jobs.health_stream(_finished(spark, sf_dir, CHECKS), f"{DELAY_MINUTES} minutes"))
+    return jobs.run_available(jobs.health_stream(_finished(spark, sf_dir, CHECKS), f"{DELAY_MINUTES} minutes", RANGE_MS))
 
 
 @query("stream_canary", f"""
@@ -140,13 +151,13 @@ FROM (SELECT *, CAST(sum(CASE WHEN should_advance AND NOT should_rollback THEN 1
         coalesce(sum(CASE WHEN should_rollback THEN 1 ELSE 0 END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS stopped
       FROM ({plain(EVALUATIONS)}) WINDOW w AS (PARTITION BY canary_id ORDER BY ts, event_id)) WHERE stopped = 0""")
 def stream_canary(spark, sf_dir):
-    return jobs.run_available(jobs.canary_stream(_finished(spark, sf_dir, EVALUATIONS), f"{DELAY_MINUTES} minutes"))
+    return jobs.run_available(jobs.canary_stream(_finished(spark, sf_dir, EVALUATIONS), f"{DELAY_MINUTES} minutes", RANGE_MS))
 
 
 @query("stream_limiter", _ADMITTED + " SELECT op, user_id, event_id, admitted FROM a")
 def stream_limiter(spark, sf_dir):
     limits = spark.createDataFrame(TIGHT, "op string, max_requests int, window_seconds int")
-    return jobs.run_available(jobs.limiter_stream(_finished(spark, sf_dir, REQUESTS, op=TIGHT[0][0], user_id="closing mark"), limits, f"{DELAY_MINUTES} minutes"))
+    return jobs.run_available(jobs.limiter_stream(_finished(spark, sf_dir, REQUESTS, op=TIGHT[0][0], user_id="closing mark"), limits, f"{DELAY_MINUTES} minutes", RANGE_MS))
 
 
 @query("stream_active_users", f"""

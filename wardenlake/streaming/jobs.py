@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,25 +54,6 @@ def alert_stream(metrics: DataFrame) -> DataFrame:
     return rollout.threshold_alerts(metrics)
 
 
-def trigger_stream(metrics: DataFrame) -> DataFrame:
-    """One-shot triggers: the first crossing that arrives per deployment and metric.
-
-    The built-in duplicate filter is the fired flag; its state has one entry per
-    deployment and metric.
-    """
-    crossed = F.lit(False)
-    for metric, side, limit in rollout.TRIGGER_RULES:
-        value = F.col("value")
-        crossed = crossed | ((F.col("metric_name") == metric) & (value < limit if side == "below" else value > limit))
-    return metrics.filter(crossed).dropDuplicates(["deployment_id", "metric_name"])
-
-
-def ledger_stream(operations: DataFrame, delay: str) -> DataFrame:
-    """First record per operation id within the delay."""
-    timed = operations.withColumn("created_at", F.col("created_at").cast("timestamp")).withWatermark("created_at", delay)
-    return timed.dropDuplicatesWithinWatermark(["operation_id"])
-
-
 class HealthStates(OrderedProcessor):
     """Two counters per check; emits every result with the status before and after."""
 
@@ -95,6 +77,34 @@ class HealthStates(OrderedProcessor):
         return {"ok": ok, "bad": bad, "status": status}, out
 
 
+class FirstRows(OrderedProcessor):
+    """The first row of each key in event-time order, whatever arrives first; one flag a key stays."""
+
+    def start(self) -> dict:
+        return {"seen": False}
+
+    def step(self, memory, row):
+        if memory["seen"]:
+            return memory, None
+        return {"seen": True}, {name: row[name] for name in self.fields} | {self.time: pd.Timestamp(row["at"], unit="us")}
+
+    time = "at"
+
+
+class FirstCrossings(FirstRows):
+    key_columns = ["deployment_id", "metric_name"]
+    fields = ["event_id", "value"]
+    time = "triggered_at"
+    output = "deployment_id string, metric_name string, triggered_at timestamp, event_id bigint, value double"
+
+
+class FirstRecords(FirstRows):
+    key_columns = ["operation_id"]
+    fields = ["event_id", "action", "workspace_id", "migration_type", "source_revision"]
+    time = "created_at"
+    output = "operation_id string, created_at timestamp, event_id bigint, action string, workspace_id string, migration_type string, source_revision string"
+
+
 class CanarySteps(OrderedProcessor):
     """Percentage per canary; a rollback ends it."""
 
@@ -132,18 +142,29 @@ class Admissions(OrderedProcessor):
         return {"times": times + [row["at"]] if admitted else times}, {"event_id": row["event_id"], "admitted": admitted}
 
 
-def health_stream(checks: DataFrame, delay: str, **thresholds) -> DataFrame:
-    return run_ordered(event_time(checks).withWatermark("ts", delay), HealthStates(**thresholds))
+def trigger_stream(metrics: DataFrame, delay: str, range_ms: int | None = None) -> DataFrame:
+    """One-shot triggers: the earliest point past its threshold of each deployment and metric."""
+    timed = event_time(metrics).withWatermark("ts", delay)
+    return run_ordered(timed.filter(rollout.crossed()), FirstCrossings(), range_ms)
+
+
+def ledger_stream(operations: DataFrame, delay: str, range_ms: int | None = None) -> DataFrame:
+    """The earliest record of each operation id; ``created_at`` is its event time."""
+    return run_ordered(event_time(operations.withColumn("ts", F.col("created_at"))).withWatermark("ts", delay), FirstRecords(), range_ms)
+
+
+def health_stream(checks: DataFrame, delay: str, range_ms: int | None = None, **thresholds) -> DataFrame:
+    return run_ordered(event_time(checks).withWatermark("ts", delay), HealthStates(**thresholds), range_ms)
 
 
-def canary_stream(evaluations: DataFrame, delay: str) -> DataFrame:
-    return run_ordered(event_time(evaluations).withWatermark("ts", delay), CanarySteps())
+def canary_stream(evaluations: DataFrame, delay: str, range_ms: int | None = None) -> DataFrame:
+    return run_ordered(event_time(evaluations).withWatermark("ts", delay), CanarySteps(), range_ms)
 
 
-def limiter_stream(requests: DataFrame, limits: DataFrame, delay: str) -> DataFrame:
+def limiter_stream(requests: DataFrame, limits: DataFrame, delay: str, range_ms: int | None = None) -> DataFrame:
     """Admission of limited operations; every request, limited or not, moves the watermark."""
     timed = event_time(requests).withWatermark("ts", delay)
-    return run_ordered(timed.join(broadcast_if_small(limits), "op"), Admissions())
+    return run_ordered(timed.join(broadcast_if_small(limits), "op"), Admissions(), range_ms)
 
 
 def on_change(transitions: DataFrame, callback: Callable[[DataFrame, int], None], checkpoint: str):
