@@ -33,9 +33,10 @@ from wardenlake.llm.components import components
 from wardenlake.llm.pruned_graph import medoid, prune, search
 from wardenlake.llm.vector_search import lists, usable
 
-CLUSTER_ROWS = 2000
+#: Classes for which a label gets one more pivot, and members in a part: a graph search costs little more in a larger cell.
+CLUSTER_ROWS = 8000
 PIVOTS = 256
-PART_ROWS = 2000
+PART_ROWS = 8000
 ROWS_AT_ONCE = 256
 #: Single-precision products that lie this near to the threshold, or as near as they may err, are taken again in double precision.
 SOFT = 1e-4
