@@ -1,4 +1,5 @@
 import hashlib
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -33,6 +34,28 @@ def test_round_trip(spark):
     assert stored.count() == len({h or "" for _, _, h in ROWS})
 
 
+def parse(record):
+    """One record by the rules of the standard: version, named fields, an empty line, the block, two line ends."""
+    head, _, rest = record.partition(b"\r\n\r\n")
+    version, *lines = head.decode().split("\r\n")
+    fields = dict(re.fullmatch(r"([A-Za-z-]+): (.*)", line).groups() for line in lines)
+    assert version == "WARC/1.1" and len(fields) == len(lines)
+    assert {"WARC-Record-ID", "Content-Length", "WARC-Date", "WARC-Type"} <= set(fields)
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT\d\d:\d\d:\d\dZ", fields["WARC-Date"]) and re.fullmatch(r"<[a-z]+:[^<> ]+>", fields["WARC-Record-ID"])
+    assert rest == rest[: int(fields["Content-Length"])] + b"\r\n\r\n"
+    return fields
+
+
+def test_records_follow_the_standard(spark):
+    path = shared_folder(spark, "warc")
+    W.write_archive(pages(spark, [*ROWS, *ROWS, (None, "n", "x")]), path)
+    rows = [parse(bytes(r["record"])) for r in W.read_records(spark, path).collect()]
+    ids = {f["WARC-Record-ID"]: f for f in rows}
+    assert len(ids) == len(rows) == 2 * len(ROWS) + 1
+    revisits = [f for f in rows if f["WARC-Type"] == "revisit"]
+    assert revisits and all(f["WARC-Profile"] and ids[f["WARC-Refers-To"]]["WARC-Type"] == "response" and ids[f["WARC-Refers-To"]]["WARC-Payload-Digest"] == f["WARC-Payload-Digest"] for f in revisits)
+
+
 def test_repeated_rows_null_keys_and_empty_table(spark):
     path = shared_folder(spark, "warc")
     W.write_archive(pages(spark, [(1, "u", BIG), (1, "u", BIG), (None, "u", BIG)]), path)

@@ -25,7 +25,7 @@ def _block(fields: list[tuple[str, Column]]) -> Column:
     return F.concat_ws(_END, F.lit("WARC/1.1"), *lines, F.lit(""), F.lit(""))
 
 
-def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html", revisit_from: int = REVISIT_FROM) -> None:
+def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str = "url", body: str = "html", revisit_from: int = REVISIT_FROM, date: str = "2024-01-01T00:00:00Z") -> None:
     """Write one record a row below ``path``.
 
     The payload is the body in UTF-8, null bodies are empty.  Of records with equal payloads of at
@@ -36,18 +36,22 @@ def write_archive(pages: DataFrame, path: str, key: str = "page_id", url: str =
     payload = F.coalesce(F.col(body).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload"))
     rows = rows.withColumn("digest", F.sha2("payload", 256)).withColumn("length", F.octet_length("payload").cast("long"))
-    named = through_table(rows.select("page_id", "url", "digest", "length", F.sha1("payload").alias("sha1")), "page-digests")
-    holders = named.groupBy("digest", "length").agg(F.max("page_id").alias("holder"), F.count(F.lit(1)).alias("n"))
+    named = through_table(rows.select("page_id", "url", "digest", "length", F.sha1("payload").alias("sha1"), F.monotonically_increasing_id().alias("row")), "page-digests")
+    holders = named.groupBy("digest", "length").agg(F.max(F.struct("page_id", "row")).alias("holder"), F.count(F.lit(1)).alias("n"))
     several = holders.where((F.col("n") > 1) & (F.col("length") >= revisit_from)).select("digest", "holder")
     placed = named.join(several, "digest", "left")
-    revisit = F.coalesce(F.col("page_id") != F.col("holder"), F.lit(False))
-    shared = [("WARC-Record-ID", F.concat(F.lit(f"<{_PREFIX}"), F.col("page_id").cast("string"), F.lit(">"))),
+    revisit = F.coalesce(F.col("page_id") != F.col("holder.page_id"), F.lit(False))
+
+    def record(page: str, row: str) -> Column:  # the row number of the written table tells repeated keys apart
+        return F.concat(F.lit(f"<{_PREFIX}"), F.coalesce(F.col(page).cast("string"), F.lit("none")), F.lit(":"), F.col(row).cast("string"), F.lit(">"))
+
+    shared = [("WARC-Record-ID", record("page_id", "row")), ("WARC-Date", F.lit(date)),
               ("WARC-Target-URI", F.col("url")),
               ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
-              ("WARC-Identified-Payload-Length", F.col("length").cast("string"))]
+              ("WARC-Identified-Payload-Length", F.col("length").cast("string")), ("Content-Type", F.lit("text/html"))]
     response = _block([("WARC-Type", F.lit("response")), *shared, ("Content-Length", F.col("length").cast("string"))])
     again = _block([("WARC-Type", F.lit("revisit")), *shared, ("WARC-Profile", F.lit(_PROFILE)),
-                    ("WARC-Refers-To", F.concat(F.lit(f"<{_PREFIX}"), F.col("holder").cast("string"), F.lit(">"))), ("Content-Length", F.lit("0"))])
+                    ("WARC-Refers-To", record("holder.page_id", "holder.row")), ("Content-Length", F.lit("0"))])
     headers = placed.select("page_id", "digest", F.when(revisit, again).otherwise(response).cast("binary").alias("header"))
     headers.write.parquet(f"{path}/headers")
     # each digest's bytes come from the row with its smallest key; a payload moves once, by a key that no group shares
@@ -74,7 +78,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     fits = (F.col("checked") == F.col("digest")) & (F.col("size") == F.col("length"))
     stored = stored.select("digest", F.when(fits, F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("damaged payload "), F.col("digest")))).alias("sha1"), "size", "payload")
     parsed = headers.select("page_id", "digest", "header", _field("WARC-Type").alias("record_type"),
-                            F.regexp_extract(_field("WARC-Refers-To"), rf"^<{_PREFIX}(.*)>$", 1).cast("long").alias("refers_to"),
+                            F.regexp_extract(_field("WARC-Refers-To"), rf"^<{_PREFIX}(.*):[0-9]+>$", 1).cast("long").alias("refers_to"),
                             F.regexp_extract(_field("WARC-Payload-Digest"), "^sha1:(.*)$", 1).alias("stated"))
     joined = parsed.join(stored, "digest", "left")
     digest = F.when(F.col("sha1") == F.col("stated"), F.col("sha1")).otherwise(F.raise_error(F.concat(F.lit("no payload for "), F.col("digest"))))
