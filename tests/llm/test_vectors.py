@@ -94,7 +94,9 @@ def test_the_audit_falls_back_to_the_block_product(monkeypatch):
     assert sorted(map(tuple, np.concatenate([np.stack(b) for b in blocks], axis=1).T)) == sorted(map(tuple, whole.T))
 
 
-def test_audited_recall_and_many_labels(spark):
+def test_audited_recall_and_many_labels(spark, monkeypatch):
+    monkeypatch.setattr(L, "PART_ROWS", 700)
+    monkeypatch.setattr(L, "CLUSTER_ROWS", 700)
     rows = some(1500, 21, labels=400)
     got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in L.near_duplicates(vectors(spark, rows), threshold=0.93).collect()}
     assert got == brute_links(rows, 0.93)

@@ -43,8 +43,8 @@ SOFT = 1e-4
 #: Members of a cell that are compared with all; with no miss among them, a share f of the members
 #: with missed links stays unseen with a chance of (1 - f) ** AUDITED.
 AUDITED = 128
-#: Members in a cluster of a cell's graph, neighbours kept in each, and beam of the search.
-GRAPH_CLUSTER, DEGREE, BEAM, STEP = 400, 24, 32, 16
+#: Members in a cluster of a cell's graph, neighbours kept in each, those that point back, beam and nodes expanded at a time.
+GRAPH_CLUSTER, DEGREE, BACK, BEAM, STEP = 400, 14, 8, 24, 24
 ALPHA = 1.2
 
 
@@ -90,7 +90,7 @@ def flat_graph(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
                 if len(part) < 2 or not len(own):
                     continue
                 product = unit[own] @ unit[part].T
-                wide = min(2 * DEGREE, len(part))
+                wide = min(3 * DEGREE, len(part))
                 near = part[np.argpartition(-product, wide - 1, axis=1)[:, :wide]]
                 out[own] = prune(own, near.astype(np.int32), unit, DEGREE, ALPHA)
                 medoids.append(part[medoid(unit[part])])
@@ -98,12 +98,12 @@ def flat_graph(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     graph = np.concatenate(lists, axis=1)
     source, column = np.nonzero(graph >= 0)
     target = graph[source, column]
-    back = np.full((n, DEGREE), -1, np.int32)
+    back = np.full((n, BACK), -1, np.int32)
     order = np.lexsort((rng.random(len(target)), target))
     target, source = target[order], source[order]
     place = np.arange(len(target)) - np.searchsorted(target, target)
-    back[target[place < DEGREE], place[place < DEGREE]] = source[place < DEGREE]
-    return np.concatenate([graph, back, rng.integers(0, n, (n, 4)).astype(np.int32)], axis=1), np.unique(medoids).astype(np.int64) if medoids else np.zeros(1, np.int64)
+    back[target[place < BACK], place[place < BACK]] = source[place < BACK]
+    return np.concatenate([graph, back, rng.integers(0, n, (n, 2)).astype(np.int32)], axis=1), np.unique(medoids).astype(np.int64) if medoids else np.zeros(1, np.int64)
 
 
 def graph_pairs(vectors: np.ndarray, left: np.ndarray, right: np.ndarray | None, threshold: float) -> np.ndarray:
