@@ -232,17 +232,18 @@ def timeline(spark, sf_dir):
 
 
 @query("milestones", _TIMES + """
-SELECT project, 'Migration Start' AS title, strftime(begin, '%Y-%m-%d %H:%M') AS "date", 'start' AS type FROM s WHERE pos = 0
-UNION ALL SELECT project, 'Wave ' || (pos + 1) || ' Complete', strftime(finish, '%Y-%m-%d %H:%M'), 'milestone' FROM s
-UNION ALL SELECT project, 'Migration Complete', strftime(max(finish), '%Y-%m-%d %H:%M'), 'end' FROM s GROUP BY project""")
+SELECT project, 'Migration Start' AS title, strftime(begin, '%Y-%m-%d %H:%M') AS "date", 'start' AS type, 'Start react-hooks migration' AS description FROM s WHERE pos = 0
+UNION ALL SELECT project, 'Wave ' || (pos + 1) || ' Complete', strftime(finish, '%Y-%m-%d %H:%M'), 'milestone', 'Completed ' || files || ' files' FROM s
+UNION ALL SELECT project, 'Migration Complete', strftime(max(finish), '%Y-%m-%d %H:%M'), 'end', 'react-hooks migration completed' FROM s GROUP BY project""")
 def milestones(spark, sf_dir):
-    return gr.milestones(_schedule(spark, sf_dir), "react-hooks").select("project", "title", _stamp("date"), "type")
+    return gr.milestones(_schedule(spark, sf_dir), "react-hooks").select("project", "title", _stamp("date"), "type", "description")
 
 
 @query("gantt", _TIMES + """
-SELECT project, 'wave-' || pos AS id, CASE WHEN pos > 0 THEN 'wave-' || (pos - 1) END AS dependency, files AS file_count, strftime(finish, '%Y-%m-%d %H:%M') AS "end" FROM s""")
+SELECT project, 'wave-' || pos AS id, CASE WHEN pos > 0 THEN 'wave-' || (pos - 1) END AS dependency, files AS file_count, strftime(begin, '%Y-%m-%d %H:%M') AS start, strftime(finish, '%Y-%m-%d %H:%M') AS "end",
+  CAST(files * CASE WHEN pos = 0 THEN 5 ELSE 6 END / 10 AS DOUBLE) AS duration FROM s""")
 def gantt(spark, sf_dir):
-    return gr.gantt(_schedule(spark, sf_dir)).select("project", "id", "dependency", "file_count", _stamp("end"))
+    return gr.gantt(_schedule(spark, sf_dir)).select("project", "id", "dependency", "file_count", _stamp("start"), _stamp("end"), "duration")
 
 
 @query("wave_progress", _TIMES + "SELECT project, wave, CAST(least(100.0, greatest(0.0, wave * 3.0 - 50)) AS DOUBLE) AS progress FROM s")
