@@ -137,3 +137,20 @@ def test_incremental(spark):
     now = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, checksum string")
     before = spark.createDataFrame([("a", "1"), ("b", "9")], "path string, checksum string")
     assert sorted(r["path"] for r in scan.incremental_scan(now, "path", "checksum", before).collect()) == ["b", "c"]
+
+
+def test_maintained_findings_equal_a_full_scan(spark):
+    """After adds, changes and deletes; untouched files aren't scanned again."""
+    was = [(1, "a@x.example.org"), (2, "b@x.example.org and c@x.example.org"), (3, "nothing"), (4, "d@x.example.org")]
+    now = [(1, "a@x.example.org"), (2, "b@x.example.org only"), (3, "now e@x.example.org"), (5, "new f@x.example.org 10.1.2.3")]
+    schema = "path long, content string"
+    before, after = (spark.createDataFrame(r, schema).withColumn("checksum", F.md5("content")) for r in (was, now))
+    found = scan.findings_core(before, "path")
+    kept, taken, added = scan.maintain_findings(found, after, "path", "checksum", before.select("path", "checksum"))
+    full = scan.findings_core(after, "path")
+    assert sorted(map(tuple, kept.collect())) == sorted(map(tuple, full.collect()))
+    assert {r["path"] for r in added.collect()} == {2, 3, 5} and {r["path"] for r in taken.collect()} == {2, 4}
+    cells = scan.maintain_cells(scan.summary_cells(found), taken, added)
+    assert sorted(map(tuple, cells.collect())) == sorted(map(tuple, scan.summary_cells(full).collect()))
+    nothing = scan.maintain_findings(found, before, "path", "checksum", before.select("path", "checksum"))
+    assert nothing[1].count() == nothing[2].count() == 0 and nothing[0].count() == found.count()

@@ -149,9 +149,17 @@ def risk_score() -> Column:
     return F.sum(weight[F.col("severity")]).alias("risk_score")
 
 
+def summary_cells(found: DataFrame) -> DataFrame:
+    """Findings per severity, regulation and type: what a summary is made of, and what upkeep changes."""
+    return found.groupBy("severity", "regulation", "type").agg(F.count("*").alias("n"))
+
+
 def scan_summary(found: DataFrame) -> DataFrame:
     """Counts per severity, per regulation, per type and overall, in one pass."""
-    cells = found.groupBy("severity", "regulation", "type").agg(F.count("*").alias("n"))
+    return summary_of(summary_cells(found))
+
+
+def summary_of(cells: DataFrame) -> DataFrame:
     weight = F.create_map(*[F.lit(v) for kv in sp.SEVERITY_WEIGHT.items() for v in kv])
     weighted = cells.withColumn("score", F.col("n") * weight[F.col("severity")])
     return (
@@ -178,16 +186,34 @@ def top_findings(found: DataFrame, order: list[str], k: int = 10,
             .withColumn("rank", F.row_number().over(ranking)).filter(F.col("rank") <= k))
 
 
-# The four secret expressions and three personal-data expressions of the risk check.
-RISK_SECRET_PATTERNS = [
-    r"password\s*=\s*['\"][^'\"]+['\"]",
-    r"api_key\s*=\s*['\"][^'\"]+['\"]",
-    r"secret\s*=\s*['\"][^'\"]+['\"]",
-    r"token\s*=\s*['\"][^'\"]+['\"]",
-]
-
-
 def incremental_scan(files: DataFrame, key: str, checksum: str, manifest: DataFrame) -> DataFrame:
     """The files whose checksum is not the one recorded at the last scan."""
     known = manifest.select(F.col(key).alias("_k"), F.col(checksum).alias("_c"))
     return files.join(known, (files[key] == known["_k"]) & (files[checksum] == known["_c"]), "left_anti")
+
+
+def touched_keys(files: DataFrame, key: str, checksum: str, manifest: DataFrame) -> DataFrame:
+    """Keys whose stored findings no longer hold: files that changed and files that are gone."""
+    changed = incremental_scan(files, key, checksum, manifest).select(key)
+    gone = manifest.select(key).join(files.select(key), key, "left_anti")
+    return changed.unionByName(gone).distinct()
+
+
+def maintain_findings(found: DataFrame, files: DataFrame, key: str, checksum: str, manifest: DataFrame, text: str = "content") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Stored findings brought up to date: all findings now, those taken away, and those added.
+
+    Only new and changed files are scanned again; the findings of changed and removed files are
+    taken away.  The result equals a scan of all files.  ``manifest`` has the key and checksum of each
+    file at the last scan, and a key stands once in both.
+    """
+    touched = touched_keys(files, key, checksum, manifest)
+    taken = found.join(touched, key, "left_semi")
+    added = findings_core(incremental_scan(files, key, checksum, manifest), key, text).select(*found.columns)
+    return found.join(touched, key, "left_anti").unionByName(added), taken, added
+
+
+def maintain_cells(cells: DataFrame, taken: DataFrame, added: DataFrame) -> DataFrame:
+    """Stored summary cells less the findings taken away, and with those added; no other finding is read."""
+    less = summary_cells(taken).withColumn("n", -F.col("n"))
+    summed = cells.unionByName(less).unionByName(summary_cells(added)).groupBy("severity", "regulation", "type").agg(F.sum("n").alias("n"))
+    return summed.filter("n > 0")
