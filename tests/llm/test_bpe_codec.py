@@ -48,6 +48,23 @@ def test_backtracking_equals_the_library():
         assert codec.decimals.joined(got).decode() == " ".join(map(str, got.tolist()))
 
 
+def test_every_code_point_is_split_as_by_the_library():
+    own, codec = library(WORD), B.BacktrackingEncoder(WORD)
+    points = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000]
+    texts = [" ".join(f"a{c}1" for c in points[a : a + 16]) for a in range(0, len(points), 16)]
+    for a in range(0, len(texts), 2000):
+        want = own.encode_batch_fast(texts[a : a + 2000], add_special_tokens=False)
+        for text, ids in zip(texts[a : a + 2000], want):
+            assert codec.text_ids(text) == ids.ids, text
+
+
+def test_columns_left_aside(spark):
+    docs = table(spark, ["a b", "x" * 300_000], extra=True).withColumn("ids", F.lit("clash")).withColumn("__text", F.lit("clash"))
+    twice = docs.unionByName(docs)
+    got = [tuple(r) for r in B.encode(twice, WORD).collect()]
+    assert len(got) == 4 and len(set((k, tuple(i)) for k, i in got)) == 2
+
+
 def test_borders_equal_merging_from_scratch():
     words = B.Vocabulary(WORD)
 

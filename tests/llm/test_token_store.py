@@ -70,5 +70,26 @@ def test_write_and_read(spark):
     assert got.pop(None)[0] == 0 and got == want
     few = {r["doc_id"]: r["start"] for r in S.read_tokens(manifest, folder, [3, 150, 9999]).collect()}
     assert few == {i: want[i][0] for i in (3, 150)}
+    assert [r["start"] for r in S.read_tokens(manifest, folder, [None]).collect()] == [0]
+    assert S.read_tokens(manifest, folder, []).count() == 0
     none = S.write_tokens(table(spark, []), folder, WORD)
     assert S.read_tokens(none, folder).count() == 0
+
+
+def test_only_files_that_may_hold_a_wanted_key_are_opened(spark):
+    docs = table(spark, [f"text number {i}" for i in range(400)]).withColumn("path", F.lit("clash"))
+    folder = shared_folder(spark, "tokens")
+    manifest = S.write_tokens(docs, folder, WORD)
+    rows = sorted(manifest.collect(), key=lambda r: r["first_key"])
+    assert len(rows) > 1 and all(a["last_key"] < b["first_key"] for a, b in zip(rows, rows[1:]))
+    unopened = manifest.withColumn("path", F.when(F.col("file_no") == rows[1]["file_no"], F.col("path")).otherwise("absent.tokens"))
+    wanted = [rows[1]["first_key"], rows[1]["last_key"], -5, 10_000]
+    assert {r["doc_id"] for r in S.read_tokens(unopened, folder, wanted).collect()} == set(wanted[:2])
+
+
+def test_may_hold():
+    for wanted in ([], [None], [3], [1, 9], [1, 9, None]):
+        for first, last in ((None, None), (None, 3), (3, 3), (2, 8), (0, 20)):
+            keys = {None} if first is None else set()
+            keys |= set(range(-5 if first is None else first, last + 1)) if last is not None else set()
+            assert S.may_hold(wanted, first, last) == bool(keys & set(wanted))

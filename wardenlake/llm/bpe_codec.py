@@ -11,7 +11,6 @@ from __future__ import annotations
 
 import json
 import re
-import unicodedata
 
 import numpy as np
 import pyarrow as pa
@@ -26,23 +25,12 @@ PAIRS_KEPT = 300_000
 WORDS_KEPT = 100_000
 _END = "\n"  # stands for the word-end mark; the byte alphabet has no such character
 _NEVER = 1 << 40
-# The characters with the White_Space property.
-_SPACES = re.compile("[\t-\r \x85\xa0  -     　]+")
-
-
-def byte_alphabet() -> list[str]:
-    """The printable character that stands for each byte: itself, or the next free one from 256 on."""
-    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
-    moved = iter(range(256, 512))
-    return [chr(b) if b in plain else chr(next(moved)) for b in range(256)]
 
 
 class Vocabulary:
-    """Tokens, merges and splitting rule of a tokenizer file of the byte alphabet with word ends."""
+    """Tokens and merges of a tokenizer file of the byte alphabet with word ends."""
 
     def __init__(self, path: str):
-        import regex
-
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         model = spec["model"]
@@ -56,8 +44,6 @@ class Vocabulary:
             pair = (self.ids[a], self.ids[b])
             self.rank[pair] = r
             self.made.setdefault(self.ids[a + b], (*pair, r))
-        self.word = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
-        self.alphabet = byte_alphabet()
 
     def borders(self, left: int, right: int) -> bool:
         """Whether the merges that make ``left right`` leave the border between the two alone.
@@ -111,9 +97,9 @@ class BacktrackingEncoder(PieceEncoder):
         return out
 
     def _plain(self, text: str, out: list[int]) -> None:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # the library lowers each character alone
-        for word in self.vocabulary.word.findall(_SPACES.sub(" ", text).lower()):
+        """Append the ids of a text without special tokens; the library normalises it and splits it into words."""
+        text = self.tokenizer.normalizer.normalize_str(text)
+        for word, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(text):
             ids = self.words.get(word)
             if ids is None:
                 if len(self.words) >= WORDS_KEPT:
@@ -122,10 +108,8 @@ class BacktrackingEncoder(PieceEncoder):
             out += ids
 
     def word_ids(self, word: str) -> list[int]:
-        if word.isascii() and word.isprintable():
-            symbols = word + _END
-        else:
-            symbols = "".join(map(self.vocabulary.alphabet.__getitem__, word.encode())) + _END
+        """Ids of a word that is spelt in the byte alphabet."""
+        symbols = word + _END
         options: list[list[tuple[int, int]]] = [[] for _ in range(len(symbols) + 1)]
         for end, (size, i) in self.automaton.iter(symbols):
             options[end + 1 - size].append((end + 1, i))  # the ends ascend, so the longest comes last
@@ -203,7 +187,11 @@ def tables(path: str) -> Tables:
 
 
 def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, ids array) of each row's whole text; null texts are empty and have no ids."""
+    """(key, ids array) of each row's whole text, split and normalised by the library and merged here.
+
+    Null and empty texts have no ids; very long texts are encoded whole.  Repeated keys give a row each,
+    an empty table gives none, and other columns are left aside, whatever their names.
+    """
     small_batches(docs.sparkSession)
     kept = docs.select(F.col(key), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     schema = kept.drop("__text").schema.add("ids", ArrayType(IntegerType()))
@@ -219,7 +207,11 @@ def encode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "t
 
 
 def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str = "ids") -> DataFrame:
-    """(key, n_tokens, ids_text, text): the ids as decimals with spaces between them, and decoded; null ids are none."""
+    """(key, n_tokens, ids_text, text): the ids as decimals with spaces between them, and decoded.
+
+    Null and empty ids give no tokens and empty texts.  Repeated keys give a row each, an empty table
+    gives none, and other columns are left aside, whatever their names.
+    """
     kept = encoded.select(F.col(key), F.coalesce(F.col(ids), F.array().cast("array<int>")).alias("__ids"))
     schema = kept.drop("__ids").schema.add("n_tokens", "long").add("ids_text", "binary").add("text", "binary")
 
@@ -233,7 +225,7 @@ def decode(encoded: DataFrame, vocabulary: str, key: str = "doc_id", ids: str =
 
 
 def round_trip(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The same as ``decode`` of ``encode``, in one pass over the texts."""
+    """The same as ``decode`` of ``encode``, in one pass over the texts, and with the same results in all cases named there."""
     small_batches(docs.sparkSession)
     kept = docs.select(F.col(key), F.col(text).alias("__text"))
     schema = kept.drop("__text").schema.add("n_tokens", "long").add("ids_text", "binary").add("text", "binary")

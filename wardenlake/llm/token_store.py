@@ -14,6 +14,7 @@ import re
 import struct
 import uuid
 import zlib
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -130,7 +131,9 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_
     Null texts are empty; null keys come first; equal keys stand in any order.  A file has the rows of
     one range of keys.  Each attempt of a task writes a file of its own name and moves it into place when
     complete; the manifest, itself a table in the shared folder, names the files that count:
-    (file_no, path, documents, tokens).
+    (file_no, path, documents, tokens, first_key, last_key).  Very long texts are written whole, over as
+    many frames as they need; an empty table gives an empty manifest and no file; other columns are left
+    aside, whatever their names.
     """
     small_batches(docs.sparkSession)
     ordered = docs.select(F.col(key).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t")).repartitionByRange("k").sortWithinPartitions("k")
@@ -138,6 +141,7 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_
     def write(batches):
         system, base = file_system(folder)
         number, writer, tokens = TaskContext.get().partitionId(), None, 0
+        fields = ["file_no", "path", "documents", "tokens", "first_key", "last_key"]
         name = f"{base}/part-{number:06d}-{uuid.uuid4().hex}"
         for batch in batches:
             if batch.num_rows and writer is None:
@@ -152,26 +156,42 @@ def write_tokens(docs: DataFrame, folder: str, vocabulary: str, key: str = "doc_
             writer.close()
             out.close()
             system.move(f"{name}.partial", f"{name}.tokens")
-            row = [[number], [f"{name.removeprefix(base).lstrip('/')}.tokens"], [len(writer.ids)], [tokens]]
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in row], names=["file_no", "path", "documents", "tokens"])
+            row = [number, f"{name.removeprefix(base).lstrip('/')}.tokens", len(writer.ids), tokens, writer.ids[0], writer.ids[-1]]
+            kinds = [pa.int64(), pa.string(), *[pa.int64()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array([x], kind) for x, kind in zip(row, kinds)], names=fields)
 
-    return through_table(ordered.mapInArrow(write, "file_no long, path string, documents long, tokens long"), "manifest")
+    return through_table(ordered.mapInArrow(write, "file_no long, path string, documents long, tokens long, first_key long, last_key long"), "manifest")
+
+
+def may_hold(wanted: list[int | None], first: int | None, last: int | None) -> bool:
+    """Whether a file whose keys go from ``first`` to ``last``, nulls first, may hold one of ``wanted``: known keys in order, then null."""
+    if first is None and wanted and wanted[-1] is None:
+        return True
+    known = len(wanted) - (bool(wanted) and wanted[-1] is None)
+    at = 0 if first is None else bisect_left(wanted, first, 0, known)
+    return last is not None and at < known and wanted[at] <= last
 
 
 def read_tokens(manifest: DataFrame, folder: str, wanted: list[int] | None = None) -> DataFrame:
     """(doc_id, start, n_tokens, ids) of all documents, or of those in ``wanted``, from their files.
 
-    ``start`` counts the ids of all documents before.  The manifest has one small row a file.
+    ``start`` counts the ids of all documents before.  The manifest has one small row a file; files whose
+    range of keys holds none of ``wanted`` are not opened, and of the others only the frames of wanted
+    documents are decompressed.  A null in ``wanted`` stands for documents without a key, keys that don't
+    occur give nothing, and an empty manifest or list gives no rows.
     """
     before = F.coalesce(F.sum("tokens").over(Window.orderBy("file_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     # a number of partitions of its own, for the few bytes of a manifest stand for whole files
-    files = manifest.withColumn("start", before).select("path", "start").repartition(max(1, 2 * manifest.count()), "path")
+    files = manifest.withColumn("start", before).select("path", "start", "first_key", "last_key").repartition(max(1, 2 * manifest.count()), "path")
     only = None if wanted is None else frozenset(wanted)
+    order = None if wanted is None else [*sorted(only - {None}), *only & {None}]
 
     def read(batches):
         system, base = file_system(folder)
         for batch in batches:
-            for path, start in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            for path, start, first, last in zip(*(c.to_pylist() for c in batch.columns)):
+                if order is not None and not may_hold(order, first, last):
+                    continue
                 with system.open_input_file(f"{base}/{path}") as source:
                     file, rows, size = TokenFileReader(source), [], 0
                     for place, doc_id in enumerate(file.ids):
