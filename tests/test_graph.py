@@ -56,6 +56,55 @@ def test_random_waves(spark):
         assert {n: got[(project, n)] for n in nodes} == peel(nodes, edges)
 
 
+def reached(nodes, edges):
+    out = {n: {b for a, b in edges if a == n and b in nodes} for n in nodes}
+    for k in nodes:
+        for n in nodes:
+            if k in out[n]:
+                out[n] |= out[k]
+    return out
+
+
+def test_cycle_members(spark):
+    rng = random.Random(9)
+    graph = {"none": ("abc", [("a", "b"), ("b", "c")]), "self": ("ab", [("a", "a"), ("b", "a")]), "empty": ("a", [])}
+    ring = [f"r{i:03d}" for i in range(60)]
+    graph["rings"] = (["x", "y", *ring], [*zip(ring, ring[1:] + ring[:1]), ("r003", "x"), ("x", "y"), ("y", "x"), ("y", "outside")])
+    for p in range(5):
+        nodes = [f"n{i:02d}" for i in range(30)]
+        graph[f"p{p}"] = (nodes, [(rng.choice(nodes), rng.choice(nodes)) for _ in range(20 + 8 * p)])
+    want = {}
+    for project, (nodes, edges) in graph.items():
+        reach = reached(nodes, edges)
+        looped = {n for n in nodes if n in reach[n]}
+        for n in nodes:
+            if n in looped:
+                want[project, n] = min(m for m in reach[n] if n in reach[m])
+            elif reach[n] & looped:
+                want[project, n] = None
+    rows = gr.cycle_members(*frames(spark, graph)).collect()
+    assert len(rows) == len(want) and {(r["project"], r["id"]): r["cycle"] for r in rows} == want
+
+
+def test_a_long_chain_takes_few_jobs(spark):
+    names = [f"c{i:04d}" for i in range(1000)]
+    nodes, edges = frames(spark, {"chain": (names, list(zip(names, names[1:])))})
+    spark.sparkContext.setJobGroup("long chain", "waves")
+    got = {r["id"]: r["wave"] for r in gr.waves(nodes, edges).collect()}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("long chain")
+    spark.sparkContext.setJobGroup("", "")
+    assert got == {n: 999 - i for i, n in enumerate(names)}
+    assert 0 < len(jobs) < 100
+
+
+def test_dotted_modules(spark):
+    files = spark.createDataFrame([("p", f) for f in ("src/a/b.py", "a/c/__init__.py", "c.js", "lib/x/util.py", "lib/util.py", "other/util.py", "/q.py")], "project string, path string")
+    edges = spark.createDataFrame([("p", "main.py", m) for m in ("a.b", "b", "a.c", "c", "a/c", "x.util", "util", "q", "os.path", "z.a.b", "lib")], "project string, src string, dst string")
+    got = {(r["dst"], r["internal"], r["ambiguous"]) for r in gr.resolve_modules(edges, files).collect()}
+    assert got == {("src/a/b.py", True, False), ("a/c/__init__.py", True, False), ("c.js", True, True), ("lib/x/util.py", True, False), ("lib/util.py", True, True),
+                   ("/q.py", True, False), ("os.path", False, False), ("z.a.b", False, False), ("lib", False, False)}
+
+
 def test_statistics(spark):
     nodes, edges = frames(spark, {"p": ("abc", [("a", "b"), ("b", "c"), ("c", "a")])})
     typed = nodes.selectExpr("*", "'file' AS type")

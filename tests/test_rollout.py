@@ -273,3 +273,14 @@ def test_risk_stream_equals_batch(spark, tmp_path):
     closing(spark, tmp_path / "in", schema, (FAR, "z", ""))
     out = jobs.run_available(jobs.risk_stream(stream, "content", "1 hour", "10 minutes"), str(tmp_path / "out")).collect()
     assert [(r["regulation"], r["findings"], r["risk_score"]) for r in out] == [("GDPR", 60, 90)]
+
+
+def test_median_of_metrics_with_few_values(spark):
+    rng = random.Random(3)
+    groups = {"constant": [4.0] * 3000, "two": [1.0] * 1500 + [2.0] * 1500, "two, uneven": [1.0] * 1501 + [2.0] * 1500, "one": [7.5], "pair": [1.0, 4.0],
+              "zeros": [-0.0, 0.0, 0.0], "spread": [rng.gauss(0, 1) for _ in range(5001)], "none": [None], "some": [None, 3.0, 1.0]}
+    df = spark.createDataFrame([(g, v) for g, vs in groups.items() for v in vs], "g string, value double")
+    got = {r["g"]: r["median"] for r in ro.exact_median(df, ["g"], "value").collect()}
+    assert got == {g: statistics.median([v for v in vs if v is not None]) for g, vs in groups.items() if g != "none"}
+    plan = ro.exact_median(df, ["g"], "value")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Window") == 1

@@ -15,6 +15,7 @@ from wardenlake.session import cut_and_count
 # Import forms of JavaScript, group 1 is the module.
 SCRIPT_IMPORTS = [r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)", r"import\s+['\"]([^'\"]+)['\"]"]
 SCRIPT_EXTENSIONS = [".js", ".jsx", ".ts", ".tsx"]
+FAR = 1 << 40  # longer than any chain; lengths that run round a cycle stop here
 HOURS_PER_FILE, CYCLE_FACTOR, LATER_WAVE_FACTOR = 0.5, 1.5, 1.2
 
 
@@ -31,16 +32,27 @@ def module_name(path: Column) -> Column:
     return F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
 
 
+def module_names(path: Column) -> Column:
+    """All dotted names under which a file may be imported: each end of its path, a package by its folder."""
+    bare = F.regexp_replace(F.regexp_replace(path, r"\.[^./]*$", ""), r"/__init__$", "")
+    return let(F.filter(F.split(bare, "/"), lambda s: s != ""), lambda parts: F.transform(
+        F.sequence(F.lit(1), F.greatest(F.size(parts), F.lit(1))), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
+
+
 def resolve_modules(edges: DataFrame, files: DataFrame, across_projects: bool = False) -> DataFrame:
     """Replace a module by the file that provides it; other modules stay external.
 
-    A popular module may be imported by a third of all files.  The module side has
-    one row per file, so AQE can split the hot partition of the edge side.
+    A file provides the dotted names that end its path: ``a/b.py`` and ``a/b/__init__.py`` are both
+    ``a.b`` and ``b``; slashes in a module count as dots.  Of several files of a name the one nearest
+    to the root is taken, then the first by path, and the edge is marked ambiguous.  A popular module may be
+    imported by a third of all files.  The module side has one row per name, so AQE can split the hot
+    partition of the edge side, and no importer meets more than one file.
     """
     keys = [] if across_projects else ["project"]
-    provided = files.select("project", module_name(F.col("path")).alias("dst"), F.col("path").alias("_file")).groupBy(*keys, "dst").agg(F.min("_file").alias("_file"))
-    return edges.join(provided, [*keys, "dst"], "left").select(
-        "project", "src", F.coalesce("_file", "dst").alias("dst"), F.col("_file").isNotNull().alias("internal"))
+    provided = (files.select(*keys, F.explode(module_names(F.col("path"))).alias("_name"), F.struct(F.size(F.split("path", "/")).alias("depth"), "path").alias("_at"))
+                .groupBy(*keys, "_name").agg(F.min("_at")["path"].alias("_file"), (F.min("_at.path") < F.max("_at.path")).alias("_several")))
+    return edges.withColumn("_name", F.translate("dst", "/", ".")).join(provided, [*keys, "_name"], "left").select(
+        "project", "src", F.coalesce("_file", "dst").alias("dst"), F.col("_file").isNotNull().alias("internal"), F.coalesce("_several", F.lit(False)).alias("ambiguous"))
 
 
 def graph_nodes(files: DataFrame, edges: DataFrame, structures: DataFrame | None = None) -> DataFrame:
@@ -74,35 +86,53 @@ def graph_statistics(nodes: DataFrame, edges: DataFrame, waves: DataFrame | None
     return stats.join(cyclic, "project", "left").fillna({"circular_dependencies": False})
 
 
+def _contract(rows: DataFrame) -> DataFrame:
+    """One round over ``rows``: an edge ``id -> dst`` of length w, or without dst a known length w of chains below ``id``.
+
+    An edge takes over the known length of its target.  It goes where the target has no edges left,
+    and leads on to the next node where the target has one edge only, so chains halve.  No edge becomes two.
+    """
+    state = rows.select("project", F.col("dst").alias("_next"), F.col("id").alias("dst"), "w").groupBy("project", "dst").agg(
+        F.max(F.when(F.col("_next").isNull(), F.col("w"))).alias("_base"), F.count("_next").alias("_open"),
+        F.max("_next").alias("_next"), F.max(F.when(F.col("_next").isNotNull(), F.col("w"))).alias("_far"))
+    single = F.col("_open") == 1
+    known = F.struct(F.lit(None).cast("string").alias("dst"), F.least(F.col("w") + F.col("_base"), F.lit(FAR)).alias("w"))
+    onward = F.struct(F.when(single, F.col("_next")).otherwise(F.col("dst")).alias("dst"),
+                      F.when(single, F.least(F.col("w") + F.col("_far"), F.lit(FAR))).otherwise(F.col("w")).alias("w"))
+    moved = rows.filter("dst IS NOT NULL").join(state, ["project", "dst"]).select("project", "id", F.inline(F.array_compact(F.array(known, F.when(F.col("_open") > 0, onward)))))
+    return rows.filter("dst IS NULL").unionByName(moved).groupBy("project", "id", "dst").agg(F.max("w").alias("w"))
+
+
+def _levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
+    """Rows as in ``_contract`` when no edge leads to a node without edges any more, and the number of edges left.
+
+    Edges that are left belong to nodes in or behind a cycle.  While any other node has edges, some
+    edge ends at a node without, and that edge goes; so an unchanged number means the end.
+    """
+    ids = nodes.select("project", "id").distinct()
+    inner = (edges.select("project", F.col("src").alias("id"), "dst").distinct().join(ids, ["project", "id"], "left_semi")
+             .join(ids.withColumnRenamed("id", "dst"), ["project", "dst"], "left_semi").select("project", "id", "dst", F.lit(1).cast("long").alias("w")))
+    rows, left = cut_and_count(ids.select("project", "id", F.lit(None).cast("string").alias("dst"), F.lit(0).cast("long").alias("w")).unionByName(inner), F.col("dst"))
+    before = None
+    while left and left != before:
+        before = left
+        rows, left = cut_and_count(_contract(rows), F.col("dst"))
+    return rows, left
+
+
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Wave of each node: dependencies first; nodes in or behind a cycle get one wave each, after the rest.
 
-    ``edges`` point from a file to what it needs.  Each round keeps the edges whose
-    target still needs something itself, for all projects together, so a node's wave
-    is the number of rounds in which it still had edges; the loop length is the
-    longest dependency chain.  The shrinking edge set is written out each round, and
-    the driver sees only its count.  The semi join streams the edge side, so a module
-    that a third of all files import is split, not gathered.
+    ``edges`` point from a file to what it needs.  A node's wave is the length of the longest chain
+    below it.  Each round takes away the edges to finished nodes and shortens chains, for all projects
+    together: a plain chain of n nodes takes about log2(n) rounds, a mesh one a level.  The edges are
+    written out each round, and the driver sees only their count.  The join streams the edge side, so
+    a module that a third of all files import is split, not gathered.
     """
-    ids = nodes.select("project", "id").distinct()
-    remaining, left = cut_and_count(
-        edges.select("project", "src", "dst").distinct()
-        .join(ids.withColumnRenamed("id", "dst"), ["project", "dst"], "left_semi")
-        .join(ids.withColumnRenamed("id", "src"), ["project", "src"], "left_semi"))
-    waited, round_number = ids.limit(0).withColumn("_round", F.lit(0)), 0
-    while left:
-        ends = remaining.select("project", F.col("src").alias("id"))
-        following, now = cut_and_count(remaining.join(
-            ends.select("project", F.col("id").alias("dst")).distinct(), ["project", "dst"], "left_semi"))
-        if now == left:
-            break
-        waited = waited.unionByName(ends.withColumn("_round", F.lit(round_number)))
-        remaining, left, round_number = following, now, round_number + 1
-    stuck = remaining.select("project", F.col("src").alias("id")).distinct()
-    numbers = waited.groupBy("project", "id").agg((F.max("_round") + 1).alias("_n"))
-    free = ids.join(stuck, ["project", "id"], "left_anti") if left else ids
-    level = free.join(numbers, ["project", "id"], "left").select(
-        "project", "id", F.coalesce("_n", F.lit(0)).alias("wave"), F.lit(False).alias("cyclic"))
+    rows, left = _levels(nodes, edges)
+    stuck = rows.filter("dst IS NOT NULL").select("project", "id").distinct()
+    known = rows.filter("dst IS NULL").select("project", "id", F.col("w").cast("int").alias("wave"), F.lit(False).alias("cyclic"))
+    level = known.join(stuck, ["project", "id"], "left_anti") if left else known
     if not left:
         return level
     last = level.groupBy("project").agg(F.max("wave").alias("_last"))
@@ -114,6 +144,56 @@ def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return level.unionByName(behind)
 
 
+def _smallest_behind(ids: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, id, label): the smallest id of all nodes that reach a node, itself included.
+
+    Whoever reaches a node's label reaches the node, so labels also take the label of their label and
+    long paths are covered in few rounds.
+    """
+    labels, changed = ids.select("project", "id", F.col("id").alias("label")), 1
+    while changed:
+        handed = edges.join(labels.select("project", F.col("id").alias("src"), "label"), ["project", "src"]).select("project", F.col("dst").alias("id"), "label")
+        near = (labels.withColumn("_old", F.col("label")).unionByName(handed, allowMissingColumns=True)
+                .groupBy("project", "id").agg(F.min("label").alias("label"), F.max("_old").alias("_old")))
+        further = near.select("project", F.col("id").alias("label"), F.col("label").alias("_further"))
+        new = near.join(further, ["project", "label"]).select("project", "id", F.col("_further").alias("label"), "_old")
+        new, changed = cut_and_count(new, F.when(F.col("label") != F.col("_old"), 1))
+        labels = new.drop("_old")
+    return labels
+
+
+def cycle_members(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(project, id, cycle) of the nodes that no plan can order: ``cycle`` is the smallest id of all nodes that need each
+    other with this one, or null for a node that only waits behind a cycle.
+
+    Nodes are coloured by the smallest id that reaches them; those of a colour that reach its id
+    in turn are one strongly connected component and leave, and edges between colours can't be in a
+    cycle.  Every round takes at least the component of each colour's id.  A node that needs itself is a cycle.
+    """
+    rows, left = _levels(nodes, edges)
+    stuck = rows.filter("dst IS NOT NULL").select("project", "id").distinct()
+    members = stuck.limit(0).withColumn("cycle", F.lit(None).cast("string"))
+    inner = edges.select("project", "src", "dst").distinct()
+    for end in ("src", "dst"):
+        inner = inner.join(stuck.withColumnRenamed("id", end), ["project", end], "left_semi")
+    remaining, left = cut_and_count(inner) if left else (inner, 0)
+    while left:
+        ids = remaining.select("project", F.col("src").alias("id")).union(remaining.select("project", "dst")).distinct()
+        colour = _smallest_behind(ids, remaining).withColumnRenamed("label", "_colour")
+        tinted = remaining
+        for end in ("src", "dst"):
+            tinted = tinted.join(colour.withColumnsRenamed({"id": end, "_colour": f"_{end}"}), ["project", end])
+        tinted = tinted.filter("_src = _dst").select("project", "src", "dst", F.col("_src").alias("_colour"))
+        back = _smallest_behind(ids, tinted.select("project", F.col("dst").alias("src"), F.col("src").alias("dst")))
+        for end in ("src", "dst"):
+            tinted = tinted.join(back.withColumnsRenamed({"id": end, "label": f"_{end}"}), ["project", end])
+        tinted, _ = cut_and_count(tinted.filter("_src = _dst"))
+        found = tinted.filter("_src = _colour")
+        members = members.unionByName(found.select("project", F.explode(F.array("src", "dst")).alias("id"), F.col("_colour").alias("cycle")))
+        remaining, left = cut_and_count(tinted.filter("_src <> _colour").select("project", "src", "dst"))
+    return stuck.join(members.distinct(), ["project", "id"], "left")
+
+
 def plan_estimate(stats: DataFrame) -> DataFrame:
     cyclic = F.col("circular_dependencies")
     return stats.select(

@@ -64,18 +64,20 @@ def exact_median(df: DataFrame, keys: list[str], value: str, accuracy: int = 100
     """Median per key without holding a group in memory.
 
     An approximate-percentile sketch brackets the middle within ±2/accuracy of the
-    rows, values outside the bracket are only counted, and the few inside are ranked.
+    rows.  Equal values are counted before they move, so a constant metric is one row a
+    task; values outside the bracket are only summed up, and the few inside are ranked by their counts.
     """
     margin = 2.0 / accuracy
     sketch = F.percentile_approx(value, F.array(F.lit(0.5 - margin), F.lit(0.5 + margin)), accuracy)
     bracket = df.groupBy(*keys).agg(F.count(value).alias("_n"), sketch.alias("_b"))
-    marked = df.filter(F.col(value).isNotNull()).join(bracket, keys).filter(F.col(value) <= F.col("_b")[1])
-    below = marked.groupBy(*keys).agg(F.sum((F.col(value) < F.col("_b")[0]).cast("int")).alias("_below"))
+    counts = df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("_c"))
+    marked = counts.join(bracket, keys).filter(F.col(value) <= F.col("_b")[1])
+    below = marked.groupBy(*keys).agg(F.sum(F.when(F.col(value) < F.col("_b")[0], F.col("_c")).otherwise(0)).alias("_below"))
     middle = marked.filter(F.col(value) >= F.col("_b")[0]).join(below, keys)
-    rank = F.col("_below") + F.row_number().over(Window.partitionBy(*keys).orderBy(value))
-    low, high = F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2)
-    return (middle.withColumn("_rank", rank).filter((F.col("_rank") == low) | (F.col("_rank") == high))
-            .groupBy(*keys).agg(F.avg(value).alias("median")))
+    upto = F.col("_below") + F.sum("_c").over(Window.partitionBy(*keys).orderBy(value))
+    holds = [(F.col("_upto") - F.col("_c") < rank) & (rank <= F.col("_upto")) for rank in (F.floor((F.col("_n") + 1) / 2), F.ceil((F.col("_n") + 1) / 2))]
+    low, high = (F.max(F.when(hold, F.col(value))) for hold in holds)
+    return middle.withColumn("_upto", upto).groupBy(*keys).agg(((low + high) / 2).alias("median"))
 
 
 def metric_statistics(metrics: DataFrame, keys: list[str] | None = None) -> DataFrame:

@@ -64,7 +64,7 @@ def graph_import_edges(spark, sf_dir):
 
 
 @query("graph_resolved_edges", f"""
-SELECT e.src, coalesce(f.path, e.dst) AS dst, f.path IS NOT NULL AS internal FROM ({_EDGES}) e
+SELECT e.src, coalesce(f.path, e.dst) AS dst, f.path IS NOT NULL AS internal, false AS ambiguous FROM ({_EDGES}) e
 LEFT JOIN (SELECT path, regexp_extract(path, '([^/]+)\\.[^.]*$', 1) AS module FROM ({_CODE})) f ON f.module = e.dst""")
 def graph_resolved_edges(spark, sf_dir):
     files, structures = _code(spark, sf_dir)
@@ -124,6 +124,13 @@ def waves(spark, sf_dir):
     return _waves(spark, sf_dir)
 
 
+@query("dependency_cycles", _WAVES + """,
+both_ways AS (SELECT r.src AS id, min(r.dst) AS cycle FROM reach r JOIN reach b ON b.src = r.dst AND b.dst = r.src GROUP BY r.src)
+SELECT 'suppliers' AS project, id, cycle FROM bad LEFT JOIN both_ways USING (id)""")
+def dependency_cycles(spark, sf_dir):
+    return gr.cycle_members(derive(spark, sf_dir, NODES, "part", "supplier"), derive(spark, sf_dir, DEPENDENCIES, "part", "supplier"))
+
+
 @query("plan_estimate", _WAVES + """,
 s AS (SELECT n.project, n.c AS nodes, m.c AS edges, n.project = 'suppliers' AND (SELECT count(*) FROM bad) > 0 AS cyc FROM (SELECT project, count(*) AS c FROM n GROUP BY 1) n
   JOIN (SELECT project, count(*) AS c FROM e GROUP BY 1) m USING (project))

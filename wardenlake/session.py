@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 # Settings that change results or plans.  Cluster sizing (shuffle partitions,
@@ -61,8 +61,8 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def cut_and_count(df: DataFrame) -> tuple[DataFrame, int]:
-    """The same, with the row count taken while the rows are written."""
+def cut_and_count(df: DataFrame, counted: Column | None = None) -> tuple[DataFrame, int]:
+    """The same, with the number of rows, or of those where ``counted`` isn't null, taken while the rows are written."""
     seen = Observation()
-    written = cut_lineage(df.observe(seen, F.count(F.lit(1)).alias("rows")))
+    written = cut_lineage(df.observe(seen, F.count(F.lit(1) if counted is None else counted).alias("rows")))
     return written, seen.get["rows"]
