@@ -15,6 +15,7 @@ from wardenlake.session import cut_and_count
 # Import forms of JavaScript, group 1 is the module.
 SCRIPT_IMPORTS = [r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", r"require\(['\"]([^'\"]+)['\"]\)", r"import\s+['\"]([^'\"]+)['\"]"]
 SCRIPT_EXTENSIONS = [".js", ".jsx", ".ts", ".tsx"]
+PLAIN_LEVELS = 6  # levels that are taken off one by one before chains are shortened
 FAR = 1 << 40  # longer than any chain; lengths that run round a cycle stop here
 HOURS_PER_FILE, CYCLE_FACTOR, LATER_WAVE_FACTOR = 0.5, 1.5, 1.2
 
@@ -106,27 +107,41 @@ def _contract(rows: DataFrame) -> DataFrame:
 def _levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, int]:
     """Rows as in ``_contract`` when no edge leads to a node without edges any more, and the number of edges left.
 
-    Edges that are left belong to nodes in or behind a cycle.  While any other node has edges, some
-    edge ends at a node without, and that edge goes; so an unchanged number means the end.
+    The first ``PLAIN_LEVELS`` rounds keep the edges whose target still needs something itself, which is
+    cheap; what is deeper is contracted.  Edges that are left belong to nodes in or behind a cycle.  While
+    any other node has edges, some edge ends at a node without, and that edge goes; so an unchanged
+    number means the end.
     """
-    ids = nodes.select("project", "id").distinct()
-    inner = (edges.select("project", F.col("src").alias("id"), "dst").distinct().join(ids, ["project", "id"], "left_semi")
-             .join(ids.withColumnRenamed("id", "dst"), ["project", "dst"], "left_semi").select("project", "id", "dst", F.lit(1).cast("long").alias("w")))
-    rows, left = cut_and_count(ids.select("project", "id", F.lit(None).cast("string").alias("dst"), F.lit(0).cast("long").alias("w")).unionByName(inner), F.col("dst"))
-    before = None
-    while left and left != before:
-        before = left
-        rows, left = cut_and_count(_contract(rows), F.col("dst"))
-    return rows, left
+    ids, one = nodes.select("project", "id").distinct(), F.lit(1).cast("long").alias("w")
+    remaining, left = cut_and_count(
+        edges.select("project", F.col("src").alias("id"), "dst").distinct().join(ids, ["project", "id"], "left_semi")
+        .join(ids.withColumnRenamed("id", "dst"), ["project", "dst"], "left_semi").select("project", "id", "dst"))
+    known, level, before = ids.withColumn("w", F.lit(0).cast("long")), 0, None
+    while left and left != before and level < PLAIN_LEVELS:
+        holders = remaining.select("project", F.col("id").alias("dst")).distinct()
+        following, now = cut_and_count(remaining.join(holders, ["project", "dst"], "left_semi").select("project", "id", "dst"))
+        if now != left:
+            level += 1
+            known = known.unionByName(remaining.select("project", "id", F.lit(level).cast("long").alias("w")))
+        remaining, left, before = following, now, left
+    rows = remaining.select("project", "id", "dst", one)
+    if left and left != before:  # every node that is left has chains of that many levels below it
+        ends = remaining.select("project", F.explode(F.array("id", "dst")).alias("id")).distinct()
+        rows, before = rows.unionByName(ends.select("project", "id", F.lit(None).cast("string").alias("dst"), F.lit(level).cast("long").alias("w"))), None
+        while left and left != before:
+            before = left
+            rows, left = cut_and_count(_contract(rows), F.col("dst"))
+    known = known.unionByName(rows.filter("dst IS NULL").select("project", "id", "w")).groupBy("project", "id").agg(F.max("w").alias("w"))
+    return known.withColumn("dst", F.lit(None).cast("string")).unionByName(rows.filter("dst IS NOT NULL")), left
 
 
 def waves(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """Wave of each node: dependencies first; nodes in or behind a cycle get one wave each, after the rest.
 
     ``edges`` point from a file to what it needs.  A node's wave is the length of the longest chain
-    below it.  Each round takes away the edges to finished nodes and shortens chains, for all projects
-    together: a plain chain of n nodes takes about log2(n) rounds, a mesh one a level.  The edges are
-    written out each round, and the driver sees only their count.  The join streams the edge side, so
+    below it.  Each round takes away the edges to finished nodes, for all projects together, and beyond
+    the first few levels also shortens chains: a plain chain of n nodes takes about log2(n) rounds more,
+    a mesh one a level.  The edges are written out each round, and the driver sees only their count.  The join streams the edge side, so
     a module that a third of all files import is split, not gathered.
     """
     rows, left = _levels(nodes, edges)
