@@ -284,3 +284,13 @@ def test_median_of_metrics_with_few_values(spark):
     assert got == {g: statistics.median([v for v in vs if v is not None]) for g, vs in groups.items() if g != "none"}
     plan = ro.exact_median(df, ["g"], "value")._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Window") == 1
+
+
+def test_blocks_of_a_user_without_a_pause(spark):
+    """One user holds nine of ten requests and never pauses; blocks of 200 meet in the same decisions as one task."""
+    rng, at, rows = random.Random(3), 0, []
+    for i in range(1500):
+        at += rng.choice([0, 1, 2, 5, 9])
+        rows.append(("a" if i % 4 else "b", "hot" if rng.random() < 0.9 else "cool", T0 + timedelta(seconds=at), i))
+    got = ro.rate_limit(spark.createDataFrame(rows, REQUEST_SCHEMA), limits(spark), block=200).collect()
+    assert len(got) == len(rows) and {r["event_id"]: r["admitted"] for r in got} == loop_admissions(rows)

@@ -13,9 +13,11 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.group_ops import PandasCogroupedOps
 from pyspark.sql.window import Window
 
-from wardenlake.functions.windows import last_before, last_n, running_sum
+from wardenlake.functions.windows import last_before, last_n, number_rows, running_sum
+from wardenlake.session import cut_and_count, cut_lineage
 from wardenlake.sources.tables import broadcast_if_small
 
 # Metric, direction, limit, high limit, alert type.
@@ -312,14 +314,84 @@ def _admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"op": batch["op"], "user_id": batch["user_id"], "event_id": batch["event_id"], "at": batch["at"], "admitted": flags})
 
 
-def rate_limit(requests: DataFrame, limits: DataFrame) -> DataFrame:
+#: Requests of one session that a task evaluates in one go; longer sessions are cut into blocks of so many.
+SESSION_BLOCK = 50_000
+_SESSION = ["op", "user_id", "session"]
+_BLOCK = [*_SESSION, "block"]
+
+
+def _walk(rows: pd.DataFrame, entered: list[int]) -> tuple[list[bool], list[int]]:
+    """Admission of a block's requests after the admitted times ``entered``, and the admitted times still in the window at its end."""
+    rows = rows.sort_values(["at", "event_id"])
+    most, span = int(rows["max_requests"].iloc[0]), int(rows["window_seconds"].iloc[0]) * SECOND
+    recent, flags = deque(entered), []
+    for at in rows["at"]:
+        while recent and at - recent[0] >= span:
+            recent.popleft()
+        flags.append(len(recent) < most)
+        if flags[-1]:
+            recent.append(at)
+    return flags, list(recent)
+
+
+def _beside(rows: DataFrame, states: DataFrame) -> PandasCogroupedOps:
+    """Each block's requests next to the state it is entered with."""
+    given = states.select(*[F.col(c).alias(f"_{c}") for c in _BLOCK], "entered")
+    return rows.groupBy(*_BLOCK).cogroup(given.groupBy(*[f"_{c}" for c in _BLOCK]))
+
+
+def _block_states(rows: DataFrame, due: DataFrame) -> DataFrame:
+    """What each block in ``due`` ends with, given the admitted times it is entered with."""
+
+    def state(key, block: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        entered = list(given["entered"].iloc[0])
+        return pd.DataFrame([(*key, entered, _walk(block, entered)[1])], columns=[*_BLOCK, "entered", "left"])
+
+    return _beside(rows.join(due, _BLOCK, "left_semi"), due).applyInPandas(
+        state, "op string, user_id string, session bigint, block bigint, entered array<bigint>, left array<bigint>")
+
+
+def _settled_states(rows: DataFrame) -> DataFrame:
+    """The admitted times that each block of a long session is entered with.
+
+    All blocks are evaluated at once, as if nothing was admitted before them.  Each is then given
+    what the block before it ended with, and the blocks for which that is news are evaluated again,
+    until there are none.  States meet as soon as a block ends in a window that its limit doesn't
+    bind; n blocks whose limit binds throughout may take n rounds.
+    """
+    none = F.array().cast("array<bigint>")
+    states = cut_lineage(_block_states(rows, rows.select(*_BLOCK).distinct().withColumn("entered", none)))
+    while True:
+        before = states.select(*_SESSION, (F.col("block") + 1).alias("block"), F.col("left").alias("_now"))
+        now = F.coalesce("_now", none)
+        news = states.join(before, _BLOCK, "left").filter(F.col("entered") != now).select(*_BLOCK, now.alias("entered"))
+        due, count = cut_and_count(news)
+        if not count:
+            return states
+        states = cut_lineage(states.join(due, _BLOCK, "left_anti").unionByName(_block_states(rows, due)))
+
+
+def _admit_long(sessions: DataFrame, block: int) -> DataFrame:
+    """Admission in sessions that are longer than a block, spread over tasks block by block."""
+    placed = number_rows(sessions, _SESSION, ["at", "event_id"], F.floor(F.col("at") / (3600 * SECOND)))
+    rows = cut_lineage(placed.withColumn("block", F.floor((F.col("ordinal") - 1) / block)).drop("ordinal"))
+
+    def decide(key, requests: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        flags = _walk(requests, list(given["entered"].iloc[0]))[0]
+        return requests.sort_values(["at", "event_id"])[["op", "user_id", "event_id", "at"]].assign(admitted=flags)
+
+    return _beside(rows, _settled_states(rows)).applyInPandas(decide, ADMIT_SCHEMA)
+
+
+def rate_limit(requests: DataFrame, limits: DataFrame, block: int = SESSION_BLOCK) -> DataFrame:
     """Admission per request(op, user_id, ts, event_id); only admitted requests count.
 
     Whether a request is admitted depends on the ones before it, but a pause of at
     least one window resets the state.  Sessions between such pauses are therefore
-    independent, and they, not users, are the unit of work.  Rows stream through the
-    task in sorted order, so even a session without any pause needs only one window
-    of memory.  Operations without a limit are admitted without leaving the JVM.
+    independent.  Those of at most ``block`` requests stream through tasks in sorted order;
+    the blocks of a longer one are evaluated at once from assumed states until these hold,
+    so a user who never pauses isn't one task.  The result is the same whatever ``block``
+    is.  Operations without a limit are admitted without leaving the JVM.
     """
     timed = requests.withColumn("at", micros()).join(broadcast_if_small(limits), "op", "left")
     free = timed.filter(F.col("max_requests").isNull()).select("op", "user_id", "event_id", "at", F.lit(True).alias("admitted"))
@@ -327,10 +399,12 @@ def rate_limit(requests: DataFrame, limits: DataFrame) -> DataFrame:
     keys, order = ["op", "user_id"], ["at", "event_id"]
     previous = last_before(limited, keys, order, hour_of(), F.col("at"), "_previous")
     starts = (F.col("_previous").isNull() | (F.col("at") - F.col("_previous") >= F.col("window_seconds").cast("bigint") * F.lit(SECOND))).cast("int")
-    sessions = running_sum(previous, keys, order, hour_of(), starts, "session")
-    sorted_rows = (sessions.select("op", "user_id", "session", "at", "event_id", "max_requests", "window_seconds")
-                   .repartition("op", "user_id", "session").sortWithinPartitions("op", "user_id", "session", "at", "event_id"))
-    return sorted_rows.mapInPandas(_admit, ADMIT_SCHEMA).unionByName(free)
+    sessions = cut_lineage(running_sum(previous, keys, order, hour_of(), starts, "session")
+                           .select(*_SESSION, "at", "event_id", "max_requests", "window_seconds"))
+    long, count = cut_and_count(sessions.groupBy(*_SESSION).agg(F.count("*").alias("_n")).filter(F.col("_n") > block).drop("_n"))
+    short = sessions if not count else sessions.join(long, _SESSION, "left_anti")
+    decided = short.repartition(*_SESSION).sortWithinPartitions(*_SESSION, "at", "event_id").mapInPandas(_admit, ADMIT_SCHEMA).unionByName(free)
+    return decided if not count else decided.unionByName(_admit_long(sessions.join(long, _SESSION, "left_semi"), block))
 
 
 def limiter_state(decisions: DataFrame, limits: DataFrame, as_of: Column) -> DataFrame:

@@ -233,21 +233,20 @@ def traffic_split(spark, sf_dir):
 TIGHT = [("migration", 2, 86400), ("file_ops", 5, 43200), ("api_calls", 1, 86400), ("analysis", 3, 172800)]
 
 
-def _decisions(spark, sf_dir, rows=None):
-    limits = spark.createDataFrame(rows, "op string, max_requests int, window_seconds int") if rows else ro.limit_table(spark)
-    return ro.rate_limit(derive(spark, sf_dir, REQUESTS, "events"), limits), limits
-
-
-_LIMIT_VALUES = ", ".join(f"('{op}', {most}, {span})" for op, most, span in TIGHT)
 # Request by request, carrying the admitted times of one window.
-_ADMITTED = f"""
+def _admitted(limits) -> str:
+    values = ", ".join(f"('{op}', {most}, {span})" for op, most, span in limits)
+    return f"""
 WITH RECURSIVE r AS (SELECT q.op, q.user_id, q.event_id, epoch_us(q.ts) AS t, l.most, CAST(l.span AS BIGINT) * 1000000 AS span,
     row_number() OVER (PARTITION BY q.op, q.user_id ORDER BY q.ts, q.event_id) AS rn
-  FROM ({_R}) q JOIN (VALUES {_LIMIT_VALUES}) l(op, most, span) ON l.op = q.op),
+  FROM ({_R}) q JOIN (VALUES {values}) l(op, most, span) ON l.op = q.op),
 a AS (SELECT op, user_id, event_id, t, rn, true AS admitted, [t] AS times FROM r WHERE rn = 1
   UNION ALL SELECT op, user_id, event_id, t, rn, len(live) < most, CASE WHEN len(live) < most THEN list_append(live, t) ELSE live END
   FROM (SELECT r.*, list_filter(a.times, lambda x: r.t - x < r.span) AS live FROM a JOIN r ON r.op = a.op AND r.user_id = a.user_id AND r.rn = a.rn + 1)),
 free AS (SELECT op, user_id, event_id, true AS admitted FROM ({_R}) WHERE op = 'other')"""
+
+
+_ADMITTED = _admitted(TIGHT)
 STATE_AT = "2024-01-20 12:00:00"
 _LIVE = _ADMITTED + f""",
 live AS (SELECT a.op, a.user_id, count(*) AS in_window, CAST((min(a.t) + any_value(r.span) - epoch_us(TIMESTAMP '{STATE_AT}')) // 1000000 AS INT) AS retry_after
@@ -264,10 +263,16 @@ def rate_limit_admissions(spark, sf_dir):
     return _decisions(spark, sf_dir, TIGHT)[0].select("op", "user_id", "event_id", "admitted")
 
 
-@query("rate_limit_standard", f"""
-SELECT op, count(*) AS requests FROM ({_R}) GROUP BY op""")
+@query("rate_limit_standard", _admitted(ro.LIMITS) + " SELECT op, user_id, event_id, admitted FROM a UNION ALL SELECT * FROM free")
 def rate_limit_standard(spark, sf_dir):
-    return _decisions(spark, sf_dir)[0].groupBy("op").agg(F.count("*").alias("requests"))
+    return _decisions(spark, sf_dir)[0].select("op", "user_id", "event_id", "admitted")
+
+
+# Blocks of 200 requests: sessions are cut, and the states of the blocks have to meet.
+@query("rate_limit_blocks", _ADMITTED + " SELECT op, user_id, event_id, admitted FROM a UNION ALL SELECT * FROM free")
+def rate_limit_blocks(spark, sf_dir):
+    limits = spark.createDataFrame(TIGHT, "op string, max_requests int, window_seconds int")
+    return ro.rate_limit(derive(spark, sf_dir, REQUESTS, "events"), limits, block=200).select("op", "user_id", "event_id", "admitted")
 
 
 def _limiter_state(spark, sf_dir):
