@@ -192,24 +192,41 @@ def running_variance(expenses: DataFrame, items: DataFrame, keys: list[str]) ->
 # Milestone limits in percent.
 MILESTONES = [(10, "Project kickoff completed"), (25, "First migration wave completed"), (50, "Halfway point reached"),
               (75, "Three-quarters completion"), (100, "Migration completed")]
+# Condition on a project, advice.
+RISKY = "risk_level IN ('HIGH', 'CRITICAL')"
+ADVICE = [
+    ("progress_percentage < 25", "Continue with pilot migration to validate approach"),
+    ("progress_percentage < 25", "Set up comprehensive monitoring before scaling"),
+    ("progress_percentage >= 25 AND progress_percentage < 50", "Review progress and adjust timeline if needed"),
+    ("progress_percentage >= 25 AND progress_percentage < 50", "Ensure rollback capabilities are tested"),
+    ("progress_percentage >= 50 AND progress_percentage < 75", "Focus on completing core functionality migration"),
+    ("progress_percentage >= 50 AND progress_percentage < 75", "Begin planning for production deployment"),
+    ("progress_percentage >= 75", "Prepare for production deployment"),
+    ("progress_percentage >= 75", "Conduct final testing and validation"),
+    (RISKY, "Implement additional risk mitigation strategies"),
+    (RISKY, "Consider phased rollout approach"),
+    ("over_budget", "Review budget and identify cost optimization opportunities"),
+]
+# Condition on a project, next step; the first one names the progress.
+NEXT_STEPS = [
+    ("progress_percentage < 100", "Continue migration (currently at {progress}%)"),
+    (RISKY, "Address high-priority risks"),
+    ("progress_percentage >= 75", "Prepare production deployment plan"),
+]
 
 
 def executive_rollup(projects: DataFrame) -> DataFrame:
-    """Progress, status, milestones and advice per project (total_files, completed_files, risk_level, over_budget)."""
+    """Progress, status, milestones, advice and next steps per project (total_files, completed_files, risk_level, over_budget)."""
     done = F.col("completed_files") / F.greatest("total_files", F.lit(1)) * 100
-    p, risky = F.col("progress_percentage"), F.col("risk_level").isin("HIGH", "CRITICAL")
+    p = F.col("progress_percentage")
 
-    def texts(pairs: list[tuple[Column, str]]) -> Column:
-        return F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in pairs]))
+    def texts(pairs: list[tuple[Column, Column]]) -> Column:
+        return F.array_compact(F.array(*[F.when(condition, text) for condition, text in pairs]))
 
+    progress = F.format_string("%.1f", F.bround(p, 1))
     return (projects.withColumn("progress_percentage", done)
             .withColumn("overall_status", F.when(F.col("risk_level") == "CRITICAL", "AT_RISK").when(p >= 100, "COMPLETED").when(p >= 75, "NEAR_COMPLETION")
                         .when(p >= 50, "IN_PROGRESS").when(p >= 25, "UNDERWAY").otherwise("STARTED"))
-            .withColumn("milestones", texts([(p >= limit, text) for limit, text in MILESTONES]))
-            .withColumn("recommendations", texts([
-                (p < 25, "Continue with pilot migration to validate approach"), (p < 25, "Set up comprehensive monitoring before scaling"),
-                ((p >= 25) & (p < 50), "Review progress and adjust timeline if needed"), ((p >= 25) & (p < 50), "Ensure rollback capabilities are tested"),
-                ((p >= 50) & (p < 75), "Focus on completing core functionality migration"), ((p >= 50) & (p < 75), "Begin planning for production deployment"),
-                (p >= 75, "Prepare for production deployment"), (p >= 75, "Conduct final testing and validation"),
-                (risky, "Implement additional risk mitigation strategies"), (risky, "Consider phased rollout approach"),
-                (F.col("over_budget"), "Review budget and identify cost optimization opportunities")])))
+            .withColumn("milestones", texts([(p >= limit, F.lit(text)) for limit, text in MILESTONES]))
+            .withColumn("recommendations", texts([(F.expr(condition), F.lit(text)) for condition, text in ADVICE]))
+            .withColumn("next_steps", texts([(F.expr(condition), F.replace(F.lit(text), F.lit("{progress}"), progress)) for condition, text in NEXT_STEPS])))

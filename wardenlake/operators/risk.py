@@ -43,6 +43,7 @@ RISK_BREAKING = {
 }
 RISK_EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx", ".vue"]
 SOURCE_EXTENSIONS = [".py", ".js", ".jsx", ".ts", ".tsx"]
+# Names of test files, forms of secrets and personal data, words of unsafe execution.
 TEST_NAME = r"(^|/)(test_[^/]*\.py|[^/]*_test\.py|[^/]*\.test\.js|[^/]*\.test\.ts|[^/]*\.spec\.ts|[^/]*\.spec\.tsx)$"
 SECRET_PATTERN = r"""(?iu)(password|api_key|secret|token)\s*=\s*["'][^"']+["']"""
 PERSONAL_PATTERN = (r"(?U)\b\d{3}-\d{2}-\d{4}\b|\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b"
@@ -71,6 +72,7 @@ def _band(value: Column, steps: list[tuple[float, int]], otherwise: int, below:
     return out.otherwise(otherwise)
 
 
+# Files that list requirements, the first that is there counts.
 REQUIREMENT_FILES = ["requirements.txt", "requirements-dev.txt", "Pipfile"]
 
 
@@ -183,23 +185,34 @@ def confidence(files: DataFrame, structures: DataFrame, migration_type: str, tea
         .withColumn("estimated_cost", F.round(F.col("estimated_hours") * HOURLY_RATE, 1)))
 
 
-# Factor, upper limit, kind, message.
+# Factor, upper limit, lower limit, kind, message.
 THRESHOLD_RULES = [
-    ("test_coverage", 30, 0, "blocker", "Test coverage is critically low (<30%)."),
-    ("test_coverage", 60, 30, "warning", "Test coverage is below recommended level (60%)."),
-    ("complexity", 40, 0, "warning", "High code complexity detected."),
-    ("dependencies", 50, 0, "blocker", "Security vulnerabilities found in dependencies."),
-    ("code_quality", 50, 0, "warning", "Code quality issues detected."),
-    ("breaking_changes", 40, 0, "warning", "Many breaking changes expected."),
+    ("test_coverage", 30, 0, "blocker", "❌ BLOCKER: Test coverage is critically low (<30%). Add tests before migration to ensure correctness."),
+    ("test_coverage", 60, 30, "warning", "⚠️  WARNING: Test coverage is below recommended level (60%). Consider adding more tests."),
+    ("complexity", 40, 0, "warning", "⚠️  WARNING: High code complexity detected. Refactor complex functions before migration."),
+    ("dependencies", 50, 0, "blocker", "❌ BLOCKER: Security vulnerabilities found in dependencies. Update vulnerable packages before migration."),
+    ("code_quality", 50, 0, "warning", "⚠️  WARNING: Code quality issues detected. Run linters and fix issues first."),
+    ("breaking_changes", 40, 0, "warning", "⚠️  WARNING: Many breaking changes expected. Plan for extensive testing and validation."),
+]
+# Advice that every project gets.
+RECOMMENDATIONS = [
+    "✓ Create a dedicated feature branch for migration",
+    "✓ Set up staging environment for testing",
+    "✓ Plan for incremental rollout (not big-bang)",
+    "✓ Document all manual steps required",
+    "✓ Schedule team code review sessions",
+    "✓ Prepare rollback strategy before starting",
 ]
 
 
 def messages(factors: DataFrame) -> DataFrame:
-    """Blockers and warnings per project."""
-    hits = F.array_compact(F.array(*[
-        F.when((F.col(f) < upper) & (F.col(f) >= lower), F.struct(F.lit(kind).alias("kind"), F.lit(f).alias("factor"), F.lit(text).alias("message")))
-        for f, upper, lower, kind, text in THRESHOLD_RULES]))
-    return factors.select("project", F.explode(hits).alias("m")).select("project", "m.*")
+    """Blockers, warnings and recommendations per project; a recommendation has no factor."""
+    def message(kind: str, factor: str | None, text: str) -> Column:
+        return F.struct(F.lit(kind).alias("kind"), F.lit(factor).cast("string").alias("factor"), F.lit(text).alias("message"))
+
+    hits = [F.when((F.col(f) < upper) & (F.col(f) >= lower), message(kind, f, text)) for f, upper, lower, kind, text in THRESHOLD_RULES]
+    general = [message("recommendation", None, text) for text in RECOMMENDATIONS]
+    return factors.select("project", F.explode(F.array_compact(F.array(*hits, *general))).alias("m")).select("project", "m.*")
 
 
 def unpinned_requirements(files: DataFrame) -> DataFrame:
@@ -216,19 +229,30 @@ def high_risk_files(files: DataFrame, migration_type: str) -> DataFrame:
     return files.filter(F.col("ext").isin(RISK_EXTENSIONS) & contains_any(F.col("content"), patterns)).select("project", "path")
 
 
-# Title, category, level, probability, impact.
+# Title, category, level, probability, impact, mitigation.
 REGISTER = {
-    "high_complexity": ("High Code Complexity", "TECHNICAL", "HIGH", 80, 70),
-    "moderate_complexity": ("Moderate Code Complexity", "TECHNICAL", "MEDIUM", 60, 50),
-    "breaking": ("Breaking Changes Required", "TECHNICAL", "HIGH", 90, 80),
-    "unpinned": ("Unpinned Dependencies", "TECHNICAL", "MEDIUM", 60, 65),
-    "secrets": ("Hardcoded Secrets Detected", "SECURITY", "CRITICAL", 95, 90),
-    "unsafe": ("Unsafe Code Execution", "SECURITY", "HIGH", 70, 85),
-    "learning": ("Team Learning Curve", "OPERATIONAL", "MEDIUM", 70, 60),
-    "downtime": ("Potential Downtime", "BUSINESS", "HIGH", 60, 80),
-    "experience": ("User Experience Impact", "BUSINESS", "MEDIUM", 50, 70),
-    "personal_data": ("PII Data Detected", "COMPLIANCE", "HIGH", 85, 90),
+    "high_complexity": ("High Code Complexity", "TECHNICAL", "HIGH", 80, 70,
+                        "Refactor complex functions before migration. Break down large functions into smaller, testable units."),
+    "moderate_complexity": ("Moderate Code Complexity", "TECHNICAL", "MEDIUM", 60, 50,
+                            "Consider refactoring the most complex functions before migration."),
+    "breaking": ("Breaking Changes Required", "TECHNICAL", "HIGH", 90, 80,
+                 "Plan for incremental migration. Create compatibility layers where possible."),
+    "unpinned": ("Unpinned Dependencies", "TECHNICAL", "MEDIUM", 60, 65,
+                 "Pin all dependency versions to prevent unexpected breaking changes."),
+    "secrets": ("Hardcoded Secrets Detected", "SECURITY", "CRITICAL", 95, 90,
+                "Remove all hardcoded secrets and use environment variables or secret management systems."),
+    "unsafe": ("Unsafe Code Execution", "SECURITY", "HIGH", 70, 85,
+               "Review and remove unsafe code execution patterns. Use safer alternatives."),
+    "learning": ("Team Learning Curve", "OPERATIONAL", "MEDIUM", 70, 60,
+                 "Schedule training sessions. Start with a pilot migration. Consider hiring experienced consultants."),
+    "downtime": ("Potential Downtime", "BUSINESS", "HIGH", 60, 80,
+                 "Plan migration during low-traffic periods. Use blue-green deployment. Have rollback plan ready."),
+    "experience": ("User Experience Impact", "BUSINESS", "MEDIUM", 50, 70,
+                   "Communicate changes to users in advance. Provide support during transition. Test thoroughly."),
+    "personal_data": ("PII Data Detected", "COMPLIANCE", "HIGH", 85, 90,
+                      "Review and secure all PII data. Ensure compliance with GDPR/CCPA. Implement data anonymization."),
 }
+RISK_FIELDS = ["title", "category", "level", "probability", "impact", "mitigation"]
 
 
 def risk_files(files: DataFrame, migration_type: str) -> DataFrame:
@@ -261,8 +285,8 @@ def risk_register(files: DataFrame, structures: DataFrame, migration_type: str,
     always = files.select("project").distinct().select(
         "project", F.explode(F.array(F.lit("learning"), F.lit("downtime"), F.lit("experience"))).alias("rule"), none.alias("file_paths"))
     rows = from_files.unionByName(from_complexity).unionByName(from_pins).unionByName(always)
-    facts = F.create_map(*[v for rule, (title, category, level, p, i) in REGISTER.items() for v in (F.lit(rule), F.struct(
-        F.lit(title).alias("title"), F.lit(category).alias("category"), F.lit(level).alias("level"), F.lit(p).alias("probability"), F.lit(i).alias("impact")))])
+    facts = F.create_map(*[v for rule, values in REGISTER.items() for v in (
+        F.lit(rule), F.struct(*[F.lit(value).alias(name) for name, value in zip(RISK_FIELDS, values)]))])
     return rows.select("project", "rule", facts[F.col("rule")].alias("f"), "file_paths").select("project", "f.*", "file_paths")
 
 

@@ -144,7 +144,7 @@ def search_alerts(alerts: DataFrame, deployment_id: str | None = None, severity:
 
 def recent_alerts(alerts: DataFrame, k: int = 10) -> DataFrame:
     """Newest k per deployment as one list; only k rows per deployment reach the list."""
-    return (last_n(alerts, ["deployment_id"], [F.desc("created_at"), F.col("alert_id")], k).groupBy("deployment_id")
+    return (last_n(alerts, ["deployment_id"], [F.desc("created_at"), F.desc("event_id")], k).groupBy("deployment_id")
             .agg(F.sort_array(F.collect_list("alert_id")).alias("recent_alerts")))
 
 

@@ -82,9 +82,9 @@ def coverage_grades_per_file(spark, sf_dir):
     return _coverage(spark, sf_dir).groupBy(ca.coverage_grade(F.col("line_coverage")).alias("grade")).agg(F.count("*").alias("files"))
 
 
-@query("under_covered", f"SELECT path, line_coverage, CAST(missing AS INT) AS shown FROM ({_V}) WHERE line_coverage < 80")
+@query("under_covered", f"SELECT path, line_coverage, array_to_string(range(1, missing + 1), ',') AS missing_lines FROM ({_V}) WHERE line_coverage < 80")
 def under_covered(spark, sf_dir):
-    return ca.under_covered(_coverage(spark, sf_dir)).select("path", "line_coverage", F.size("missing_lines").alias("shown"))
+    return ca.under_covered(_coverage(spark, sf_dir)).select("path", "line_coverage", F.array_join(F.col("missing_lines").cast("array<string>"), ",").alias("missing_lines"))
 
 
 # Templates: one per part; labels join to documents as coverage of a reviewed corpus.

@@ -208,13 +208,20 @@ FROM {orders} GROUP BY o_custkey
 """
 
 
+def _texts(pairs, name: str) -> str:
+    """The texts whose condition holds, in order, as one string."""
+    return "concat_ws('; ', " + ", ".join(f"CASE WHEN {condition} THEN '{text}' END" for condition, text in pairs) + f") AS {name}"
+
+
 @query("executive_rollup", f"""
-SELECT project, round(p, 4) AS progress_percentage,
-  CASE WHEN risk_level = 'CRITICAL' THEN 'AT_RISK' WHEN p >= 100 THEN 'COMPLETED' WHEN p >= 75 THEN 'NEAR_COMPLETION' WHEN p >= 50 THEN 'IN_PROGRESS' WHEN p >= 25 THEN 'UNDERWAY' ELSE 'STARTED' END AS overall_status,
-  CAST((p >= 10)::INT + (p >= 25)::INT + (p >= 50)::INT + (p >= 75)::INT + (p >= 100)::INT AS INT) AS milestones,
-  CAST(2 + CASE WHEN risk_level IN ('HIGH', 'CRITICAL') THEN 2 ELSE 0 END + over_budget::INT AS INT) AS recommendations
-FROM (SELECT *, completed_files / total_files * 100 AS p FROM ({plain(PROGRESS)}))""")
+SELECT project, round(progress_percentage, 4) AS progress_percentage,
+  CASE WHEN risk_level = 'CRITICAL' THEN 'AT_RISK' WHEN progress_percentage >= 100 THEN 'COMPLETED' WHEN progress_percentage >= 75 THEN 'NEAR_COMPLETION'
+    WHEN progress_percentage >= 50 THEN 'IN_PROGRESS' WHEN progress_percentage >= 25 THEN 'UNDERWAY' ELSE 'STARTED' END AS overall_status,
+  {_texts([(f"progress_percentage >= {limit}", text) for limit, text in fin.MILESTONES], "milestones")},
+  {_texts(fin.ADVICE, "recommendations")},
+  replace({_texts(fin.NEXT_STEPS, "x")[:-5]}, '{{progress}}', tenth) AS next_steps
+FROM (SELECT *, completed_files / total_files * 100 AS progress_percentage, printf('%.1f', completed_files / total_files * 100) AS tenth FROM ({plain(PROGRESS)}))""")
 def executive_rollup(spark, sf_dir):
     out = fin.executive_rollup(derive(spark, sf_dir, PROGRESS, "orders"))
     return out.select("project", F.round("progress_percentage", 4).alias("progress_percentage"), "overall_status",
-                      F.size("milestones").alias("milestones"), F.size("recommendations").alias("recommendations"))
+                      *[F.array_join(c, "; ").alias(c) for c in ("milestones", "recommendations", "next_steps")])

@@ -200,11 +200,13 @@ def plan_reordered(spark, sf_dir):
 
 @query("wave_details", f"""
 SELECT project, CAST(n % 10 AS INT) AS wave, count(*) AS file_count, CAST(sum(lines) AS BIGINT) AS total_lines, round(sum(lines) / 1000, 6) AS estimated_hours,
-  round(sum(lines) / count(*), 6) AS average_lines_per_file FROM ({_PARSED}) GROUP BY ALL""")
+  round(sum(lines) / count(*), 6) AS average_lines_per_file FROM (
+  SELECT project, n, lines FROM ({_PARSED}) UNION ALL SELECT project, n, length(content) - length(replace(content, chr(10), '')) FROM ({_CODE}) WHERE js = 1) GROUP BY ALL""")
 def wave_details(spark, sf_dir):
-    code = derive(spark, sf_dir, CODE_FILES, "part").filter("js = 0")
+    code = derive(spark, sf_dir, CODE_FILES, "part")
     plan = code.select("project", "path", (F.col("n") % 10).cast("int").alias("wave"))
-    d = gr.wave_details(plan, cm.structure(spread(code)).select("project", "path", "line_count"))
+    files = cm.structure(spread(code)).select("project", "path", "line_count").unionByName(cm.script_structure(code).select("project", "path", "line_count"))
+    d = gr.wave_details(plan, files)
     return d.withColumn("estimated_hours", F.round("estimated_hours", 6)).withColumn("average_lines_per_file", F.round("average_lines_per_file", 6))
 
 

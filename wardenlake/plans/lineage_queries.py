@@ -63,12 +63,15 @@ def lineage_nodes(spark, sf_dir):
 
 
 @query("lineage_issues", f"""
-SELECT project, path, 'CRITICAL' AS severity, 'HARDCODED_CREDENTIALS' AS type FROM ({MENTIONS})
-  WHERE label = 'database' AND contains(lower(value), 'password')
-UNION ALL SELECT project, path, 'MEDIUM', 'PII_IN_API_ENDPOINT' FROM ({MENTIONS}) WHERE label = 'api_endpoint' AND contains(value, 'user')
-UNION ALL SELECT project, path, 'HIGH', 'UNENCRYPTED_PII_STORAGE' FROM ({_CODE}) WHERE contains(content, 'localStorage.setItem("pii"')""")
+SELECT i.project, i.path, CAST(len(string_split(left(content, strpos(content, value)), chr(10))) AS INT) AS line, severity, type, recommendation FROM (
+  SELECT project, path, value, 'CRITICAL' AS severity, 'HARDCODED_CREDENTIALS' AS type, 'Move credentials to environment variables or secure vault' AS recommendation
+  FROM ({MENTIONS}) WHERE label = 'database' AND contains(lower(value), 'password')
+  UNION ALL SELECT project, path, value, 'MEDIUM', 'PII_IN_API_ENDPOINT', 'Ensure proper authentication and authorization for PII endpoints'
+  FROM ({MENTIONS}) WHERE label = 'api_endpoint' AND contains(value, 'user')
+  UNION ALL SELECT project, path, 'localStorage.setItem("pii"', 'HIGH', 'UNENCRYPTED_PII_STORAGE', 'Use encryption for PII data in client-side storage'
+  FROM ({_CODE}) WHERE contains(content, 'localStorage.setItem("pii"')) i JOIN ({_CODE}) c USING (project, path)""")
 def lineage_issues(spark, sf_dir):
-    return ln.issues(_mentions(spark, sf_dir)).select("project", "path", "severity", "type")
+    return ln.issues(_mentions(spark, sf_dir))
 
 
 @query("lineage_summary", f"""

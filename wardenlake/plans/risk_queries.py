@@ -67,15 +67,15 @@ def risk_confidence(spark, sf_dir):
     return risk.confidence(*_inputs(spark, sf_dir), TYPE)
 
 
-@query("risk_messages", f"""
-SELECT project, 'blocker' AS kind, 'test_coverage' AS factor FROM ({_FACTORS}) WHERE test_coverage < 30
-UNION ALL SELECT project, 'warning', 'test_coverage' FROM ({_FACTORS}) WHERE test_coverage >= 30 AND test_coverage < 60
-UNION ALL SELECT project, 'warning', 'complexity' FROM ({_FACTORS}) WHERE complexity < 40
-UNION ALL SELECT project, 'blocker', 'dependencies' FROM ({_FACTORS}) WHERE dependencies < 50
-UNION ALL SELECT project, 'warning', 'code_quality' FROM ({_FACTORS}) WHERE code_quality < 50
-UNION ALL SELECT project, 'warning', 'breaking_changes' FROM ({_FACTORS}) WHERE breaking_changes < 40""")
+_MESSAGES = " UNION ALL ".join(
+    [f"SELECT project, '{kind}' AS kind, '{factor}' AS factor, '{text}' AS message FROM f WHERE {factor} < {upper} AND {factor} >= {lower}"
+     for factor, upper, lower, kind, text in risk.THRESHOLD_RULES]
+    + [f"SELECT project, 'recommendation', NULL, '{text}' FROM f" for text in risk.RECOMMENDATIONS])
+
+
+@query("risk_messages", f"WITH f AS ({_FACTORS}) {_MESSAGES}")
 def risk_messages(spark, sf_dir):
-    return risk.messages(risk.factor_table(*_inputs(spark, sf_dir), TYPE)).drop("message")
+    return risk.messages(risk.factor_table(*_inputs(spark, sf_dir), TYPE))
 
 
 @query("risk_breaking_counts", f"SELECT path, CAST({_occurrences(risk.BREAKING[TYPE])} AS INT) AS occurrences FROM ({_CODE}) WHERE js = 1")
@@ -121,8 +121,12 @@ def risk_register_files(spark, sf_dir):
     return risk.risk_files(_inputs(spark, sf_dir)[0], TYPE)
 
 
+_MITIGATIONS = ", ".join(f"('{values[0]}', '{values[5]}')" for values in risk.REGISTER.values())
+
+
 @query("risk_register", f"""
-SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY probability * impact DESC, title) AS INT) AS rank FROM ({_REGISTER})""")
+SELECT *, CAST(row_number() OVER (PARTITION BY project ORDER BY probability * impact DESC, title) AS INT) AS rank
+FROM ({_REGISTER}) JOIN (VALUES {_MITIGATIONS}) m(title, mitigation) USING (title)""")
 def risk_register(spark, sf_dir):
     ranked = risk.ranked_risks(risk.risk_register(*_inputs(spark, sf_dir), TYPE))
     return ranked.withColumn("file_paths", F.array_join("file_paths", ","))

@@ -100,13 +100,21 @@ def alert_search(spark, sf_dir):
     return ro.search_alerts(ro.alert_states(alerts, _actions(alerts)), severity="HIGH", acknowledged=True, resolved=False).select("event_id")
 
 
+_NAMES = ["error_rate", "response_time", "health_score", "throughput"]
+
+
 @query("dashboard", f"""
-SELECT s.deployment_id, s.status, p.points, CAST(a.n AS INT) AS alerts FROM ({_STATUS}) s
-JOIN (SELECT deployment_id, count(*) AS points FROM ({_T}) GROUP BY 1) p USING (deployment_id)
-LEFT JOIN (SELECT deployment_id, least(10, count(*)) AS n FROM ({_ALERTS}) GROUP BY 1) a USING (deployment_id)""")
+SELECT s.deployment_id, s.status, p.points, p.error_rate, p.response_time, p.health_score, p.throughput, a.recent_alerts FROM ({_STATUS}) s
+JOIN (SELECT deployment_id, count(*) AS points, {", ".join(f"round(avg(value) FILTER (metric_name = '{m}'), 6) AS {m}" for m in _NAMES)} FROM ({_T}) GROUP BY 1) p USING (deployment_id)
+LEFT JOIN (SELECT deployment_id, string_agg(event_id, ',' ORDER BY event_id) AS recent_alerts FROM (
+  SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY created_at DESC, event_id DESC) AS rn FROM ({_ALERTS})) WHERE rn <= 10 GROUP BY 1) a USING (deployment_id)""")
 def dashboard(spark, sf_dir):
-    board = ro.dashboard(_trailing(spark, sf_dir), ro.threshold_alerts(_metrics(spark, sf_dir)))
-    return board.select("deployment_id", "status", "points", F.size("recent_alerts").alias("alerts"))
+    alerts = ro.threshold_alerts(_metrics(spark, sf_dir))
+    board = ro.dashboard(_trailing(spark, sf_dir), alerts)
+    shown = board.select("deployment_id", F.explode("recent_alerts").alias("alert_id")).join(alerts.select("alert_id", "event_id"), "alert_id")
+    events = shown.groupBy("deployment_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list("event_id")), lambda e: e.cast("string")), ",").alias("recent_alerts"))
+    means = [F.round(F.col("means")[m], 6).alias(m) for m in _NAMES]
+    return board.select("deployment_id", "status", "points", *means).join(events, "deployment_id", "left")
 
 
 @query("metric_retention", f"""

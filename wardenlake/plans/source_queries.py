@@ -161,8 +161,8 @@ def stream_limiter(spark, sf_dir):
 
 
 @query("stream_active_users", f"""
-SELECT strftime(w, '%Y-%m-%d') AS window_start, op, n AS requests, true AS users_in_range FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, op, count(*) AS n FROM ({plain(REQUESTS)}) GROUP BY ALL)""")
+SELECT strftime(w, '%Y-%m-%d') AS window_start, op, users AS active_users, n AS requests FROM (SELECT time_bucket(INTERVAL 1 DAY, ts) AS w, op, count(*) AS n, count(DISTINCT user_id) AS users FROM ({plain(REQUESTS)}) GROUP BY ALL)""")
 def stream_active_users(spark, sf_dir):
+    # the sketch is exact for as few users as an operation has here
     rows = jobs.run_available(jobs.active_users(_finished(spark, sf_dir, REQUESTS), "1 day", f"{DELAY_MINUTES} minutes"))
-    near = F.col("active_users").between(F.lit(1), F.col("requests"))
-    return rows.select(F.date_format("window_start", "yyyy-MM-dd").alias("window_start"), "op", "requests", near.alias("users_in_range"))
+    return rows.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd"))
