@@ -69,3 +69,39 @@ def test_common_words_are_not_matched(spark):
     assert [r["hits"] for r in first.collect()] == [5] * 10
     needed = terms.filter(F.col("_place") <= 1).select("query_id", "keyword", F.lit("chunk_00360").alias("_before"))
     assert rt._matching(needed, index, 8).count() == 9  # ties with smaller ids only
+
+
+def test_patterns_of_a_table(spark):
+    """Literals of every length, in texts with odd characters, repeated rows and missing values, against a plain search."""
+    rng = random.Random(5)
+    alphabet = "abé ß\n漢x"
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 400))) for _ in range(120)]
+    rows = [*enumerate(texts), (3, texts[3]), (3, texts[4]), (500, None), (501, "")]
+    literals = [t[a : a + n] for t in texts[:60] for n in (1, 2, 3, 5, 9, 14, 40) for a in [rng.randint(0, 50)]] + ["never there", "zz", "q", "a long literal that no text has"]
+    listed = [*enumerate(literals), (0, literals[0]), (9000, ""), (9001, None)]
+    files = spark.createDataFrame(rows, "id long, content string")
+    patterns = spark.createDataFrame(listed, "pattern_id long, literal string")
+    want = sorted((k, p) for k, t in rows if t for p, w in {(p, w) for p, w in listed if w} if w in t)
+    assert sorted((r["id"], r["pattern_id"]) for r in rt.match_patterns(files, "id", patterns).collect()) == want
+    assert rt.match_patterns(files, "id", patterns.limit(0)).count() == 0 and rt.match_patterns(files.limit(0), "id", patterns).count() == 0
+
+
+def test_stored_index(spark, tmp_path):
+    """Folders without a changed keyword keep their files; rows are those of a new index."""
+    texts, _ = corpus(4, 60)
+    chunks = spark.createDataFrame(texts, "chunk_id string, chunk_type string, content string")
+    path = str(tmp_path / "index")
+    rt.store_index(rt.postings(chunks), path, 16)
+    files = lambda: {p.parent.name: sorted(f.name for f in p.parent.glob("*.parquet")) for p in (tmp_path / "index").glob("part=*/*.parquet")}
+    first = files()
+    old = chunks.filter("chunk_id IN ('chunk_00003', 'chunk_00004')")
+    new = old.filter("chunk_id = 'chunk_00003'").withColumn("content", F.concat("content", F.lit(" brandnewword")))
+    touched = rt.update_stored_index(spark, path, old, new, 16)
+    want = rt.postings(chunks.join(old, "chunk_id", "left_anti").unionByName(new))
+    rows = lambda frame: sorted(tuple(r) for r in frame.select("chunk_id", "chunk_type", "keyword").collect())
+    assert rows(rt.read_index(spark, path)) == rows(want)
+    second = files()
+    assert 0 < len(touched) < 16 and {p for p in first if first[p] != second.get(p)} <= {f"part={n}" for n in touched}
+    asked = spark.createDataFrame([("brandnewword",), ("common",), ("nowhere",)], "keyword string")
+    assert rows(rt.stored_postings(spark, path, asked, 16)) == rows(want.join(asked, "keyword", "left_semi"))
+    assert rt.update_stored_index(spark, path, new, new, 16) == [] and files() == second

@@ -128,6 +128,25 @@ def test_snapshots(spark):
     assert {r["path"]: r["checksum"] for r in snapshots.materialise(a, deltas).collect()} == {r["path"]: r["checksum"] for r in third.collect()}
 
 
+def test_tree_of_a_checkpoint(spark, tmp_path):
+    """Only ranges that differ are read: files of an equal range may even be broken."""
+    old = [(f"f{i}", f"text {i}", 0) for i in range(400)]
+    new = [(p, c + "!" if p in ("f7", "f300") else c, d) for p, c, d in old if p != "f9"] + [("added", "x", 0)]
+    for name, rows in (("a", old), ("b", new)):
+        snapshots.write_checkpoint(snapshots.file_manifest(files(spark, rows), name, modified="modified"), str(tmp_path / name), 1)
+    trees = [spark.read.parquet(str(tmp_path / name / "tree")) for name in "ab"]
+    changed = {r["range"] for r in snapshots.changed_ranges(*trees, 1).collect()}
+    assert changed == {hashlib.sha256(p.encode()).hexdigest()[:1] for p in ("f7", "f9", "f300", "added")}
+    for folder in (tmp_path / "a" / "rows").glob("range=*"):
+        if folder.name[6:] not in changed:
+            for file in folder.glob("*.parquet"):
+                (folder / f".{file.name}.crc").unlink(missing_ok=True)
+                file.write_bytes(b"broken")
+    got = {r["path"]: r["change"] for r in snapshots.compare_checkpoints(spark, str(tmp_path / "a"), str(tmp_path / "b"), 1).collect()}
+    assert got == {"f7": "modified", "f300": "modified", "f9": "removed", "added": "added"}
+    assert snapshots.compare_checkpoints(spark, str(tmp_path / "b"), str(tmp_path / "b"), 1).count() == 0
+
+
 def test_fingerprint(spark):
     a = snapshots.file_manifest(files(spark, [(f"p{i}", str(i), 0) for i in range(200)]), "a")
     first = snapshots.revision_fingerprint(a).first()

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 from pyspark.sql.window import Window
 
 from wardenlake.functions.text import contains_any, let, strip
@@ -195,6 +200,58 @@ def update_index(index: DataFrame, changed_chunks: DataFrame, deleted: DataFrame
     return index.join(touched, "chunk_id", "left_anti").unionByName(postings(changed_chunks).select(*index.columns))
 
 
+#: Folders of a stored index; a keyword's postings lie in one of them.
+INDEX_PARTS = 64
+POSTING = "chunk_id string, chunk_type string, keyword string"
+
+
+def _part(keyword: Column, parts: int) -> Column:
+    return F.pmod(F.xxhash64(keyword), F.lit(parts)).cast("int").alias("part")
+
+
+def store_index(index: DataFrame, path: str, parts: int = INDEX_PARTS) -> None:
+    """The postings in one folder a part of the keywords, sorted by keyword so that look-ups skip row groups."""
+    placed = index.withColumn("part", _part(F.col("keyword"), parts))
+    placed.repartition("part", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("part", "keyword").write.partitionBy("part").parquet(path)
+
+
+def _stored(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
+    return spark.read.schema(f"{POSTING}, part int").parquet(path).filter(F.col("part").isin(wanted))
+
+
+def stored_postings(spark: SparkSession, path: str, terms: DataFrame, parts: int = INDEX_PARTS) -> DataFrame:
+    """Postings of the asked keywords; only the folders that may hold one of them are opened."""
+    asked = terms.select("keyword").distinct()
+    wanted = [r["part"] for r in asked.select(_part(F.col("keyword"), parts)).distinct().collect()]  # at most ``parts`` numbers
+    return _stored(spark, path, wanted).drop("part").join(asked, "keyword", "left_semi")
+
+
+def update_stored_index(spark: SparkSession, path: str, before: DataFrame, after: DataFrame, parts: int = INDEX_PARTS) -> list[int]:
+    """Bring a stored index up to date; gives the numbers of the folders that were rewritten.
+
+    ``before`` and ``after`` hold the changed chunks as they were and as they are; a new chunk is
+    in ``after`` only and a deleted one in ``before`` only.  Pairs that stand in both stay where they are; only folders
+    of keywords that a chunk lost or gained are written again, each in one commit, and other files keep their names.
+    """
+    old, new = (postings(side).select("chunk_id", "chunk_type", "keyword") for side in (before, after))
+    pairs = ["chunk_id", "chunk_type", "keyword"]
+    lost, gained = cut_lineage(old.join(new, pairs, "left_anti")), cut_lineage(new.join(old, pairs, "left_anti"))
+    touched = sorted(r["part"] for r in lost.unionByName(gained).select(_part(F.col("keyword"), parts)).distinct().collect())
+    if touched:
+        kept = _stored(spark, path, touched).drop("part").join(lost, pairs, "left_anti")
+        rows = cut_lineage(kept.unionByName(gained).withColumn("part", _part(F.col("keyword"), parts)))
+        # a folder that loses its last row would not be written, so it keeps a row of nulls that no look-up meets
+        empty = spark.range(len(touched)).select(*[F.lit(None).cast("string").alias(c) for c in pairs], F.element_at(F.lit(touched), (F.col("id") + 1).cast("int")).alias("part"))
+        due = rows.unionByName(empty.join(rows.select("part").distinct(), "part", "left_anti"))
+        due.repartition("part", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("part", "keyword").write.mode("overwrite").option(
+            "partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+    return touched
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(f"{POSTING}, part int").parquet(path).filter(F.col("keyword").isNotNull()).drop("part")
+
+
 def index_statistics(chunks: DataFrame, index: DataFrame) -> DataFrame:
     size = chunks.agg(F.count("*").alias("total_chunks"), F.coalesce(F.avg("char_count"), F.lit(0.0)).alias("average_chunk_size"))
     words = index.select("keyword").distinct().agg(F.count("*").alias("total_keywords"))
@@ -266,6 +323,97 @@ def pattern_matches(files: DataFrame, key: str, patterns: list[tuple[str, str]])
     return (files.select(key, F.explode_outer(hits).alias("pattern_id")).filter(F.col("pattern_id").isNotNull()))
 
 
+#: Bytes of a gram, grams of a window, and bits of the filter that tasks apply to the grams of texts.
+GRAM, GRAM_WINDOW, FILTER_BITS = 4, 8, 20
+
+
+def _gram_class(size: Column) -> Column:
+    """1 to 3: literals of so many bytes; 4: every gram is kept; 5: one gram a window is kept."""
+    return F.when(size < GRAM + GRAM_WINDOW - 1, F.least(size, F.lit(GRAM))).otherwise(GRAM + 1)
+
+
+def _grams(data: bytes, classes: list[int]) -> np.ndarray:
+    """Distinct hashed grams of a text, class by class.
+
+    Of each window of neighbouring grams class 5 keeps the one with the smallest hash, so a text
+    keeps all that a literal in it keeps, and about two of nine grams.
+    """
+    raw, out = np.frombuffer(data, np.uint8).astype(np.uint64), []
+    for kind in classes:
+        size = min(kind, GRAM)
+        if len(raw) < size:
+            continue
+        code = np.full(len(raw) - size + 1, kind, np.uint64)
+        for i in range(size):
+            code = code << np.uint64(8) | raw[i : len(raw) - size + 1 + i]
+        code = (code ^ code >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15)
+        code ^= code >> np.uint64(29)
+        code *= np.uint64(0xBF58476D1CE4E5B9)
+        if kind > GRAM:
+            code = np.lib.stride_tricks.sliding_window_view(code, GRAM_WINDOW).min(axis=1) if len(code) >= GRAM_WINDOW else code[:0]
+        out.append(code)
+    return np.unique(np.concatenate(out)).astype(np.int64) if out else np.empty(0, np.int64)
+
+
+def _gram_filter(grams: DataFrame) -> np.ndarray:
+    """Which leading bits the grams have; a bitmap of fixed size, whatever the number of grams."""
+    bits = np.zeros(1 << FILTER_BITS, bool)
+    bits[grams.select(F.shiftrightunsigned("gram", 64 - FILTER_BITS).alias("b")).distinct().toArrow()["b"].to_numpy()] = True
+    return bits
+
+
+def _kept_grams(text: str, classes: list[int], bits: np.ndarray) -> np.ndarray:
+    grams = _grams(text.encode(), classes)
+    return grams[bits[grams.astype(np.uint64) >> np.uint64(64 - FILTER_BITS)]]
+
+
+def match_patterns(files: DataFrame, key: str, patterns: DataFrame, content: str = "content") -> DataFrame:
+    """(key, pattern_id) of every literal of patterns(pattern_id, literal) that a text holds; both tables may be of any size.
+
+    Literals are looked up by their grams of bytes.  Texts are read once to count the grams that
+    literals have; a literal with a gram that no text has is nowhere, any other waits under its
+    rarest gram.  Texts then meet the literals that wait under one of their grams, and those pairs
+    are verified on the whole text.  Null and empty literals and null texts match nothing, pattern rows that repeat
+    count once, files that repeat a key are matched row by row.
+    """
+    listed = patterns.filter(F.length("literal") > 0).select("pattern_id", "literal", _gram_class(F.octet_length("literal")).alias("kind"))
+    shape = listed.select("pattern_id", "literal").schema
+
+    def of_literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [_grams(text.encode(), [kind]) for text, kind in zip(batch["literal"].to_pylist(), batch["kind"].to_pylist())]
+            at = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
+            yield pa.RecordBatch.from_arrays([batch["pattern_id"].take(at), batch["literal"].take(at), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))],
+                                             names=["pattern_id", "literal", "gram"])
+
+    literal_grams = cut_lineage(listed.mapInArrow(of_literals, StructType(shape.fields).add("gram", "long")))
+    classes = sorted(r["kind"] for r in listed.select("kind").distinct().collect())  # five values at most
+    texts = files.filter(F.col(content).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(content).alias("_hash"), F.col(content).alias("_text"))
+    wanted = _gram_filter(literal_grams)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams, times = np.unique(np.concatenate([np.empty(0, np.int64), *(_kept_grams(t, classes, wanted) for t in batch["_text"].to_pylist())]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times)], names=["gram", "n"])
+
+    seen = texts.select("_text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
+    waiting = cut_lineage(literal_grams.join(seen, "gram", "left").groupBy("pattern_id", "literal").agg(rarest)
+                          .filter("rarest.n > 0").select("pattern_id", "literal", "rarest.gram"))
+    anchors = _gram_filter(waiting)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [_kept_grams(t, classes, anchors) for t in batch["_text"].to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
+            yield pa.RecordBatch.from_arrays([batch["_key"].take(at), batch["_hash"].take(at), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))],
+                                             names=["_key", "_hash", "gram"])
+
+    met = texts.mapInArrow(meet, StructType(texts.select("_key", "_hash").schema.fields).add("gram", "long"))
+    pairs = met.join(waiting, "gram").select("_key", "_hash", "pattern_id", "literal").distinct()
+    return texts.join(pairs, ["_key", "_hash"]).filter(F.col("_text").contains(F.col("literal"))).select(F.col("_key").alias(key), "pattern_id")
+
+
 def search_patterns(patterns: DataFrame, text: str) -> DataFrame:
     needle = text.lower()
     return patterns.filter(F.lower("name").contains(needle) | F.lower("description").contains(needle) | F.lower("migration_type").contains(needle))

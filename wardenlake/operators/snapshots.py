@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from wardenlake.sources.corpus import extension
 
 
+MANIFEST_SCHEMA = "checkpoint_id string, path string, checksum string, size_bytes bigint, modified timestamp_ntz"
+
+
 def file_manifest(files: DataFrame, checkpoint_id: str, key: str = "path", content: str = "content", modified: str | None = None) -> DataFrame:
     """One checksum row per file."""
     stamp = F.col(modified) if modified else F.lit(None).cast("timestamp_ntz")
@@ -157,6 +160,59 @@ def revision_fingerprint(manifest: DataFrame) -> DataFrame:
     return sums.agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("fingerprint"), F.coalesce(F.sum("_n"), F.lit(0)).alias("rows"))
 
 
+#: Hexadecimal digits of a range of paths, and of its parents up to the root.
+TREE_DIGITS = 2
+
+
+def path_range(path: Column, digits: int = TREE_DIGITS) -> Column:
+    """The range of a path: the first digits of its hash, so ranges are of equal size."""
+    return F.substring(F.sha2(path, 256), 1, digits)
+
+
+def hash_tree(manifest: DataFrame, digits: int = TREE_DIGITS) -> DataFrame:
+    """(level, range, rows, a, b) for every range and its parents up to the root, whose range is empty.
+
+    A node has the number of its rows and two exact sums of halves of the row hashes, so a parent
+    is the sum of its children and the order of rows doesn't matter.  A null checksum counts as a value of its own.
+    """
+    row = F.sha2(F.concat("path", F.lit("\x00"), F.coalesce("checksum", F.lit("\x01"))), 256)
+    half = [F.conv(F.substring(row, start, 14), 16, 10).cast("decimal(38,0)") for start in (1, 15)]
+    leaves = manifest.groupBy(path_range(F.col("path"), digits).alias("range")).agg(F.count("*").alias("rows"), F.sum(half[0]).alias("a"), F.sum(half[1]).alias("b"))
+    levels = F.explode(F.sequence(F.lit(0), F.lit(digits))).alias("level")
+    nodes = leaves.select(levels, "range", "rows", "a", "b").withColumn("range", F.expr("substring(range, 1, level)"))
+    return nodes.groupBy("level", "range").agg(F.sum("rows").alias("rows"), F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+
+def write_checkpoint(manifest: DataFrame, path: str, digits: int = TREE_DIGITS) -> None:
+    """The manifest's rows in one folder a range, and the hash tree over them beside it."""
+    ranged = manifest.withColumn("range", path_range(F.col("path"), digits))
+    ranged.repartition("range").write.mode("errorifexists").partitionBy("range").parquet(f"{path}/rows")
+    hash_tree(manifest, digits).coalesce(1).write.mode("errorifexists").parquet(f"{path}/tree")
+
+
+def changed_ranges(old: DataFrame, new: DataFrame, digits: int = TREE_DIGITS) -> DataFrame:
+    """Ranges in which two trees differ; a level is compared only below the nodes that differ one level up."""
+    differ = None
+    for level in range(digits + 1):
+        a, b = (tree.filter(F.col("level") == level).select("range", F.struct("rows", "a", "b").alias(name)) for tree, name in ((old, "_old"), (new, "_new")))
+        if differ is not None:
+            up = F.expr(f"substring(range, 1, {level - 1})")
+            a, b = (side.withColumn("_up", up).join(differ.select(F.col("range").alias("_up")), "_up", "left_semi").drop("_up") for side in (a, b))
+        differ = a.join(b, "range", "full_outer").filter(~F.col("_old").eqNullSafe(F.col("_new"))).select("range")
+    return differ
+
+
+def compare_checkpoints(spark: SparkSession, old: str, new: str, digits: int = TREE_DIGITS) -> DataFrame:
+    """What changed between two written checkpoints, as :func:`compare` says it, without the unchanged rows.
+
+    Only the folders of ranges whose trees differ are opened; there are at most 16 ** digits of them.
+    """
+    trees = [spark.read.parquet(f"{side}/tree") for side in (old, new)]
+    ranges = [r["range"] for r in changed_ranges(*trees, digits).collect()]
+    sides = [spark.read.schema(f"{MANIFEST_SCHEMA}, range string").parquet(f"{side}/rows").filter(F.col("range").isin(ranges)) for side in (old, new)]
+    return compare(*sides).filter("change <> 'unchanged'")
+
+
 def approval_current(approved: DataFrame, current_manifest: DataFrame) -> DataFrame:
     """Whether the table is still the one the preview saw."""
     now = revision_fingerprint(current_manifest).select(F.col("fingerprint").alias("current_fingerprint"))

@@ -41,9 +41,12 @@ def _with_tenant(shaped):
 SELECT source_id, event_id, event_type, timestamp_unix, user_hash AS "user", action, resource, result, project_path, pii AS gdpr_pii_processed,
   phi AS hipaa_phi_accessed, classification AS data_classification FROM ({_NORM})""")
 def audit_normalised(spark, sf_dir):
-    e = _events(spark, sf_dir)
-    return e.select(F.col("details")["source"].cast("bigint").alias("source_id"), "event_id", "event_type", "timestamp_unix", "user", "action",
-                    "resource", "result", F.col("details")["project_path"].alias("project_path"), "compliance.*")
+    return shown(_events(spark, sf_dir))
+
+
+def shown(events):
+    return events.select(F.col("details")["source"].cast("bigint").alias("source_id"), "event_id", "event_type", "timestamp_unix", "user", "action",
+                         "resource", "result", F.col("details")["project_path"].alias("project_path"), "compliance.*")
 
 
 @query("audit_search", f"""

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardenlake.operators import retrieval as rt
 from wardenlake.plans.code_queries import _CODE
 from wardenlake.plans.derived import CODE_FILES
 from wardenlake.plans.registry import derive, plain, query
-from wardenlake.session import cut_lineage
+from wardenlake.session import cut_lineage, ensure_checkpoint_dir
 from wardenlake.sources.tables import load, spread
 
 # Document type by language, so that every type bonus occurs.
@@ -148,6 +150,27 @@ def index_update(spark, sf_dir):
     return rt.update_index(rt.postings(c, unique_sources=True), changed, c.filter("doc_id % 10 = 2"))
 
 
+@query("index_upkeep", f"""
+WITH p AS ({_POST}), c AS ({_CHUNKS}), changed AS (SELECT chunk_id, chunk_type, content || ' freshword' AS content FROM c WHERE doc_id % 100 = 1)
+SELECT chunk_id, chunk_type, keyword FROM p WHERE chunk_id NOT IN (SELECT chunk_id FROM c WHERE doc_id % 100 IN (1, 2))
+UNION ALL SELECT DISTINCT chunk_id, chunk_type, unnest({_kw('content')}) FROM changed""")
+def index_upkeep(spark, sf_dir):
+    """The stored index after an update in place, read back."""
+    c = _chunks(spark, sf_dir)
+    changed = c.filter("doc_id % 100 = 1").withColumn("content", F.concat("content", F.lit(" freshword")))
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    rt.store_index(rt.postings(c, unique_sources=True), path)
+    rt.update_stored_index(spark, path, c.filter("doc_id % 100 IN (1, 2)"), changed)
+    return rt.read_index(spark, path)
+
+
+@query("index_lookup", f"SELECT chunk_id, chunk_type, keyword FROM ({_POST}) WHERE keyword IN (SELECT keyword FROM ({_TERMS}))")
+def index_lookup(spark, sf_dir):
+    path = f"{ensure_checkpoint_dir(spark)}/index-{uuid.uuid4().hex}"
+    rt.store_index(rt.postings(_chunks(spark, sf_dir), unique_sources=True), path)
+    return rt.stored_postings(spark, path, rt.query_terms(_queries(spark, sf_dir)))
+
+
 _INTENT_SQL = "CASE " + " ".join(
     "WHEN " + " OR ".join(f"contains(t, '{w}')" for w in words) + f" THEN '{intent}'" for intent, words in rt.INTENTS) + " ELSE 'general' END"
 # Messages with intent words by turn, a time per turn and a confidence for answers.
@@ -231,3 +254,15 @@ _LITERALS = [("mount", "componentDidMount"), ("props", "this.props"), ("import",
 @query("pattern_matches", " UNION ALL ".join(f"SELECT path, '{i}' AS pattern_id FROM ({_CODE}) WHERE contains(content, '{w}')" for i, w in _LITERALS))
 def pattern_matches(spark, sf_dir):
     return rt.pattern_matches(derive(spark, sf_dir, CODE_FILES, "part"), "path", _LITERALS)
+
+
+# A pattern table that grows with the code: one literal per part, of three lengths.
+PATTERNS = """
+SELECT p_partkey AS pattern_id, CASE p_partkey % 3 WHEN 0 THEN concat('m', cast(p_partkey AS string)) WHEN 1 THEN concat('class K', cast(p_partkey AS string), ':')
+         ELSE concat('componentDidMount() { fetch("/api/user/', cast(p_partkey AS string)) END AS literal FROM {part}
+"""
+
+
+@query("pattern_table_matches", f"SELECT path, pattern_id FROM ({_CODE}) JOIN ({plain(PATTERNS)}) ON contains(content, literal)")
+def pattern_table_matches(spark, sf_dir):
+    return rt.match_patterns(derive(spark, sf_dir, CODE_FILES, "part"), "path", derive(spark, sf_dir, PATTERNS, "part"))

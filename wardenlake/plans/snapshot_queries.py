@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wardenlake.operators import snapshots as sn
 from wardenlake.plans.registry import derive, plain, query
+from wardenlake.session import ensure_checkpoint_dir
 from wardenlake.sources.tables import load
 
 # The second version drops some orders, changes others and adds new ones.
@@ -174,3 +177,34 @@ def stale_approval(spark, sf_dir):
     one, two = _manifests(spark, sf_dir)
     approved = sn.revision_fingerprint(one)
     return sn.approval_current(approved, two).select("may_apply").unionByName(sn.approval_current(approved, one.repartition(3)).select("may_apply"))
+
+
+# A third version in which few paths change, go or come, so most ranges of the two trees are equal.
+VERSION_THREE = """
+SELECT concat('orders/', cast(o_orderkey + CASE WHEN o_orderkey % 2999 = 5 THEN 100000000 ELSE 0 END AS string), '.csv') AS path,
+       concat(cast(o_custkey AS string), ',', CASE WHEN o_orderkey % 1999 = 4 THEN concat('X', chr(10)) ELSE o_orderstatus END, chr(10), o_orderpriority) AS content,
+       o_orderdate AS modified
+FROM {orders} WHERE o_orderkey % 3001 <> 7
+"""
+_FEW = f"""
+SELECT coalesce(a.path, b.path) AS path, CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'removed' ELSE 'modified' END AS change,
+  sha256(a.content) AS old_checksum, sha256(b.content) AS new_checksum
+FROM ({_A}) a FULL JOIN ({plain(VERSION_THREE)}) b ON a.path = b.path WHERE a.content IS DISTINCT FROM b.content"""
+
+
+def _written(spark, sf_dir):
+    """Both versions as written checkpoints in the shared folder."""
+    folder = f"{ensure_checkpoint_dir(spark)}/snapshots-{uuid.uuid4().hex}"
+    for name, version in (("cp1", VERSION_ONE), ("cp3", VERSION_THREE)):
+        sn.write_checkpoint(sn.file_manifest(derive(spark, sf_dir, version, "orders"), name, modified="modified"), f"{folder}/{name}")
+    return f"{folder}/cp1", f"{folder}/cp3"
+
+
+@query("snapshot_tree_diff", _FEW)
+def snapshot_tree_diff(spark, sf_dir):
+    return sn.compare_checkpoints(spark, *_written(spark, sf_dir)).select("path", "change", "old_checksum", "new_checksum")
+
+
+@query("snapshot_tree_ranges", f"SELECT DISTINCT left(sha256(path), 2) AS range FROM ({_FEW})")
+def snapshot_tree_ranges(spark, sf_dir):
+    return sn.changed_ranges(*[spark.read.parquet(f"{side}/tree") for side in _written(spark, sf_dir)])

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from wardenlake.plans import audit_queries, finance_queries, graph_queries
 from wardenlake.plans.catalog_queries import OPERATIONS
 from wardenlake.plans.derived import CHECKS, METRICS, REQUESTS
-from wardenlake.plans.registry import derive, plain, query
+from wardenlake.plans.registry import ORACLES, derive, plain, query
 from wardenlake.plans.rollout_queries import _ADMITTED, _ALERTS, _STATES, EVALUATIONS, TIGHT
-from wardenlake.sources import auditlog, corpus, paths
+from wardenlake.plans.scan_queries import _REDACTED, findings_sql
+from wardenlake.session import ensure_checkpoint_dir
+from wardenlake.sources import auditlog, corpus, export, paths
 from wardenlake.sources.tables import load
 from wardenlake.streaming import jobs
 
@@ -128,6 +133,72 @@ def stream_triggers(spark, sf_dir):
     return rows.withColumn("triggered_at", F.date_format("triggered_at", "yyyy-MM-dd HH:mm:ss")).withColumn("value", F.round("value", 6))
 
 
+@query("stream_retention", f"""
+SELECT deployment_id, event_id FROM (SELECT *, row_number() OVER (PARTITION BY deployment_id ORDER BY ts DESC, event_id DESC) AS rn FROM ({plain(METRICS)})) WHERE rn > 100""")
+def stream_retention(spark, sf_dir):
+    return jobs.run_available(jobs.retention_stream(_finished(spark, sf_dir, METRICS, deployment_id="closing mark"), 100, f"{DELAY_MINUTES} minutes", RANGE_MS))
+
+
+@query("stream_findings", f"""
+SELECT page_id, type, severity, confidence, regulation, {_REDACTED} AS match, left(sha256(raw), 12) AS fingerprint FROM ({findings_sql("pages", "page_id", "html")})""")
+def stream_findings(spark, sf_dir):
+    """Findings of files that arrive as a stream."""
+    schema = load(spark, sf_dir, "pages").schema
+    pages = spark.readStream.schema(schema).option("pathGlobFilter", "pages.parquet").parquet(sf_dir)
+    return jobs.run_available(jobs.finding_stream(pages, "page_id", "html").drop("recommendation"))
+
+
+@query("stream_changes", f"SELECT check_id, event_id, old_status, status FROM ({_STATES}) WHERE old_status <> status")
+def stream_changes(spark, sf_dir):
+    """Changes of health, handed batch by batch to a callback that keeps them; a batch that is run again replaces its own folder."""
+    base = _folder(spark, "changes")
+    changes = jobs.health_stream(_finished(spark, sf_dir, CHECKS), f"{DELAY_MINUTES} minutes", RANGE_MS, only_changes=True)
+    changes.sparkSession.createDataFrame([], changes.schema).write.parquet(f"{base}/rows/batch=-1")
+    jobs.on_change(changes, lambda rows, batch: rows.write.mode("overwrite").parquet(f"{base}/rows/batch={batch}"), f"{base}/progress").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(f"{base}/rows").drop("batch")
+
+
+# --- sinks and sources through the shared folder ---------------------------------------------
+def _folder(spark, name: str) -> str:
+    return f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query("corpus_scan", "SELECT page_id, CAST(strlen(html) + 1 AS BIGINT) AS size_bytes, '.txt' AS ext, md5(html || chr(10)) AS content_md5 FROM pages")
+def corpus_scan(spark, sf_dir):
+    """Every page as a file of its own, found and read again by the scan of a folder."""
+    base = _folder(spark, "corpus")
+    load(spark, sf_dir, "pages").select("page_id", "html").write.partitionBy("page_id").text(base)
+    files = corpus.read_corpus(spark, base, "pages", [".txt"])
+    return files.select(F.regexp_extract("path", r"page_id=(\d+)/", 1).cast("bigint").alias("page_id"), "size_bytes", "ext", F.md5("content").alias("content_md5"))
+
+
+@query("audit_sink", ORACLES["audit_normalised"])
+def audit_sink(spark, sf_dir):
+    """Normalised events written as lines of the log and read back."""
+    base = _folder(spark, "audit")
+    auditlog.append_audit(audit_queries._events(spark, sf_dir), base)
+    return audit_queries.shown(auditlog.read_audit_or_empty(spark, base))
+
+
+@query("report_export", ORACLES["executive_rollup"])
+def report_export(spark, sf_dir):
+    base, rows = _folder(spark, "report"), finance_queries.executive_rollup(spark, sf_dir)
+    export.export_report(rows, base)
+    return spark.read.schema(rows.schema).json(base)
+
+
+@query("graph_export", f"""
+SELECT 'node' AS part, project AS a, id AS b FROM ({ORACLES["graph_nodes"]}) UNION ALL SELECT 'link', src, dst FROM ({ORACLES["graph_resolved_edges"]})
+UNION ALL SELECT 'wave', project, CAST(wave AS VARCHAR) FROM ({ORACLES["wave_details"]})""")
+def graph_export(spark, sf_dir):
+    base = _folder(spark, "graph")
+    nodes, links, waves = (run(spark, sf_dir) for run in (graph_queries.graph_nodes, graph_queries.graph_resolved_edges, graph_queries.wave_details))
+    export.export_graph(nodes, links, waves, base)
+    parts = [spark.read.schema(frame.schema).json(f"{base}/{name}").select(F.lit(part).alias("part"), F.col(a).alias("a"), F.col(b).cast("string").alias("b"))
+             for frame, name, part, a, b in ((nodes, "nodes", "node", "project", "id"), (links, "links", "link", "src", "dst"), (waves, "waves", "wave", "project", "wave"))]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
 @query("stream_ledger", f"""
 SELECT operation_id, strftime(created_at, '%Y-%m-%d %H:%M:%S') AS created_at, event_id, action, workspace_id, migration_type, source_revision FROM (
   SELECT *, row_number() OVER (PARTITION BY operation_id ORDER BY created_at, event_id) AS rn FROM ({plain(OPERATIONS)})) WHERE rn = 1""")

@@ -142,6 +142,31 @@ class Admissions(OrderedProcessor):
         return {"times": times + [row["at"]] if admitted else times}, {"event_id": row["event_id"], "admitted": admitted}
 
 
+class Evictions(OrderedProcessor):
+    """Points that fall out of the newest ``keep`` of a deployment; the memory holds those ``keep`` ids and no more."""
+
+    key_columns = ["deployment_id"]
+    fields = ["event_id"]
+    output = "deployment_id string, event_id bigint"
+
+    def __init__(self, keep: int) -> None:
+        self.keep = keep
+
+    def start(self) -> dict:
+        return {"newest": []}
+
+    def step(self, memory, row):
+        newest = memory["newest"] + [row["event_id"]]
+        if len(newest) <= self.keep:
+            return {"newest": newest}, None
+        return {"newest": newest[1:]}, {"event_id": newest[0]}
+
+
+def retention_stream(metrics: DataFrame, keep: int, delay: str, range_ms: int | None = None) -> DataFrame:
+    """The points that retention of the newest ``keep`` of each deployment drops, as they drop; the counterpart of ``rollout.retain_newest``."""
+    return run_ordered(event_time(metrics).withWatermark("ts", delay), Evictions(keep), range_ms)
+
+
 def trigger_stream(metrics: DataFrame, delay: str, range_ms: int | None = None) -> DataFrame:
     """One-shot triggers: the earliest point past its threshold of each deployment and metric."""
     timed = event_time(metrics).withWatermark("ts", delay)
