@@ -2,6 +2,7 @@ import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -71,3 +72,38 @@ def test_nothing_to_learn_from(spark):
     row = M.score(table(spark, ["a b"]), model).first()
     assert row["n_tokens"] == 3 and row["n_known"] == 0 and row["base_score"] == 0.0 and np.isfinite(row["score"])
     assert M.score(table(spark, []), model).count() == 0
+
+
+def plain_score(model, counts, text):
+    """log10 of the probability of a text, token by token, from the trained weights."""
+    head = {h: i for i, h in enumerate(model.known[: M.HEAD].tolist())}
+    w, before, total = model.weights, [M._START, M._START], 0.0
+    for h in M.token_hashes(pa.array([text or ""]))[0].tolist():
+        one, two = before[-1], before[-2]
+        rows = [one, M._CONTEXTS + two, 2 * M._CONTEXTS + ((one * 1_000_003 + two) * 2_654_435_761 >> 11) % M.PAIR_ROWS]
+        scores = [float(w.class_bias[c]) + sum(float(w.class_rows[r][c]) for r in rows) for c in range(M.CLASSES + 1)]
+        own = head.get(h)
+        of = M.CLASSES if own is None else own // M.MEMBERS
+        total += scores[of] - math.log(sum(map(math.exp, scores)))
+        if own is None:
+            total += math.log((counts.get(h, 0) + 1) / model.tail_total)
+        else:
+            places = [((r * 2_246_822_519 + of * 3_266_489_917) >> 7) % M.MEMBER_ROWS for r in rows]
+            scores = [float(w.member_bias[of][m]) + sum(float(w.member_rows[r][m]) for r in places) for m in range(M.MEMBERS)]
+            total += scores[own % M.MEMBERS] - math.log(sum(map(math.exp, scores)))
+        before.append(M.HEAD + (h >> 20 & (M.TAIL_ROWS - 1)) if own is None else own)
+    return total / math.log(10)
+
+
+@pytest.mark.parametrize("known", [1 << 19, 1050])
+def test_score_against_a_plain_version(spark, monkeypatch, known):
+    """Head and tail words, words that only the join knows and unseen ones."""
+    monkeypatch.setattr(M, "KNOWN_WORDS", known)
+    texts = [*TEXTS, *(f"the cat saw thing{i} and thing{i // 2} on the mat" for i in range(1500))]
+    model = M.train(table(spark, texts), F.col("doc_id") % 5 != 0)
+    counts = {r["hash"] % (1 << 64): r["c"] for r in model.counts.collect()}
+    asked = [*texts[:5], *texts[-8:], "the cat saw nothing1 known", "", None, "thing3 thing4 thing5 the cat"]
+    got = {r["doc_id"]: r["score"] for r in M.score(table(spark, asked), model).collect()}
+    for i, text in enumerate(asked):
+        want = plain_score(model, counts, text)
+        assert abs(got[i] - want) < 1e-3 * max(1, abs(want))

@@ -2,6 +2,7 @@ import itertools
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from tests.llm.helpers import ODD, table
 from tests.llm.test_bpe_codec import BYTE, library
@@ -77,3 +78,14 @@ def test_repeated_rows_and_null_keys_keep_their_places(spark):
     docs = table(spark, ["same text"] * 3).selectExpr("cast(if(doc_id = 2, null, 7) as long) doc_id", "text")
     rows = P.pack(P.token_pieces(docs, BYTE)).collect()
     assert len(rows) == 3 and gapless((r["sequence_id"], r["offset"], r["length"]) for r in rows) == 1
+
+
+def test_columns_with_clashing_names(spark):
+    """Columns called like results are replaced, those called like inner ones stay."""
+    pieces = P.token_pieces(table(spark, [f"text {'again ' * i}" for i in range(40)]), BYTE)
+    others = ["group", "n", "before", "rank", "__group", "__n", "__before", "__rank", "c0"]
+    extra = pieces.select("*", *[F.lit(name).alias(name) for name in others], F.lit("old").alias("sequence_id"), F.lit("old").alias("Offset"))
+    plain = lambda rows: gapless((r["sequence_id"], r["offset"], r["length"]) for r in rows)
+    rows = P.pack(extra).collect()
+    assert len(rows) == 40 and plain(rows) == plain(P.pack(pieces).collect())
+    assert all(r[name] == name for r in rows for name in others)

@@ -1,3 +1,7 @@
+import math
+import random
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -50,3 +54,41 @@ def test_held_out_accuracy(spark):
     marks = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
     out = QUERIES["op10_quality_classifier"](spark, "/root/testdata/sf0.01").where("held_out").join(marks, "doc_id")
     assert out.agg(F.avg((F.col("quality") == F.col("predicted")).cast("int"))).first()[0] > 0.95
+
+
+def plain_model(sets, positive):
+    """Ratios, weights and curve by sums over dictionaries and a slow ascent of the dual problem."""
+    seen = [Counter(f for own, label in zip(sets, positive) if label == side for f in own) for side in (0, 1)]
+    total = [Q.BUCKETS + sum(c.values()) for c in seen]
+    ratio = {f: math.log((seen[1][f] + 1) / total[1]) - math.log((seen[0][f] + 1) / total[0]) for f in {*seen[0], *seen[1]}}
+    place = {f: i for i, f in enumerate(sorted(ratio))}
+    x = np.zeros((len(sets), len(place)))
+    for i, own in enumerate(sets):
+        for f in own:
+            x[i, place[f]] = ratio[f]
+    x /= np.sqrt((x**2).sum(axis=1, keepdims=True))
+    sign, share = np.where(positive, 1.0, -1.0), np.mean(positive)
+    signed = x * sign[:, None]
+    gram, alpha, cost = signed @ signed.T, np.zeros(len(sets)), np.where(positive, 0.5 / share, 0.5 / (1 - share))
+    for _ in range(50_000):
+        alpha = np.clip(alpha + (1 - gram @ alpha) / np.linalg.norm(gram, 2), 0, cost)
+    return ratio, {f: w for f, w in zip(sorted(ratio), signed.T @ alpha)}
+
+
+def test_margins_against_a_plain_version(spark):
+    """The trained model orders new texts as the exact solution does, with nearly its margins, and scores are the curve over them."""
+    rng = random.Random(2)
+    pool = [[f"calm{i}" for i in range(40)], [f"loud{i}" for i in range(40)], [f"both{i}" for i in range(40)]]
+    text = lambda good: " ".join(rng.choice(pool[2] if rng.random() < 0.6 else pool[good] if rng.random() < 0.7 else pool[1 - good]) for _ in range(25))
+    texts = [text(i % 2) for i in range(80)]
+    asked = [text(i % 2) for i in range(40)]
+    model = Q.train(table(spark, texts), labels(spark, [(i, int(i % 2 == 0), 0) for i in range(80)]), F.lit(True))
+    sets = lambda rows: [set(r.tolist()) for r in Q.distinct_rows(*Q.features(*arrow_bytes(pa.array(rows))))]
+    ratio, weight = plain_model(sets(texts), [i % 2 == 0 for i in range(80)])
+    got = {r["doc_id"]: r["score"] for r in Q.score(table(spark, asked), model).collect()}
+    margins = []
+    for i, own in enumerate(sets(asked)):
+        known = [f for f in own if f in ratio]
+        margins.append(sum(weight[f] * ratio[f] for f in known) / math.sqrt(sum(ratio[f] ** 2 for f in known)))
+        assert abs(math.log(got[i] / (1 - got[i])) - (model.slope * margins[i] + model.shift)) < 0.05 * model.slope
+    assert np.corrcoef(margins, [math.log(got[i] / (1 - got[i])) for i in range(40)])[0, 1] > 0.999

@@ -169,7 +169,8 @@ def train(docs: DataFrame, train_on: Column, text: str = "text", lang: str = "la
 
     The documents are chosen by the hash of their key, at a rate from the number that the language
     has; whole texts count.  Rows without text or language don't take part.  What reaches the driver
-    are the counts of the sample, whatever the corpus holds.
+    are the counts of the sample, whatever the corpus holds, and one number a language.  Repeated rows
+    count each time; without any usable row nothing is learned.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -209,6 +210,7 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", keep: li
     and ``flat_bits`` eight for each byte.  Null texts, texts without a letter, and any text when no
     language was learned are ``und`` with score 0 and null bits.  Equal code lengths go to the first
     language by name.  Rows stay as they are, repeated or not; columns of these four names are replaced.
+    Very long texts are scored whole, block by block, and an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     made = ["lang_pred", "score", "bits", "flat_bits"]

@@ -254,8 +254,10 @@ def score(docs: DataFrame, model: LanguageModel, text: str = "text", keep: list[
     """The ``keep`` columns (all, if none are named), then n_tokens, n_known, train_tokens, base_score and score.
 
     Scores are log10 probabilities of the whole text with its end mark: base_score by add-one shares
-    of the counts, score by the model.  Null texts are empty and have the end mark only.  Rows that
-    repeat key and text get equal scores.  Columns of these names are replaced.
+    of the counts, score by the model.  Null texts are empty and have the end mark only; very long
+    texts are scored whole.  Rows that repeat key and text get equal scores, also where the key is
+    null.  Columns of these names are replaced, others stay whatever their names.  An empty table gives no rows, and
+    a model that saw no text gives all tokens the share of unseen ones.
     """
     spark = docs.sparkSession
     small_batches(spark)

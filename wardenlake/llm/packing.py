@@ -89,7 +89,12 @@ def minimum_slack_plan(counts: np.ndarray, capacity: int = CAPACITY) -> Plan:
 
 
 def token_pieces(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(key, piece, start, length, ids_crc32): each document's ids with the end id, cut so that only the first piece is shorter than capacity."""
+    """(key, piece, start, length, ids_crc32): each document's ids with the end id, cut so that only the first piece is shorter than capacity.
+
+    Null and empty texts are one piece with the end id only; very long texts are cut into as many
+    pieces as they need.  Rows that repeat a key or have none are cut each on their own.  Other
+    columns are ignored whatever their names, and an empty table gives no rows.
+    """
     small_batches(docs.sparkSession)
     schema = docs.select(F.col(key).cast("long").alias(key)).schema.add("piece", "integer").add("start", "long").add("length", "long").add("ids_crc32", "long")
 
@@ -118,28 +123,34 @@ def pack(pieces: DataFrame, key: str = "doc_id", capacity: int = CAPACITY) -> Da
 
     Ranks among pieces of a length are counted in groups of a few thousand pieces by a hash of the
     piece, whose sizes are summed up before; so a length that many pieces share is spread like any other.
+    All rows are placed, also those that repeat another or have no key; which of equal pieces comes
+    first is of no matter.  Input columns called sequence_id or offset are replaced, all others stay whatever their
+    names.  An empty table gives no rows.
     """
     spark = pieces.sparkSession
-    pieces = through_table(pieces, "pieces")
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    schema = pieces.select(kept).schema.add("sequence_id", "long").add("offset", "long")
+    named = {c: f"c{i}" for i, c in enumerate(kept)}
+    pieces = through_table(pieces.select(*[F.col(c).alias(name) for c, name in named.items()]), "pieces")
+    key, piece, start, length = (named[c] for c in (key, "piece", "start", "length"))
     counts, total = np.zeros(capacity + 1, np.int64), 0
-    for row in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``capacity`` rows
-        counts[row["length"]] = row["n"]
+    for row in pieces.groupBy(length).agg(F.count(F.lit(1)).alias("n")).collect():  # at most ``capacity`` rows
+        counts[row[length]] = row["n"]
         total += row["n"]
     receive = send(spark, minimum_slack_plan(counts, capacity))
     groups = max(1, -(-total // PIECES_A_GROUP))
-    spread = pieces.withColumn("__group", F.pmod(F.xxhash64(key, "piece"), F.lit(groups)))
-    sizes = spread.groupBy("length", "__group").agg(F.count(F.lit(1)).alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy("length").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1))
-    sizes = sizes.select("length", "__group", F.coalesce(before, F.lit(0)).alias("__before"))
-    own = F.row_number().over(Window.partitionBy("length", "__group").orderBy(F.col(key).asc_nulls_first(), "piece", "start"))
-    ranked = spread.withColumn("__rank", own - 1).join(sizes, ["length", "__group"]).withColumn("__rank", (F.col("__rank") + F.col("__before")).cast("long"))
-    ranked = ranked.select(*pieces.columns, "__rank")
-    schema = pieces.select(pieces.columns).schema.add("sequence_id", "long").add("offset", "long")
+    spread = pieces.withColumn("group", F.pmod(F.xxhash64(key, piece), F.lit(groups)))
+    sizes = spread.groupBy(length, "group").agg(F.count(F.lit(1)).alias("n"))
+    before = F.sum("n").over(Window.partitionBy(length).orderBy("group").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.select(length, "group", F.coalesce(before, F.lit(0)).alias("before"))
+    own = F.row_number().over(Window.partitionBy(length, "group").orderBy(F.col(key).asc_nulls_first(), piece, start))
+    ranked = spread.withColumn("rank", own - 1).join(sizes, [length, "group"]).withColumn("rank", (F.col("rank") + F.col("before")).cast("long"))
+    ranked = ranked.select(*pieces.columns, "rank")
 
     def place(batches):
         plan = receive()
         for batch in batches:
-            where = batch.schema.names.index("length")
+            where = batch.schema.names.index(length)
             sequence, offset = plan.place(batch.column(where).to_numpy(), batch.column(batch.num_columns - 1).to_numpy())
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=schema.names)
 

@@ -185,8 +185,9 @@ def train(docs: DataFrame, labels: DataFrame, train_on: Column, text: str = "tex
 def score(docs: DataFrame, model: QualityModel, text: str = "text", threshold: float = 0.3, keep: list[str] | None = None) -> DataFrame:
     """The ``keep`` columns (all, if none are named), then score (0 to 1, higher: label 1 likelier) and predicted.
 
-    Null and empty texts have no features and get the score of margin zero.  Columns of these two
-    names are replaced; rows stay as they are.
+    Null and empty texts have no features and get the score of margin zero.  Very long texts count
+    whole: a feature that repeats counts once.  Columns of these two names are replaced; rows stay
+    as they are, equal texts get equal scores, and an empty table gives no rows.
     """
     small_batches(docs.sparkSession)
     kept = [c for c in (keep if keep is not None else docs.columns) if c not in ("score", "predicted")]

@@ -76,6 +76,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, key: str = "vec_i
     ``is_query`` is a condition over the table.  Null, empty and zero vectors and those with null or
     non-finite components take no part; neither do null keys.  Vectors meet those of equal size only.
     A query's own key is never among its results, also where rows repeat a key.  Other columns are ignored.
+    An empty table, or one without queries, gives no rows.
     """
     spark = vectors.sparkSession
     own = vectors.where(F.col(key).isNotNull() & usable(F.col(vector))).select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), F.coalesce(is_query, F.lit(False)).alias("q"))
