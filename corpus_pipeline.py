@@ -18,14 +18,24 @@ DOCUMENT = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels that are not held out."""
+    """Documents that the quality classifier accepts; it learns from the labels that are not held out.
+
+    Null and empty texts get the score of a text without features and are kept or not by it; very
+    long texts count whole.  Rows that repeat are all kept or all dropped, rows without an id are judged by their text.  Other
+    columns are left out.  Without labels every document is kept; an empty table gives no rows.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = quality.train(docs, labels, fold(F.col("doc_id"), 5) != 0)
     return quality.score(docs.select(DOCUMENT), model).where("predicted = 1").select(DOCUMENT)
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in a learned language; those without a letter, or that its model can't shorten below eight bits a byte, go."""
+    """Documents in a learned language; those without a letter, or that its model can't shorten below eight bits a byte, go.
+
+    Null and empty texts have no letter.  Very long texts count whole, rows that repeat or have no id
+    are judged by their text, ties between languages don't matter here.  Where no language can be learned, no document is identified and all go; an
+    empty table gives no rows.
+    """
     model = language_id.train(docs, fold(F.col("doc_id"), 3) != 1)
     return language_id.identify(docs.select(DOCUMENT), model).where("lang_pred <> 'und' and bits < flat_bits").select(DOCUMENT)
 
@@ -44,7 +54,11 @@ def keep_distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def into_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token pieces of every document and their places in sequences of at most 1024 tokens."""
+    """The token pieces of every document and their places in sequences of at most 1024 tokens.
+
+    Null and empty texts are one piece with the end id only, long ones as many as they need; rows that
+    repeat or have no id are packed each on their own.  An empty table gives no rows.
+    """
     return packing.pack(packing.token_pieces(docs, public_tokenizers.path("byte_bpe_50k.json")))
 
 
