@@ -105,3 +105,17 @@ def test_stored_index(spark, tmp_path):
     asked = spark.createDataFrame([("brandnewword",), ("common",), ("nowhere",)], "keyword string")
     assert rows(rt.stored_postings(spark, path, asked, 16)) == rows(want.join(asked, "keyword", "left_semi"))
     assert rt.update_stored_index(spark, path, new, new, 16) == [] and files() == second
+
+
+def test_knowledge_queries_read_their_own_patterns(spark, tmp_path):
+    """The table of literals and the knowledge patterns are different inputs."""
+    from wardenlake.plans import retrieval_queries as rq
+
+    spark.createDataFrame([(1, "Big Bolt", "STEEL", 3), (2, "nut", "small bolt", 4), (3, "washer", "TIN", 5)],
+                          "p_partkey long, p_name string, p_type string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
+    spark.createDataFrame([(7, "s7", 0, -1.0), (8, "s8", 1, 5.0)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double").write.parquet(f"{tmp_path}/supplier.parquet")
+    advice = sorted(tuple(r) for r in rq.knowledge_recommendations(spark, str(tmp_path)).collect())
+    assert advice == [(1, "Big Bolt", "HIGH", "pattern"), (7, "s7", "HIGH", "best_practice")]
+    assert rq.knowledge_statistics(spark, str(tmp_path)).first().asDict() == {
+        "total_patterns": 3, "migration_types_covered": 3, "total_practices": 2, "categories_covered": 2}
+    assert sorted(r["pattern_id"] for r in rq.pattern_search(spark, str(tmp_path)).collect()) == [1, 2]

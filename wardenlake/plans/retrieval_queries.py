@@ -257,12 +257,12 @@ def pattern_matches(spark, sf_dir):
 
 
 # A pattern table that grows with the code: one literal per part, of three lengths.
-PATTERNS = """
+LITERAL_PATTERNS = """
 SELECT p_partkey AS pattern_id, CASE p_partkey % 3 WHEN 0 THEN concat('m', cast(p_partkey AS string)) WHEN 1 THEN concat('class K', cast(p_partkey AS string), ':')
          ELSE concat('componentDidMount() { fetch("/api/user/', cast(p_partkey AS string)) END AS literal FROM {part}
 """
 
 
-@query("pattern_table_matches", f"SELECT path, pattern_id FROM ({_CODE}) JOIN ({plain(PATTERNS)}) ON contains(content, literal)")
+@query("pattern_table_matches", f"SELECT path, pattern_id FROM ({_CODE}) JOIN ({plain(LITERAL_PATTERNS)}) ON contains(content, literal)")
 def pattern_table_matches(spark, sf_dir):
-    return rt.match_patterns(derive(spark, sf_dir, CODE_FILES, "part"), "path", derive(spark, sf_dir, PATTERNS, "part"))
+    return rt.match_patterns(derive(spark, sf_dir, CODE_FILES, "part"), "path", derive(spark, sf_dir, LITERAL_PATTERNS, "part"))
