@@ -143,3 +143,28 @@ def test_weights_must_sum_to_one(spark):
 
     with pytest.raises(ValueError):
         risk.weighted_score(spark.createDataFrame([(1,)], "complexity int"), {"complexity": 1.4})
+
+
+def test_one_file_of_parts_is_dealt_over_tasks(spark, tmp_path):
+    """A table in one row group is one task; texts are parsed in as many as a shuffle has, without any setting."""
+    from wardenlake.plans import code_queries, graph_queries, risk_queries
+    from wardenlake.sources.tables import DEAL
+
+    spark.createDataFrame([(i, i % 50, "b") for i in range(200)], "p_partkey long, p_size int, p_brand string").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    setting = spark.conf.get(DEAL)
+    spark.conf.unset(DEAL)
+    try:
+        for files in (code_queries._files(spark, str(tmp_path)), graph_queries._code(spark, str(tmp_path))[0], risk_queries._inputs(spark, str(tmp_path))[0].filter("ext = '.py'")):
+            held = files.groupBy(F.spark_partition_id()).count().count()
+            assert held >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    finally:
+        spark.conf.set(DEAL, setting)
+
+
+def test_nested_functions_count_what_is_below_them(spark):
+    text = "def a(x):\n    if x and x or x:\n        def b():\n            for i in x:\n                def c():\n                    return [j for j in i if j]\n    with x:\n        pass\n"
+    tree = ast.parse(text)
+    want = {f.name: 1 + sum(isinstance(n, cm._BRANCHES) for n in ast.walk(f)) + sum(len(n.values) - 1 for n in ast.walk(f) if isinstance(n, ast.BoolOp))
+            for f in ast.walk(tree) if isinstance(f, ast.FunctionDef)}
+    row = cm.structure(table(spark, **{"m.py": text})).first()
+    assert {f["name"]: f["complexity"] for f in row["functions"]} == want and row["complexity"] == sum(want.values())

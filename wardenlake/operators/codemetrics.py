@@ -1,6 +1,6 @@
 """Code structure and complexity over a file table (project, path, ext, content).
 
-Parsing runs once per file inside ``mapInPandas``; everything after it is grouped
+Parsing runs once per file inside ``mapInArrow``; everything after it is grouped
 Spark work on the per-file rows, which no longer hold the text.
 """
 
@@ -9,7 +9,7 @@ from __future__ import annotations
 import ast
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,17 +28,42 @@ _BRANCHES = (ast.If, ast.While, ast.For, ast.AsyncFor, ast.ExceptHandler, ast.Wi
 _FUNCTIONS = (ast.FunctionDef, ast.AsyncFunctionDef)
 
 
-def _cyclomatic(node: ast.AST) -> int:
-    inner = list(ast.walk(node))
-    branches = sum(isinstance(n, _BRANCHES) for n in inner)
-    operands = sum(len(n.values) - 1 for n in inner if isinstance(n, ast.BoolOp))
-    return 1 + branches + operands
+# Fields that hold no statement or expression: contexts and operators count for nothing here.
+_PLAIN_FIELDS = {"ctx", "op", "ops"}
 
 
-def _cognitive(tree: ast.AST) -> int:
+def _walk(tree: ast.AST) -> tuple[list[ast.AST], list[int]]:
+    """The nodes in the order of ``ast.walk``, without contexts and operators, and the place of each one's parent."""
+    nodes, parents, known = [tree], [-1], {}
+    for at, node in enumerate(nodes):  # the list grows while it is read
+        kind = node.__class__
+        fields = known.get(kind)
+        if fields is None:
+            fields = known[kind] = [f for f in kind._fields if f not in _PLAIN_FIELDS]
+        for name in fields:
+            value = getattr(node, name, None)
+            if value.__class__ is list:
+                inner = [v for v in value if isinstance(v, ast.AST)]
+                nodes += inner
+                parents += [at] * len(inner)
+            elif isinstance(value, ast.AST):
+                nodes.append(value)
+                parents.append(at)
+    return nodes, parents
+
+
+def _cyclomatic(nodes: list[ast.AST], parents: list[int]) -> list[int]:
+    """One more than the branches and further operands at and below each node; a child stands behind its parent, so one pass sums up."""
+    below = [1 if isinstance(n, _BRANCHES) else len(n.values) - 1 if isinstance(n, ast.BoolOp) else 0 for n in nodes]
+    for at in range(len(nodes) - 1, 0, -1):
+        below[parents[at]] += below[at]
+    return [1 + b for b in below]
+
+
+def _cognitive(nodes: list[ast.AST]) -> int:
     """A counter over the breadth-first walk; each block raises the price of later ones."""
     score = depth = 0
-    for node in ast.walk(tree):
+    for node in nodes:
         if isinstance(node, ast.BoolOp):
             score += len(node.values) - 1 + depth
         elif isinstance(node, (ast.If, ast.While, ast.For, ast.With, ast.ExceptHandler, ast.ListComp)):
@@ -58,9 +83,9 @@ def _parse(content: str, max_bytes: int | None = None) -> dict:
         tree = ast.parse(content)
     except (SyntaxError, ValueError, RecursionError, MemoryError) as problem:
         return row | {"error": f"{type(problem).__name__}: {getattr(problem, 'msg', problem)}"}
-    nodes = list(ast.walk(tree))
-    functions = [{"name": n.name, "line": n.lineno, "args": [a.arg for a in n.args.args], "complexity": _cyclomatic(n)}
-                 for n in nodes if isinstance(n, _FUNCTIONS)]
+    nodes, parents = _walk(tree)
+    functions = [{"name": n.name, "line": n.lineno, "args": [a.arg for a in n.args.args], "complexity": c}
+                 for n, c in zip(nodes, _cyclomatic(nodes, parents)) if isinstance(n, _FUNCTIONS)]
     classes = [{"name": n.name, "line": n.lineno, "methods": [m.name for m in n.body if isinstance(m, _FUNCTIONS)]}
                for n in nodes if isinstance(n, ast.ClassDef)]
     imports = [{"module": a.name, "line": n.lineno} for n in nodes if isinstance(n, ast.Import) for a in n.names]
@@ -68,7 +93,7 @@ def _parse(content: str, max_bytes: int | None = None) -> dict:
     text = ast.get_docstring(tree)
     return row | {
         "parsed": True, "functions": functions, "classes": classes, "imports": imports,
-        "complexity": sum(f["complexity"] for f in functions), "cognitive": _cognitive(tree),
+        "complexity": sum(f["complexity"] for f in functions), "cognitive": _cognitive(nodes),
         "docstring": text,
         "format_calls": sum(isinstance(n, ast.Call) and isinstance(n.func, ast.Attribute) and n.func.attr == "format" for n in nodes),
     }
@@ -80,26 +105,25 @@ def structure(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     A file above ``max_bytes``, if that is given, has a row with an error.
     """
 
-    def parse_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    made = pa.schema(_PARSED_TYPES)
+
+    def parse_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parsed = pd.DataFrame([_parse(text, max_bytes) for text in batch["content"]], index=batch.index)
-            yield pd.concat([batch.drop(columns=["content"]), parsed], axis=1)[_columns()]
+            parsed = pa.RecordBatch.from_pylist([_parse(text, max_bytes) for text in batch["content"].to_pylist()], made)
+            kept = batch.drop_columns(["content"])
+            yield pa.RecordBatch.from_arrays([*kept.columns, *parsed.columns], names=[*kept.schema.names, *made.names])
 
     python = files.filter((F.col("ext") == ".py") & ~in_dirs(F.col("path"), SCAN_SKIP_DIRS)).select(
         "project", "path", "ext", F.octet_length("content").cast("bigint").alias("size_bytes"), "content")
-    return python.mapInPandas(_nonempty(parse_batches), STRUCTURE_SCHEMA)
-
-
-def _columns() -> list[str]:
-    return ["project", "path", "ext", "size_bytes", "line_count", "parsed", "error", "complexity", "cognitive",
-            "docstring", "format_calls", "functions", "classes", "imports"]
-
+    return python.mapInArrow(parse_batches, STRUCTURE_SCHEMA)
 
-def _nonempty(parse):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield from parse(b for b in batches if len(b))
 
-    return run
+_FUNCTION = pa.struct([("name", pa.string()), ("line", pa.int32()), ("args", pa.list_(pa.string())), ("complexity", pa.int32())])
+_CLASS = pa.struct([("name", pa.string()), ("line", pa.int32()), ("methods", pa.list_(pa.string()))])
+_IMPORT = pa.struct([("module", pa.string()), ("line", pa.int32())])
+_PARSED_TYPES = {  # by name, in the order of STRUCTURE_SCHEMA
+    "line_count": pa.int32(), "parsed": pa.bool_(), "error": pa.string(), "complexity": pa.int32(), "cognitive": pa.int32(), "docstring": pa.string(),
+    "format_calls": pa.int32(), "functions": pa.list_(_FUNCTION), "classes": pa.list_(_CLASS), "imports": pa.list_(_IMPORT)}
 
 
 def functions_of(structures: DataFrame) -> DataFrame:

@@ -63,7 +63,7 @@ def graph_nodes(files: DataFrame, edges: DataFrame, structures: DataFrame | None
         metrics = structures.select("project", F.col("path").alias("id"), F.col("line_count").alias("size"), "complexity",
                                     F.size("functions").alias("functions"), F.size("classes").alias("classes"))
         nodes = nodes.join(metrics, ["project", "id"], "left")
-    external = edges.select("project", F.col("dst").alias("id")).distinct().join(nodes.select("project", "id"), ["project", "id"], "left_anti")
+    external = edges.select("project", F.col("dst").alias("id")).distinct().join(files.select("project", F.col("path").alias("id")), ["project", "id"], "left_anti")
     return nodes.unionByName(external.withColumn("type", F.lit("external")), allowMissingColumns=True)
 
 

@@ -8,7 +8,6 @@ from wardenlake.operators import codemetrics as cm
 from wardenlake.operators import rewrite as rw
 from wardenlake.plans.derived import CODE_FILES
 from wardenlake.plans.registry import derive, plain, query
-from wardenlake.sources.tables import spread
 
 _CODE = plain(CODE_FILES)
 # What parsing must find, in closed form from the way the text is built.
@@ -20,11 +19,11 @@ FROM (SELECT *, cast(floor(k / 2) AS bigint) AS dep FROM ({_CODE}) WHERE js = 0)
 
 
 def _files(spark, sf_dir):
-    return derive(spark, sf_dir, CODE_FILES, "part").select("project", "path", "ext", "content")
+    return derive(spark, sf_dir, CODE_FILES, "part", deal=True).select("project", "path", "ext", "content")
 
 
 def _structures(spark, sf_dir):
-    return cm.structure(spread(_files(spark, sf_dir)))
+    return cm.structure(_files(spark, sf_dir))
 
 
 @query("code_structure", f"""
@@ -121,7 +120,7 @@ UNION ALL SELECT path, 'breaking_change', 'state', CAST(1 AS INT) FROM ({_CODE})
 UNION ALL SELECT path, 'breaking_change', 'lifecycle', CAST(1 AS INT) FROM ({_CODE}) WHERE js = 1""")
 def code_advice(spark, sf_dir):
     files = _files(spark, sf_dir)
-    return cm.advice_steps(files, cm.structure(spread(files))).drop("project")
+    return cm.advice_steps(files, cm.structure(files)).drop("project")
 
 
 _REWRITTEN = """'import React, { useState, useEffect } from ''react'';' || chr(10) || chr(10) || 'const C' || k || ' = (props) => {' || chr(10) ||
@@ -132,24 +131,24 @@ _REWRITTEN = """'import React, { useState, useEffect } from ''react'';' || chr(1
 
 @query("rewrite_components", f"SELECT path, {_REWRITTEN} AS new_content, true AS changed FROM ({_CODE}) WHERE js = 1")
 def rewrite_components(spark, sf_dir):
-    return rw.rewrite(spread(_files(spark, sf_dir)), "react-hooks").select("path", "new_content", "changed")
+    return rw.rewrite(_files(spark, sf_dir), "react-hooks").select("path", "new_content", "changed")
 
 
 @query("rewrite_summary", f"""
 SELECT project, count(*) AS total_candidates, count(*) AS changed_files, CAST(0 AS BIGINT) AS failed_files FROM ({_CODE}) WHERE js = 1 GROUP BY project""")
 def rewrite_summary(spark, sf_dir):
-    return rw.change_summary(rw.rewrite(spread(_files(spark, sf_dir)), "react-hooks"))
+    return rw.change_summary(rw.rewrite(_files(spark, sf_dir), "react-hooks"))
 
 
 @query("rewrite_no_op", f"SELECT project, path FROM ({_CODE}) WHERE false")
 def rewrite_no_op(spark, sf_dir):
-    return rw.remaining_after_apply(spread(_files(spark, sf_dir)), "react-hooks")
+    return rw.remaining_after_apply(_files(spark, sf_dir), "react-hooks")
 
 
 @query("rewrite_next_version", f"""
 SELECT path, CAST(length(CASE WHEN js = 1 THEN {_REWRITTEN} ELSE content END) AS INT) AS chars FROM ({_CODE})""")
 def rewrite_next_version(spark, sf_dir):
-    files = spread(_files(spark, sf_dir))
+    files = _files(spark, sf_dir)
     return rw.apply_rewrite(files, rw.rewrite(files, "react-hooks")).select("path", F.length("content").alias("chars"))
 
 
@@ -160,7 +159,7 @@ def rewrite_candidates(spark, sf_dir):
 
 @query("rewrite_diffs")
 def rewrite_diffs(spark, sf_dir):
-    return rw.rewrite(spread(_files(spark, sf_dir)), "react-hooks").select("path", F.length("diff").alias("diff_chars"), "error")
+    return rw.rewrite(_files(spark, sf_dir), "react-hooks").select("path", F.length("diff").alias("diff_chars"), "error")
 
 
 @query("test_symbols", f"""
@@ -171,4 +170,4 @@ def test_symbols(spark, sf_dir):
     from wardenlake.operators.catalog import symbol_inventory, symbol_statistics
 
     files = _files(spark, sf_dir)
-    return symbol_statistics(symbol_inventory(cm.structure(spread(files)), cm.script_structure(files)))
+    return symbol_statistics(symbol_inventory(cm.structure(files), cm.script_structure(files)))

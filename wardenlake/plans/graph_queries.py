@@ -49,7 +49,7 @@ def graph_degree(spark, sf_dir):
 
 
 def _code(spark, sf_dir):
-    files = spread(derive(spark, sf_dir, CODE_FILES, "part").select("project", "path", "ext", "content"))
+    files = derive(spark, sf_dir, CODE_FILES, "part", deal=True).select("project", "path", "ext", "content")
     return files, cm.structure(files)
 
 
@@ -203,9 +203,9 @@ SELECT project, CAST(n % 10 AS INT) AS wave, count(*) AS file_count, CAST(sum(li
   round(sum(lines) / count(*), 6) AS average_lines_per_file FROM (
   SELECT project, n, lines FROM ({_PARSED}) UNION ALL SELECT project, n, length(content) - length(replace(content, chr(10), '')) FROM ({_CODE}) WHERE js = 1) GROUP BY ALL""")
 def wave_details(spark, sf_dir):
-    code = derive(spark, sf_dir, CODE_FILES, "part")
+    code = derive(spark, sf_dir, CODE_FILES, "part", deal=True)
     plan = code.select("project", "path", (F.col("n") % 10).cast("int").alias("wave"))
-    files = cm.structure(spread(code)).select("project", "path", "line_count").unionByName(cm.script_structure(code).select("project", "path", "line_count"))
+    files = cm.structure(code).select("project", "path", "line_count").unionByName(cm.script_structure(code).select("project", "path", "line_count"))
     d = gr.wave_details(plan, files)
     return d.withColumn("estimated_hours", F.round("estimated_hours", 6)).withColumn("average_lines_per_file", F.round("average_lines_per_file", 6))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wardenlake.operators import lineage as ln
 from wardenlake.plans.derived import CODE_FILES
 from wardenlake.plans.registry import derive, plain, query
-from wardenlake.sources.tables import load, spread
+from wardenlake.sources.tables import load
 
 _CODE = plain(CODE_FILES)
 
@@ -27,7 +27,7 @@ MENTIONS = "\nUNION ALL\n".join(_ARMS)
 
 
 def _mentions(spark, sf_dir):
-    return ln.mentions(spread(derive(spark, sf_dir, CODE_FILES, "part").select("project", "path", "ext", "content")))
+    return ln.mentions(derive(spark, sf_dir, CODE_FILES, "part", deal=True).select("project", "path", "ext", "content"))
 
 
 @query("lineage_mentions", f"SELECT project, path, kind, label, count(*) AS n FROM ({MENTIONS}) GROUP BY ALL")

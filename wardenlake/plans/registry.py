@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wardenlake.sources.tables import load
+from wardenlake.sources.tables import load, spread
 
 Run = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Run] = {}
@@ -26,11 +26,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Run], Run]:
     return register
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str, *tables: str) -> DataFrame:
-    """Run a SELECT that both engines accept; ``{table}`` names a given table."""
+def derive(spark: SparkSession, sf_dir: str, sql: str, *tables: str, deal: bool = False) -> DataFrame:
+    """Run a SELECT that both engines accept; ``{table}`` names a given table.  ``deal`` spreads the rows of the tables over tasks first."""
     for t in tables:
         sql = sql.replace("{" + t + "}", f"wl_{t}")
-        load(spark, sf_dir, t).createOrReplaceTempView(f"wl_{t}")
+        rows = load(spark, sf_dir, t)
+        (spread(rows) if deal else rows).createOrReplaceTempView(f"wl_{t}")
     return spark.sql(sql)
 
 

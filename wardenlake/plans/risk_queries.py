@@ -9,7 +9,6 @@ from wardenlake.operators import risk
 from wardenlake.plans.code_queries import _CODE, _PARSED
 from wardenlake.plans.derived import CODE_FILES
 from wardenlake.plans.registry import derive, plain, query
-from wardenlake.sources.tables import spread
 
 # One requirements file per project; line counts follow the parts of the brand.
 REQUIREMENTS = """
@@ -23,9 +22,9 @@ TYPE = "react-hooks"
 
 
 def _inputs(spark, sf_dir):
-    files = derive(spark, sf_dir, CODE_FILES, "part").select("project", "path", "ext", "content").unionByName(
+    files = derive(spark, sf_dir, CODE_FILES, "part", deal=True).select("project", "path", "ext", "content").unionByName(
         derive(spark, sf_dir, REQUIREMENTS, "part").select("project", "path", "ext", "content"))
-    return files, cm.structure(spread(files))
+    return files, cm.structure(files)
 
 
 def _occurrences(words) -> str:

@@ -21,12 +21,14 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Deal an input of CPU-heavy text work over ``spark.wardenlake.deal`` partitions; as it is where that isn't set.
+    """Deal an input of CPU-heavy work over ``spark.wardenlake.deal`` partitions, or as many as a shuffle has where that isn't set.
 
     A row group is never cut, so a file written as one row group is one task however many splits
-    it has.  Leave the setting out where row groups are smaller than a split: nothing is shuffled then.
+    it has.  Set it to 0 where row groups are smaller than a split: nothing is shuffled then.
+    Where texts are derived from a narrow table, deal that table (``derive(..., deal=True)``) and not the texts.
     """
-    parts = int(df.sparkSession.conf.get(DEAL, "0"))
+    conf = df.sparkSession.conf
+    parts = int(conf.get(DEAL, conf.get("spark.sql.shuffle.partitions")))
     return df.repartition(parts) if parts > 0 else df
 
 
