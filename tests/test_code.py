@@ -168,3 +168,10 @@ def test_nested_functions_count_what_is_below_them(spark):
             for f in ast.walk(tree) if isinstance(f, ast.FunctionDef)}
     row = cm.structure(table(spark, **{"m.py": text})).first()
     assert {f["name"]: f["complexity"] for f in row["functions"]} == want and row["complexity"] == sum(want.values())
+
+
+def test_file_metrics_keep_the_index_before_its_bounds(spark):
+    """Two small files are both at the upper bound, and still differ."""
+    rows = {r["path"]: r for r in cm.file_metrics(cm.structure(table(spark, **{"a.py": "def f():\n    pass\n", "b.py": PY}))).collect()}
+    assert {r["maintainability_index"] for r in rows.values()} == {100.0}
+    assert abs(rows["a.py"]["index_raw"] - (171 - 5.2 * 3 ** 0.23 - 0.23 - 16.2)) < 1e-9 and rows["b.py"]["index_raw"] < rows["a.py"]["index_raw"]

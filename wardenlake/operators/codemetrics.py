@@ -155,8 +155,13 @@ def corpus_aggregate(structures: DataFrame, by: list[str]) -> DataFrame:
             .withColumn("technical_debt_hours", technical_debt(F.col("total_complexity"), F.col("total_lines"), F.col("files_analyzed"))))
 
 
+def raw_index(lines: Column, complexity: Column, functions: Column) -> Column:
+    """The maintainability index before it is held between 0 and 100, which tells small files apart."""
+    return F.lit(171.0) - 5.2 * F.pow(lines.cast("double"), F.lit(0.23)) - 0.23 * complexity - 16.2 * F.sqrt(functions.cast("double"))
+
+
 def maintainability(lines: Column, complexity: Column, functions: Column) -> Column:
-    index = F.lit(171.0) - 5.2 * F.pow(lines.cast("double"), F.lit(0.23)) - 0.23 * complexity - 16.2 * F.sqrt(functions.cast("double"))
+    index = raw_index(lines, complexity, functions)
     return F.when((functions == 0) | (lines <= 0), F.lit(100.0)).otherwise(F.least(F.lit(100.0), F.greatest(F.lit(0.0), index)))
 
 
@@ -185,10 +190,11 @@ def complexity_level(total: Column) -> Column:
 
 
 def file_metrics(structures: DataFrame) -> DataFrame:
+    index = F.col("line_count"), F.col("complexity"), F.size("functions")
     return structures.filter("parsed").select(
         "project", "path", "line_count", F.size("functions").alias("functions_count"), F.size("classes").alias("classes_count"),
         F.col("complexity").alias("cyclomatic"), "cognitive", complexity_level(F.col("complexity")).alias("level"),
-        maintainability(F.col("line_count"), F.col("complexity"), F.size("functions")).alias("maintainability_index"))
+        raw_index(*index).alias("index_raw"), maintainability(*index).alias("maintainability_index"))
 
 
 def most_complex(structures: DataFrame, k: int = 5) -> DataFrame:

@@ -60,11 +60,12 @@ def code_corpus_aggregate(spark, sf_dir):
 @query("code_file_metrics", f"""
 SELECT path, CAST(lines AS INT) AS line_count, CAST(1 AS INT) AS functions_count, CAST(1 AS INT) AS classes_count, CAST(complexity AS INT) AS cyclomatic,
   CAST(cognitive AS INT) AS cognitive, CASE WHEN complexity <= 10 THEN 'LOW' WHEN complexity <= 20 THEN 'MEDIUM' ELSE 'HIGH' END AS level,
+  round(171 - 5.2 * pow(lines, 0.23) - 0.23 * complexity - 16.2, 6) AS index_raw,
   round(least(100.0, greatest(0.0, 171 - 5.2 * pow(lines, 0.23) - 0.23 * complexity - 16.2)), 6) AS maintainability_index
 FROM ({_PARSED}) WHERE broken = 0""")
 def code_file_metrics(spark, sf_dir):
     m = cm.file_metrics(_structures(spark, sf_dir))
-    return m.drop("project").withColumn("maintainability_index", F.round("maintainability_index", 6))
+    return m.drop("project").withColumns({c: F.round(c, 6) for c in ("index_raw", "maintainability_index")})
 
 
 @query("code_dependencies", f"SELECT path, 'm' || dep || ',os' AS modules FROM ({_PARSED}) WHERE broken = 0")
