@@ -119,3 +119,25 @@ def test_knowledge_queries_read_their_own_patterns(spark, tmp_path):
     assert rq.knowledge_statistics(spark, str(tmp_path)).first().asDict() == {
         "total_patterns": 3, "migration_types_covered": 3, "total_practices": 2, "categories_covered": 2}
     assert sorted(r["pattern_id"] for r in rq.pattern_search(spark, str(tmp_path)).collect()) == [1, 2]
+
+
+def test_literals_with_a_long_common_beginning_wait_apart(spark):
+    """Each text meets few literals besides those it holds, however much the literals have in common."""
+    import pyarrow as pa
+
+    beginning = 'componentDidMount() { fetch("/api/user/'
+    literals = [f"{beginning}{10000 + i}" for i in range(300)]
+    sizes = {int(rt.GRAM_SIZES[rt.GRAM_SIZES <= len(w)].max()) for w in literals}
+    assert len(sizes) == 1
+    row, gram = rt._grams(pa.array(literals), sizes)
+    held = {}
+    for r, g in zip(row.tolist(), gram.tolist()):
+        held.setdefault(g, set()).add(r)
+    least = {}
+    for g, rows in held.items():
+        for r in rows:
+            least[r] = min(least.get(r, 999), len(rows))
+    assert set(least.values()) == {1}
+    files = spark.createDataFrame([(i, f"x {w}") for i, w in enumerate(literals)], "id long, content string")
+    patterns = spark.createDataFrame(list(enumerate(literals)), "pattern_id long, literal string")
+    assert sorted(tuple(r) for r in rt.match_patterns(files, "id", patterns).collect()) == [(i, i) for i in range(300)]

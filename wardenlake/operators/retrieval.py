@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -323,50 +323,72 @@ def pattern_matches(files: DataFrame, key: str, patterns: list[tuple[str, str]])
     return (files.select(key, F.explode_outer(hits).alias("pattern_id")).filter(F.col("pattern_id").isNotNull()))
 
 
-#: Bytes of a gram, grams of a window, and bits of the filter that tasks apply to the grams of texts.
-GRAM, GRAM_WINDOW, FILTER_BITS = 4, 8, 20
-
-
-def _gram_class(size: Column) -> Column:
-    """1 to 3: literals of so many bytes; 4: every gram is kept; 5: one gram a window is kept."""
-    return F.when(size < GRAM + GRAM_WINDOW - 1, F.least(size, F.lit(GRAM))).otherwise(GRAM + 1)
-
-
-def _grams(data: bytes, classes: list[int]) -> np.ndarray:
-    """Distinct hashed grams of a text, class by class.
-
-    Of each window of neighbouring grams class 5 keeps the one with the smallest hash, so a text
-    keeps all that a literal in it keeps, and about two of nine grams.
-    """
-    raw, out = np.frombuffer(data, np.uint8).astype(np.uint64), []
-    for kind in classes:
-        size = min(kind, GRAM)
-        if len(raw) < size:
-            continue
-        code = np.full(len(raw) - size + 1, kind, np.uint64)
-        for i in range(size):
-            code = code << np.uint64(8) | raw[i : len(raw) - size + 1 + i]
-        code = (code ^ code >> np.uint64(23)) * np.uint64(0x9E3779B97F4A7C15)
-        code ^= code >> np.uint64(29)
-        code *= np.uint64(0xBF58476D1CE4E5B9)
-        if kind > GRAM:
-            code = np.lib.stride_tricks.sliding_window_view(code, GRAM_WINDOW).min(axis=1) if len(code) >= GRAM_WINDOW else code[:0]
-        out.append(code)
-    return np.unique(np.concatenate(out)).astype(np.int64) if out else np.empty(0, np.int64)
+#: Sizes of grams in bytes: a literal is looked up by grams of the largest size that it holds, a short one as a whole,
+#: a longer one by four fifths of it at least, so that literals with a common beginning have grams of their own.
+GRAM_SIZES = np.array([*range(1, 17), *(n << k for k in range(17) for n in (20, 24, 28, 32))])
+#: Bytes of text that are hashed at a time, and bits of the filter that tasks apply to the grams of texts.
+GRAM_BLOCK, FILTER_BITS = 1 << 20, 26
+_BASE = 0x9E3779B97F4A7C15  # odd, so powers have inverses
+_BYTE_VALUES = np.random.default_rng(7).integers(1, 1 << 63, 256, dtype=np.uint64)
+
+
+def _gram_powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base, and of its inverse."""
+    return tuple(np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)])) for base in (_BASE, pow(_BASE, -1, 1 << 64)))
+
+
+def _gram_blocks(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(number of the first row, bytes, offsets) of about ``GRAM_BLOCK`` bytes of whole texts; a longer text is a block of its own."""
+    column = column.cast(pa.large_binary())
+    offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
+    raw = np.frombuffer(column.buffers()[2] or b"", np.uint8)
+    first = 0
+    while first < len(column):
+        after = max(first + 1, int(np.searchsorted(offsets, offsets[first] + GRAM_BLOCK, "right")) - 1)
+        yield first, raw[offsets[first] : offsets[after]], offsets[first : after + 1] - offsets[first]
+        first = after
+
+
+def _grams(column: pa.Array, sizes: Iterable[int], bits: np.ndarray | None = None, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(row, gram) of the distinct hashed grams of each text, of all ``sizes`` or only of its ``own``, and only those that ``bits`` has."""
+    rows, grams = [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
+    powers = inverses = np.empty(0, np.uint64)
+    for first, raw, offsets in _gram_blocks(column):
+        n = len(raw)
+        if n > len(powers):
+            powers, inverses = _gram_powers(n)
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_BYTE_VALUES[raw] * powers[:n])])
+        for size in sizes:
+            if n < size:
+                continue
+            code = (sums[size:] - sums[:-size]) * inverses[: n - size + 1] + np.uint64(size)
+            code = (code ^ code >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+            code = (code ^ code >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+            code ^= code >> np.uint64(31)
+            at = np.arange(len(code)) if bits is None else np.flatnonzero(bits[code >> np.uint64(70 - FILTER_BITS)] >> (code >> np.uint64(64 - FILTER_BITS) & np.uint64(63)) & np.uint64(1))
+            row = np.searchsorted(offsets, at, "right") - 1
+            inside = at + size <= offsets[row + 1]
+            if own is not None:
+                inside &= own[first + row] == size
+            rows.append(first + row[inside])
+            grams.append(code[at[inside]])
+    row, gram = np.concatenate(rows), np.concatenate(grams)
+    order = np.lexsort((gram, row))
+    row, gram = row[order], gram[order]
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (gram[1:] != gram[:-1])
+    return row[new], gram[new].view(np.int64)
 
 
 def _gram_filter(grams: DataFrame) -> np.ndarray:
-    """Which leading bits the grams have; a bitmap of fixed size, whatever the number of grams."""
-    bits = np.zeros(1 << FILTER_BITS, bool)
-    bits[grams.select(F.shiftrightunsigned("gram", 64 - FILTER_BITS).alias("b")).distinct().toArrow()["b"].to_numpy()] = True
+    """Which leading bits the grams have; a bitmap of 8 MB, put together by tasks, whatever the number of grams."""
+    words = grams.groupBy(F.shiftrightunsigned("gram", 70 - FILTER_BITS).alias("word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast(shiftrightunsigned(gram, {64 - FILTER_BITS}) & 63 AS int)))").alias("held")).toArrow()
+    bits = np.zeros(1 << FILTER_BITS - 6, np.uint64)
+    bits[words["word"].to_numpy()] = words["held"].to_numpy().view(np.uint64)
     return bits
 
 
-def _kept_grams(text: str, classes: list[int], bits: np.ndarray) -> np.ndarray:
-    grams = _grams(text.encode(), classes)
-    return grams[bits[grams.astype(np.uint64) >> np.uint64(64 - FILTER_BITS)]]
-
-
 def match_patterns(files: DataFrame, key: str, patterns: DataFrame, content: str = "content") -> DataFrame:
     """(key, pattern_id) of every literal of patterns(pattern_id, literal) that a text holds; both tables may be of any size.
 
@@ -376,38 +398,39 @@ def match_patterns(files: DataFrame, key: str, patterns: DataFrame, content: str
     are verified on the whole text.  Null and empty literals and null texts match nothing, pattern rows that repeat
     count once, files that repeat a key are matched row by row.
     """
-    listed = patterns.filter(F.length("literal") > 0).select("pattern_id", "literal", _gram_class(F.octet_length("literal")).alias("kind"))
-    shape = listed.select("pattern_id", "literal").schema
+    listed = patterns.filter(F.length("literal") > 0).select("pattern_id", "literal")
+    spark = files.sparkSession
 
     def of_literals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [_grams(text.encode(), [kind]) for text, kind in zip(batch["literal"].to_pylist(), batch["kind"].to_pylist())]
-            at = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
-            yield pa.RecordBatch.from_arrays([batch["pattern_id"].take(at), batch["literal"].take(at), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))],
-                                             names=["pattern_id", "literal", "gram"])
-
-    literal_grams = cut_lineage(listed.mapInArrow(of_literals, StructType(shape.fields).add("gram", "long")))
-    classes = sorted(r["kind"] for r in listed.select("kind").distinct().collect())  # five values at most
+            lengths = np.array([len(text.encode()) for text in batch["literal"].to_pylist()], np.int64)
+            own = GRAM_SIZES[np.searchsorted(GRAM_SIZES, lengths, "right") - 1]
+            row, gram = _grams(batch["literal"], np.unique(own), own=own)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch["pattern_id"].take(at), batch["literal"].take(at), pa.array(own[row]), pa.array(gram)],
+                                             names=["pattern_id", "literal", "size", "gram"])
+
+    literal_grams = cut_lineage(listed.mapInArrow(of_literals, StructType([*listed.schema.fields]).add("size", "long").add("gram", "long")))
+    sizes = sorted(r["size"] for r in literal_grams.select("size").distinct().collect())  # as many as GRAM_SIZES at most
     texts = files.filter(F.col(content).isNotNull()).select(F.col(key).alias("_key"), F.xxhash64(content).alias("_hash"), F.col(content).alias("_text"))
-    wanted = _gram_filter(literal_grams)
+    wanted = spark.sparkContext.broadcast(_gram_filter(literal_grams))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams, times = np.unique(np.concatenate([np.empty(0, np.int64), *(_kept_grams(t, classes, wanted) for t in batch["_text"].to_pylist())]), return_counts=True)
+            grams, times = np.unique(_grams(batch["_text"], sizes, wanted.value)[1], return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array(grams), pa.array(times)], names=["gram", "n"])
 
     seen = texts.select("_text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest")
     waiting = cut_lineage(literal_grams.join(seen, "gram", "left").groupBy("pattern_id", "literal").agg(rarest)
                           .filter("rarest.n > 0").select("pattern_id", "literal", "rarest.gram"))
-    anchors = _gram_filter(waiting)
+    anchors = spark.sparkContext.broadcast(_gram_filter(waiting))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [_kept_grams(t, classes, anchors) for t in batch["_text"].to_pylist()]
-            at = pa.array(np.repeat(np.arange(len(grams)), [len(g) for g in grams]))
-            yield pa.RecordBatch.from_arrays([batch["_key"].take(at), batch["_hash"].take(at), pa.array(np.concatenate([np.empty(0, np.int64), *grams]))],
-                                             names=["_key", "_hash", "gram"])
+            row, gram = _grams(batch["_text"], sizes, anchors.value)
+            at = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch["_key"].take(at), batch["_hash"].take(at), pa.array(gram)], names=["_key", "_hash", "gram"])
 
     met = texts.mapInArrow(meet, StructType(texts.select("_key", "_hash").schema.fields).add("gram", "long"))
     pairs = met.join(waiting, "gram").select("_key", "_hash", "pattern_id", "literal").distinct()

@@ -265,4 +265,4 @@ SELECT p_partkey AS pattern_id, CASE p_partkey % 3 WHEN 0 THEN concat('m', cast(
 
 @query("pattern_table_matches", f"SELECT path, pattern_id FROM ({_CODE}) JOIN ({plain(LITERAL_PATTERNS)}) ON contains(content, literal)")
 def pattern_table_matches(spark, sf_dir):
-    return rt.match_patterns(derive(spark, sf_dir, CODE_FILES, "part"), "path", derive(spark, sf_dir, LITERAL_PATTERNS, "part"))
+    return rt.match_patterns(derive(spark, sf_dir, CODE_FILES, "part", deal=True), "path", derive(spark, sf_dir, LITERAL_PATTERNS, "part", deal=True))
