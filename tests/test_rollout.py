@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from wardenlake.functions.windows import last_before, number_rows, running_sum
 from wardenlake.operators import rollout as ro
+from wardenlake.session import cut_and_count
 from wardenlake.streaming import jobs
 
 T0 = datetime(2024, 1, 1)
@@ -294,3 +295,16 @@ def test_blocks_of_a_user_without_a_pause(spark):
         rows.append(("a" if i % 4 else "b", "hot" if rng.random() < 0.9 else "cool", T0 + timedelta(seconds=at), i))
     got = ro.rate_limit(spark.createDataFrame(rows, REQUEST_SCHEMA), limits(spark), block=200).collect()
     assert len(got) == len(rows) and {r["event_id"]: r["admitted"] for r in got} == loop_admissions(rows)
+
+
+def test_small_blocks_settle_in_few_rounds(spark, monkeypatch):
+    """A limit that binds in each of 60 blocks: the states run through a span of blocks in one round."""
+    rows = [("a", "u", T0 + timedelta(seconds=7 * i), i) for i in range(300)]
+    tight, rounds = spark.createDataFrame([("a", 2, 100)], "op string, max_requests int, window_seconds int"), []
+    monkeypatch.setattr(ro, "cut_and_count", lambda *given: rounds.append(0) or cut_and_count(*given))
+    short = {r["event_id"]: r["admitted"] for r in ro.rate_limit(spark.createDataFrame(rows, REQUEST_SCHEMA), tight, block=5).collect()}
+    assert len(rounds) <= 3
+    assert short == {r["event_id"]: r["admitted"] for r in ro.rate_limit(spark.createDataFrame(rows, REQUEST_SCHEMA), tight).collect()}
+    assert 0 < sum(short.values()) < 100
+    monkeypatch.setattr(ro, "SESSION_BLOCK", 40)  # spans of eight blocks have to meet as well
+    assert short == {r["event_id"]: r["admitted"] for r in ro.rate_limit(spark.createDataFrame(rows, REQUEST_SCHEMA), tight, block=5).collect()}

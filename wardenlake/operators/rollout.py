@@ -314,10 +314,11 @@ def _admit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"op": batch["op"], "user_id": batch["user_id"], "event_id": batch["event_id"], "at": batch["at"], "admitted": flags})
 
 
-#: Requests of one session that a task evaluates in one go; longer sessions are cut into blocks of so many.
+#: Requests of one session that a task evaluates in one go; longer sessions are cut into blocks of so many,
+#: or smaller blocks into spans that together have so many.
 SESSION_BLOCK = 50_000
 _SESSION = ["op", "user_id", "session"]
-_BLOCK = [*_SESSION, "block"]
+_BLOCK, _SPAN = [*_SESSION, "block"], [*_SESSION, "span"]
 
 
 def _walk(rows: pd.DataFrame, entered: list[int]) -> tuple[list[bool], list[int]]:
@@ -334,53 +335,59 @@ def _walk(rows: pd.DataFrame, entered: list[int]) -> tuple[list[bool], list[int]
     return flags, list(recent)
 
 
-def _beside(rows: DataFrame, states: DataFrame) -> PandasCogroupedOps:
-    """Each block's requests next to the state it is entered with."""
-    given = states.select(*[F.col(c).alias(f"_{c}") for c in _BLOCK], "entered")
-    return rows.groupBy(*_BLOCK).cogroup(given.groupBy(*[f"_{c}" for c in _BLOCK]))
+def _beside(rows: DataFrame, states: DataFrame, keys: list[str]) -> PandasCogroupedOps:
+    """The requests of each block or span next to the state it is entered with."""
+    given = states.select(*[F.col(c).alias(f"_{c}") for c in keys], "entered")
+    return rows.groupBy(*keys).cogroup(given.groupBy(*[f"_{c}" for c in keys]))
 
 
-def _block_states(rows: DataFrame, due: DataFrame) -> DataFrame:
-    """What each block in ``due`` ends with, given the admitted times it is entered with."""
+def _span_states(rows: DataFrame, due: DataFrame) -> DataFrame:
+    """What each block of the spans in ``due`` is entered with and ends with, given the admitted times the span is entered with."""
 
-    def state(key, block: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
-        entered = list(given["entered"].iloc[0])
-        return pd.DataFrame([(*key, entered, _walk(block, entered)[1])], columns=[*_BLOCK, "entered", "left"])
+    def states(key, requests: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+        out, entered = [], list(given["entered"].iloc[0])
+        for block, inside in requests.groupby("block", sort=True):
+            left = _walk(inside, entered)[1]
+            out.append((*key, block, entered, left))
+            entered = left
+        return pd.DataFrame(out, columns=[*_SPAN, "block", "entered", "left"])
 
-    return _beside(rows.join(due, _BLOCK, "left_semi"), due).applyInPandas(
-        state, "op string, user_id string, session bigint, block bigint, entered array<bigint>, left array<bigint>")
+    return _beside(rows.join(due, _SPAN, "left_semi"), due, _SPAN).applyInPandas(
+        states, "op string, user_id string, session bigint, span bigint, block bigint, entered array<bigint>, left array<bigint>")
 
 
 def _settled_states(rows: DataFrame) -> DataFrame:
     """The admitted times that each block of a long session is entered with.
 
-    All blocks are evaluated at once, as if nothing was admitted before them.  Each is then given
-    what the block before it ended with, and the blocks for which that is news are evaluated again,
-    until there are none.  States meet as soon as a block ends in a window that its limit doesn't
-    bind; n blocks whose limit binds throughout may take n rounds.
+    Spans are neighbouring blocks that one task follows from end to end.  All are evaluated at once, as
+    if nothing was admitted before them.  Each is then given what the span before it ended with, and the
+    spans for which that is news are evaluated again, until there are none.  States meet as soon as a
+    span ends in a window that its limit doesn't bind; n spans whose limit binds throughout may take n rounds.
     """
     none = F.array().cast("array<bigint>")
-    states = cut_lineage(_block_states(rows, rows.select(*_BLOCK).distinct().withColumn("entered", none)))
+    states = cut_lineage(_span_states(rows, rows.select(*_SPAN).distinct().withColumn("entered", none)))
     while True:
-        before = states.select(*_SESSION, (F.col("block") + 1).alias("block"), F.col("left").alias("_now"))
+        ends = states.groupBy(*_SPAN).agg(F.min_by("entered", "block").alias("entered"), F.max_by("left", "block").alias("_left"))
+        before = ends.select(*_SESSION, (F.col("span") + 1).alias("span"), F.col("_left").alias("_now"))
         now = F.coalesce("_now", none)
-        news = states.join(before, _BLOCK, "left").filter(F.col("entered") != now).select(*_BLOCK, now.alias("entered"))
+        news = ends.join(before, _SPAN, "left").filter(F.col("entered") != now).select(*_SPAN, now.alias("entered"))
         due, count = cut_and_count(news)
         if not count:
             return states
-        states = cut_lineage(states.join(due, _BLOCK, "left_anti").unionByName(_block_states(rows, due)))
+        states = cut_lineage(states.join(due, _SPAN, "left_anti").unionByName(_span_states(rows, due)))
 
 
 def _admit_long(sessions: DataFrame, block: int) -> DataFrame:
     """Admission in sessions that are longer than a block, spread over tasks block by block."""
     placed = number_rows(sessions, _SESSION, ["at", "event_id"], F.floor(F.col("at") / (3600 * SECOND)))
-    rows = cut_lineage(placed.withColumn("block", F.floor((F.col("ordinal") - 1) / block)).drop("ordinal"))
+    blocks = placed.withColumn("block", F.floor((F.col("ordinal") - 1) / block)).drop("ordinal")
+    rows = cut_lineage(blocks.withColumn("span", F.floor(F.col("block") / max(1, SESSION_BLOCK // block))))
 
     def decide(key, requests: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
         flags = _walk(requests, list(given["entered"].iloc[0]))[0]
         return requests.sort_values(["at", "event_id"])[["op", "user_id", "event_id", "at"]].assign(admitted=flags)
 
-    return _beside(rows, _settled_states(rows)).applyInPandas(decide, ADMIT_SCHEMA)
+    return _beside(rows, _settled_states(rows), _BLOCK).applyInPandas(decide, ADMIT_SCHEMA)
 
 
 def rate_limit(requests: DataFrame, limits: DataFrame, block: int = SESSION_BLOCK) -> DataFrame:
