@@ -308,3 +308,16 @@ def test_small_blocks_settle_in_few_rounds(spark, monkeypatch):
     assert 0 < sum(short.values()) < 100
     monkeypatch.setattr(ro, "SESSION_BLOCK", 40)  # spans of eight blocks have to meet as well
     assert short == {r["event_id"]: r["admitted"] for r in ro.rate_limit(spark.createDataFrame(rows, REQUEST_SCHEMA), tight, block=5).collect()}
+
+
+def test_keys_that_share_a_bucket_keep_their_own_memory(spark, tmp_path, monkeypatch):
+    """Many keys are handled in one call of a processor, each with its own state over several ranges."""
+    from wardenlake.streaming import ordered
+
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    rng = random.Random(8)
+    rows = [(f"c{rng.randint(0, 40)}", "d", T0 + timedelta(minutes=37 * i), i, rng.random() < 0.5) for i in range(600)]
+    stream = as_stream(spark, list(rows), CHECK_SCHEMA, tmp_path / "in")
+    closing(spark, tmp_path / "in", CHECK_SCHEMA, ("closing", "d", FAR, 10**6, True))
+    out = jobs.run_available(jobs.health_stream(stream, "200 days", 86_400_000), str(tmp_path / "out"))
+    assert {r["event_id"]: (r["old_status"], r["status"]) for r in out.collect()} == {i: s[:2] for i, s in loop_states(rows).items()}

@@ -4,18 +4,24 @@ Rows wait in state until the watermark has passed their range of event time and
 then handled in event-time order, so late or shuffled arrival gives the same answer as
 a batch run.  State is keyed by range, and each range has one timer, which reads and
 removes the rows of that range only: a key with many waiting rows costs each of them once.
+Every call of a processor costs some milliseconds, so the keys are dealt over buckets, and a
+call handles all keys of a bucket; each key keeps a memory of its own.
 """
 
 from __future__ import annotations
 
 import json
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+#: Buckets over which keys are dealt, and state values over which a bucket's memories are.
+BUCKETS, PLACES = 256, 16
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -45,15 +51,16 @@ class OrderedProcessor(StatefulProcessor):
         # part -1 of a range holds the number of its parts
         key = T.StructType([T.StructField("end", T.LongType()), T.StructField("part", T.IntegerType())])
         self.waiting = handle.getMapState("ranges", key, T.StructType([T.StructField("rows", T.StringType())]))
-        self.memory = handle.getValueState("memory", T.StructType([T.StructField("value", T.StringType())]))
+        place = T.StructType([T.StructField("place", T.IntegerType())])
+        self.memories = handle.getMapState("memories", place, T.StructType([T.StructField("values", T.StringType())]))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         ranges: dict[int, list] = {}
         for batch in rows:
-            micros = batch["ts"].astype("datetime64[us]").astype("int64")
-            kept = batch[self.fields].astype(object).to_dict("records")
+            micros = batch["ts"].astype("datetime64[us]").astype("int64").tolist()
+            kept = batch[[*self.key_columns, *self.fields]].astype(object).to_numpy().tolist()
             for at, row in zip(micros, kept):
-                ranges.setdefault((int(at) // 1000 // self.range_ms + 1) * self.range_ms, []).append((int(at), row))
+                ranges.setdefault((at // 1000 // self.range_ms + 1) * self.range_ms, []).append((at, row))
         for end, arrived in ranges.items():
             head = self.waiting.getValue((end, -1))
             parts = int(head[0]) if head else 0
@@ -66,30 +73,34 @@ class OrderedProcessor(StatefulProcessor):
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()  # timers of a key expire in order of their times
+        end = expiredTimerInfo.getExpiryTimeInMs()  # timers of a bucket expire in order of their times
         head = self.waiting.getValue((end, -1))
         if not head:
             return iter([])
-        due = []
+        keys, due = len(self.key_columns), {}
         for part in range(int(head[0])):
-            due += json.loads(self.waiting.getValue((end, part))[0])
+            for at, values in json.loads(self.waiting.getValue((end, part))[0]):
+                due.setdefault(tuple(values[:keys]), []).append((at, dict(zip(self.fields, values[keys:]))))
             self.waiting.removeKey((end, part))
         self.waiting.removeKey((end, -1))
-        kept = self.memory.get()
-        memory = json.loads(kept[0]) if kept else self.start()
+        places: dict[int, list] = {}
+        for of in due:
+            places.setdefault(zlib.crc32(json.dumps(of).encode()) % PLACES, []).append(of)
         out = []
-        for at, row in sorted(due, key=lambda r: (r[0], r[1]["event_id"])):
-            memory, emitted = self.step(memory, row | {"at": at})
-            if emitted is not None:
-                out.append(emitted)
-        self.memory.update((json.dumps(memory),))
-        if not out:
-            return iter([])
+        for place, held in places.items():
+            stored = self.memories.getValue((place,))
+            memories = json.loads(stored[0]) if stored else {}
+            for of in held:
+                name = json.dumps(of)
+                memory = memories[name] if name in memories else self.start()
+                for at, row in sorted(due[of], key=lambda r: (r[0], r[1]["event_id"])):
+                    memory, emitted = self.step(memory, row | {"at": at})
+                    if emitted is not None:
+                        out.append(dict(zip(self.key_columns, of)) | emitted)
+                memories[name] = memory
+            self.memories.updateValue((place,), (json.dumps(memories),))
         names = [part.split()[0] for part in self.output.split(",")]
-        keyed = pd.DataFrame(out)
-        for name, value in zip(self.key_columns, key):
-            keyed[name] = value
-        return iter([keyed[names]])
+        return iter([pd.DataFrame(out)[names]] if out else [])
 
     key_columns: list[str] = []
 
@@ -98,10 +109,11 @@ class OrderedProcessor(StatefulProcessor):
 
 
 def run_ordered(stream: DataFrame, processor: OrderedProcessor, range_ms: int | None = None) -> DataFrame:
-    """Apply a processor per key with event-time order; ``stream`` has its watermark on ``ts``.
+    """Apply a processor per key, of strings, with event-time order; ``stream`` has its watermark on ``ts``.
 
     Wide ranges cost fewer state calls for sparse keys, narrow ones give results sooner.
     """
     processor.range_ms = range_ms or processor.range_ms
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return stream.groupBy(*processor.key_columns).transformWithStateInPandas(processor, processor.output, "append", "EventTime")
+    dealt = stream.withColumn("_bucket", F.pmod(F.xxhash64(*processor.key_columns), F.lit(BUCKETS)).cast("int"))
+    return dealt.groupBy("_bucket").transformWithStateInPandas(processor, processor.output, "append", "EventTime")
