@@ -269,3 +269,24 @@ def test_catalog(spark):
     assert catalog.fold_ratings(frame, ratings).filter("pattern_id = 1").first()["rating"] == 3.0
     grades = spark.createDataFrame([(v,) for v in (90.0, 80.0, 70.0, 60.0, 59.9)], "v double").select(catalog.coverage_grade(F.col("v")).alias("g")).collect()
     assert [g["g"] for g in grades] == list("ABCDF")
+
+
+def test_pages_are_written_by_several_tasks(spark, tmp_path):
+    """One file of pages, dealt over tasks without any setting; rows of one page stay in one file."""
+    import glob
+
+    from wardenlake.plans.source_queries import corpus_scan
+    from wardenlake.session import ensure_checkpoint_dir
+    from wardenlake.sources.tables import DEAL
+
+    spark.createDataFrame([(i, f"<p>{i}</p>") for i in [*range(40), 3]], "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    folders = f"{ensure_checkpoint_dir(spark).removeprefix('file:')}/corpus-*"
+    setting, before = spark.conf.get(DEAL), set(glob.glob(folders))
+    spark.conf.unset(DEAL)
+    try:
+        sizes = {r["page_id"]: r["size_bytes"] for r in corpus_scan(spark, str(tmp_path)).collect()}
+    finally:
+        spark.conf.set(DEAL, setting)
+    assert sizes == {i: (2 if i == 3 else 1) * (len(f"<p>{i}</p>") + 1) for i in range(40)}
+    (base,) = set(glob.glob(folders)) - before
+    assert len({name.rsplit("/", 1)[1][:10] for name in glob.glob(f"{base}/*/part-*")}) > 1

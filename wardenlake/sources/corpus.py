@@ -66,7 +66,13 @@ def read_corpus(spark: SparkSession, root: str, project: str, extensions: list[s
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    listed = reader.load(root)
+    # folders are listed by as many tasks as a shuffle has; by default each folder, up to 10,000, is a task of its own
+    tasks, before = "spark.sql.sources.parallelPartitionDiscovery.parallelism", spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    spark.conf.set(tasks, spark.conf.get("spark.sql.shuffle.partitions"))
+    try:
+        listed = reader.load(root)
+    finally:
+        spark.conf.set(tasks, before)
     if max_file_kb is not None:
         listed = listed.filter(F.col("length") <= max_file_kb * 1024)
     base = root.rstrip("/")

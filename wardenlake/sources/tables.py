@@ -20,16 +20,17 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, *keys: str) -> DataFrame:
     """Deal an input of CPU-heavy work over ``spark.wardenlake.deal`` partitions, or as many as a shuffle has where that isn't set.
 
     A row group is never cut, so a file written as one row group is one task however many splits
     it has.  Set it to 0 where row groups are smaller than a split: nothing is shuffled then.
     Where texts are derived from a narrow table, deal that table (``derive(..., deal=True)``) and not the texts.
+    Rows of equal ``keys``, if any are given, stay together.
     """
     conf = df.sparkSession.conf
     parts = int(conf.get(DEAL, conf.get("spark.sql.shuffle.partitions")))
-    return df.repartition(parts) if parts > 0 else df
+    return df.repartition(parts, *keys) if parts > 0 else df
 
 
 def broadcast_if_small(df: DataFrame, limit: int = SPLIT_BYTES) -> DataFrame:
