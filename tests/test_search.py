@@ -141,3 +141,44 @@ def test_literals_with_a_long_common_beginning_wait_apart(spark):
     files = spark.createDataFrame([(i, f"x {w}") for i, w in enumerate(literals)], "id long, content string")
     patterns = spark.createDataFrame(list(enumerate(literals)), "pattern_id long, literal string")
     assert sorted(tuple(r) for r in rt.match_patterns(files, "id", patterns).collect()) == [(i, i) for i in range(300)]
+
+
+def test_typed_queries_match_chunks_of_their_type(spark):
+    """A query for one type has the bound, the keywords and the candidates of that type, and the same results."""
+    texts, asked = corpus(6)
+    kinds = ["documentation", "code_example", "troubleshooting"]
+    texts = [(c, kinds[i % 3], t) for i, (c, _, t) in enumerate(texts)] + [(f"chunk_9{i:04d}", "documentation", "onlyhere common usual") for i in range(50)]
+    chunks = spark.createDataFrame(texts, "chunk_id string, chunk_type string, content string").withColumn("char_count", F.length("content"))
+    intents = ["code_help", "troubleshoot", "explain", None]
+    rows = [(q, f"{t} onlyhere", intents[q % 4]) for q, t in asked]
+    queries = spark.createDataFrame(rows, "query_id long, text string, intent string")
+    index = rt.postings(chunks)
+    want = set()
+    for q, text, intent in rows:
+        kind, found = rt.INTENT_CHUNK_TYPE.get(intent), []
+        for c, d, t in texts:
+            if (n := len(words(text) & words(t))) and kind in (None, d):
+                found.append((-(2 * n + {"documentation": 3, "code_example": 2}.get(d, 0) + (200 <= len(t) <= 1000) + 10 * (text.lower() in t.lower())), c))
+        want |= {(q, c, -s, r + 1) for r, (s, c) in enumerate(sorted(found)[:5])}
+    got = {(r["query_id"], r["chunk_id"], r["score"], r["rank"]) for r in rt.scored_retrieval(queries, chunks, index).collect()}
+    assert got == want
+    terms = spark.createDataFrame([(1, "onlyhere", "code_example"), (1, "common", "code_example"), (2, "onlyhere", None)], "query_id long, keyword string, _type string")
+    held = rt._by_rarity(terms, index)
+    assert {(r["query_id"], r["keyword"], r["_place"], r["_words"]) for r in held.collect()} == {(1, "common", 1, 1), (2, "onlyhere", 1, 1)}
+    typed = {c for c, d, _ in texts if d == "code_example"}
+    for pairs in (rt._champions(held, index, 5), rt._matching(held.select("query_id", "keyword", "_type"), index, 8)):
+        met = [(r["query_id"], r["chunk_id"]) for r in pairs.collect()]
+        assert {c for q, c in met if q == 1} <= typed and {q for q, _ in met} == {1, 2}
+
+
+def test_short_lists_of_keywords_leave_postings_where_they_are(spark, monkeypatch):
+    """Only a long list of asked keywords makes the postings move."""
+    chunks = spark.createDataFrame(corpus(7, 40)[0], "chunk_id string, chunk_type string, content string")
+    terms = spark.createDataFrame([(1, "common"), (1, "rare003"), (2, "common")], "query_id long, keyword string")
+    index, found = rt.postings(chunks, unique_sources=True), []
+    for limit in (500, 0):
+        monkeypatch.setattr(rt, "ASKED_ROWS", limit)
+        listed = rt._asked(index, terms)
+        found.append(sorted(tuple(r) for r in listed.collect()))
+        assert limit == 0 or "Exchange hashpartitioning" not in listed._jdf.queryExecution().executedPlan().toString()
+    assert found[0] == found[1] and {r[0] for r in found[0]} == {"common", "rare003"}

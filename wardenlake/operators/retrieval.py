@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 from wardenlake.functions.text import contains_any, let, strip
 from wardenlake.functions.totals import merge_totals
 from wardenlake.functions.windows import number_rows
-from wardenlake.session import cut_lineage
+from wardenlake.session import cut_and_count, cut_lineage
 
 # Stop words of keyword extraction.
 STOP_WORDS = [
@@ -85,13 +85,35 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 #: A query's first k results come from this many of its rarest keywords, and so many chunks of each.
 CHAMPION_WORDS, CHAMPIONS = 8, 16
+#: Up to so many asked keywords are sent to the tasks, about 30 MB; the postings are shuffled for longer lists.
+ASKED_ROWS = 500_000
+
+
+def _fits() -> Column:
+    """Whether a chunk is of the type that the query asks for; without ``_type`` any is."""
+    return F.col("_type").isNull() | (F.col("_type") == F.col("chunk_type"))
+
+
+def _asked(index: DataFrame, terms: DataFrame) -> DataFrame:
+    """The postings of the terms' keywords; where they stand is not shuffled while the list is short."""
+    asked, n = cut_and_count(terms.select("keyword").distinct())
+    return index.join(F.broadcast(asked) if n <= ASKED_ROWS else asked, "keyword", "left_semi")
 
 
 def _by_rarity(terms: DataFrame, index: DataFrame) -> DataFrame:
-    """Each query's keywords that the index holds, with their place from the rarest on and how many there are."""
-    asked = terms.select("keyword").distinct()
-    frequency = index.join(asked, "keyword", "left_semi").groupBy("keyword").agg(F.count("*").alias("_df"))
-    held = terms.join(frequency, "keyword")
+    """Each query's keywords that the index holds, with their place from the rarest on and how many there are.
+
+    Where terms have a ``_type``, keywords are held and counted in chunks of that type.
+    """
+    listed = _asked(index, terms)
+    if "_type" in terms.columns:
+        by_type = listed.groupBy("keyword", "chunk_type").agg(F.count("*").alias("_n"))
+        of_type = F.map_from_entries(F.collect_list(F.when(F.col("chunk_type").isNotNull(), F.struct("chunk_type", "_n"))))
+        frequency = by_type.groupBy("keyword").agg(F.sum("_n").alias("_all"), of_type.alias("_of"))
+        df = F.when(F.col("_type").isNull(), F.col("_all")).otherwise(F.col("_of")[F.col("_type")])
+        held = terms.join(frequency, "keyword").withColumn("_df", df).filter("_df IS NOT NULL").drop("_all", "_of")
+    else:
+        held = terms.join(listed.groupBy("keyword").agg(F.count("*").alias("_df")), "keyword")
     mine = Window.partitionBy("query_id")
     placed = held.withColumn("_place", F.row_number().over(mine.orderBy("_df", "keyword"))).withColumn("_words", F.count("*").over(mine))
     return cut_lineage(placed.drop("_df"))
@@ -100,9 +122,11 @@ def _by_rarity(terms: DataFrame, index: DataFrame) -> DataFrame:
 def _champions(terms: DataFrame, index: DataFrame, least: int) -> DataFrame:
     """(query_id, chunk_id) of the smallest chunk ids of the rarest keywords; every task keeps few of a keyword before the shuffle."""
     rare = terms.filter(F.col("_place") <= CHAMPION_WORDS)
-    asked = index.join(rare.select("keyword").distinct(), "keyword", "left_semi")
-    first = asked.withColumn("_n", F.row_number().over(Window.partitionBy("keyword").orderBy("chunk_id"))).filter(F.col("_n") <= max(least, CHAMPIONS))
-    return rare.join(first, "keyword").select("query_id", "chunk_id").distinct()
+    asked = _asked(index, rare)
+    typed = ["chunk_type"] if "_type" in terms.columns else []
+    first = asked.withColumn("_n", F.row_number().over(Window.partitionBy("keyword", *typed).orderBy("chunk_id"))).filter(F.col("_n") <= max(least, CHAMPIONS))
+    met = rare.join(first, "keyword")
+    return (met.filter(_fits()) if typed else met).select("query_id", "chunk_id").distinct()
 
 
 def _matching(needed: DataFrame, index: DataFrame, salt: int) -> DataFrame:
@@ -111,10 +135,12 @@ def _matching(needed: DataFrame, index: DataFrame, salt: int) -> DataFrame:
     The index side gets a random-free salt from the chunk id and the query side is repeated per
     salt, so no join task holds one whole keyword.
     """
-    listed = index.join(needed.select("keyword").distinct(), "keyword", "left_semi")
+    listed = _asked(index, needed)
     salted = listed.withColumn("_salt", F.pmod(F.xxhash64("chunk_id"), F.lit(salt)).cast("int"))
     repeated = needed.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salt - 1))))
     hits = repeated.join(salted.hint("merge"), ["keyword", "_salt"])  # sizes of exploded postings are estimated far too small
+    if "_type" in needed.columns:
+        hits = hits.filter(_fits())
     if "_before" in needed.columns:  # at the last place only chunks that win the tie by their id
         hits = hits.filter(F.col("_before").isNull() | (F.col("chunk_id") < F.col("_before")))
     return hits.select("query_id", "chunk_id").distinct()
@@ -124,7 +150,7 @@ def _with_hits(pairs: DataFrame, terms: DataFrame, forward: DataFrame) -> DataFr
     """How many of its query's keywords each candidate holds, from the candidates' own keywords."""
     asked = terms.groupBy("query_id").agg(F.collect_set("keyword").alias("_asked"))
     joined = pairs.join(forward.select("chunk_id", "words").hint("merge"), "chunk_id").join(asked, "query_id")
-    return joined.select("query_id", "chunk_id", F.size(F.array_intersect("_asked", "words")).cast("bigint").alias("hits"))
+    return joined.select("query_id", "chunk_id", F.size(F.array_intersect("words", "_asked")).cast("bigint").alias("hits"))
 
 
 def _grouped(index: DataFrame) -> DataFrame:
@@ -158,6 +184,10 @@ def keyword_search(queries: DataFrame, index: DataFrame, doc_type: str | None =
     return _top(first.drop("rank").unionByName(_with_hits(more, terms, held)), k, "hits")
 
 
+def _type_points(chunk_type: Column) -> Column:
+    return F.when(chunk_type == "documentation", 3).when(chunk_type == "code_example", 2).otherwise(0)
+
+
 def scored_retrieval(queries: DataFrame, chunks: DataFrame, index: DataFrame, k: int = 5, salt: int = 8,
                      recency: str | None = None, forward: DataFrame | None = None) -> DataFrame:
     """Phrase, keyword, type, length and recency points; best five per query.
@@ -166,8 +196,15 @@ def scored_retrieval(queries: DataFrame, chunks: DataFrame, index: DataFrame, k:
     four points at most, recency the most that a chunk has.  A chunk that beats the bound without
     the phrase needs so many keywords that it holds one of the rarest; one with the phrase holds all
     keywords but those at its two ends, so it holds one of the three rarest.  Only such chunks meet the texts.
+    A query whose intent asks for a type looks among the chunks of that type from the start, with the
+    bound and the keyword counts of that type.
     """
-    terms = _by_rarity(query_terms(queries), index)
+    asked = query_terms(queries)
+    if "intent" in queries.columns:  # rows of one query id that ask for several types look among all
+        types = F.create_map(*[F.lit(v) for kv in INTENT_CHUNK_TYPE.items() for v in kv])[F.col("intent")]
+        one = (F.count(types) == F.count("*")) & (F.min(types) == F.max(types))
+        asked = asked.join(queries.groupBy("query_id").agg(F.when(one, F.min(types)).alias("_type")), "query_id")
+    terms = _by_rarity(asked, index)
     held = forward_index(chunks) if forward is None else forward
     wanted = [c for c in ("intent",) if c in queries.columns]
     facts = queries.select("query_id", F.lower("text").alias("_phrase"), *wanted)
@@ -178,7 +215,7 @@ def scored_retrieval(queries: DataFrame, chunks: DataFrame, index: DataFrame, k:
         if wanted:
             type_ = F.create_map(*[F.lit(v) for kv in INTENT_CHUNK_TYPE.items() for v in kv])[F.col("intent")]
             read = read.filter(type_.isNull() | (type_ == F.col("chunk_type")))
-        points = (F.col("hits") * 2 + F.when(F.col("chunk_type") == "documentation", 3).when(F.col("chunk_type") == "code_example", 2).otherwise(0)
+        points = (F.col("hits") * 2 + _type_points(F.col("chunk_type"))
                   + F.when(F.col("char_count").between(200, 1000), 1).otherwise(0) + F.when(F.col("_body").contains(F.col("_phrase")), 10).otherwise(0) + F.col("_recent"))
         return read.select("query_id", "chunk_id", points.alias("score"))
 
@@ -188,9 +225,11 @@ def scored_retrieval(queries: DataFrame, chunks: DataFrame, index: DataFrame, k:
         bound = bound.crossJoin(chunks.agg(F.greatest(F.coalesce(F.max(recency), F.lit(0)), F.lit(0)).alias("_spare")))  # one row
     else:
         bound = bound.withColumn("_spare", F.lit(0))
-    words = F.ceil((F.col("_least") - 4 - F.col("_spare")) / 2)
+    kind = [c for c in ("_type",) if c in terms.columns]
+    most = 1 + (F.when(F.col("_type").isNull(), 3).otherwise(_type_points(F.col("_type"))) if kind else F.lit(3))
+    words = F.ceil((F.col("_least") - most - F.col("_spare")) / 2)
     needed = terms.join(bound, "query_id", "left").filter(F.col("_least").isNull() | (F.col("_place") <= F.greatest(F.lit(3), F.col("_words") - words + 1)))
-    more = _matching(needed.select("query_id", "keyword"), index, salt).join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    more = _matching(needed.select("query_id", "keyword", *kind), index, salt).join(first.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
     return _top(first.drop("rank").unionByName(score(more)), k, "score")
 
 
