@@ -182,3 +182,22 @@ def test_short_lists_of_keywords_leave_postings_where_they_are(spark, monkeypatc
         found.append(sorted(tuple(r) for r in listed.collect()))
         assert limit == 0 or "Exchange hashpartitioning" not in listed._jdf.queryExecution().executedPlan().toString()
     assert found[0] == found[1] and {r[0] for r in found[0]} == {"common", "rare003"}
+
+
+def test_an_update_moves_the_stored_rows_once(spark, tmp_path, monkeypatch):
+    """The rows of touched folders aren't written to the checkpoint folder on the way; repeated rows and rows with nulls stay."""
+    path = str(tmp_path / "index")
+    rows = [("a", "t", "one"), ("a", "t", "two"), ("b", "t", "one"), ("b", "t", "one"), (None, "t", "one"), ("c", None, "one")]
+    index = spark.createDataFrame(rows, "chunk_id string, chunk_type string, keyword string")
+    rt.store_index(index, path, 1)
+    kept, cut = [], rt.cut_lineage
+    monkeypatch.setattr(rt, "cut_lineage", lambda df: kept.append(cut(df)) or kept[-1])
+    old = spark.createDataFrame([("a", "t", "one two"), (None, "t", "one")], "chunk_id string, chunk_type string, content string")
+    new = spark.createDataFrame([("a", "t", "two three")], old.schema)
+    assert rt.update_stored_index(spark, path, old, new, 1) == [0]
+    assert sorted(map(str, rt.read_index(spark, path).collect())) == sorted(map(str, spark.createDataFrame(
+        [("a", "t", "two"), ("a", "t", "three"), ("b", "t", "one"), ("b", "t", "one"), (None, "t", "one"), ("c", None, "one")], index.schema).collect()))
+    assert sum(frame.count() for frame in kept) == 3  # lost and gained pairs only
+    gone = spark.createDataFrame([(c, t, k) for c, t, k in (("a", "t", "two three"), ("b", "t", "one"))], old.schema)
+    assert rt.update_stored_index(spark, path, gone, new.limit(0), 1) == [0]
+    assert sorted(map(str, rt.read_index(spark, path).collect())) == sorted(map(str, index.filter("chunk_id IS NULL OR chunk_type IS NULL").collect()))

@@ -248,10 +248,14 @@ def _part(keyword: Column, parts: int) -> Column:
     return F.pmod(F.xxhash64(keyword), F.lit(parts)).cast("int").alias("part")
 
 
+def _slot() -> Column:
+    return F.pmod(F.xxhash64("chunk_id"), F.lit(4))
+
+
 def store_index(index: DataFrame, path: str, parts: int = INDEX_PARTS) -> None:
     """The postings in one folder a part of the keywords, sorted by keyword so that look-ups skip row groups."""
     placed = index.withColumn("part", _part(F.col("keyword"), parts))
-    placed.repartition("part", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("part", "keyword").write.partitionBy("part").parquet(path)
+    placed.repartition("part", _slot()).sortWithinPartitions("part", "keyword").write.partitionBy("part").parquet(path)
 
 
 def _stored(spark: SparkSession, path: str, wanted: list[int]) -> DataFrame:
@@ -277,13 +281,16 @@ def update_stored_index(spark: SparkSession, path: str, before: DataFrame, after
     lost, gained = cut_lineage(old.join(new, pairs, "left_anti")), cut_lineage(new.join(old, pairs, "left_anti"))
     touched = sorted(r["part"] for r in lost.unionByName(gained).select(_part(F.col("keyword"), parts)).distinct().collect())
     if touched:
-        kept = _stored(spark, path, touched).drop("part").join(lost, pairs, "left_anti")
-        rows = cut_lineage(kept.unionByName(gained).withColumn("part", _part(F.col("keyword"), parts)))
-        # a folder that loses its last row would not be written, so it keeps a row of nulls that no look-up meets
-        empty = spark.range(len(touched)).select(*[F.lit(None).cast("string").alias(c) for c in pairs], F.element_at(F.lit(touched), (F.col("id") + 1).cast("int")).alias("part"))
-        due = rows.unionByName(empty.join(rows.select("part").distinct(), "part", "left_anti"))
-        due.repartition("part", F.pmod(F.xxhash64("chunk_id"), F.lit(4))).sortWithinPartitions("part", "keyword").write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
+        # A folder that loses its last row would not be written, so each keeps a row of nulls that no look-up meets.
+        nothing = spark.range(len(touched)).select(*[F.lit(None).cast("string").alias(c) for c in pairs], F.element_at(F.lit(touched), (F.col("id") + 1).cast("int")).alias("part"))
+        own = _part(F.col("keyword"), parts)
+        kept = _stored(spark, path, touched).filter(F.col("keyword").isNotNull()).unionByName(gained.withColumn("part", own)).unionByName(nothing)
+        # Kept and lost pairs meet in the one shuffle that the files need; a pair with a null is never lost.
+        both = kept.withColumn("_lost", F.lit(False)).unionByName(lost.dropna().withColumn("part", own).withColumn("_lost", F.lit(True)))
+        dealt = both.withColumn("_slot", _slot()).repartition("part", "_slot")
+        same = Window.partitionBy("part", "keyword", "_slot", "chunk_id", "chunk_type")
+        rows = dealt.withColumn("_gone", F.max("_lost").over(same)).filter(~F.col("_gone"))
+        rows.select(*pairs, "part").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("part").parquet(path)
     return touched
 
 
