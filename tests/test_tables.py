@@ -290,3 +290,55 @@ def test_pages_are_written_by_several_tasks(spark, tmp_path):
     assert sizes == {i: (2 if i == 3 else 1) * (len(f"<p>{i}</p>") + 1) for i in range(40)}
     (base,) = set(glob.glob(folders)) - before
     assert len({name.rsplit("/", 1)[1][:10] for name in glob.glob(f"{base}/*/part-*")}) > 1
+
+
+def test_pages_are_files_of_few_folders_read_in_groups(spark, tmp_path, monkeypatch):
+    """Folders hold many pages, scans take some folders; odd rows: no id, ids that repeat or are negative, null, empty, binary and non-ASCII texts."""
+    import os
+
+    from wardenlake.plans import source_queries
+
+    odd = [(None, "a"), (None, "b"), (-7, "é ü"), (100, None), (101, ""), (102, "x\x00y"), (103, "one"), (103, None), (103, "two"), (104, "same"), (104, "same")]
+    rows = [*((i, f"<p>{i}</p>") for i in range(60)), *odd]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    monkeypatch.setattr(corpus, "FOLDER_FILES", 6)
+    monkeypatch.setattr(corpus, "SCAN_FILES", 20)
+    scans, scan = [], corpus.read_corpus
+
+    def seen(spark, root, *args, **more):
+        scans.append((root, more["folders"]))
+        return scan(spark, root, *args, **more)
+
+    monkeypatch.setattr(corpus, "read_corpus", seen)
+    before = spark.conf.get("spark.sql.files.openCostInBytes")
+    found = [(r["page_id"], r["size_bytes"], r["ext"], r["content_md5"]) for r in source_queries.corpus_scan(spark, str(tmp_path)).collect()]
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == before
+    md5 = lambda text: (len(text.encode()), ".txt", hashlib.md5(text.encode()).hexdigest())
+    want = [(i, *md5(t + "\n")) for i, t in [*rows[:60], (None, "a"), (None, "b"), (-7, "é ü"), (100, ""), (101, ""), (104, "same\nsame")]]
+    assert len(found) == len({r[0] for r in found}) + 1 and sorted((r for r in found if r[0] != 103), key=str) == sorted(want, key=str)
+    assert [r[1] for r in found if r[0] == 103] == [len("one\n\ntwo\n")]
+    root = scans[0][0].removeprefix("file:")
+    files = {f: len([x for x in os.listdir(f"{root}/{f}") if not x.endswith(".crc")]) for f in os.listdir(root)}
+    assert max(files.values()) == 6 and sum(files.values()) == 68  # a folder a page before
+    assert sorted(f for _, folders in scans for f in folders) == sorted(files) and len(scans) > 3
+    assert all(sum(files[f] for f in folders) <= 20 for _, folders in scans)
+
+
+def test_written_files_of_lost_attempts_and_other_stores(spark, tmp_path):
+    """Folders that no task reported aren't read; a store without pyarrow access is written by Spark; no rows make no files."""
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(9)], "k long, t string")
+    written = corpus.write_files(rows, f"file:{tmp_path}/a", "k", "t")
+    assert sum(n for _, n in written) == 9
+    (tmp_path / "a/00000-lost").mkdir()
+    (tmp_path / "a/00000-lost/part-00000-00000-k=3.txt").write_text("t")
+    (group,) = corpus.scan_groups(written)
+    read = corpus.read_corpus(spark, f"file:{tmp_path}/a", "p", [".txt"], folders=group)
+    assert sorted(r["content"] for r in read.collect()) == [f"t{i}\n" for i in range(9)]
+    (tmp_path / "b").mkdir()
+    spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.files.link./b", f"file://{tmp_path}/b")
+    assert corpus.write_files(rows, "viewfs://files/b/c", "k", "t") is None
+    (group,) = corpus.scan_groups(None)
+    read = corpus.read_corpus(spark, "viewfs://files/b/c", "p", [".txt"], folders=group)
+    assert sorted(r["content"] for r in read.collect()) == [f"t{i}\n" for i in range(9)]
+    assert corpus.write_files(rows.limit(0), f"file:{tmp_path}/d", "k", "t") == [] and corpus.scan_groups([]) == [[]]
+    assert corpus.read_corpus(spark, f"file:{tmp_path}/d", "p", [".txt"], folders=[]).count() == 0
